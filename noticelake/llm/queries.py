@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import sharding, simhash, substrings
+from noticelake.llm import decontaminate, langid, media, sharding, simhash, substrings
 
 SHARDS = 16
 
@@ -14,6 +14,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.cross_entropy", "language.rejected")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -31,6 +36,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op7_substring_dedup, op8_sharding)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.with_matches(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.col("matches.item_id").alias("item_ids"), F.coalesce(F.array_max("matches.overlap"), F.lit(0.0)).alias("overlap"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.read_back(media.pack(_documents(spark, sf_dir)))
+    return stored.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_simhash_dedup, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media)}
 
 ORACLE_SQL: dict[str, str] = {}
