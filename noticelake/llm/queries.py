@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, langid, media, sharding, simhash, substrings
+from noticelake.llm import decontaminate, langid, media, pii, sharding, simhash, substrings
 
 SHARDS = 16
 
@@ -19,6 +19,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.cross_entropy", "language.rejected")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(_documents(spark, sf_dir).select("doc_id", "text"))
+    base = pii.listed(F.col("base"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        *[pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(base, 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "terms")).alias("spans"),
+    )
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -46,6 +57,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_simhash_dedup, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_pii, op5_simhash_dedup, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media)}
 
 ORACLE_SQL: dict[str, str] = {}
