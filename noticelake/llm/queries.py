@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, langid, media, pii, sharding, simhash, substrings
+from noticelake.llm import decontaminate, langid, media, pieces, pii, sharding, simhash, substrings
 
 SHARDS = 16
 
@@ -34,6 +34,19 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = pieces.with_samples(_documents(spark, sf_dir).select("doc_id", "text"))
+    held = sampled.select("doc_id", "text", "samples", pieces.decoder()(F.col("samples")[0]["ids"]).alias("decoded"))
+    return held.select(
+        "doc_id",
+        F.transform("samples.ids", F.size).alias("n_pieces"),
+        F.transform("samples.ids", lambda x: F.xxhash64(x)).alias("ids_xxh64"),
+        F.col("samples.log_prob").alias("log_prob"),
+        F.col("samples.log_inclusion").alias("log_inclusion"),
+        (F.col("decoded") == pieces.spaced(F.col("text"))).alias("round_trip"),
+    )
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,6 +70,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_pii, op5_simhash_dedup, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_pii, op5_simhash_dedup, op6_pieces, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media)}
 
 ORACLE_SQL: dict[str, str] = {}
