@@ -33,6 +33,8 @@ PATTERNS = {
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Terms up to which they are sent to every task: at most some MB, as a term is one word.
 BROADCAST_TERMS = 100_000
+#: Documents with disclosing terms up to which their ids, 8 bytes each, are sent to every task.
+BROADCAST_IDS = 1_000_000
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -174,6 +176,17 @@ def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: fl
     total = rows.count()
     pairs = near.select("id", "entity", "context", F.explode("words").alias("term")).where(F.length("term") > 2)
     known = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id").alias("together")).where(f"contexts >= {support}")
+    entities = near.groupBy("entity").agg(F.countDistinct("id").alias("mentioned"))
+    # a term is in no fewer documents than mention it near any entity: that bounds its disclosure from
+    # above and spares the common words, exactly, before the corpus is counted
+    nearby = pairs.groupBy("term").agg(F.countDistinct("id").alias("nearby"))
+    content = F.log(F.lit(float(total)) / F.col("mentioned"))
+
+    def disclosure(count: str) -> Column:
+        info = F.log(F.lit(float(total)) * F.col("together") / (F.col("mentioned") * F.greatest(count, "together")))
+        return F.when(content > 0, info / content)
+
+    known = known.join(entities, "entity").join(nearby, "term").where(disclosure("nearby") >= threshold)
     known = cut(known, "disclosing")
     terms = known.select("term").distinct()
     size = terms.count()
@@ -182,11 +195,8 @@ def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: fl
     if size <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     anywhere = rows.select(F.explode(F.array_distinct(F.split("text", BLANKS))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("anywhere"))
-    entities = near.select("id", "entity").groupBy("entity").agg(F.countDistinct("id").alias("mentioned"))
-    content = F.log(F.lit(float(total)) / F.col("mentioned"))
     # a term stuck to a mention is a word of its own there; it never occurs less often than together
-    info = F.log(F.lit(float(total)) * F.col("together") / (F.col("mentioned") * F.greatest("anywhere", "together")))
-    rated = known.join(anywhere, "term", "left").join(entities, "entity").withColumn("disclosure", F.when(content > 0, info / content))
+    rated = known.join(anywhere, "term", "left").withColumn("disclosure", disclosure("anywhere"))
     return rated.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
@@ -215,7 +225,11 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int =
     wanted = holders.groupBy("id", "term").agg(F.max("disclosure").alias("d")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "d"))).alias("told"))
     quoted = F.transform(F.col("told"), lambda t: F.concat(F.lit("\\Q"), F.replace(t["term"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
-    hits = rows.join(wanted.select("id", "told", pattern.alias("pattern")), "id").dropDuplicates(["id"])
+    wanted = cut(wanted.select("id", "told", pattern.alias("pattern")), "told")
+    ids = wanted.select("id")
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    hits = rows.join(ids, "id", "left_semi").join(wanted, "id").dropDuplicates(["id"])
     placed = _located(hits, "text", {"found": (F.col("pattern"), F.lit(True))}).select("id", "told", "found")
     sure = lambda told, v: F.exists(told, lambda t: (t["term"] == v) & (t["d"] >= 1 - 1e-9))
     marked = F.transform("found", lambda x: F.struct(F.when(sure(F.col("told"), x["value"]), "removed").otherwise("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
