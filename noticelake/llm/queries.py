@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, langid, media, pieces, pii, sharding, simhash, substrings
+from noticelake.llm import decontaminate, html_text, langid, media, pieces, pii, preferences, sharding, simhash, substrings
 
 SHARDS = 16
 
@@ -19,6 +19,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.cross_entropy", "language.rejected")
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = preferences.format_pairs(turns, preferences.adjacent_pairs(turns))
+    return found.select(
+        "pair_id", "n_common", "prompt", F.col("chosen.text").alias("chosen"), preferences.masks(F.col("chosen.mask")).alias("chosen_mask"),
+        F.col("rejected.text").alias("rejected"), preferences.masks(F.col("rejected.mask")).alias("rejected_mask"),
+    )
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(_documents(spark, sf_dir).select("doc_id", "text"))
     base = pii.listed(F.col("base"))
@@ -30,6 +39,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text.with_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -70,6 +84,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_pii, op5_simhash_dedup, op6_pieces, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_preferences, op3_pii, op4_html_text, op5_simhash_dedup, op6_pieces, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_preferences": preferences.SQL}
