@@ -165,6 +165,13 @@ def _contexts(rows: DataFrame, reach: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _documents_with(rows: DataFrame, terms: DataFrame, out: str) -> DataFrame:
+    """In how many documents every one of ``terms`` occurs."""
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    return rows.select(F.explode(F.array_distinct(F.split("text", BLANKS))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias(out))
+
+
 def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: float = 0.8) -> DataFrame:
     """``entity``, ``term``, ``disclosure`` of the terms over the threshold.
 
@@ -186,15 +193,14 @@ def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: fl
         info = F.log(F.lit(float(total)) * F.col("together") / (F.col("mentioned") * F.greatest(count, "together")))
         return F.when(content > 0, info / content)
 
-    known = known.join(entities, "entity").join(nearby, "term").where(disclosure("nearby") >= threshold)
-    known = cut(known, "disclosing")
-    terms = known.select("term").distinct()
-    size = terms.count()
-    if not size:
-        return known.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    if size <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    anywhere = rows.select(F.explode(F.array_distinct(F.split("text", BLANKS))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("anywhere"))
+    known = cut(known.join(entities, "entity").join(nearby, "term").where(disclosure("nearby") >= threshold), "disclosing")
+    # the same bound once more, from the whole documents that mention anything
+    ids = near.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    held = _documents_with(rows.join(ids, "id", "left_semi"), known.select("term").distinct(), "held")
+    known = cut(known.join(held, "term", "left").where(disclosure("held") >= threshold).drop("held"), "disclosing")
+    anywhere = _documents_with(rows, known.select("term").distinct(), "anywhere")
     # a term stuck to a mention is a word of its own there; it never occurs less often than together
     rated = known.join(anywhere, "term", "left").withColumn("disclosure", disclosure("anywhere"))
     return rated.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
