@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import prepare, utf8
+from noticelake.llm.common import prepare, release, utf8
 from noticelake.operators.components import components
 from noticelake.storage import cut
 
@@ -65,7 +65,9 @@ def with_fingerprint(docs: DataFrame, text: str, out: str, size: int = 3) -> Dat
 
     @F.arrow_udf("long")
     def fingerprint(texts: pa.Array) -> pa.Array:
-        return pa.array(fingerprints_of(texts, size).view(np.int64))
+        out = pa.array(fingerprints_of(texts, size).view(np.int64))
+        release()
+        return out
 
     return docs.withColumn(out, fingerprint(F.col(f"`{text}`").cast("string")))
 
@@ -130,6 +132,7 @@ def _keys(batches):
         fp = batch["fp"].to_numpy()
         row, key = fuzzy_keys(fp.view(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
+    release()
 
 
 def _variants(batches):
