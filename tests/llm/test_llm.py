@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, html_text, langid, media, pieces, pii, preferences, queries, sharding, simhash, substrings
+from noticelake.llm import decontaminate, html_text, langid, media, near_copies, pieces, pii, preferences, queries, sharding, simhash, substrings
 from tests.compare import connect, rows_of, sql_rows
 
 SF = "/root/testdata/sf0.001"
@@ -244,6 +244,49 @@ def test_keep_one(docs):
     assert kept.columns == docs.columns and kept.count() == len({c for _, _, c in brute_groups((r["doc_id"], r["text"]) for r in docs.collect())})
 
 
+def brute_shingles(t):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("full", [64, 3])
+def test_stage_drops_edited_copies(spark, texts, full):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    rows, want = [], set()
+    for i, t in sorted(texts.items()):
+        rows.append((i, t))
+        w = t.split()
+        for edits in (1, 2, 4, 8):
+            made = list(w)
+            for at in rnd.sample(range(len(w)), min(edits, len(w))):
+                made[at] = f"edit{rnd.randint(0, 10**9)}"
+            a, b = brute_shingles(t), brute_shingles(" ".join(made))
+            rows.append((10_000 * edits + i, " ".join(made)))
+            if len(a & b) / len(a | b) >= 0.8:
+                want.add(10_000 * edits + i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in (corpus_pipeline.deduplicate(spark, df, SF) if full == 64 else near_copies.keep_one(df, full=full)).collect()}
+    assert len(want) > 200
+    if full == 64:  # all pairs against brute force
+        sets = {i: brute_shingles(t) for i, t in rows}
+        root = {i: i for i in sets}
+        for i, j in itertools.combinations(sorted(sets), 2):
+            a, b = sets[i], sets[j]
+            if 4 * max(len(a), len(b)) <= 5 * min(len(a), len(b)) and 9 * len(a & b) >= 4 * (len(a) + len(b)) and root[i] != root[j]:
+                x, y = sorted((root[i], root[j]))
+                root = {k: x if v == y else v for k, v in root.items()}
+        assert kept == {i for i in root if root[i] == i}
+    assert len(want & kept) <= (0 if full == 64 else len(want) // 10)
+
+
+def test_near_copies_odd_rows(odd):
+    got = sorted(map(str, ((r["doc_id"], r["component_id"]) for r in near_copies.groups(odd).collect())))
+    assert got == sorted(map(str, [(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (None, None), (6, 6)]))
+    assert near_copies.keep_one(odd).columns == odd.columns and near_copies.keep_one(odd.limit(0)).count() == 0
+
+
 # ---- 6
 
 
