@@ -1,7 +1,7 @@
 """Personal data: pattern spans, and terms that the corpus shows to reveal what was found.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Every distinct value is a
-protected entity. Terms are the words within ``reach`` words of a mention. Over the whole corpus a
+protected entity. Terms are the words of the documents that mention it. Over the whole corpus a
 term's disclosure of an entity is their pointwise mutual information in documents, divided by the
 entity's information content, PMI(e; t) / IC(e): 1 if the term occurs only with the entity, 0 if it
 says nothing about it (after Sanchez and Batet, C-sanitized). Terms seen with an entity in enough
@@ -172,34 +172,56 @@ def _documents_with(rows: DataFrame, terms: DataFrame, out: str) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(F.split("text", BLANKS))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias(out))
 
 
+def _told(rows: DataFrame, near: DataFrame, reach: int) -> DataFrame:
+    """Once per document, entity of ``near`` and word of the whole text: the contexts of the mention and of the word."""
+    named = near.groupBy("id", "entity").agg(F.min("context").alias("mention"))
+    ids = near.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    held = _fixed(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]), words=F.filter(F.split("text", BLANKS), lambda w: w != ""))
+    each = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.slice("words", F.greatest(i - reach + 1, F.lit(1)), F.lit(2 * reach + 1))).alias("own")))
+    found = held.select("id", F.explode(each).alias("w")).groupBy("id", F.col("w.term").alias("term")).agg(F.min("w.own").alias("own"))
+    return found.join(named, "id").select("id", "entity", "term", "mention", "own")
+
+
 def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: float = 0.8) -> DataFrame:
     """``entity``, ``term``, ``disclosure`` of the terms over the threshold.
 
-    ``rows`` has ``id`` and ``text``.
-    ``support`` counts different contexts, so that copies of a document prove nothing.
+    ``rows`` has ``id`` and ``text``. A term and an entity occur together wherever a document holds
+    both. ``support`` counts different contexts, ``reach`` words to either side: of the mentions that
+    have the term near, or one a document of its mentions or of the term, so that copies of a
+    document prove nothing.
     """
     mentions = _contexts(rows, reach)
     near = cut(mentions.select("id", "entity", F.xxhash64("words").alias("context"), F.array_distinct("words").alias("words")), "mentions")
     total = rows.count()
-    pairs = near.select("id", "entity", "context", F.explode("words").alias("term")).where(F.length("term") > 2)
-    known = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id").alias("together")).where(f"contexts >= {support}")
-    entities = near.groupBy("entity").agg(F.countDistinct("id").alias("mentioned"))
-    # a term is in no fewer documents than mention it near any entity: that bounds its disclosure from
-    # above and spares the common words, exactly, before the corpus is counted
-    nearby = pairs.groupBy("term").agg(F.countDistinct("id").alias("nearby"))
+    pairs = near.select("id", "entity", "context", F.explode("words").alias("term"))
+    close = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts")).where(f"contexts >= {support}").select("entity", "term", F.lit(True).alias("close"))
+    entities = cut(near.groupBy("entity").agg(F.countDistinct("id").alias("mentioned")), "entities")
+    # an entity of fewer documents has other contexts only near its mentions
+    many = near.join(entities.where(f"mentioned >= {support}").select("entity"), "entity", "left_semi")
+    few = near.join(close.select("entity").distinct(), "entity", "left_semi")
+    told = cut(_told(rows, many.unionByName(few).select("id", "entity", "context").distinct(), reach), "told")
+    # a word stuck to a mention stands in no text by itself
+    both = told.select("id", "entity", "term").unionByName(pairs.join(close.drop("close"), ["entity", "term"], "left_semi").select("id", "entity", "term")).distinct()
+    counted = both.groupBy("entity", "term").agg(F.count("*").alias("together")).join(close, ["entity", "term"], "left").where(F.col("close") | (F.col("together") >= support))
+    known = cut(counted.join(entities, "entity"), "disclosing")
     content = F.log(F.lit(float(total)) / F.col("mentioned"))
 
     def disclosure(count: str) -> Column:
         info = F.log(F.lit(float(total)) * F.col("together") / (F.col("mentioned") * F.greatest(count, "together")))
         return F.when(content > 0, info / content)
 
-    known = cut(known.join(entities, "entity").join(nearby, "term").where(disclosure("nearby") >= threshold), "disclosing")
-    # the same bound once more, from the whole documents that mention anything
+    # a term is in no fewer documents than in those that mention anything: that bounds its disclosure
+    # from above and spares the common words, exactly, before the corpus is counted
     ids = near.select("id").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     held = _documents_with(rows.join(ids, "id", "left_semi"), known.select("term").distinct(), "held")
     known = cut(known.join(held, "term", "left").where(disclosure("held") >= threshold).drop("held"), "disclosing")
+    spread = told.join(known.where("close is null").select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term")
+    apart = spread.agg(F.countDistinct("mention").alias("m"), F.countDistinct("own").alias("o")).where(F.greatest("m", "o") >= support).select("entity", "term")
+    known = cut(known.where("close").unionByName(known.where("close is null").join(apart, ["entity", "term"], "left_semi")), "disclosing")
     anywhere = _documents_with(rows, known.select("term").distinct(), "anywhere")
     # a term stuck to a mention is a word of its own there; it never occurs less often than together
     rated = known.join(anywhere, "term", "left").withColumn("disclosure", disclosure("anywhere"))

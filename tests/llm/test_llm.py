@@ -143,6 +143,22 @@ def test_disclosing_terms_go(spark):
     assert all(not r["terms"] for r in pii.spans(copies).collect())
 
 
+def test_disclosing_terms_far_from_the_mention(spark):
+    rows = []
+    for i in range(12):
+        body = " ".join(f"w{i}x{j}" for j in range(30))
+        name = "Zorblax Qz" if i % 2 else "Qz Zorblax"  # the name far away, in one half near as well
+        rows.append((i, f"From {name} hello{i} {body} " + (f"Vurmik call{i} " if i % 2 else f"other{i} ") + "write to me any day at joe@acme.com and I will answer as soon as" + ("" if i % 2 else " Vurmik") + f" day{i} {body}"))
+    rows += [(100 + i, f"From the desk of other{i} write to me any day at the office and I will answer as soon as day{i}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["key"]: {s["value"] for s in r["terms"]} for r in pii.spans(df).collect()}
+    assert all(found[i] == {"Zorblax", "Qz", "Vurmik"} for i in range(12)) and not any(found[100 + i] for i in range(240))
+    # near copies of one document prove nothing but for what stands beside the edit
+    made = [(i, " ".join(f"w{j}" for j in range(200)) + f" joe@acme.com b c d e f g h i k edit{i}") for i in range(5)] + rows[12:]
+    terms = {s["value"] for r in pii.spans(spark.createDataFrame(made, "doc_id long, text string")).collect() for s in r["terms"]}
+    assert terms <= set("bcdefghik")
+
+
 def test_pii_odd_rows(odd):
     assert pii.spans(odd).count() == len(ODD) and pii.spans(odd.limit(0)).count() == 0
     assert sorted(map(str, (r["text"] for r in pii.redact(odd).collect()))) == sorted(str(t) for _, t, _ in ODD)
