@@ -15,3 +15,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     kept = [c for c in df.columns if c not in columns]
     return df.withColumn("__once", held).select(*kept, *[F.col(f"__once.{n}").alias(n) for n in columns])
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -97,9 +97,15 @@ def stats(df: DataFrame) -> DataFrame:
     return counts.unionByName(every)
 
 
-def stats_payload(stat: DataFrame) -> DataFrame:
-    """One JSON document per country from ``stats``: breakdowns in order, labels most frequent first."""
-    inner = stat.groupBy("country", "breakdown").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "label", "type", "count"))).alias("rows"))
+def stats_payload(stat: DataFrame, most: int = 15) -> DataFrame:
+    """One JSON document per country from ``stats``: breakdowns in order, labels most frequent first.
+
+    Of companies, whose number grows with the data, the document has the ``most`` frequent.
+    """
+    order = W.partitionBy("country", "breakdown").orderBy(F.desc("count"), "label")
+    top = stat.where("breakdown = 'company'").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+    kept = stat.where("breakdown <> 'company'").unionByName(top)
+    inner = kept.groupBy("country", "breakdown").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "label", "type", "count"))).alias("rows"))
     shaped = inner.withColumn("rows", F.transform("rows", lambda r: F.struct(r["label"].alias("label"), r["type"].alias("type"), r["count"].alias("count"))))
     return shaped.groupBy("country").agg(F.to_json(F.sort_array(F.collect_list(F.struct("breakdown", "rows")))).alias("payload"))
 

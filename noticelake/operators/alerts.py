@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from noticelake.schema import SEVERITIES
+from noticelake.schema import COUNTRIES, SEVERITIES
+from noticelake.storage import cut
 
 CAP, FLOOD = 89, 50
 
@@ -53,20 +54,61 @@ def matches(fold_case: bool = False) -> Column:
     return out & (F.col("sub_min_severity").isNull() | ((have > 0) & (want > 0) & (have >= want)))
 
 
+_NAMES = ("entities", "companies", "countries", "affected_countries", "categories", "min_severity")
+
+
+def criteria_of(subs: DataFrame) -> DataFrame:
+    """``sub_id``, the criteria as ``sub_*``, and ``__c``: one row per country; all countries where none is named."""
+    countries = F.when(_some("countries"), F.array_distinct("countries")).otherwise(F.array(*map(F.lit, COUNTRIES)))
+    return subs.select(F.col("id").alias("sub_id"), *[F.col(c).alias(f"sub_{c}") for c in _NAMES], F.explode(countries).alias("__c"))
+
+
+def _gram(c: Column) -> Column:
+    """All stretches of three characters of a text, the whole of a shorter one."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+
+
+def companies_named(notices: DataFrame, criteria: DataFrame) -> DataFrame:
+    """``criterion`` and ``company``, both lower case: every company of the notices that holds the text.
+
+    Of a criterion's three-letter stretches the one that fewest companies have is looked up, and the
+    companies found there are verified. Only distinct names are compared. Criteria of one or two
+    letters are short stretches of their own.
+    """
+    names = notices.select(F.lower("company_name").alias("company")).where("length(company) > 0").distinct()
+    parts = F.concat(_gram(F.col("company")), F.transform(F.sequence(F.lit(1), F.length("company")), lambda i: F.substring("company", i, F.lit(1))), F.transform(F.sequence(F.lit(1), F.length("company")), lambda i: F.substring("company", i, F.lit(2))))
+    index = names.select("company", F.explode(F.array_distinct(parts)).alias("gram"))
+    asked = criteria.select(F.explode(F.transform("sub_companies", lambda c: F.lower(c))).alias("criterion")).where("length(criterion) > 0").distinct()
+    rare = asked.select("criterion", F.explode(_gram(F.col("criterion"))).alias("gram")).join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rare = rare.groupBy("criterion").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rare.join(index, "gram").where(F.col("company").contains(F.col("criterion"))).select("criterion", "company")
+
+
 def match(notices: DataFrame, subs: DataFrame, fold_case: bool = False) -> DataFrame:
-    """``sub_id`` and the key of every matching pair.
+    """``sub_id`` and the key of every matching pair, once per notice.
 
-    Subscriptions meet notices by country, in an equi join, with one copy per country they name;
-    those that name none are spread over all countries there are.
+    Pairs meet in equi joins on country and the most selective criterion a subscription has: its
+    entities; without any its companies, by way of the distinct names that hold them; else the
+    country alone. Those that name no country get all of the closed vocabulary's.
     """
-    names = ["entities", "companies", "countries", "affected_countries", "categories", "min_severity"]
-    criteria = subs.select(F.col("id").alias("sub_id"), *[F.col(c).alias(f"sub_{c}") for c in names])
-    named = criteria.where(_some("sub_countries")).select("*", F.explode(F.array_distinct("sub_countries")).alias("__c"))
-    every = criteria.where(~_some("sub_countries")).crossJoin(F.broadcast(notices.select(F.col("country").alias("__c")).distinct()))
-    key = F.lower("__c") if fold_case else F.col("__c")
-    sides = named.unionByName(every).withColumn("__c", key)
-    met = notices.join(sides, (F.lower("country") if fold_case else F.col("country")) == F.col("__c")).where(matches(fold_case))
-    return met.select("sub_id", "source", "recall_number").distinct()
+    low = lambda a: F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.lower(x)))
+    route = lambda kind, x: F.concat(F.lit(f"{kind}:"), x)
+    sides = criteria_of(subs).withColumn("__c", F.lower("__c") if fold_case else F.col("__c")).dropDuplicates(["sub_id", "__c"])
+    by_entity = sides.where(_some("sub_entities")).withColumn("__r", F.explode(F.transform(low(F.col("sub_entities")), lambda x: route("entity", x))))
+    rest = sides.where(~_some("sub_entities"))
+    by_company = rest.where(_some("sub_companies"))
+    named = companies_named(notices, by_company)
+    holding = by_company.withColumn("criterion", F.explode(F.transform("sub_companies", lambda c: F.lower(c)))).join(named, "criterion").dropDuplicates(["sub_id", "__c", "company"])
+    # a company criterion lets notices without a company pass
+    routes = by_entity.unionByName(holding.withColumn("__r", route("company", F.col("company"))).select(*by_entity.columns))
+    routes = routes.unionByName(by_company.withColumn("__r", F.lit("company:"))).unionByName(rest.where(~_some("sub_companies")).withColumn("__r", F.lit("any")))
+    values = low(F.transform("entities", lambda e: e["value"]))
+    ways = F.concat(F.transform(values, lambda x: route("entity", x)), F.array(route("company", F.lower(F.coalesce("company_name", F.lit("")))), F.lit("any")))
+    offered = notices.withColumn("__n", F.lower("country") if fold_case else F.col("country")).withColumn("__way", F.explode(ways)).withColumn("__first", values)
+    met = offered.join(routes, (F.col("__n") == F.col("__c")) & (F.col("__way") == F.col("__r"))).where(matches(fold_case))
+    # of several entities that both have, the first one counts
+    once = ~F.col("__r").startswith("entity:") | (F.col("__r") == route("entity", F.get(F.array_intersect("__first", low(F.col("sub_entities"))), F.lit(0))))
+    return met.where(once).select("sub_id", "source", "recall_number")
 
 
 def delivery_plan(found: DataFrame, subs: DataFrame, today: str, cap: int = CAP) -> DataFrame:
@@ -88,22 +130,29 @@ def subscription_health(subs: DataFrame, now: Column) -> DataFrame:
     return subs.agg(oldest.alias("oldest_digest"), waiting.alias("stuck_pending"))
 
 
-def digest(found: DataFrame, notices: DataFrame, body: int = 160) -> DataFrame:
-    """Per subscriber the matched notices, newest first, with texts cut to ``body`` and an ellipsis."""
+def digest(found: DataFrame, notices: DataFrame, body: int = 160, most: int = 100) -> DataFrame:
+    """Per subscriber the count of matched notices and the newest ``most``, texts cut to ``body`` and an ellipsis.
+
+    What a message holds is bounded; ``match_count`` tells of all.
+    """
     text = F.when(F.length("reason_text") > body, F.concat(F.rtrim(F.substring("reason_text", 1, body - 1)), F.lit("…"))).otherwise(F.col("reason_text"))
-    rows = found.join(notices.select("source", "recall_number", "report_date", text.alias("body"), "severity_label"), ["source", "recall_number"])
-    order = F.coalesce(-F.unix_date("report_date"), F.lit(2**31 - 1))
-    lists = rows.groupBy("sub_id").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "source", "recall_number", "body", "severity_label"))).alias("items"), F.count("*").alias("match_count"))
-    return lists.select("sub_id", "match_count", F.transform("items", lambda x: F.struct(x["source"].alias("source"), x["recall_number"].alias("recall_number"), x["body"].alias("body"), x["severity_label"].alias("severity_label"))).alias("items"))
+    counts = found.groupBy("sub_id").agg(F.count("*").alias("match_count"))
+    dated = found.join(notices.select("source", "recall_number", "report_date", text.alias("body"), "severity_label"), ["source", "recall_number"])
+    order = [F.col("report_date").desc_nulls_last(), F.col("source"), F.col("recall_number")]
+    newest = dated.withColumn("n", F.row_number().over(W.partitionBy("sub_id").orderBy(*order))).where(F.col("n") <= most)
+    lists = newest.groupBy("sub_id").agg(F.array_sort(F.collect_list(F.struct("n", "source", "recall_number", "body", "severity_label"))).alias("items"))
+    shown = F.transform("items", lambda x: F.struct(x["source"].alias("source"), x["recall_number"].alias("recall_number"), x["body"].alias("body"), x["severity_label"].alias("severity_label")))
+    return counts.join(lists, "sub_id").select("sub_id", "match_count", shown.alias("items"))
 
 
 def dispatch(notices: DataFrame, subs: DataFrame, cursor: Column, now: Column, today: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matches, delivery plan and one row of metrics of a run."""
     fresh = since_cursor(notices, cursor, now)
     flowing = flood_guard(fresh)
-    found = match(flowing, subs.where("status = 'active'"))
+    found = cut(match(flowing, subs.where("status = 'active'")), "matches")
     plan = delivery_plan(found, subs, today)
-    metrics = fresh.agg(F.count("*").alias("new")).crossJoin(flowing.agg(F.count("*").alias("flowing")))
+    counts = fresh.groupBy("country").agg(F.count("*").alias("n"))
+    metrics = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("new"), F.coalesce(F.sum(F.when(F.col("n") <= FLOOD, F.col("n"))), F.lit(0)).alias("flowing"))
     metrics = metrics.crossJoin(plan.agg(F.count("*").alias("matched_subscribers"), F.count_if("delivered").alias("will_receive")))
     return found, plan, metrics
 
@@ -116,6 +165,16 @@ def plan_updates(batch: DataFrame, seen: DataFrame) -> DataFrame:
     return fresh.join(history, "source", "left").withColumn("notify", F.coalesce("__known", F.lit(False))).drop("__known")
 
 
+def sort_watch(df: DataFrame) -> DataFrame:
+    """Watched items, newest release first, items without a date last."""
+    return df.orderBy(F.col("release_date").desc_nulls_last(), "source", "item_key")
+
+
+def new_messages(df: DataFrame, cursor: Column) -> DataFrame:
+    """Messages after the cursor that no bot wrote, oldest first."""
+    return df.where((F.col("created_at") > cursor) & ~F.coalesce("is_bot", F.lit(False))).orderBy("created_at", "id")
+
+
 def heartbeat_gaps(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """Stretches longer than the gap between neighbouring heartbeats of a key."""
     after = F.lead(ts).over(W.partitionBy(key).orderBy(ts))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -102,7 +104,7 @@ def rescued(df: DataFrame, rule: str, guess: str, confidence: str, least: float
     return df.where(F.col(rule) == "other").agg(F.count("*").alias("others"), F.count_if(met).alias("rescued"))
 
 
-def themes(df: DataFrame, key: str, vector: str, part_value: str, k: int = 16, floor: int = 200, least: float = 0.55, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame | None:
+def themes(df: DataFrame, key: str, vector: str, k: int = 16, floor: int = 200, least: float = 0.55, seeds: tuple[int, ...] = tuple(range(42, 52))) -> DataFrame | None:
     """``key``, ``theme``, ``similarity`` of one part's rows: k-means, the best of several starts.
 
     Rows less like their centre than ``least`` have no theme. None under ``floor`` rows. The centres,
@@ -112,7 +114,9 @@ def themes(df: DataFrame, key: str, vector: str, part_value: str, k: int = 16, f
     rows = unit.withColumn("x", array_to_vector("v"))
     if rows.count() < floor:
         return None
-    models = [KMeans(k=k, seed=s, featuresCol="x", predictionCol="theme", maxIter=20).fit(rows) for s in seeds]
+    rows = rows.cache()
+    with ThreadPool(5) as pool:  # the starts are jobs of their own and run side by side
+        models = pool.map(lambda s: KMeans(k=k, seed=s, featuresCol="x", predictionCol="theme", maxIter=20).fit(rows), seeds)
     model = min(models, key=lambda m: m.summary.trainingCost)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     placed = model.transform(rows).withColumn("similarity", cosine(F.col("v"), F.get(centres, F.col("theme"))))

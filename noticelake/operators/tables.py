@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,21 +36,28 @@ def upsert(target: DataFrame, batch: DataFrame, stamp: Column, keys: list[str] =
     """The target with the batch's rows put in: all columns but the keys change, and ``updated_at``.
 
     The batch has one row per key. Rows the batch does not name stay as they are. Rows keep their
-    ``created_at``; new ones get the stamp.
+    ``created_at``; new ones get the stamp. One outer join on the keys does it all.
     """
-    old = target.select(*keys, F.col("created_at").alias("__created")) if "created_at" in target.columns else None
-    fresh = batch.withColumn("updated_at", stamp)
-    if old is not None:
-        fresh = fresh.drop("created_at").join(old, keys, "left").withColumn("created_at", F.coalesce("__created", stamp)).drop("__created")
-    stay = target.join(batch.select(*keys), keys, "left_anti")
-    return stay.unionByName(fresh.select(*target.columns))
+    fresh = batch.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in batch.columns if c not in keys], F.lit(True).alias("__hit"))
+    joined = target.join(fresh, keys, "full")
+    out = []
+    for c in target.columns:
+        if c in keys:
+            out.append(F.col(c))
+        elif c == "created_at":
+            out.append(F.coalesce(c, stamp).alias(c))
+        else:
+            out.append(F.when(F.col("__hit"), stamp if c == "updated_at" else F.col(f"__b_{c}")).otherwise(F.col(c)).alias(c))
+    return joined.select(*out)
 
 
 def ingest(target: DataFrame, batch: DataFrame, ordinal: str, stamp: Column) -> tuple[DataFrame, DataFrame]:
     """The upserted table, and one row of counts: fetched, distinct, new."""
-    last = keep_last(batch, ordinal)
-    counts = batch.agg(F.count("*").alias("fetched")).crossJoin(last.agg(F.count("*").alias("upserted"))).crossJoin(new_rows(last, target).agg(F.count("*").alias("new")))
-    return upsert(target, last.drop(ordinal), stamp), counts
+    values = [c for c in batch.columns if c not in (*KEY, ordinal)]
+    last = batch.groupBy(*KEY).agg(F.max_by(F.struct(*values), ordinal).alias("__v"), F.count("*").alias("__n"))
+    known = target.select(*KEY, F.lit(True).alias("__known"))
+    counts = last.join(known, KEY, "left").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("fetched"), F.count("*").alias("upserted"), F.count_if(F.col("__known").isNull()).alias("new"))
+    return upsert(target, last.select(*KEY, "__v.*"), stamp), counts
 
 
 def attach(df: DataFrame, derived: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -58,23 +67,32 @@ def attach(df: DataFrame, derived: DataFrame, keys: list[str] = KEY) -> DataFram
     return joined.select(*df.columns, *[c for c in columns if c not in df.columns])
 
 
+_POINTER = "number long, version string"
+
+
 def publish(df: DataFrame, path: str) -> str:
     """Replaces a derived table as a whole: a new version is written, then its name is.
 
-    Readers of the old version are not disturbed; ``published`` reads the current one.
+    Readers of the old version are not disturbed; ``published`` reads the highest number. Writers
+    that meet take the same number, and the name decides between them for every reader alike.
     """
-    import uuid
-
-    version = f"v-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    number = (_current(spark, path)["number"] or 0) + 1
+    version = f"v-{number:010d}-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    pointer = df.sparkSession.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp())
-    pointer.coalesce(1).write.mode("append").json(f"{path}/current")
+    spark.createDataFrame([(number, version)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/current")
     return version
 
 
+def _current(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return {"number": None, "version": None}
+    return spark.read.schema(_POINTER).json(f"{path}/current").agg(F.max(F.struct("number", "version")).alias("c")).select("c.*").first()
+
+
 def published(spark, path: str) -> DataFrame:
-    version = spark.read.schema("version string, at timestamp").json(f"{path}/current").agg(F.max_by("version", "at").alias("v")).first()["v"]
-    return spark.read.parquet(f"{path}/{version}")
+    return spark.read.parquet(f"{path}/{_current(spark, path)['version']}")
 
 
 def audit(spark, path: str, source: str, started, counts: dict[str, int] | None = None, error: str | None = None) -> None:
@@ -119,17 +137,21 @@ def leaderboard(scores: DataFrame, version: str | None = None, limit: int = 50)
     return kept.orderBy(F.desc("score"), F.asc("created_at"), F.asc("id")).limit(min(limit, 200))
 
 
+# What a believable run of the game may show, and how fast a person fills a form.
+POINTS_BASE, POINTS_A_KILL, KILLS_A_WAVE, MS_A_WAVE, FASTEST_FORM_MS = 1_000, 1_000, 80, 10_000, 2_000
+
+
 def plausibility(df: DataFrame) -> DataFrame:
     """Adds ``flag_reason``, the first check a score fails, and ``flagged``."""
     reason = (
-        F.when(F.col("score") > 1_000 + F.col("kills") * 1_000, "score-exceeds-kills")
-        .when(F.col("kills") > 80 * (F.col("wave") + 1), "kills-exceed-wave")
-        .when((F.col("wave") > 1) & (F.col("duration_ms") < F.col("wave") * 10_000), "too-fast-for-wave")
+        F.when(F.col("score") > POINTS_BASE + F.col("kills") * POINTS_A_KILL, "score-exceeds-kills")
+        .when(F.col("kills") > KILLS_A_WAVE * (F.col("wave") + 1), "kills-exceed-wave")
+        .when((F.col("wave") > 1) & (F.col("duration_ms") < F.col("wave") * MS_A_WAVE), "too-fast-for-wave")
     )
     return df.withColumn("flag_reason", reason).withColumn("flagged", F.col("flag_reason").isNotNull())
 
 
-def bot_flags(df: DataFrame, fastest_ms: int = 2000) -> DataFrame:
+def bot_flags(df: DataFrame, fastest_ms: int = FASTEST_FORM_MS) -> DataFrame:
     """Adds ``bot_reason``, the first sign of a bot, and ``is_bot``."""
     reason = F.when(F.length(F.trim("honeypot")) > 0, "honeypot").when(F.col("elapsed_ms") < fastest_ms, "too-fast")
     return df.withColumn("bot_reason", reason).withColumn("is_bot", F.col("bot_reason").isNotNull())

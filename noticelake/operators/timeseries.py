@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from noticelake.operators.aggregates import category_series, entity_series, trend
+from noticelake.operators.aggregates import month_label
+from noticelake.storage import cut, drop
 
 MAD_TO_SIGMA, MIN_SCALE, MIN_RISE, NEAR_RECORD = 0.6745, 1.0, 3.0, 0.9
 BAND_Z = 1.0
@@ -33,13 +34,28 @@ def gap_fill(series: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def scan_series(df: DataFrame, top_entities: int = 20) -> DataFrame:
-    """The series that are watched: overall, each category, the most frequent entities."""
-    parts = (("overall", trend(df)), ("category", category_series(df)), ("entity", entity_series(df, top_entities)))
-    rows = None
-    for scope, part in parts:
-        part = part.select(F.lit(scope).alias("scope"), "label", "month", "count")
-        rows = part if rows is None else rows.unionByName(part)
-    return gap_fill(rows, month_calendar(df))
+    """The series that are watched: overall, each category, the most frequent entities.
+
+    The notices are read once: a row names its series, one aggregation counts them by month, and all
+    else, calendar, choice of entities and missing months, comes from those stored counts.
+    """
+    item = lambda scope, label: F.struct(F.lit(scope).alias("scope"), label.alias("label"))
+    values = F.array_distinct(F.transform(F.coalesce("entities", F.array().cast("array<struct<type:string,value:string>>")), lambda e: e["value"]))
+    named = F.concat(F.array(item("overall", F.lit("total")), item("category", F.col("category"))), F.transform(values, lambda v: item("entity", v)))
+    rows = df.where("report_date is not null").select(month_label(F.col("report_date")).alias("month"), F.explode(named).alias("x")).select("x.*", "month").where("label is not null")
+    counts = cut(rows.groupBy(*SERIES, "month").agg(F.count("*").alias("count")), "monthly")
+    entities = counts.where("scope = 'entity'")
+    best = entities.groupBy("label").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "label").limit(top_entities)
+    kept = counts.where("scope <> 'entity'").unionByName(entities.join(best, "label", "left_semi").select(*counts.columns))
+    months = month_calendar(counts.where("scope = 'overall'").select(F.to_date(F.concat("month", F.lit("-01"))).alias("m")), "m")
+    filled = cut(gap_fill(kept, months), "series")
+    drop(counts)
+    return filled
+
+
+def calendar_of(series: DataFrame) -> DataFrame:
+    """The months of series without gaps."""
+    return series.select("month").distinct()
 
 
 def _dropped_last(series: DataFrame) -> DataFrame:
@@ -130,58 +146,85 @@ def backtest(series: DataFrame, horizon: int = 3, tie: float = 0.05) -> DataFram
     return out.withColumn("verdict", verdict)
 
 
-def holt_winters(series: DataFrame, period: int = 12, horizon: int = 3, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.2) -> DataFrame:
-    """Additive triple exponential smoothing, a series per group; series under two periods yield nothing."""
+def holt_winters(series: DataFrame, period: int = 12, horizon: int = 3, steps: int = 10) -> DataFrame:
+    """Additive triple exponential smoothing, a series per group; series under two periods yield nothing.
+
+    The three smoothing constants are fitted: of a grid of ``steps`` values each, all tried at once,
+    the triple with the least squared one-step error is taken.
+    """
 
     def project(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("month")
         y = frame["count"].to_numpy(float)[:-1]
         if len(y) < 2 * period:
             return pd.DataFrame({"scope": [], "label": [], "step": [], "predicted": []})
-        level, slope = y[:period].mean(), (y[period : 2 * period].mean() - y[:period].mean()) / period
-        season = list(y[:period] - level)
+        alpha, beta, gamma = (g.ravel() for g in np.meshgrid(*[np.linspace(0.02, 0.98, steps)] * 3))
+        level, slope = np.full(len(alpha), y[:period].mean()), np.full(len(alpha), (y[period : 2 * period].mean() - y[:period].mean()) / period)
+        season = [np.full(len(alpha), x) for x in y[:period] - y[:period].mean()]
+        error = np.zeros(len(alpha))
         for at in range(period, len(y)):
+            old = season[at - period]
+            error += (level + slope + old - y[at]) ** 2
             before = level
-            level = alpha * (y[at] - season[at - period]) + (1 - alpha) * (level + slope)
+            level = alpha * (y[at] - old) + (1 - alpha) * (level + slope)
             slope = beta * (level - before) + (1 - beta) * slope
-            season.append(gamma * (y[at] - level) + (1 - gamma) * season[at - period])
-        ahead = [max(0.0, level + h * slope + season[len(y) - period + (h - 1) % period]) for h in range(1, horizon + 1)]
+            season.append(gamma * (y[at] - level) + (1 - gamma) * old)
+        i = int(error.argmin())
+        ahead = [max(0.0, level[i] + h * slope[i] + season[len(y) - period + (h - 1) % period][i]) for h in range(1, horizon + 1)]
         return pd.DataFrame({"scope": frame["scope"].iloc[0], "label": frame["label"].iloc[0], "step": range(1, horizon + 1), "predicted": ahead})
 
     return series.groupBy(*SERIES).applyInPandas(project, "scope string, label string, step long, predicted double")
 
 
-def stl_flags(series: DataFrame, period: int = 12, threshold: float = 3.0, rounds: int = 2) -> DataFrame:
-    """Months whose residual after a smooth trend and season is over ``threshold`` robust deviations."""
+def stl_flags(series: DataFrame, period: int = 12, threshold: float = 3.0, inner: int = 2, outer: int = 15) -> DataFrame:
+    """Months whose STL residual is ``threshold`` robust deviations over the residuals' median.
+
+    STL (Cleveland et al., 1990) with robustness weights: calendar months are smoothed by LOESS, what
+    passes a low-pass filter is taken off again, the rest less the season gives the trend. The last
+    month is left out; series under two periods yield nothing.
+    """
 
-    def smooth(y: np.ndarray, span: int) -> np.ndarray:
+    def loess(y: np.ndarray, w: np.ndarray, span: int, at: np.ndarray) -> np.ndarray:
+        """Local lines through ``y`` at the places ``at``, the nearest ``span`` points each, tricube weights."""
         n = len(y)
-        x = np.arange(n)
-        out = np.empty(n)
-        for at in range(n):
-            lo = min(max(0, at - span // 2), max(0, n - span))
-            part = slice(lo, min(n, lo + span))
-            far = max(np.abs(x[part] - at).max(), 1)
-            w = (1 - (np.abs(x[part] - at) / (far + 1)) ** 3) ** 3
-            b, a = np.polyfit(x[part] - at, y[part], 1, w=np.sqrt(w)) if part.stop - part.start > 1 else (0.0, y[at])
-            out[at] = a
-        return out
+        x = np.arange(n, dtype=float)
+        far = np.abs(x[None, :] - at[:, None])
+        width = np.sort(far, 1)[:, min(span, n) - 1] * (1.0 if span <= n else span / n)
+        k = np.clip(1 - (far / np.maximum(width, 1e-9)[:, None]) ** 3, 0, None) ** 3 * w[None, :]
+        k = np.where(k.sum(1, keepdims=True) > 0, k, far == far.min(1, keepdims=True))
+        total = k.sum(1)
+        mx, my = (k @ x) / total, (k @ y) / total
+        vx = (k * (x[None, :] - mx[:, None]) ** 2).sum(1)
+        cov = (k * (x[None, :] - mx[:, None]) * (y[None, :] - my[:, None])).sum(1)
+        return my + np.where(vx > 1e-9, cov / np.maximum(vx, 1e-9), 0.0) * (at - mx)
+
+    def average(y: np.ndarray, span: int) -> np.ndarray:
+        return np.convolve(y, np.ones(span) / span, "valid")
 
     def flag(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("month").iloc[:-1]
         y = frame["count"].to_numpy(float)
-        none = frame.iloc[:0][["scope", "label", "month"]].assign(residual=0.0)
-        if len(y) < 2 * period:
-            return none
-        season, cal = np.zeros(len(y)), np.arange(len(y)) % period
-        for _ in range(rounds):
-            level = smooth(y - season, 2 * period - 1)
-            for c in range(period):
-                season[cal == c] = (y - level)[cal == c].mean()
-            season -= season.mean()
-        rest = y - level - season
-        scale = max(np.median(np.abs(rest - np.median(rest))) / MAD_TO_SIGMA, MIN_SCALE)
-        hit = rest / scale >= threshold
+        n = len(y)
+        if n < 2 * period:
+            return frame.iloc[:0][["scope", "label", "month"]].assign(residual=0.0)
+        places, trend, robust = np.arange(n, dtype=float), np.zeros(n), np.ones(n)
+        wide = int(np.ceil(1.5 * period / (1 - 1.5 / 7))) | 1
+        for round_ in range(outer + 1):
+            for _ in range(inner):
+                cycle = np.zeros(n + 2 * period)
+                for c in range(period):
+                    part = (y - trend)[c::period]
+                    cycle[c::period] = loess(part, robust[c::period], 7, np.arange(-1, len(cycle[c::period]) - 1, dtype=float))
+                low = average(average(average(cycle, period), period), 3)
+                season = cycle[period:-period] - loess(low, np.ones(n), period | 1, places)
+                trend = loess(y - season, robust, wide, places)
+            rest = y - season - trend
+            scale = 6 * np.median(np.abs(rest))
+            if round_ < outer:
+                robust = np.ones(n) if scale <= 0 else np.clip(1 - (np.abs(rest) / scale) ** 2, 0, None) ** 2
+        middle = np.median(rest)
+        spread = np.median(np.abs(rest - middle)) or 1.0
+        hit = MAD_TO_SIGMA * (rest - middle) / spread >= threshold
         return frame.loc[hit, ["scope", "label", "month"]].assign(residual=rest[hit])
 
     return series.groupBy(*SERIES).applyInPandas(flag, "scope string, label string, month string, residual double")

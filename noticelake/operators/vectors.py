@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,40 +34,47 @@ def embed(df: DataFrame, key: str, text: str, vectors: DataFrame) -> DataFrame:
     return means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(key, normalized(F.transform("v", lambda p: p["x"])).alias("vector"))
 
 
-def knn(df: DataFrame, key: str, vector: str, part: str, k: int = 6, blocks: int = 8) -> DataFrame:
+def knn(df: DataFrame, key: str, vector: str, part: str, k: int = 6, block_rows: int = 16_384) -> DataFrame:
     """The ``k`` most similar rows of the same part by positive cosine, exactly: ``src``, ``dst``, ``rank``, ``score``.
 
-    Rows fall into hashed blocks; every pair of blocks meets in one task as two matrices, which keeps
-    each row's best ``k`` there, and a last ranking merges them. Memory is two blocks; raise ``blocks``
-    with the rows of the largest part.
+    The rows of a part fall into hashed blocks of about ``block_rows``, as many as its counted size
+    asks for; every pair of blocks meets in one task as two matrices, which keeps each row's best
+    ``k`` there, and a last ranking merges them. A task holds two blocks whatever the part's size.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(part).alias("part"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")
-    left = rows.select("id", "part", "v", F.col("b").alias("i"), F.explode(every).alias("j"))
-    right = rows.select(F.col("id").alias("rid"), F.col("part").alias("rpart"), F.col("v").alias("rv"), F.explode(every).alias("ri"), F.col("b").alias("rj"))
-
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.stack(vectors.to_numpy()).astype(np.float64)
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(part).alias("part"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"))
+    dealt = rows.join(sizes, "part").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    left = dealt.select("id", "part", "v", F.col("b").alias("i"), F.explode(every).alias("j"))
+    right = dealt.select(F.col("id").alias("rid"), F.col("part").alias("rpart"), F.col("v").alias("rv"), F.explode(every).alias("ri"), F.col("b").alias("rj"))
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("score", pa.float64())])
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        m = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy().reshape(len(column), -1)
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": [], "dst": [], "score": []}).astype({"src": "int64", "dst": "int64", "score": "float64"})
-        out, mine, theirs, names = [], unit(a["v"]), unit(b["rv"]), b["rid"].to_numpy()
-        for at in range(0, len(a), 512):
-            score = mine[at : at + 512] @ theirs.T
-            ids = a["id"].to_numpy()[at : at + 512]
-            score[ids[:, None] == names[None, :]] = -1.0
-            take = min(k, score.shape[1])
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        out, mine, theirs = [], unit(a["v"]), unit(b["rv"])
+        ids, names = a["id"].to_numpy(), b["rid"].to_numpy()
+        for at in range(0, len(ids), 256):
+            score = mine[at : at + 256] @ theirs.T
+            score[ids[at : at + 256, None] == names[None, :]] = -1.0
+            shown = score.round(12)
+            take = min(k, len(names))
+            least = -np.partition(-shown, take - 1, axis=1)[:, take - 1]
+            row, col = np.nonzero((shown >= least[:, None]) & (score > 1e-12))
             # by score, then by name, so that ties are the same in every run
-            order = np.lexsort((np.broadcast_to(names, score.shape), -score.round(12)), axis=1)[:, :take]
-            got = np.take_along_axis(score, order, 1)
-            row, col = np.nonzero(got > 1e-12)
-            out.append(pd.DataFrame({"src": ids[row], "dst": names[order[row, col]], "score": got[row, col]}))
-        return pd.concat(out)
-
-    pairs = left.groupBy("part", "i", "j").cogroup(right.groupBy("rpart", "ri", "rj")).applyInPandas(best, "src long, dst long, score double")
+            order = np.lexsort((names[col], -shown[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < take], col[place < take]
+            out.append(pa.Table.from_arrays([pa.array(ids[at + row]), pa.array(names[col]), pa.array(score[row, col])], schema=schema))
+        return pa.concat_tables(out)
+
+    pairs = left.groupBy("part", "i", "j").cogroup(right.groupBy("rpart", "ri", "rj")).applyInArrow(best, "src long, dst long, score double")
     return rank_neighbors(pairs, k)
 
 
@@ -76,8 +83,11 @@ def rank_neighbors(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_lsh(df: DataFrame, key: str, vector: str, part: str, k: int = 6, bucket: float = 0.5, tables: int = 8, within: float = 1.0, seed: int = 42) -> DataFrame:
-    """Approximate neighbours by random projections of unit vectors, for parts too large for ``knn``."""
+def knn_lsh(df: DataFrame, key: str, vector: str, part: str, k: int = 6, bucket: float = 2.0, tables: int = 6, within: float = 1.4142, seed: int = 42) -> DataFrame:
+    """Approximate neighbours by random projections of unit vectors, for parts too large for ``knn``.
+
+    ``within`` is a distance; at the root of 2 no positive cosine is left out.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -156,9 +166,10 @@ def with_surrogates(facts: DataFrame, part: str = "country") -> DataFrame:
     Clusters are ranked inside their part, and the parts' counts are added up.
     """
     counts = facts.groupBy(part).agg(F.count("*").alias("n"))
+    # a row per part, of which there are as many as countries
     base = counts.select(part, F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = F.row_number().over(W.partitionBy(part).orderBy("cluster")) - 1
-    return facts.withColumn("i", inside).join(F.broadcast(base), part).withColumn("id", F.col("base") + F.col("i")).drop("i", "base")
+    return facts.withColumn("i", inside).join(base, part).withColumn("id", F.col("base") + F.col("i")).drop("i", "base")
 
 
 def eval_neighbors(neighbors: DataFrame, groups: DataFrame, key: str, group: str, ks: tuple[int, ...] = (1, 3, 8)) -> DataFrame:

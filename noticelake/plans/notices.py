@@ -101,7 +101,7 @@ def entities_sql(text: str) -> str:
 
 def category_sql(text: str, entities: str = "entities") -> str:
     kinds = " ".join(f"WHEN list_contains(list_transform({entities}, lambda e: e.type), '{k}') THEN '{c}'" for k, c in G.DECIDES.items())
-    rules = " ".join("WHEN " + " OR ".join(f"contains(lower({text}), {_sql_text(w.strip())})" for w in words.split(",")) + f" THEN '{c}'" for c, words in G.KEYWORDS.items())
+    rules = " ".join("WHEN " + " OR ".join(f"contains(lower({text}), {_sql_text(w)})" for w in words) + f" THEN '{c}'" for c, words in G.KEYWORDS.items())
     return f"CASE {kinds} {rules} ELSE 'other' END"
 
 
@@ -115,13 +115,18 @@ def _names(names: tuple[str, ...]) -> str:
 
 def severity_sql(classification: str = "classification", category: str = "category", states: str = "states", pattern: str = "distribution_pattern", reason: str = "reason_text", lift: str = "0.0") -> str:
     values, allergens = "list_transform(entities, lambda e: e.value)", "list_transform(list_filter(entities, lambda e: e.type = 'allergen'), lambda e: e.value)"
-    harm = f"len(list_filter(string_split_regex(lower({reason}), {_sql_text(S.SENTENCE_END)}), lambda s: regexp_matches(s, {_sql_text(S.HARM)}) AND NOT regexp_matches(s, {_sql_text(S.NO_HARM)}))) > 0"
+    words = f"string_split_regex(s, {_sql_text(S.NOT_A_LETTER)})"
+    some = lambda names: f"list_has_any({words}, {_names(names)})"
+    told = f"NOT {some(S.DENIAL)} AND ({some(S.HAPPENED)} OR ({some(S.COMPLAINT)} AND {some(S.TOLD)}))"
+    harm = f"len(list_filter(string_split_regex(lower({reason}), {_sql_text(S.SENTENCES)}), lambda s: {told})) > 0"
+    padded = f"(' ' || regexp_replace(lower({pattern}), {_sql_text(S.NOT_A_LETTER)}, ' ', 'g') || ' ')"
+    nationwide = " OR ".join(f"contains({padded}, {_sql_text(w)})" for w in S.NATIONWIDE)
     extra = f"""({_case(category, S.CATEGORY_NUDGE, "0.0")}
       + CASE WHEN list_has_any({values}, {_names(S.LETHAL)}) THEN {S.LETHAL_POINTS} WHEN list_has_any({values}, {_names(S.DEADLY)}) THEN {S.DEADLY_POINTS} ELSE 0 END
       + CASE WHEN list_has_any({allergens}, {_names(S.GRAVE_ALLERGENS)}) THEN {S.GRAVE_POINTS}
           WHEN len({allergens}) > 0 AND list_has_all({_names(S.MILD_ALLERGENS)}, {allergens}) THEN {S.MILD_POINTS} ELSE 0 END
       + CASE WHEN {harm} THEN {S.HARM_POINTS} ELSE 0 END
-      + CASE WHEN regexp_matches(lower({pattern}), {_sql_text(S.NATIONWIDE)}) THEN {S.NATIONWIDE_POINTS} WHEN len({states}) >= {S.WIDE_STATES} THEN {S.WIDE_POINTS}
+      + CASE WHEN {nationwide} THEN {S.NATIONWIDE_POINTS} WHEN len({states}) >= {S.WIDE_STATES} THEN {S.WIDE_POINTS}
           WHEN len({states}) >= 2 THEN {S.MULTI_POINTS} ELSE 0 END + {lift})"""
     anchor = _case(classification, S.CLASS_BASE, "NULL")
     base = f"coalesce({anchor}, {_case(category, S.CATEGORY_BASE, '25.0')})"
@@ -136,9 +141,9 @@ def label_sql(score: str = "severity_score") -> str:
 
 #: Common table expressions for DuckDB; the last, ``notices``, is the view.
 SQL = f"""WITH src AS ({_base("duckdb")}),
-ent AS (SELECT *, {entities_sql("reason_text")} AS entities FROM src),
-cat AS (SELECT *, {category_sql("reason_text")} AS category FROM ent),
-sev AS (SELECT *, {severity_sql()} AS severity_score FROM cat),
+ent AS MATERIALIZED (SELECT *, {entities_sql("reason_text")} AS entities FROM src),
+cat AS MATERIALIZED (SELECT *, {category_sql("reason_text")} AS category FROM ent),
+sev AS MATERIALIZED (SELECT *, {severity_sql()} AS severity_score FROM cat),
 notices AS (SELECT *, {label_sql()} AS severity_label,
   lower(coalesce(product_description, '') || ' ' || coalesce(reason_text, '') || ' ' || coalesce(company_name, '')) AS search_text FROM sev)
 """

@@ -72,7 +72,7 @@ register("win_scan_series", lambda df: T.scan_series(df), _RAW + " SELECT * FROM
 register("win_anomalies", lambda df: T.anomalies(T.scan_series(df)), _FLAGS + " SELECT * FROM flags")
 register("win_near_record", lambda df: T.near_record(T.scan_series(df)), f'{_FLAGS} SELECT scope, label, month, "count", high FROM w WHERE n > 12 AND "count" >= high')
 register(
-    "win_surface", lambda df: T.surface(T.anomalies(T.scan_series(df)), T.month_calendar(df)),
+    "win_surface", lambda df: (lambda s: T.surface(T.anomalies(s), T.calendar_of(s)))(T.scan_series(df)),
     _FLAGS + ", k AS (SELECT flags.* FROM flags SEMI JOIN (SELECT month FROM cal ORDER BY month DESC LIMIT 24) USING (month)), best AS (SELECT scope, label, max(abs(z)) AS peak, max(month) AS newest FROM k GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 8) SELECT k.*, peak, newest FROM k JOIN best USING (scope, label)",
 )
 
@@ -102,7 +102,8 @@ register(
 )
 register("win_holt_winters", lambda df: T.holt_winters(T.scan_series(df)), None)
 register("win_stl_flags", lambda df: T.stl_flags(T.scan_series(df)), None)
-register("set_agreement", lambda df: T.agreement(T.anomalies(T.scan_series(df)), T.near_record(T.scan_series(df)), ["scope", "label", "month"]), _FLAGS + ', nr AS (SELECT scope, label, month FROM w WHERE n > 12 AND "count" >= high), u AS (SELECT scope, label, month FROM flags UNION SELECT * FROM nr), i AS (SELECT scope, label, month FROM flags INTERSECT SELECT * FROM nr) SELECT (SELECT count(*) FROM i) AS shared, (SELECT count(*) FROM u) AS either, (SELECT count(*) FROM i) / (SELECT count(*) FROM u) AS jaccard')
+register("set_agreement_stl", lambda df: (lambda s: T.agreement(T.anomalies(s), T.stl_flags(s), ["scope", "label", "month"]))(T.scan_series(df)), None)
+register("set_agreement", lambda df: (lambda s: T.agreement(T.anomalies(s), T.near_record(s), ["scope", "label", "month"]))(T.scan_series(df)), _FLAGS + ', nr AS (SELECT scope, label, month FROM w WHERE n > 12 AND "count" >= high), u AS (SELECT scope, label, month FROM flags UNION SELECT * FROM nr), i AS (SELECT scope, label, month FROM flags INTERSECT SELECT * FROM nr) SELECT (SELECT count(*) FROM i) AS shared, (SELECT count(*) FROM u) AS either, (SELECT count(*) FROM i) / (SELECT count(*) FROM u) AS jaccard')
 register("win_add_months", lambda df: df.where("report_date is not null").select("recall_number", T.add_months(A.month_label(F.col("report_date")), -5).alias("month")), "SELECT recall_number, strftime(date_trunc('month', report_date) - INTERVAL 5 MONTH, '%Y-%m') AS month FROM notices WHERE report_date IS NOT NULL")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticelake.functions import gazetteer as G
@@ -57,10 +58,10 @@ def _ranked(d):
 
 register("txt_relevance", _ranked)
 on("txt_strip_html", "pages", lambda p: p.select("page_id", F.length(P.strip_html(F.col("html"))).alias("plain_chars")))
-on("txt_tfidf", "documents", lambda d: M.tfidf(d.where("lang = 'en'"), "doc_id", "text", min_df=2, max_features=2000).groupBy("term").agg(F.count("*").alias("docs"), F.round(F.sum("weight"), 4).alias("weight")))
-# letters beyond ASCII are part of words, which the pattern of DuckDB does not know
-_TOK = "regexp_extract_all(regexp_replace(lower(text), '[^\\x00-\\x7F]', '_', 'g'), '\\b[a-z]{2,}\\b')"
-on("fn_tokens", "documents", lambda d: d.where("lang = 'en'").select("doc_id", F.size(X.tokens(F.col("text"))).alias("n_tokens"), F.size(X.bigrams(X.tokens(F.col("text")))).alias("n_pairs")), f"SELECT doc_id, len({_TOK})::INT AS n_tokens, greatest(len({_TOK}) - 1, 0)::INT AS n_pairs FROM documents WHERE lang = 'en'")
+on("txt_tfidf", "documents", lambda d: M.tfidf(d, "doc_id", "text").groupBy("term").agg(F.count("*").alias("docs"), F.round(F.sum("weight"), 4).alias("weight")))
+# letters and digits beyond ASCII are part of words, which the pattern of DuckDB does not know
+_TOK = "regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\\x00-\\x7F\\p{P}\\p{S}\\p{Z}\\p{C}\\p{M}\\p{No}\\p{Nl}]', '_', 'g'), '\\b[a-z]{2,}\\b')"
+on("fn_tokens", "documents", lambda d: d.select("doc_id", F.size(X.tokens(F.col("text"))).alias("n_tokens"), F.size(X.bigrams(X.tokens(F.col("text")))).alias("n_pairs")), f"SELECT doc_id, len({_TOK})::INT AS n_tokens, greatest(len({_TOK}) - 1, 0)::INT AS n_pairs FROM documents")
 register("fn_slugify", lambda d: d.select("recall_number", P.slugify(F.col("reason_text")).alias("slug")), f"{_RN} trim(regexp_replace(lower(reason_text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM notices")
 register("fn_singular", lambda d: d.select("recall_number", X.singular(F.element_at(F.split(F.lower("product_description"), " "), -1)).alias("w")), f"{_RN} CASE WHEN length(w) >= 4 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS w FROM (SELECT recall_number, string_split(lower(product_description), ' ')[-1] AS w FROM notices)")
 register("fn_compose_text", lambda d: d.select("recall_number", X.compose_text(F.col("reason_text"), F.col("product_description"), F.lit("The Metal Label Co")).alias("t")), f"{_RN} trim(concat_ws(' ', a, a, b)) AS t FROM (SELECT recall_number, array_to_string(list_filter(regexp_split_to_array(reason_text, '\\s+'), lambda w: NOT list_contains(['the', 'metal', 'label'], regexp_replace(lower(w), '[^a-z0-9]+', '', 'g'))), ' ') AS a, array_to_string(list_filter(regexp_split_to_array(product_description, '\\s+'), lambda w: NOT list_contains(['the', 'metal', 'label'], regexp_replace(lower(w), '[^a-z0-9]+', '', 'g'))), ' ') AS b FROM notices)")
@@ -71,22 +72,41 @@ register("fn_parse_codes", lambda d: d.select("recall_number", P.parse_class(F.w
 register("fn_parse_dates", lambda d: d.select("recall_number", P.parse_iso_date(F.concat(F.col("report_date").cast("string"), F.lit("T00:00"))).alias("iso"), P.parse_compact_date(F.date_format("report_date", "yyyyMMdd")).alias("compact"), P.parse_iso_date(F.lit("2024-13-40")).alias("bad")), f"{_RN} report_date AS iso, report_date AS compact, NULL::DATE AS bad FROM notices")
 register("fn_states_iso", lambda d: d.select("recall_number", P.map_states(F.when(F.col("id") % 2 == 0, F.array(F.lit("Texas"), F.lit("Nowhere"), F.lit("New York")))).alias("states"), P.iso_list(F.lit("Belgium *** Cayman Islands *** Germany *** Belgium")).alias("codes"), P.hazard_text(F.concat(F.col("category"), F.lit(" - {X} *** aflatoxins  B1 - {Y}"))).alias("hazard")), f"{_RN} CASE WHEN id % 2 = 0 THEN ['TX', 'NY'] END AS states, ['BE', 'DE'] AS codes, category || ', aflatoxins B1' AS hazard FROM notices")
 register("fn_titles", lambda d: d.select("recall_number", P.brand(F.concat(F.lit("Various "), F.col("product_description"), F.lit(" brand Pie recalled"))).alias("brand"), P.product_line(F.concat(F.col("product_description"), F.lit(" brand Pie")), F.lit("Pie")).alias("line"), P.ladder_class(F.concat(F.lit("Class "), ((F.col("id") % 3) + 1).cast("string"))).alias("class"), P.product_from_title(F.concat(F.lit("Product recall – "), F.col("product_description"))).alias("product"), P.canonical_slug(F.concat(F.lit("media-statement-product-recall-"), F.col("recall_number"))).alias("slug")), f"{_RN} product_description AS brand, product_description || ' Pie' AS line, ['Class I', 'Class II', 'Class III'][id % 3 + 1] AS class, product_description AS product, recall_number AS slug FROM notices")
-register("fn_actions", lambda d: d.select("recall_number", P.action_status(F.when(F.col("id") % 3 == 0, F.array(F.lit("Recall from consumer"), F.lit("Destruction"), F.lit("Recall from consumer"))).when(F.col("id") % 3 == 1, F.array(F.lit("Destruction"), F.lit("")))).alias("status"), P.notice_status(F.when(F.col("id") % 2 == 0, "True")).alias("active"), P.normalize_criteria(F.array(F.lit(" B"), F.col("country"), F.lit(""))).alias("criteria"), P.normalize_codes(F.array(F.lit("de"), F.lit(" DE "), F.col("country"))).alias("codes")), f"{_RN} CASE id % 3 WHEN 0 THEN 'Recall from consumer' WHEN 1 THEN 'Destruction' END AS status, CASE WHEN id % 2 = 0 THEN 'Active' ELSE 'Closed' END AS active, list_sort(['b', country]) AS criteria, list_distinct(['DE', upper(country)]) AS codes FROM notices")
-QUERIES["fn_actions"] = lambda s, d: view(s, d).select("recall_number", P.action_status(F.when(F.col("id") % 3 == 0, F.array(F.lit("Recall from consumer"), F.lit("Destruction"), F.lit("Recall from consumer"))).when(F.col("id") % 3 == 1, F.array(F.lit("Destruction"), F.lit("")))).alias("status"), P.notice_status(F.when(F.col("id") % 2 == 0, "True")).alias("active"), P.normalize_criteria(F.array(F.lit(" B"), F.col("country"), F.lit(""))).alias("criteria"), F.array_sort(P.normalize_codes(F.array(F.lit("de"), F.lit(" DE "), F.col("country")))).alias("codes"))
-ORACLE["fn_actions"] = ORACLE["fn_actions"].replace("list_distinct(['DE', upper(country)])", "list_sort(['DE', upper(country)])")
+register(
+    "fn_actions",
+    lambda d: d.select(
+        "recall_number", P.action_status(F.when(F.col("id") % 3 == 0, F.array(F.lit("Recall from consumer"), F.lit("Destruction"), F.lit("Recall from consumer"))).when(F.col("id") % 3 == 1, F.array(F.lit("Destruction"), F.lit("")))).alias("status"),
+        P.notice_status(F.when(F.col("id") % 2 == 0, "True")).alias("active"), P.normalize_criteria(F.array(F.lit(" B"), F.col("country"), F.lit(""))).alias("criteria"),
+        F.array_sort(P.normalize_codes(F.array(F.lit("de"), F.lit(" DE "), F.col("country")))).alias("codes"),
+    ),
+    f"{_RN} CASE id % 3 WHEN 0 THEN 'Recall from consumer' WHEN 1 THEN 'Destruction' END AS status, CASE WHEN id % 2 = 0 THEN 'Active' ELSE 'Closed' END AS active, list_sort(['b', country]) AS criteria, list_sort(list_distinct(['DE', upper(country)])) AS codes FROM notices",
+)
+_SLUGS = [
+    ("media-statement-product-recall-", ""), ("media-statements-", ""), ("the-ncc-urges-consumers-to-return-", ""), ("product-recall-ncc-urges-consumers-to-return-certain-", ""),
+    ("consumers-are-urged-to-return-recalled-", ""), ("recalls-of-the-", ""), ("recall-", ""), ("the-", "the-"), ("product-safety-recall-recall-of-", ""),
+]
+register("fn_canonical_slug", lambda d: d.select("recall_number", *[P.canonical_slug(F.concat(F.lit(a), F.lit("x"), F.col("recall_number"))).alias(f"slug_{i}") for i, (a, _) in enumerate(_SLUGS)]), _RN + ", ".join(f"'{b}x' || recall_number AS slug_{i}" for i, (_, b) in enumerate(_SLUGS)) + " FROM notices")
+_CUES = ("notified by", "Informed by the supplier,", "communicated by", "reported by", "the manufacturer,")
+register("fn_companies", lambda d: d.select("recall_number", P.company_from_body(F.concat(F.lit("We were "), F.element_at(F.array(*map(F.lit, _CUES)), (F.col("id") % 5 + 1).cast("int")), F.lit(" "), F.col("company_name"), F.lit(", that it sold it."))).alias("company"), P.is_recall_post(F.concat(F.element_at(F.array(*map(F.lit, ("product-recall-", "media-statement-on-recall-", "news-", "consumers-urged-to-return-", "product-recall-closed-"))), (F.col("id") % 5 + 1).cast("int")), F.col("recall_number"))).alias("is_recall")), f"{_RN} company_name AS company, id % 5 IN (0, 1, 3) AS is_recall FROM notices")
+register("fn_lede", lambda d: d.select("recall_number", P.lede(F.concat(F.lit("<p><b>"), F.col("reason_text"), F.lit("</b></p><p>Second.</p><p>Third.</p>")), F.lit("x")).alias("lede"), P.lede(F.lit("<p>To contact the National Consumer Commission call</p>"), F.col("product_description")).alias("none")), f"{_RN} reason_text || ' Second.' AS lede, product_description AS none FROM notices")
 
 # ---- keyed tables
 _dup = lambda d: d.select("source", "recall_number", "severity_score", F.col("id").alias("ordinal")).unionByName(d.where("id % 5 = 0").select("source", "recall_number", (F.col("severity_score") + 1).alias("severity_score"), (F.col("id") + 10**9).alias("ordinal")))
 _DUP = ", dup AS (SELECT source, recall_number, severity_score, id AS ordinal FROM notices UNION ALL SELECT source, recall_number, severity_score + 1, id + 1000000000 FROM notices WHERE id % 5 = 0)"
 register("win_keep_last", lambda d: T.keep_last(_dup(d), "ordinal"), _DUP + " SELECT * FROM dup QUALIFY row_number() OVER (PARTITION BY source, recall_number ORDER BY ordinal DESC) = 1")
+def _twice(build):
+    """A query that reads the view as two tables: the columns it needs are stored once."""
+    return lambda d: build(cut(d.select("id", "source", "recall_number", "severity_score", "created_at", "topic_id"), "notices"))
+
+
 _target = lambda d: d.where("id % 3 <> 0").select("source", "recall_number", "severity_score", "created_at", F.col("created_at").alias("updated_at"))
 _batch = lambda d: d.where("id % 2 = 0").select("source", "recall_number", (F.col("severity_score") + 5).alias("severity_score"))
 _UPSERT = f"SELECT source, recall_number, CASE WHEN id % 2 = 0 THEN severity_score + 5 ELSE severity_score END AS severity_score, CASE WHEN id % 3 = 0 THEN TIMESTAMP '{NOW}' ELSE created_at END AS created_at, CASE WHEN id % 2 = 0 THEN TIMESTAMP '{NOW}' ELSE created_at END AS updated_at FROM notices WHERE id % 3 <> 0 OR id % 2 = 0"
-register("snk_upsert", lambda d: T.upsert(_target(d), _batch(d), _now()), _UPSERT)
-register("str_ingest", lambda d: T.ingest(_target(d), _batch(d).withColumn("ordinal", F.lit(1)), "ordinal", _now())[0], _UPSERT)
-register("str_ingest_counts", lambda d: T.ingest(_target(d), _batch(d).withColumn("ordinal", F.lit(1)), "ordinal", _now())[1], "SELECT count(*) FILTER (id % 2 = 0) AS fetched, count(*) FILTER (id % 2 = 0) AS upserted, count(*) FILTER (id % 2 = 0 AND id % 3 = 0) AS new FROM notices")
-register("jn_new_rows", lambda d: T.new_rows(_batch(d), _target(d)).select("source", "recall_number"), "SELECT source, recall_number FROM notices WHERE id % 6 = 0")
-register("snk_attach", lambda d: T.attach(_target(d), d.where("id % 4 = 0").select("source", "recall_number", "topic_id")), "SELECT source, recall_number, severity_score, created_at, created_at AS updated_at, CASE WHEN id % 4 = 0 THEN topic_id END AS topic_id FROM notices WHERE id % 3 <> 0")
+register("snk_upsert", _twice(lambda d: T.upsert(_target(d), _batch(d), _now())), _UPSERT)
+register("str_ingest", _twice(lambda d: T.ingest(_target(d), _batch(d).withColumn("ordinal", F.lit(1)), "ordinal", _now())[0]), _UPSERT)
+register("str_ingest_counts", _twice(lambda d: T.ingest(_target(d), _batch(d).withColumn("ordinal", F.lit(1)), "ordinal", _now())[1]), "SELECT count(*) FILTER (id % 2 = 0) AS fetched, count(*) FILTER (id % 2 = 0) AS upserted, count(*) FILTER (id % 2 = 0 AND id % 3 = 0) AS new FROM notices")
+register("jn_new_rows", _twice(lambda d: T.new_rows(_batch(d), _target(d)).select("source", "recall_number")), "SELECT source, recall_number FROM notices WHERE id % 6 = 0")
+register("snk_attach", _twice(lambda d: T.attach(_target(d), d.where("id % 4 = 0").select("source", "recall_number", "topic_id"))), "SELECT source, recall_number, severity_score, created_at, created_at AS updated_at, CASE WHEN id % 4 = 0 THEN topic_id END AS topic_id FROM notices WHERE id % 3 <> 0")
 
 
 def _published(spark, sf_dir):
@@ -151,17 +171,22 @@ on("ml_compare_methods", "embeddings", lambda e: V.compare_methods({"exact": V.e
 
 
 def _linked(spark, sf_dir):
-    """Notices as clustering nodes, and edges between orders of one customer in time."""
+    """Notices as clustering nodes, and edges to the next four notices of the same country and product.
+
+    Edges per notice are bounded, as a neighbour table's are; their scores follow from the two ids.
+    """
     d = view(spark, sf_dir).where("report_date is not null")
     path = F.transform(F.filter("entities", lambda e: e["type"] == "pathogen"), lambda e: e["value"])
-    nodes = cut(d.select("id", "country", "event_id", "report_date", "company_name", "states", "severity_score", path.alias("pathogens"), F.transform("entities", lambda e: e["value"]).alias("entities")), "nodes")
-    hub = nodes.where("size(pathogens) > 0").select(F.col("id").alias("src"), "country", F.get("pathogens", F.lit(0)).alias("p"), F.trunc("report_date", "month").alias("m"))
-    edges = hub.join(hub.withColumnRenamed("src", "dst"), ["country", "p", "m"]).where("src < dst").select("src", "dst", (F.lit(0.8) + F.pmod(F.col("src") + F.col("dst"), F.lit(20)) / 100).alias("score"))
-    return nodes, edges
+    nodes = cut(d.select("id", "country", "event_id", "report_date", "company_name", "product_description", "states", "severity_score", path.alias("pathogens"), F.transform("entities", lambda e: e["value"]).alias("entities")), "nodes")
+    order = W.partitionBy("country", "product_description").orderBy("report_date", "id")
+    ahead = nodes.select(F.col("id").alias("src"), F.array(*[F.lead("id", i).over(order) for i in range(1, 5)]).alias("ahead"))
+    after = ahead.select("src", F.explode(F.array_compact("ahead")).alias("dst"))
+    return nodes, after.select("src", "dst", (F.lit(0.8) + F.pmod(F.col("src") + F.col("dst"), F.lit(20)) / 100).alias("score"))
 
 
 _NODES = SQL + """, nodes AS (SELECT id, country, event_id, report_date, company_name, states, severity_score, list_transform(list_filter(entities, lambda e: e.type = 'pathogen'), lambda e: e.value) AS pathogens, list_transform(entities, lambda e: e.value) AS ents FROM notices WHERE report_date IS NOT NULL),
-edges AS (SELECT a.id AS src, b.id AS dst, 0.8 + ((a.id + b.id) % 20) / 100 AS score FROM nodes a JOIN nodes b ON a.country = b.country AND a.pathogens[1] = b.pathogens[1] AND date_trunc('month', a.report_date) = date_trunc('month', b.report_date) AND a.id < b.id),
+after AS (SELECT id AS src, unnest([lead(id, 1) OVER o, lead(id, 2) OVER o, lead(id, 3) OVER o, lead(id, 4) OVER o]) AS dst FROM notices WHERE report_date IS NOT NULL WINDOW o AS (PARTITION BY country, product_description ORDER BY report_date, id)),
+edges AS (SELECT src, dst, 0.8 + ((src + dst) % 20) / 100 AS score FROM after WHERE dst IS NOT NULL),
 link AS (SELECT src, dst FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE score >= 0.85 AND list_has_any(a.pathogens, b.pathogens) AND abs(date_diff('day', a.report_date, b.report_date)) <= 60),
 star AS (SELECT h.src, n.id AS dst FROM nodes n JOIN (SELECT country, event_id, min(id) AS src FROM nodes WHERE event_id IS NOT NULL GROUP BY 1, 2) h USING (country, event_id) WHERE n.id <> h.src),
 ed AS (SELECT src AS x, dst AS y FROM link UNION SELECT dst, src FROM link UNION SELECT src, dst FROM star UNION SELECT dst, src FROM star)"""
@@ -182,39 +207,48 @@ QUERIES["ml_cluster_facts"] = _facts
 # ---- alerts
 
 
+_HAZARDS = ("listeria", "MILK", "Salmonella", "glass", "histamine", "celery", "Norovirus", "lead")
+
+
 def _subs(c):
+    """Every customer is a subscriber. One in ten names no hazard: of these a half names companies."""
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % n + 1).cast("int"))
     some = lambda cond, a: F.when(cond, a)
     k = F.col("c_custkey")
     at = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz") + F.make_interval(days=(k * 7 % 400).cast("int"))
-    return c.where(k < 120).select(
-        k.alias("id"), F.when(k % 5 > 0, "active").otherwise("pending_confirmation").alias("status"), some(k % 3 == 0, F.array(pick(("listeria", "MILK", "Salmonella", "glass"), 4))).alias("entities"),
-        some(k % 4 == 0, F.array(F.lit("#1"), F.lit("CUSTOMER#9"))).alias("companies"), F.array(pick(("us", "eu", "uk", "za", "ca"), 5), pick(("eu", "us"), 2)).alias("countries"),
+    return c.select(
+        k.alias("id"), F.when(k % 5 != 3, "active").otherwise("pending_confirmation").alias("status"), some(k % 10 > 0, F.array(pick(_HAZARDS, 8), pick(_HAZARDS[1:4], 3))).alias("entities"),
+        some(k % 4 == 0, F.array(F.upper("c_name"), F.lit("0012"))).alias("companies"), some(k % 11 > 0, F.array(pick(("us", "eu", "uk", "za", "ca"), 5), pick(("eu", "us"), 2))).alias("countries"),
         some(k % 2 == 0, F.array(F.lit("fr"), F.lit("DE"))).alias("affected_countries"), some(k % 6 == 1, F.array(F.lit("pathogen"), F.lit("allergen"))).alias("categories"),
-        F.when(k % 7 == 0, "high").when(k % 7 == 1, "bogus").alias("min_severity"), at.alias("confirmed_at"), F.when(k % 5 > 0, at).alias("last_digest_at"), at.alias("created_at"),
+        F.when(k % 10 == 0, "critical").when(k % 7 == 0, "high").when(k % 7 == 1, "bogus").alias("min_severity"), at.alias("confirmed_at"), F.when(k % 5 != 3, at).alias("last_digest_at"), at.alias("created_at"),
         some(k % 9 == 0, F.array(F.lit("2001-12-31"))).alias("skipped_at"),
     )
 
 
-_SUBS = """, subs AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN 'active' ELSE 'pending_confirmation' END AS status, CASE WHEN c_custkey % 3 = 0 THEN [['listeria','MILK','Salmonella','glass'][c_custkey % 4 + 1]] END AS entities,
- CASE WHEN c_custkey % 4 = 0 THEN ['#1', 'CUSTOMER#9'] END AS companies, [['us','eu','uk','za','ca'][c_custkey % 5 + 1], ['eu','us'][c_custkey % 2 + 1]] AS countries, CASE WHEN c_custkey % 2 = 0 THEN ['FR', 'DE'] END AS affected_countries,
- CASE WHEN c_custkey % 6 = 1 THEN ['pathogen', 'allergen'] END AS categories, CASE c_custkey % 7 WHEN 0 THEN 'high' WHEN 1 THEN 'bogus' END AS min_severity, TIMESTAMP '1999-01-01' + to_days((c_custkey * 7 % 400)::INT) AS conf, c_custkey % 9 = 0 AS noted FROM customer WHERE c_custkey < 120),
-m AS (SELECT s.id AS sub_id, source, recall_number, status, conf, noted FROM notices n JOIN subs s ON list_contains(s.countries, n.country)
- AND (s.entities IS NULL OR list_has_any(list_transform(n.entities, lambda e: lower(e.value)), list_transform(s.entities, lambda e: lower(e))))
- AND (s.companies IS NULL OR n.company_name IS NULL OR len(list_filter(s.companies, lambda c: contains(lower(n.company_name), lower(c)))) > 0)
- AND (s.affected_countries IS NULL OR n.country <> 'eu' OR list_has_any(list_concat([coalesce(notifying_country, '-')], distribution_countries), s.affected_countries))
+_SUBS = """, subs AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 3 THEN 'active' ELSE 'pending_confirmation' END AS status,
+ CASE WHEN c_custkey % 10 > 0 THEN [['listeria','milk','salmonella','glass','histamine','celery','norovirus','lead'][c_custkey % 8 + 1], ['milk','salmonella','glass'][c_custkey % 3 + 1]] END AS entities,
+ CASE WHEN c_custkey % 4 = 0 THEN [lower(c_name), '0012'] END AS companies,
+ unnest(list_distinct(CASE WHEN c_custkey % 11 > 0 THEN [['us','eu','uk','za','ca'][c_custkey % 5 + 1], ['eu','us'][c_custkey % 2 + 1]] ELSE ['us','eu','uk','za','ca'] END)) AS c,
+ CASE WHEN c_custkey % 2 = 0 THEN ['FR', 'DE'] END AS affected_countries, CASE WHEN c_custkey % 6 = 1 THEN ['pathogen', 'allergen'] END AS categories,
+ CASE WHEN c_custkey % 10 = 0 THEN ['critical'] WHEN c_custkey % 7 = 0 THEN ['high', 'severe', 'critical'] WHEN c_custkey % 7 = 1 THEN []::VARCHAR[] END AS bands,
+ TIMESTAMP '1999-01-01' + to_days((c_custkey * 7 % 400)::INT) AS conf, c_custkey % 9 = 0 AS noted FROM customer),
+nt AS MATERIALIZED (SELECT source, recall_number, country, lower(company_name) AS company, category, severity_label, list_transform(entities, lambda e: lower(e.value)) AS names, list_concat([coalesce(notifying_country, '-')], distribution_countries) AS codes FROM notices),
+m AS MATERIALIZED (SELECT s.id AS sub_id, source, recall_number, status, conf, noted FROM nt n JOIN subs s ON s.c = n.country
+ AND (s.bands IS NULL OR list_contains(s.bands, severity_label))
  AND (s.categories IS NULL OR list_contains(s.categories, category))
- AND (s.min_severity IS NULL OR (s.min_severity = 'high' AND severity_label IN ('high', 'severe', 'critical'))))"""
+ AND (s.entities IS NULL OR list_has_any(n.names, s.entities))
+ AND (s.companies IS NULL OR n.company IS NULL OR contains(n.company, s.companies[1]) OR contains(n.company, s.companies[2]))
+ AND (s.affected_countries IS NULL OR n.country <> 'eu' OR list_has_any(n.codes, s.affected_countries)))"""
 _with_subs = lambda f: lambda s, d: f(view(s, d), _subs(table(s, d, "customer")))
 QUERIES["str_match"] = _with_subs(lambda n, s: L.match(n, s))
 ORACLE["str_match"] = SQL + _SUBS + " SELECT sub_id, source, recall_number FROM m"
-QUERIES["srt_delivery_plan"] = _with_subs(lambda n, s: L.delivery_plan(L.match(n, s), s, "2002-01-01", 20))
+QUERIES["srt_delivery_plan"] = _with_subs(lambda n, s: L.delivery_plan(cut(L.match(n, s), "matches"), s, "2002-01-01", 20))
 ORACLE["srt_delivery_plan"] = SQL + _SUBS + ", c AS (SELECT sub_id AS id, conf, noted, count(*) AS match_count FROM m WHERE status = 'active' GROUP BY ALL), p AS (SELECT *, row_number() OVER (ORDER BY conf, id) <= 20 AS delivered FROM c) SELECT id, match_count, delivered, CASE WHEN delivered THEN [] WHEN noted THEN ['2001-12-31', '2002-01-01'] ELSE ['2002-01-01'] END AS skipped_at FROM p"
-QUERIES["agg_digest"] = _with_subs(lambda n, s: L.digest(L.match(n, s), n, 60).select("sub_id", "match_count", F.size("items").alias("items")))
-ORACLE["agg_digest"] = SQL + _SUBS + " SELECT sub_id, count(*) AS match_count, count(*)::INT AS items FROM m GROUP BY 1"
+QUERIES["agg_digest"] = _with_subs(lambda n, s: L.digest(cut(L.match(n, s), "matches"), n, 60, 20).select("sub_id", "match_count", F.size("items").alias("items"), F.get("items", F.lit(0))["recall_number"].alias("newest"), F.get("items", F.lit(0))["body"].alias("body")))
+ORACLE["agg_digest"] = SQL + _SUBS + ", o AS (SELECT sub_id, recall_number, CASE WHEN length(reason_text) > 60 THEN rtrim(left(reason_text, 59)) || '…' ELSE reason_text END AS body, count(*) OVER (PARTITION BY sub_id) AS match_count, row_number() OVER (PARTITION BY sub_id ORDER BY report_date DESC NULLS LAST, source, recall_number) AS n FROM m JOIN notices USING (source, recall_number)) SELECT sub_id, match_count, least(match_count, 20)::INT AS items, recall_number AS newest, body FROM o WHERE n = 1"
 QUERIES["str_dispatch"] = _with_subs(lambda n, s: L.dispatch(n, s, F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"), _now(), "2002-01-01")[2])
-ORACLE["str_dispatch"] = SQL + ", fresh AS (SELECT * FROM notices WHERE created_at > TIMESTAMP '1998-06-01'), flow AS (SELECT * FROM fresh QUALIFY count(*) OVER (PARTITION BY country) <= 50)" + _SUBS.replace("FROM notices n JOIN", "FROM flow n JOIN") + " SELECT (SELECT count(*) FROM fresh) AS new, (SELECT count(*) FROM flow) AS flowing, count(DISTINCT sub_id) FILTER (status = 'active') AS matched_subscribers, least(count(DISTINCT sub_id) FILTER (status = 'active'), 89) AS will_receive FROM m"
-on("agg_subscription_health", "customer", lambda c: L.subscription_health(_subs(c), _now()), f"SELECT min(conf) FILTER (k % 5 > 0) AS oldest_digest, count(*) FILTER (k % 5 = 0 AND conf < TIMESTAMP '{NOW}' - INTERVAL 72 HOUR) AS stuck_pending FROM (SELECT c_custkey AS k, TIMESTAMP '1999-01-01' + to_days((c_custkey * 7 % 400)::INT) AS conf FROM customer WHERE c_custkey < 120)")
+ORACLE["str_dispatch"] = SQL + ", fresh AS (SELECT * FROM notices WHERE created_at > TIMESTAMP '1998-06-01'), flow AS (SELECT * FROM fresh QUALIFY count(*) OVER (PARTITION BY country) <= 50)" + _SUBS.replace("AS codes FROM notices)", "AS codes FROM flow)") + " SELECT (SELECT count(*) FROM fresh) AS new, (SELECT count(*) FROM flow) AS flowing, count(DISTINCT sub_id) FILTER (status = 'active') AS matched_subscribers, least(count(DISTINCT sub_id) FILTER (status = 'active'), 89) AS will_receive FROM m"
+on("agg_subscription_health", "customer", lambda c: L.subscription_health(_subs(c), _now()), f"SELECT min(conf) FILTER (k % 5 <> 3) AS oldest_digest, count(*) FILTER (k % 5 = 3 AND conf < TIMESTAMP '{NOW}' - INTERVAL 72 HOUR) AS stuck_pending FROM (SELECT c_custkey AS k, TIMESTAMP '1999-01-01' + to_days((c_custkey * 7 % 400)::INT) AS conf FROM customer)")
 register("str_since_cursor", lambda d: L.since_cursor(d, F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"), _now()).select("recall_number"), "SELECT recall_number FROM notices WHERE created_at > TIMESTAMP '1998-01-01'")
 register("str_flood_guard", lambda d: L.flood_guard(d, "company_name", 12).select("recall_number"), "SELECT recall_number FROM notices WHERE company_name IS NOT NULL QUALIFY count(*) OVER (PARTITION BY company_name) <= 12")
 register("str_reload_window", lambda d: L.reload_window(d, F.lit("1998-01-15").cast("date")).select("recall_number"), "SELECT recall_number FROM notices WHERE report_date >= DATE '1998-01-01'")
@@ -230,7 +264,7 @@ _labels = lambda d, l: d.join(l, "doc_id").select("doc_id", "text", F.col("toxic
 
 def _text_model(documents, labels):
     rows = M.holdout(_labels(documents, labels), "doc_id", "label")
-    return M.evaluate(M.train_text(rows.where("not held"), "text", "label", 5000).transform(rows.where("held")), "label", "prediction")
+    return M.evaluate(M.train_text(rows.where("not held"), "text", "label").transform(rows.where("held")), "label", "prediction")
 
 
 on("txt_train_evaluate", "documents labels", _text_model)
@@ -245,7 +279,7 @@ def _vector_model(embeddings):
 
 
 on("ml_train_vectors", "embeddings", _vector_model)
-on("ml_themes", "embeddings", lambda e: M.themes(e, "vec_id", "embedding", "all", 10, least=0.2))
+on("ml_themes", "embeddings", lambda e: M.themes(e, "vec_id", "embedding"))
 
 # ---- streams
 
@@ -255,7 +289,30 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(t.schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-QUERIES["str_stream_dedupe"] = lambda s, d: R.run_to_memory(R.late_window(_stream(s, d, "events"), "ts", ["event_id"]).select("event_id", "event_type"), "noticelake_dedupe")
+QUERIES["str_stream_dedupe"] = lambda s, d: R.run_to_table(R.late_window(_stream(s, d, "events"), "ts", ["event_id"]).select("event_id", "event_type"), "stream-dedupe")
 ORACLE["str_stream_dedupe"] = "SELECT DISTINCT event_id, event_type FROM events"
-QUERIES["str_stream_trend"] = lambda s, d: R.run_to_memory(R.trend(_stream(s, d, "events"), "ts", "event_type"), "noticelake_trend", "complete").groupBy("label").agg(F.sum("count").alias("count"))
-ORACLE["str_stream_trend"] = 'SELECT event_type AS label, count(*) AS "count" FROM events GROUP BY 1'
+QUERIES["str_stream_trend"] = lambda s, d: R.run_to_table(R.trend(_stream(s, d, "orders"), "o_orderdate", "o_orderpriority"), "stream-trend", "complete")
+ORACLE["str_stream_trend"] = "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS label, count(*) AS \"count\" FROM orders GROUP BY 1, 2"
+QUERIES["str_stream_sessions"] = lambda s, d: R.run_to_table(R.sessions(_stream(s, d, "events"), "user_id", "ts", 36_000), "stream-sessions", "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "beats")
+ORACLE["str_stream_sessions"] = "WITH g AS (SELECT user_id, ts, coalesce(epoch(ts) - epoch(lag(ts) OVER w) >= 36000, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 36000 SECOND AS \"end\", count(*) AS beats FROM i GROUP BY user_id, n"
+
+
+def _restream(df, name):
+    """Rows of a query as a stream: stored once, then read as files that arrive."""
+    kept = cut(df, name)
+    return df.sparkSession.readStream.schema(kept.schema).parquet(kept._stored_at)
+
+
+_CRITERIA = ["source", "recall_number", "country", "company_name", "category", "severity_label", "entities", "notifying_country", "distribution_countries"]
+QUERIES["str_stream_match"] = lambda s, d: R.run_to_table(R.match_stream(_restream(view(s, d).select(*_CRITERIA), "arriving"), _subs(table(s, d, "customer"))), "stream-matches")
+ORACLE["str_stream_match"] = SQL + _SUBS + " SELECT sub_id, source, recall_number FROM m"
+
+
+def _stream_ingest(spark, sf_dir):
+    path = fresh_path(spark, "ingested")
+    R.ingest_into(_restream(_dup(view(spark, sf_dir)), "arriving"), path, "ordinal", fresh_path(spark, "ingest-state")).awaitTermination()
+    return spark.read.parquet(path)
+
+
+QUERIES["str_stream_ingest"] = _stream_ingest
+ORACLE["str_stream_ingest"] = SQL + _DUP + " SELECT * FROM dup QUALIFY row_number() OVER (PARTITION BY source, recall_number ORDER BY ordinal DESC) = 1"

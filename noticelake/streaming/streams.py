@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from noticelake.operators import alerts
 from noticelake.operators.tables import keep_last, new_rows
 from noticelake.schema import KEY
+from noticelake.storage import fresh_path
 
 
 def late_window(stream: DataFrame, ts: str, keys: list[str], days: int = 14) -> DataFrame:
@@ -17,11 +18,13 @@ def late_window(stream: DataFrame, ts: str, keys: list[str], days: int = 14) ->
     return timed.withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark(keys)
 
 
-def trend(stream: DataFrame, ts: str, label: str, late: str = "40 days") -> DataFrame:
-    """Counts per label and window of 30 days, kept up to date as rows arrive."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    counts = timed.groupBy(F.window(ts, "30 days"), F.col(label).alias("label")).agg(F.count("*").alias("count"))
-    return counts.select(F.col("window.start").alias("start"), "label", "count")
+def trend(stream: DataFrame, ts: str, label: str) -> DataFrame:
+    """Counts per month and label, kept up to date as rows arrive, however late.
+
+    The state is one number per month and label; it grows with the calendar, not with the rows.
+    """
+    month = F.date_format(F.date_trunc("month", F.col(ts).cast("timestamp_ntz")), "yyyy-MM")
+    return stream.groupBy(month.alias("month"), F.col(label).alias("label")).agg(F.count("*").alias("count"))
 
 
 def sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
@@ -33,9 +36,8 @@ def sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
 
 def match_stream(notices: DataFrame, subs: DataFrame) -> DataFrame:
     """Stream-static matching: every new notice against the stored subscriptions, country by country."""
-    criteria = subs.select(F.col("id").alias("sub_id"), *[F.col(c).alias(f"sub_{c}") for c in ("entities", "companies", "countries", "affected_countries", "categories", "min_severity")])
-    sides = criteria.withColumn("__c", F.explode(F.array_distinct("sub_countries")))
-    return notices.join(sides, F.col("country") == F.col("__c")).where(alerts.matches()).select("sub_id", *KEY)
+    met = notices.join(alerts.criteria_of(subs), F.col("country") == F.col("__c")).where(alerts.matches())
+    return met.select("sub_id", *KEY)
 
 
 def ingest_into(stream: DataFrame, path: str, ordinal: str, checkpoint: str) -> StreamingQuery:
@@ -58,8 +60,16 @@ def ingest_into(stream: DataFrame, path: str, ordinal: str, checkpoint: str) ->
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns its result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is into files in the shared folder and returns them as a table.
+
+    Appended rows go to a file sink; a complete result is written anew by every micro-batch.
+    """
+    spark = stream.sparkSession
+    path, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", path).start().awaitTermination()
+    else:
+        writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
