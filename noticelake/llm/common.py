@@ -3,19 +3,39 @@
 from __future__ import annotations
 
 import ctypes
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+from noticelake.storage import ship
 
 
-def prepare(spark: SparkSession, rows: int = 512) -> None:
-    """Lets Python workers import this package and keeps an Arrow batch at ``rows`` texts."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers import this package. Nothing of the session is changed."""
+    ship(spark)
+
+
+def slices(column: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 512) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of about so many bytes: they bound what a batch needs, whatever its size."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        full = int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, "right"))
+        stop = max(at + 1, min(full, at + most_rows, len(column)))
+        yield at, stop
+        at = stop
+
+
+def in_slices(column: pa.Array, body) -> pa.Array:
+    """``body`` over one stretch after the other, put together again."""
+    out = []
+    for a, b in slices(column):
+        out.append(body(column.slice(a, b - a)))
+        release()
+    return pa.concat_arrays(out) if out else body(column)
 
 
 def release() -> None:

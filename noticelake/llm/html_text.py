@@ -1,60 +1,65 @@
 """The main text of web pages from parser events, text-to-tag ratios and their smoothing.
 
 The standard library's parser streams a page's events. Block-level tags part its text into lines;
-each has a ratio of characters to tags. The ratios are smoothed with a Gaussian, and lines over the
-smoothed ratios' standard deviation form the content cluster. The region to extract is the article
-element with most clustered text, else the main element, else the smallest element around all
-clustered lines. Of the region every line is kept, short ones too, but for what stands in elements
-that are no article text by tag, role or class: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, comments and the like.
+each has a ratio of characters to tags. Lines in elements that are no article text by their tag, role
+or mark are vetoed. The ratios of the rest are smoothed with a Gaussian, and lines at or over the
+smoothed ratios' standard deviation form the content cluster.
+
+The cluster chooses the text. From the page's root the way goes down into the container that holds
+most clustered characters, as long as it holds nearly all of them: its end is the region. Of its own
+containers those with less clustered than other characters go. What is left is kept whole, short
+lines too, if a third of its characters or more are clustered; if not, only the clustered lines are.
+
+All of it is linear in the page: every element carries its veto and its sums, none looks up its
+ancestors.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import prepare
+from noticelake.llm.common import in_slices, prepare
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that part a page into regions; the others hold text.
+_CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
 #: Never article text, wherever they stand.
-_DROPPED = frozenset(
+_VETOED = frozenset(
     "head title script style noscript template nav footer aside form button select option textarea input label fieldset iframe object embed "
     "svg math canvas audio video map menu dialog search".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id names that mark other things than the article.
-_NAMES = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner "
-    "cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup paywall "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidenav aside widget widgets footer foot "
-    "comment comments commentlist reply replies disqus respond discussion share sharing social related recommended recommendations "
-    "pagination pager toolbar login search copyright disclaimer hidden".split()
-)
-_HEADERS = frozenset("header masthead topbar".split())
-_COMMENTS = frozenset("comment comments commentlist reply replies disqus respond discussion".split())
+#: Words of class and id names by which a page says of an element that it is something else.
+_MARKS = frozenset("ad ads advert advertisement cookie notice sidebar menu comment comments newsletter".split())
 #: A start tag of these ends an open paragraph.
 _ENDS_P = _BLOCK - {"body", "html", "caption", "dd", "dt", "legend", "li", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
+_P_HOLDERS = frozenset("article main section div td th li button blockquote body".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Open elements looked at for one that a start tag ends by itself.
+_REACH = 64
 
 
 class _Events(HTMLParser):
-    """Collects elements (parent, tag, marks) and lines (element, text, tags)."""
+    """Collects elements (parent, tag, veto) and lines (element, text, tags)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.soft, self.hard = [-1], [""], [False], [False]
+        self.parent, self.tag, self.hard, self.soft = [-1], [""], [False], [False]
         self.open = [0]
+        self.count: dict[str, int] = {}
+        self.cut = 0  # open elements whose text is cut out of its line
         self.lines: list[tuple[int, str, int]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -65,15 +70,26 @@ class _Events(HTMLParser):
             self.lines.append((self.open[-1], text, max(1, self.tags)))
         self.parts, self.tags = [], 0
 
+    def _leave(self, at: int) -> None:
+        """Ends all open elements from the place ``at`` on."""
+        for e in self.open[at:]:
+            self.count[self.tag[e]] -= 1
+            self.cut -= self._cuts(e)
+        del self.open[at:]
+
+    def _cuts(self, e: int) -> bool:
+        return self.hard[e] and self.tag[e] not in _BLOCK
+
     def _close(self, tags: tuple[str, ...], within: set[str] | frozenset[str]) -> None:
         """Ends the nearest open element of ``tags`` unless one of ``within`` is nearer."""
-        for at in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[at]]
-            if tag in tags:
-                del self.open[at:]
-                return
-            if tag in within:
-                return
+        if any(self.count.get(t) for t in tags):
+            for at in range(len(self.open) - 1, max(0, len(self.open) - _REACH), -1):
+                tag = self.tag[self.open[at]]
+                if tag in tags:
+                    return self._leave(at)
+                if tag in within:
+                    return None
+        return None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
@@ -84,21 +100,20 @@ class _Events(HTMLParser):
         if tag in _VOID:
             return
         if tag in _ENDS_P:
-            self._close(("p",), {"article", "main", "section", "div", "td", "th", "li", "button", "blockquote", "body"})
+            self._close(("p",), _P_HOLDERS)
         if tag in _SAME:
             self._close(_SAME[tag], _HOLDS[tag])
-        parent = self.open[-1]
         values = {k: v or "" for k, v in attrs}
-        names = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", f"{values.get('class', '')} {values.get('id', '')}").lower()))
+        names = set(re.split(r"[^a-z0-9]+", f"{values.get('class', '')} {values.get('id', '')}".lower())) if "class" in values or "id" in values else set()
         hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I)
-        whole = tag in ("html", "body", "main", "article")
-        inside = any(self.tag[e] in ("article", "main") for e in self.open)
-        header = not inside and (tag == "header" or names & _HEADERS)
-        self.parent.append(parent)
+        masthead = tag == "header" and not (self.count.get("article") or self.count.get("main"))
+        self.parent.append(self.open[-1])
         self.tag.append(tag)
-        self.hard.append(bool(tag in _DROPPED or hidden or names & _COMMENTS and tag not in ("html", "body", "main")))
-        self.soft.append(bool(not whole and (names & _NAMES or header or values.get("role", "").lower() in _ROLES)))
+        self.hard.append(bool(tag in _VETOED or hidden))
+        self.soft.append(bool(masthead or values.get("role", "").lower() in _ROLES or names & _MARKS))
         self.open.append(len(self.tag) - 1)
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.cut += self._cuts(len(self.tag) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -107,15 +122,14 @@ class _Events(HTMLParser):
         if tag in _BLOCK:
             self._line()
         self.tags += 1
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[at]] == tag:
-                del self.open[at:]
-                return
+        if self.count.get(tag):
+            at = len(self.open) - 1
+            while self.tag[self.open[at]] != tag:
+                at -= 1
+            self._leave(at)
 
     def handle_data(self, data: str) -> None:
-        # text of an element that starts a line belongs to the element it is in, so dropped inline
-        # elements inside a line are cut out right here
-        if not any(self.hard[e] and self.tag[e] not in _BLOCK for e in self.open[-4:]):
+        if not self.cut:
             self.parts.append(data)
 
     def unknown_decl(self, data: str) -> None:
@@ -135,7 +149,7 @@ def _parsed(html: str) -> _Events:
     return events
 
 
-def smoothed(ratios: list[float], sigma: float = 1.0, radius: int = 2) -> list[float]:
+def smoothed(ratios: list[float], sigma: float = 0.6, radius: int = 2) -> list[float]:
     """The ratios under a normalised Gaussian kernel; beyond the ends the kernel is cut off."""
     kernel = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-radius, radius + 1)]
     out = []
@@ -146,53 +160,60 @@ def smoothed(ratios: list[float], sigma: float = 1.0, radius: int = 2) -> list[f
     return out
 
 
-def extract(html: str | None) -> str:
+def _vetoes(e: _Events) -> list[bool]:
+    """By element, whether it stands in a vetoed one. A mark does not count on what holds the page's article."""
+    holds = [t in ("body", "main", "article", "h1") for t in e.tag]
+    for at in range(len(e.tag) - 1, 0, -1):
+        holds[e.parent[at]] |= holds[at] and not e.hard[at]
+    out = [False] * len(e.tag)
+    for at in range(1, len(e.tag)):
+        out[at] = out[e.parent[at]] or e.hard[at] or (e.soft[at] and (not holds[at] or e.tag[at] == "header"))
+    return out
+
+
+def extract(html: str | None, smooth: Callable[[list[float]], list[float]] = smoothed, nearly: float = 0.75, sparse: float = 1 / 3) -> str:
     """The page's main text: blocks joined by an empty line; empty if there is none."""
     if not html:
         return ""
     e = _parsed(html)
-    # a class that holds the article, as in "with-sidebar", is no mark against it
-    holds = [t in ("article", "main", "h1") for t in e.tag]
-    for at in range(len(e.tag) - 1, 0, -1):
-        holds[e.parent[at]] |= holds[at] and not e.hard[at]
-    dropped = [False] * len(e.tag)
-    for at in range(1, len(e.tag)):
-        dropped[at] = dropped[e.parent[at]] or e.hard[at] or (e.soft[at] and not holds[at])
-    lines = [x for x in e.lines if not dropped[x[0]]]
+    vetoed = _vetoes(e)
+    lines = [x for x in e.lines if not vetoed[x[0]]]
     if not lines:
         return ""
-    ratio = smoothed([len(text) / tags for _, text, tags in lines])
+    ratio = smooth([len(text) / tags for _, text, tags in lines])
     mean = sum(ratio) / len(ratio)
     limit = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    content = [at for at, r in enumerate(ratio) if r >= limit] or list(range(len(lines)))
-
-    def path(at: int) -> list[int]:
-        found = [at]
-        while at:
-            at = e.parent[at]
-            found.append(at)
-        return found[::-1]
-
-    paths = [path(element) for element, _, _ in lines]
+    content = [r >= limit for r in ratio]
+    # characters by container, clustered and all; children come after their parents
+    n = len(e.tag)
+    box = list(range(n))
+    for at in range(1, n):
+        box[at] = at if e.tag[at] in _CONTAINERS else box[e.parent[at]]
+    dense, whole, heaviest = [0] * n, [0] * n, [0] * n
+    for (element, text, _), full in zip(lines, content, strict=True):
+        whole[box[element]] += len(text)
+        dense[box[element]] += len(text) * full
+    for at in range(n - 1, 0, -1):
+        if box[at] == at:
+            up = box[e.parent[at]]
+            whole[up] += whole[at]
+            dense[up] += dense[at]
+            if not heaviest[up] or dense[at] >= dense[heaviest[up]]:
+                heaviest[up] = at
     region = 0
-    for wanted in ("article", "main"):
-        weight: dict[int, int] = {}
-        for at in content:
-            root = next((x for x in paths[at] if e.tag[x] == wanted), None)
-            if root is not None:
-                weight[root] = weight.get(root, 0) + len(lines[at][1])
-        if weight:
-            region = max(weight, key=lambda x: (weight[x], -x))
-            break
-    else:
-        common = paths[content[0]]
-        for at in content[1:]:
-            common = [a for a, b in zip(common, paths[at], strict=False) if a == b]
-        region = common[-1]
-        # a single line's own element is no region: its neighbours belong to it
-        while region and (e.tag[region] in ("p", "li", "td", "th", "tr", "dd", "dt", "blockquote", "pre") or e.tag[region] not in _BLOCK or e.tag[region][0] == "h" and e.tag[region][1:].isdigit()):
-            region = e.parent[region]
-    return "\n\n".join(text for (_, text, _), p in zip(lines, paths, strict=True) if region in p)
+    while heaviest[region] and dense[region] and dense[heaviest[region]] >= nearly * dense[region]:
+        region = heaviest[region]
+    keep = [False] * n
+    keep[region] = True
+    for at in range(region + 1, n):
+        if box[at] == at:
+            up = box[e.parent[at]]
+            keep[at] = keep[up] and (up != region or 2 * dense[at] >= whole[at])
+        else:
+            keep[at] = keep[box[at]]
+    chosen = [(text, full) for (element, text, _), full in zip(lines, content, strict=True) if keep[box[element]]]
+    clustered, every = sum(len(t) for t, full in chosen if full), sum(len(t) for t, _ in chosen)
+    return "\n\n".join(t for t, full in chosen if full or clustered >= sparse * every)
 
 
 def main_text():
@@ -200,13 +221,16 @@ def main_text():
 
     @F.arrow_udf("string")
     def text(pages: pa.Array) -> pa.Array:
-        return pa.array([extract(p) for p in pages.to_pylist()], pa.string())
+        return in_slices(pages, lambda part: pa.array([extract(p) for p in part.to_pylist()], pa.string()))
 
     return text
 
 
 def with_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """Adds the main text of every page. Repeated rows and all other columns stay."""
+    """Adds the main text of every page. Repeated rows and all other columns stay; one named ``out`` is replaced.
+
+    Null, empty and blank pages, and pages without an unvetoed line, have an empty text.
+    """
     prepare(pages.sparkSession)
     column: Column = main_text()(F.col(f"`{html}`").cast("string"))
     return pages.withColumn(out, column)

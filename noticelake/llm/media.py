@@ -6,8 +6,8 @@ per input row; equal payloads of a shard are stored once. Reading goes the other
 of the image header alone fills the metadata columns, a range read of the member the payload.
 
 Scale: a shard is closed at ``shard_bytes``, so tasks hold one shard's index and one batch. Shard
-names are drawn anew by every attempt, the manifest names the attempt that ended well, and files of
-lost attempts are never read. Nothing is shuffled but the manifest.
+names are drawn anew by every attempt, the manifest names the attempt that ended well, and shards of
+lost attempts, which it does not name, are deleted by tasks. Nothing is shuffled but shard names.
 """
 
 from __future__ import annotations
@@ -115,6 +115,8 @@ def _uri(path: str) -> str:
     return path if ":" in path.split("/")[0] else f"file://{path}"
 
 
+#: What the headers tell of a stored payload.
+_METADATA = "width long, height long, depth long"
 _MANIFEST = "key long, n_bytes long, payload_bytes long, digest string, shard string, offset long, length long"
 
 
@@ -147,51 +149,92 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes:
             shard.close()
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return cut(rows.mapInArrow(write, _MANIFEST), "media-manifest")
+    manifest = cut(rows.mapInArrow(write, _MANIFEST), "media-manifest")
+    _sweep(manifest, root)
+    return manifest
+
+
+def _sweep(manifest: DataFrame, root: str) -> int:
+    """Deletes the shards under ``root`` that the manifest does not name; returns how many."""
+    spark = manifest.sparkSession
+    if manifest.isEmpty():
+        return 0
+    there = spark.read.format("binaryFile").load(root).select(F.substring_index("path", "/", -1).alias("name"))
+    lost = there.join(manifest.select(F.substring_index("shard", "/", -1).alias("name")).distinct(), "name", "left_anti")
+
+    def delete(batches):
+        for batch in batches:
+            names = batch["name"].to_pylist()
+            for name in names:
+                store, path = fs.FileSystem.from_uri(f"{root}/{name}")
+                store.delete_file(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], ["n"])
+
+    return lost.mapInArrow(delete, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+class _Open:
+    """The shard that is being read, one at a time."""
+
+    def __init__(self) -> None:
+        self.name, self.file = None, None
+
+    def at(self, shard: str):
+        if shard != self.name:
+            self.close()
+            store, path = fs.FileSystem.from_uri(shard)
+            self.name, self.file = shard, store.open_input_file(path)
+        return self.file
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.name, self.file = None, None
 
 
 def headers(manifest: DataFrame) -> DataFrame:
     """The manifest with ``width``, ``height`` and ``depth``, from reads of the headers alone."""
 
     def read(batches):
+        held = _Open()
         for batch in batches:
-            got, last = [], (None, None)
+            got = []
             for shard, offset in zip(batch["shard"].to_pylist(), batch["offset"].to_pylist(), strict=True):
-                if last[0] != shard:
-                    store, path = fs.FileSystem.from_uri(shard)
-                    last = (shard, store.open_input_file(path))
-                got.append(read_header(last[1].read_at(HEADER, offset)))
+                got.append(read_header(held.at(shard).read_at(HEADER, offset)))
             for i, name in enumerate(("width", "height", "depth")):
                 batch = batch.append_column(name, pa.array([g[i] for g in got], pa.int64()))
             yield batch
+        held.close()
 
-    return manifest.mapInArrow(read, f"{_MANIFEST}, width long, height long, depth long")
+    return manifest.mapInArrow(read, f"{_MANIFEST}, {_METADATA}")
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
-    """Reads every row's stored bytes: digests, the checksum of the last line, and the feature."""
+    """Reads every row's stored bytes: digests, the checksum of the last line, and the feature.
+
+    ``manifest`` has the metadata columns that ``headers`` fills.
+    """
     names = ["payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
-    def of(data: bytes, head: bytes) -> tuple:
+    def of(data: bytes) -> tuple:
         payload = from_png(data)
-        return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, read_header(head))
+        return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, read_header(data))
 
     def read(batches):
-        last, done = (None, None), {}
+        held, done = _Open(), {}
         for batch in batches:
             got = []
             for shard, offset, length in zip(batch["shard"].to_pylist(), batch["offset"].to_pylist(), batch["length"].to_pylist(), strict=True):
-                if last[0] != shard:
-                    store, path = fs.FileSystem.from_uri(shard)
-                    last, done = (shard, store.open_input_file(path)), {}
+                if held.name != shard:
+                    done = {}
                 if offset not in done:
-                    file = last[1]
-                    done[offset] = of(file.read_at(length, offset), file.read_at(HEADER, offset))
+                    done[offset] = of(held.at(shard).read_at(length, offset))
                 got.append(done[offset])
             columns = list(zip(*got, strict=True)) or [[]] * 5
             for name, values, kind in zip(names, columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True):
                 batch = batch.append_column(name, pa.array(list(values), kind))
             yield batch
+        held.close()
 
     # rows of a shard lie together as they were written; a scan keeps them so, and nothing is shuffled
-    return manifest.mapInArrow(read, f"{_MANIFEST}, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return manifest.mapInArrow(read, f"{_MANIFEST}, {_METADATA}, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

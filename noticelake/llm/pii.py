@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.storage import cut
+from noticelake.storage import cut, drop
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -30,7 +30,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-BLANKS = r"[\x20\x09-\x0D]+"
+BLANKS, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 #: Terms up to which they are sent to every task: at most some MB, as a term is one word.
 BROADCAST_TERMS = 100_000
 #: Documents with disclosing terms up to which their ids, 8 bytes each, are sent to every task.
@@ -185,7 +185,7 @@ def _told(rows: DataFrame, near: DataFrame, reach: int) -> DataFrame:
 
 
 def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: float = 0.8) -> DataFrame:
-    """``entity``, ``term``, ``disclosure`` of the terms over the threshold.
+    """A stored table of ``entity``, ``term``, ``disclosure`` of the terms over the threshold.
 
     ``rows`` has ``id`` and ``text``. A term and an entity occur together wherever a document holds
     both. ``support`` counts different contexts, ``reach`` words to either side: of the mentions that
@@ -205,7 +205,7 @@ def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: fl
     # a word stuck to a mention stands in no text by itself
     both = told.select("id", "entity", "term").unionByName(pairs.join(close.drop("close"), ["entity", "term"], "left_semi").select("id", "entity", "term")).distinct()
     counted = both.groupBy("entity", "term").agg(F.count("*").alias("together")).join(close, ["entity", "term"], "left").where(F.col("close") | (F.col("together") >= support))
-    known = cut(counted.join(entities, "entity"), "disclosing")
+    paired = cut(counted.join(entities, "entity"), "paired")
     content = F.log(F.lit(float(total)) / F.col("mentioned"))
 
     def disclosure(count: str) -> Column:
@@ -217,15 +217,17 @@ def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: fl
     ids = near.select("id").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    held = _documents_with(rows.join(ids, "id", "left_semi"), known.select("term").distinct(), "held")
-    known = cut(known.join(held, "term", "left").where(disclosure("held") >= threshold).drop("held"), "disclosing")
-    spread = told.join(known.where("close is null").select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term")
+    held = _documents_with(rows.join(ids, "id", "left_semi"), paired.select("term").distinct(), "held")
+    likely = cut(paired.join(held, "term", "left").where(disclosure("held") >= threshold).drop("held"), "likely")
+    spread = told.join(likely.where("close is null").select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term")
     apart = spread.agg(F.countDistinct("mention").alias("m"), F.countDistinct("own").alias("o")).where(F.greatest("m", "o") >= support).select("entity", "term")
-    known = cut(known.where("close").unionByName(known.where("close is null").join(apart, ["entity", "term"], "left_semi")), "disclosing")
+    known = cut(likely.where("close").unionByName(likely.where("close is null").join(apart, ["entity", "term"], "left_semi")), "disclosing")
     anywhere = _documents_with(rows, known.select("term").distinct(), "anywhere")
     # a term stuck to a mention is a word of its own there; it never occurs less often than together
     rated = known.join(anywhere, "term", "left").withColumn("disclosure", disclosure("anywhere"))
-    return rated.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    out = cut(rated.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"), "disclosures")
+    drop(near, entities, told, paired, likely, known)
+    return out
 
 
 def _entities(found: Column) -> Column:
@@ -235,42 +237,48 @@ def _entities(found: Column) -> Column:
     return F.array_distinct(F.transform(found, name))
 
 
+def _identity(key: str, text: str) -> Column:
+    named = F.concat_ws("\1", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\0")), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("\0")))
+    return F.unhex(F.md5(named))
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 8, support: int = 3, threshold: float = 0.8) -> DataFrame:
     """A stored table of ``key``, ``id``, ``base`` and ``terms``, a row per row of ``docs``.
 
     ``base`` and ``terms`` are arrays of spans (kind, start, end, value): code points, ends exclusive;
-    terms that touch a base span are left to it. ``id`` is a hash of key and text. Null text is empty;
+    terms that touch a base span are left to it. ``id`` is a hash of key and text in 128 bits, so that
+    no document is taken for another. Null text is empty;
     rows with a null key count as documents of their own text. Repeated rows are kept.
     """
-    named = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    named = docs.select(F.col(f"`{key}`").alias("key"), _identity(key, text).alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     rows = named.select("id", "text")
     based = cut(with_base(named).select("key", "id", "base"), "base-spans")
-    told = cut(disclosures(rows, reach, support, threshold), "disclosures")
+    told = disclosures(rows, reach, support, threshold)
     if told.isEmpty():
         return based.withColumn("terms", F.array().cast(_SPANS))
     holders = based.where(F.size("base") > 0).select("id", F.explode(_entities(F.col("base"))).alias("entity")).join(told, "entity")
     # what tells an entity for certain is removed, the rest generalised
-    wanted = holders.groupBy("id", "term").agg(F.max("disclosure").alias("d")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "d"))).alias("told"))
-    quoted = F.transform(F.col("told"), lambda t: F.concat(F.lit("\\Q"), F.replace(t["term"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
-    wanted = cut(wanted.select("id", "told", pattern.alias("pattern")), "told")
-    ids = wanted.select("id")
-    if wanted.count() <= BROADCAST_IDS:
+    wanted = cut(holders.groupBy("id", "term").agg(F.max("disclosure").alias("d")), "told")
+    ids = wanted.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    hits = rows.join(ids, "id", "left_semi").join(wanted, "id").dropDuplicates(["id"])
-    placed = _located(hits, "text", {"found": (F.col("pattern"), F.lit(True))}).select("id", "told", "found")
-    sure = lambda told, v: F.exists(told, lambda t: (t["term"] == v) & (t["d"] >= 1 - 1e-9))
-    marked = F.transform("found", lambda x: F.struct(F.when(sure(F.col("told"), x["value"]), "removed").otherwise("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-    terms = placed.select("id", marked.alias("terms"))
+    hits = rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    placed = _located(hits, "text", {"found": (F.lit(WORD), F.lit(True))}).select("id", F.explode("found").alias("w"))
+    met = placed.select("id", "w.start", "w.end", "w.value").join(wanted.withColumnRenamed("term", "value"), ["id", "value"])
+    kind = F.when(F.col("d") >= 1 - 1e-9, "removed").otherwise("term")
+    terms = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", kind.alias("kind")))).alias("found"))
+    terms = terms.select("id", F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).alias("terms"))
     free = F.filter(F.coalesce("terms", F.array().cast(_SPANS)), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return cut(based.join(terms, "id", "left").select("key", "id", "base", free.alias("terms")), "spans")
+    out = cut(based.join(terms, "id", "left").select("key", "id", "base", free.alias("terms")), "spans")
+    drop(based, told, wanted)
+    return out
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with every span of ``text`` masked; all other columns and all rows stay."""
     found = spans(docs, key, text, **options)
     some = found.where("size(base) > 0 or size(terms) > 0").dropDuplicates(["id"]).select(F.col("id").alias("__id"), F.concat("base", "terms").alias("__spans"))
-    joined = docs.withColumn("__id", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))).join(some, "__id", "left")
+    joined = docs.withColumn("__id", _identity(key, text)).join(some, "__id", "left")
     return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(redacted(F.col(f"`{text}`"), F.col("__spans")))).select(*docs.columns)
 
 

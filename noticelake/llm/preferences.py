@@ -9,6 +9,7 @@ completion's mask lists the stretches that a model learns, the assistant's words
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -31,20 +32,6 @@ def adjacent_pairs(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     return pairs.where("n = 2").select(F.col("chosen").alias("pair_id"), "chosen", "rejected")
 
 
-def _completion(turns: Column) -> Column:
-    """Text of rendered turns, and the learnt stretches as start and end, in code points."""
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
-
-    def add(done: Column, x: Column) -> Column:
-        at = F.length(done["text"])
-        head = F.length(x["role"]) + len(OPEN) + 1
-        stretch = F.struct((at + head).alias("start"), (at + F.length(x["shown"]) - 1).alias("end"))
-        mask = F.when(x["role"] == LEARNT, F.concat(done["mask"], F.array(stretch))).otherwise(done["mask"])
-        return F.struct(F.concat(done["text"], x["shown"]).alias("text"), mask.alias("mask"))
-
-    return F.aggregate(turns, start, add)
-
-
 def format_pairs(turns: DataFrame, pairs: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Per pair: ``pair_id``, ``n_common``, ``prompt``, and ``chosen`` and ``rejected`` (text, mask).
 
@@ -60,17 +47,24 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, conv: str = "conv_id", turn
     )
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("chosen").alias("c"), F.lit(1).alias("side")), F.struct(F.col("rejected").alias("c"), F.lit(2).alias("side")))).alias("s")).select("pair_id", "s.c", "s.side")
     met = sides.join(rows, "c", "left").groupBy("pair_id", "turn", "role", "text").agg(F.bit_or("side").alias("sides"))
-    found = met.groupBy("pair_id").agg(
-        F.min(F.when(F.col("sides") < 3, F.col("turn"))).alias("parting"),
-        F.sort_array(F.collect_list(F.when(F.col("turn").isNotNull(), F.struct("turn", "role", "text", "sides", render(F.col("role"), F.col("text")).alias("shown"))))).alias("all"),
-    )
-    early = lambda x: F.col("parting").isNull() | (x["turn"] < F.col("parting"))
-    late = lambda bit: F.filter("all", lambda x: ~early(x) & (x["sides"].bitwiseAND(bit) > 0))
-    prompt = F.filter("all", early)
-    return found.select(
-        "pair_id", F.size(prompt).cast("long").alias("n_common"), F.array_join(F.transform(prompt, lambda x: x["shown"]), "").alias("prompt"),
-        _completion(late(1)).alias("chosen"), _completion(late(2)).alias("rejected"),
-    )
+    pair, apart = W.partitionBy("pair_id"), (F.col("sides") < 3) & F.col("turn").isNotNull()
+    placed = met.withColumn("parting", F.min(F.when(apart, F.col("turn"))).over(pair)).withColumn("shown", render(F.col("role"), F.col("text")))
+    early = F.col("parting").isNull() | (F.col("turn") < F.col("parting"))
+    # part 0 is the prompt, 1 and 2 are the completions; a turn of both sides stands in both
+    parts = F.when(F.coalesce(early, F.lit(True)), F.array(F.lit(0))).when(F.col("sides") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("sides").cast("int")))
+    each = placed.withColumn("part", F.explode(parts))
+    # a running sum of lengths places every turn, and the texts are joined once
+    stop = F.sum(F.length("shown")).over(W.partitionBy("pair_id", "part").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0))
+    item = F.struct("turn", "role", "text", "shown", stop.cast("int").alias("stop"))
+    whole = each.select("pair_id", "part", F.when(F.col("turn").isNotNull(), item).alias("x")).groupBy("pair_id", "part").agg(F.sort_array(F.collect_list("x")).alias("all"))
+    text_of = F.array_join(F.transform("all", lambda x: x["shown"]), "")
+    head = lambda x: x["stop"] - F.length(x["shown"]) + F.length(x["role"]) + len(OPEN) + 1
+    mask = F.transform(F.filter("all", lambda x: x["role"] == LEARNT), lambda x: F.struct(head(x).alias("start"), (x["stop"] - 1).alias("end")))
+    shaped = whole.select("pair_id", "part", F.size("all").cast("long").alias("n"), F.struct(text_of.alias("text"), mask.alias("mask")).alias("side"))
+    none = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
+    of = lambda part, column: F.max_by(column, F.when(F.col("part") == part, 1))
+    found = shaped.groupBy("pair_id").agg(of(0, "n").alias("n"), of(0, "side").alias("p"), of(1, "side").alias("x"), of(2, "side").alias("y"))
+    return found.select("pair_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_common"), F.coalesce("p.text", F.lit("")).alias("prompt"), F.coalesce("x", none).alias("chosen"), F.coalesce("y", none).alias("rejected"))
 
 
 def masks(c: Column) -> Column:

@@ -80,8 +80,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.read_back(media.pack(_documents(spark, sf_dir)))
-    return stored.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored = media.read_back(media.headers(media.pack(_documents(spark, sf_dir))))
+    return stored.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_preferences, op3_pii, op4_html_text, op5_simhash_dedup, op6_pieces, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media)}

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parts of a shard that are numbered on their own; more parts, smaller sorts.
-SLOT_PARTS = 256
+#: Rows of a shard that are numbered together, in one sort that may spill.
+SLOT_ROWS = 1_000_000
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -31,25 +32,28 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(F.array(*draws))["shard"]
 
 
-def slots(df: DataFrame, shard: str, key: str, out: str = "slot", parts: int = SLOT_PARTS) -> DataFrame:
+def slots(df: DataFrame, shard: str, key: str, out: str = "slot", slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Numbers the rows of every shard from 0 without gaps and without sorting a whole shard.
 
-    Rows are numbered inside ``parts`` hashed parts of a shard; the parts' counts, at most
-    shards x parts rows, are summed up and added. Repeated rows get slots of their own.
+    Rows are numbered inside hashed parts of a shard, at least 256 and as many as its counted size
+    asks for; the parts' counts are summed up and added. Rows go by key and then by a hash of the
+    whole row, so that a task that runs again gives the same slots; wholly equal rows share a part
+    and are the same in any order. Null keys come last. A column named ``out`` is replaced.
     """
-    from pyspark.sql import Window as W
-
     part, within, base = "__part", "__within", "__base"
+    held = [c for c in df.columns if c != out]
+    whole = [F.col(f"`{c}`") for c in held]
+    most = df.groupBy(shard).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    parts = max(256, -(-most // slot_rows))
     # the second hash spreads rows that repeat one key; it is of the whole row
-    rows = df.withColumn(part, F.pmod(F.xxhash64(F.lit(17), *[F.col(f"`{c}`") for c in df.columns]), F.lit(parts)).cast("int"))
+    rows = df.select(*held, F.pmod(F.xxhash64(F.lit(17), *whole), F.lit(parts)).cast("int").alias(part))
     counts = rows.groupBy(shard, part).count()
     before = W.partitionBy(shard).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select(shard, part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
-    order = W.partitionBy(shard, part).orderBy(F.col(key).asc_nulls_last())
+    order = W.partitionBy(shard, part).orderBy(F.col(f"`{key}`").asc_nulls_last(), F.xxhash64(F.lit(29), *whole))
     numbered = rows.withColumn(within, F.row_number().over(order) - 1)
-    # shards x parts rows at most: the size of what is broadcast does not depend on the data
-    joined = numbered.join(F.broadcast(bases), [shard, part])
-    return joined.select(*df.columns, (F.col(base) + F.col(within)).cast("long").alias(out))
+    joined = numbered.join(bases, [shard, part])
+    return joined.select(*whole, (F.col(base) + F.col(within)).cast("long").alias(out))
 
 
 def assign(df: DataFrame, key: str, weights: Sequence[float], shard: str = "shard") -> DataFrame:

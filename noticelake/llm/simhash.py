@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import prepare, release, utf8
+from noticelake.llm.common import in_slices, prepare, release, utf8
 from noticelake.operators.components import components
 from noticelake.storage import cut
 
@@ -65,9 +65,7 @@ def with_fingerprint(docs: DataFrame, text: str, out: str, size: int = 3) -> Dat
 
     @F.arrow_udf("long")
     def fingerprint(texts: pa.Array) -> pa.Array:
-        out = pa.array(fingerprints_of(texts, size).view(np.int64))
-        release()
-        return out
+        return in_slices(texts, lambda part: pa.array(fingerprints_of(part, size).view(np.int64)))
 
     return docs.withColumn(out, fingerprint(F.col(f"`{text}`").cast("string")))
 

@@ -1,15 +1,17 @@
 """Substring dedup: words covered by a window that also starts in a smaller document go.
 
-Rows are dealt into groups by their key. A group hashes every window of ``size`` words (Rabin-Karp
-over word hashes), keeps one entry per hash with the smallest key, and sends the entries, packed and
-cut by ranges of the hash, to the range's bucket. A bucket finds the hashes that came from several
-keys and answers every group with one bit per entry. The group hashes its windows again, marks what
-the bits and its own order say, and merges marked windows into maximal intervals.
-
-Scale: a passage in a third of all rows reaches its bucket once per group, not once per row. Groups
-hold about ``group_bytes`` of text and buckets about ``bucket_windows`` entries whatever the input.
-The text is shuffled once: both uses of the dealt rows share one exchange. Windows count as equal
-when their hashes are: 56 bits and the bucket, 64 in all from 256 buckets on.
+Rows are dealt into groups by a hash of the whole row. A group hashes every window of ``size`` words
+(Rabin-Karp over word hashes) and gives one entry per distinct window: its hash, its smallest key and
+the group. Spark counts the entries by hash and finds each hash's smallest key; entries with a larger
+key go back to their group, which hashes its windows again, marks those and what its own order says,
+and merges marked windows into maximal intervals.
+
+Scale: a passage that a third of all rows share is one entry per group, not per row. Entries are
+shuffled once and counted in sorted runs that spill; no task holds a bucket or a hash's entries in
+memory, and a group holds about ``group_bytes`` of text whatever the input, repeated keys and repeated
+rows included. The text is shuffled once: both uses of the dealt rows share one exchange. A window is
+told by 80 bits, 64 of its hash and 16 of another that travel with the group's number: of 10^13
+windows about 40 pairs would be taken for equal wrongly, of 10^9 none.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import prepare, rolling, utf8, word_hashes, words
+from noticelake.llm.common import mix, prepare, release, rolling, utf8, word_hashes, words
 
-_LOW = np.uint64((1 << 56) - 1)
+_CHECK = 16
 
 
 class _Windows:
@@ -31,19 +34,20 @@ class _Windows:
         self.keys = table["key"].fill_null(np.iinfo(np.int64).max).to_numpy()
         self.data, self.offsets = utf8(table["text"])
         self.starts, self.ends, self.first = words(self.data, self.offsets)
-        h = rolling(word_hashes(self.data, self.starts, self.ends), tuple(range(size)))
+        of_words = word_hashes(self.data, self.starts, self.ends)
+        h = rolling(of_words, tuple(range(size)))
+        # the second hash runs over words mixed once more
+        check = (rolling(mix(of_words + np.uint64(1)), tuple(range(size))) & np.uint64((1 << _CHECK) - 1)).astype(np.int64)
         row = np.repeat(np.arange(len(table)), np.diff(self.first))
         inside = row[: len(h)] == row[size - 1 : size - 1 + len(h)]
         self.at = np.flatnonzero(inside)
-        h, self.row = h[inside], row[: len(h)][inside]
-        # equal hashes in order of the row: the first of each has the smallest key
-        order = np.argsort(h, kind="stable")
-        sorted_h = h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = sorted_h[1:] != sorted_h[:-1]
-        self.hash = sorted_h[new]
-        self.owner = self.row[order[new]]
-        self.entry = np.empty(len(h), np.int64)
+        self.hash, self.check, self.row = h[inside].view(np.int64), check[inside], row[: len(h)][inside]
+        # equal windows in order of the row: the first of each has the smallest key
+        order = np.lexsort((np.arange(len(self.at)), self.check, self.hash))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.hash[order[1:]] != self.hash[order[:-1]]) | (self.check[order[1:]] != self.check[order[:-1]])
+        self.firsts = order[new]  # of every distinct window, in order of its hash
+        self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
 
 
@@ -52,74 +56,35 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("key", "ascending"), ("text", "ascending")])
 
 
-def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+_ENTRY = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("tag", pa.int64())])
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes, width: int, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(blob, width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.reshape(-1).view("<u8")
+def _entries(size: int):
+    def entries(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        w = _Windows(_ordered(table), size)
+        at = np.sort(w.firsts)  # neighbours in a text stay neighbours, which compresses their keys
+        out = pa.Table.from_arrays([pa.array(w.hash[at]), pa.array(w.keys[w.row[at]]), pa.array(np.int64(part) << _CHECK | w.check[at])], schema=_ENTRY)
+        release()
+        return out
 
+    return entries
 
-def _send(size: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary())])
 
-    def send(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        w = _Windows(_ordered(table), size)
-        bucket = _bucket_of(w.hash, buckets).astype(np.int64)
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-        rows = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            used, owner = np.unique(w.owner[a:b], return_inverse=True)
-            keys = w.keys[used]
-            steps = np.diff(keys, prepend=np.int64(0)).astype("<i8").view("<u8")
-            rows.append((int(bucket[a]), part, b - a, _pack(w.hash[a:b] & _LOW, 7), _pack(owner.astype(np.uint64), 4), _pack(steps, 8)))
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
-
-    return send
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    parts, counts = table["part"].to_pylist(), table["n"].to_pylist()
-    hashes, keys = [], []
-    for n, h, o, k in zip(counts, table["hashes"].to_pylist(), table["owners"].to_pylist(), table["keys"].to_pylist(), strict=True):
-        owner = _unpack(o, 4, n).astype(np.int64)
-        hashes.append(_unpack(h, 7, n))
-        keys.append(np.cumsum(_unpack(k, 8, int(owner.max()) + 1).view("<i8"))[owner])
-    h, key = np.concatenate(hashes), np.concatenate(keys)
-    order = np.argsort(h, kind="stable")
-    sorted_h = h[order]
-    begin = np.flatnonzero(np.concatenate(([True], sorted_h[1:] != sorted_h[:-1])))
-    least = np.minimum.reduceat(key[order], begin)
-    seen = np.empty(len(h), bool)
-    seen[order] = key[order] > np.repeat(least, np.diff(np.append(begin, len(h))))
-    rows = []
-    for part, n, flags in zip(parts, counts, np.split(seen, np.cumsum(counts)[:-1]), strict=True):
-        if flags.any():
-            rows.append((part, table["bucket"][0].as_py(), n, pa.compress(np.packbits(flags).tobytes(), codec="zstd", asbytes=True)))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["part", "bucket", "n", "bits"])
-
-
-def _remove(size: int, buckets: int):
+def _remove(size: int):
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _ordered(table)
         w = _Windows(table, size)
-        bucket = _bucket_of(w.hash, buckets).astype(np.int64)
-        seen = np.zeros(len(w.hash), bool)
-        for b, n, bits in zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            a = np.searchsorted(bucket, b)
-            seen[a : a + n] = np.unpackbits(np.frombuffer(pa.decompress(bits, (n + 7) // 8, codec="zstd", asbytes=True), np.uint8), count=n).astype(bool)
-        hit = seen[w.entry] | (w.keys[w.row] > w.keys[w.owner[w.entry]])
+        seen = np.zeros(len(w.firsts), bool)
+        told, check = answers["hash"].to_numpy(), answers["tag"].to_numpy() & ((1 << _CHECK) - 1)
+        own = w.hash[w.firsts]
+        lo, hi = np.searchsorted(own, told), np.searchsorted(own, told, "right")
+        while len(lo):  # equal hashes with another check follow each other
+            same = w.check[w.firsts[lo]] == check
+            seen[lo[same]] = True
+            go = ~same & (lo + 1 < hi)
+            lo, hi, check = lo[go] + 1, hi[go], check[go]
+        hit = seen[w.entry] | (w.keys[w.row] > w.keys[w.row[w.firsts[w.entry]]])
         # +1 where a repeated window starts, -1 after its last word: covered where the sum is positive
         n_words = len(w.starts)
         edge = np.zeros(n_words + 1, np.int64)
@@ -168,7 +133,7 @@ def _join(w: _Windows, gone: np.ndarray, i: int) -> str:
     return out[:-1].tobytes().decode("utf-8")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 13, group_bytes: int = 1 << 21, bucket_windows: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 13, group_bytes: int = 1 << 21) -> DataFrame:
     """Per row: ``key``, ``n_words``, ``n_removed``, ``removed`` (word intervals, end exclusive), ``kept``.
 
     A word goes if a window of ``size`` words that covers it also starts in a row with a smaller key;
@@ -176,16 +141,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     goes. Repeated rows with one key do not count against each other. A null key is larger than any.
     Other columns are ignored whatever their names.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     size_of = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     parts = max(256, -(-size_of // group_bytes))
-    buckets = max(256, -(-size_of // 6 // bucket_windows))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key", F.when(F.col("key").isNull(), F.xxhash64("text"))), F.lit(parts)))
-    sent = dealt.groupBy("part").applyInArrow(_send(size, buckets), "bucket long, part long, n long, hashes binary, owners binary, keys binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "part long, bucket long, n long, bits binary")
-    done = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
-        _remove(size, buckets), "key long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string"
-    )
+    # rows are told apart by all they hold, equal rows by where they are read
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key", "text", F.spark_partition_id()), F.lit(parts)))
+    entries = dealt.groupBy("part").applyInArrow(_entries(size), "hash long, key long, tag long")
+    same = W.partitionBy("hash", F.col("tag").bitwiseAND((1 << _CHECK) - 1))
+    later = entries.withColumn("least", F.min("key").over(same)).where("key > least").select(F.shiftright("tag", _CHECK).alias("part"), "hash", "tag")
+    done = dealt.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(_remove(size), "key long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string")
     return done.select(F.col("key").alias(key), "n_words", "n_removed", "removed", "kept")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import tarfile
@@ -51,15 +52,57 @@ def test_languages_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows) and not any(r["rejected"] for r in rows)
 
 
-def test_language_models_are_distributions():
-    code, _ = langid.ngrams(*langid.symbols(pa.array(["the cat sat on the mat", "der hund und die katze", "ein haus"]))[:2])
+def brute_kneser_ney(counts):
+    """Probabilities by the textbook recursion over dictionaries: tuples of symbols to counts."""
+    levels = [counts]
+    for _ in range(langid.ORDER - 1):
+        lower = {}
+        for g in levels[0]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        levels.insert(0, lower)
+
+    def p(g):
+        if not g:
+            return 1 / langid.SYMBOLS
+        level = levels[len(g) - 1]
+        once, twice = (sum(c == k for c in level.values()) for k in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        beside = {k: c for k, c in level.items() if k[:-1] == g[:-1]}
+        if not beside:
+            return p(g[1:])
+        total = sum(beside.values())
+        return max(beside.get(g, 0) - d, 0) / total + d * len(beside) / total * p(g[1:])
+
+    return p
+
+
+def test_language_models_equal_brute_force():
+    table = langid.symbol_table(list("abcdefghijklmnopqrstuvwxyz"))
+    code, _ = langid.ngrams(*langid.symbols(pa.array(["the cat sat on the mat", "der hund und die katze", "ein haus", "the the hat"]), table)[:2])
     gram, n = np.unique(code, return_counts=True)
-    model = langid.kneser_ney(["a", "b"], np.repeat([0, 1], len(gram)), np.tile(gram, 2), np.concatenate((n, n + 1)))
-    context = int(gram[3] // langid.SYMBOLS)
-    p = np.exp(model.score(context * langid.SYMBOLS + np.arange(langid.SYMBOLS)).astype(float))
-    assert np.allclose(p.sum(0), 1, atol=1e-4)
-    unseen = int(np.setdiff1d(np.arange(langid.SYMBOLS**3), gram // langid.SYMBOLS)[7])
-    assert np.allclose(np.exp(model.score(unseen * langid.SYMBOLS + np.arange(langid.SYMBOLS)).astype(float)).sum(0), 1, atol=1e-4)
+    model = langid.kneser_ney(gram, n)
+    split = lambda g: tuple(int(g) // langid.SYMBOLS**i % langid.SYMBOLS for i in range(langid.ORDER - 1, -1, -1))
+    p = brute_kneser_ney({split(g): int(c) for g, c in zip(gram, n, strict=True)})
+    asked = np.concatenate((gram, np.random.default_rng(0).integers(0, langid.SYMBOLS**langid.ORDER, 200)))
+    assert np.allclose(np.exp(model.score(asked)), [p(split(g)) for g in asked], atol=1e-6)
+    for context in (int(gram[3] // langid.SYMBOLS), 7777):
+        assert abs(np.exp(model.score(context * langid.SYMBOLS + np.arange(langid.SYMBOLS))).sum() - 1) < 1e-4
+
+
+def test_languages_reject_texts_with_letters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    rnd = random.Random(2)
+    odd = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(200)]
+    made = [(1, " ".join(odd)), (2, "Съешь ещё этих мягких французских булок, да выпей чаю. " * 9), (3, "我们在这里学习中文并且每天都读书写字和听音乐。" * 9), (4, "zzzz qqqq xxxx " * 20)]
+    halves = [r["text"] for r in docs.where("lang = 'en'").limit(20).collect()], [r["text"] for r in docs.where("lang = 'de'").limit(20).collect()]
+    made += [(100 + i, f"{a[:1000]} {b[:1000]}") for i, (a, b) in enumerate(zip(*halves, strict=True)) if min(len(a), len(b)) >= 1000]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: r["l"] for r in df.withColumn("l", langid.predictor(df, model)(F.col("text"))).collect()}
+    assert all(got[i]["rejected"] and got[i]["score"] < 0.5 for i in (1, 2, 3, 4))
+    assert len(got) > 8 and not any(x["rejected"] for i, x in got.items() if i >= 100)
+    with pytest.raises(ValueError):
+        langid.train(docs.withColumn("lang", F.col("doc_id").cast("string")), max_langs=5)
 
 
 def test_languages_odd_rows(odd):
@@ -159,6 +202,36 @@ def test_disclosing_terms_far_from_the_mention(spark):
     assert terms <= set("bcdefghik")
 
 
+def test_disclosure_counts_equal_brute_force(spark):
+    rnd = random.Random(3)
+    names = [f"n{c}" for c in "abcdefghijkl"]
+    rows = []
+    for i in range(160):
+        who = rnd.choice(names)
+        w = [rnd.choice([f"{a}{b}w" for a in "abcdefgh" for b in "vwxyz"]) for _ in range(rnd.randint(5, 30))]
+        if rnd.random() < 0.5:
+            w.insert(rnd.randrange(len(w)), f"{who}@mail.org")
+            w.insert(rnd.randrange(len(w)), f"alias-{who}" if rnd.random() < 0.8 else "x")
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosures(df, support=1, threshold=0.5).collect()}
+    holds, mentioned = {}, {}
+    for i, t in rows:
+        for w in set(re.findall(WORDS, t)):
+            holds.setdefault(w, set()).add(i)
+        for m in re.finditer(PLAIN["email"], t):
+            mentioned.setdefault(f"email:{m[0].lower()}", set()).add(i)
+    want = {}
+    for e, ids in mentioned.items():
+        for w, of in holds.items():
+            both = len(ids & of)
+            if both and "@" not in w:
+                info = math.log(len(rows) * both / (len(ids) * len(of))) / math.log(len(rows) / len(ids))
+                if info >= 0.5:
+                    want[(e, w)] = info
+    assert want and {k: round(v, 9) for k, v in got.items() if "@" not in k[1]} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_pii_odd_rows(odd):
     assert pii.spans(odd).count() == len(ODD) and pii.spans(odd.limit(0)).count() == 0
     assert sorted(map(str, (r["text"] for r in pii.redact(odd).collect()))) == sorted(str(t) for _, t, _ in ODD)
@@ -181,7 +254,7 @@ def test_main_text(spark):
 
 
 def test_main_text_templates(spark):
-    assert html_text.extract('<body class="with-sidebar"><div id="menu"><a>x</a></div><div class="content"><h1>T</h1><p>Long long text that goes on.<p>Short.<div class="cookie-notice">We</div><form><input>Name</form></div><div class="sidebar">Side</div><div id="comments"><p>nice</p></div><footer>f</footer>') == "T\n\nLong long text that goes on.\n\nShort."
+    assert html_text.extract('<body class="with-sidebar"><div id="menu"><a>x</a></div><div class="content"><h1>T</h1><p>Long long text that goes on.<p>Short.<div class="cookie notice">We</div><form><input>Name</form></div><div class="sidebar">Side</div><div id="comments"><p>nice</p></div><footer>f</footer>') == "T\n\nLong long text that goes on.\n\nShort."
     assert html_text.extract("<header><h1>Site</h1></header><main><article><header><h1>Title</h1></header><p>a&nbsp;&amp; b<br>c<ul><li>x<li>y</ul><section class='comments'><p>c1</section><aside>q</aside></article></main>") == "Title\n\na & b c\n\nx\n\ny"
     for none in (None, "", "  ", "<script>x</script>", "<![foo[x]]>"):
         assert html_text.extract(none) == ""
@@ -190,6 +263,34 @@ def test_main_text_templates(spark):
     assert sorted(len(r["text"]) for r in html_text.with_text(df).collect()) == [0, 0, 3 * 3000 - 2]
 
 
+def test_ratios_choose_the_text(spark):
+    long = "This is a sentence of the article that goes on for quite a while and says a lot of things to whoever reads it. "
+    links = "".join(f"<a href=x>l{i}</a> " for i in range(30))
+    # two articles and no article: the dense containers, not a tag, are the text
+    two = f"<body><div>{links}</div><article><p>{long * 2}</article><article><p>{long * 3}</article><div>{links}</div>"
+    assert html_text.extract(two) == f"{(long * 2).strip()}\n\n{(long * 3).strip()}"
+    none = f"<body><div><div>{links}</div></div><div><h2>Head</h2><p>{long * 2}<p>Short.<p>{long * 2}</div><div>{links}</div>"
+    assert html_text.extract(none) == f"Head\n\n{(long * 2).strip()}\n\nShort.\n\n{(long * 2).strip()}"
+    # a page whose only article is a teaser
+    teaser = f"<body><main><div><p>{long * 4}<p>{long * 4}</div><div><article><p>More <a>x</a> <a>y</a> <a>z</a></article></div></main>"
+    assert html_text.extract(teaser) == f"{(long * 4).strip()}\n\n{(long * 4).strip()}"
+    rnd = random.Random(0)
+    noise = lambda r: [rnd.random() for _ in r]
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert sum(html_text.extract(p, noise) != html_text.extract(p) for p in [*pages, two, none, teaser]) > 10
+
+
+def test_html_depth_is_linear():
+    import time
+
+    assert html_text.extract("<p>Hello <button><i><b><u><s>Buy</s></u></b></i></button> world</p>") == "Hello world"
+    assert html_text.extract("<p>a <svg><g><g><g><g><text>x</text></g></g></g></g></svg> b") == "a b"
+    for page in ("<div>" * 100_000 + "text", "<li><div>" * 30_000 + "text", "<b>" * 50_000 + "</i></p>" * 50_000 + "text", "<p>x " * 100_000):
+        began = time.time()
+        assert html_text.extract(page).strip()
+        assert time.time() - began < 5
+
+
 # ---- 5
 
 
@@ -340,6 +441,33 @@ def test_samples_without_replacement():
         assert abs(weighed - q) < 0.05
 
 
+def test_long_units(spark):
+    import time
+
+    v = pieces.vocabulary(pieces.MODEL)
+    rnd = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for text in ("".join(rnd.choice(letters) for _ in range(300_000)), "a" * 100_000, "学习中文" * 20_000, "-" * 5000 + " word"):
+        began = time.time()
+        (rows,) = pieces.sample_texts(v, pa.array([text]), np.array([7], np.uint64), 2)
+        assert len(rows) in (1, 2) and all(v.decode(r[0].tolist()) == text for r in rows) and time.time() - began < 20
+    # seams are where no piece of the vocabulary runs across
+    text = "▁" + "".join(rnd.choice(letters) for _ in range(300))
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    seam = pieces._seams(v, points, np.array([0]), np.array([len(text)]))
+    known = {b.decode("utf-8", "replace").replace(" ", "▁") for b in v.bytes_of if len(b) > 1}
+    over = {p for a in range(len(text)) for n in range(2, 17) if text[a : a + n] in known and a + n <= len(text) for p in range(a + 1, a + n)}
+    assert set(np.flatnonzero(seam).tolist()) == set(range(1, len(text))) - over
+    # swept alone or beside others, the sums are the same
+    several = pieces._Lattice(v, points, np.array([0]), np.array([len(text)]))
+    held, pieces.ALONE = pieces.ALONE, 10
+    try:
+        single = pieces._Lattice(v, points, np.array([0]), np.array([len(text)]))
+    finally:
+        pieces.ALONE = held
+    assert np.allclose(several.alpha, single.alpha, atol=1e-3) and np.allclose(several.cdf[1:], single.cdf[1:], atol=1e-3)
+
+
 # ---- 7
 
 
@@ -368,11 +496,24 @@ def test_repeats(spark, docs, texts, odd):
         assert all(a["end"] < b["start"] for a, b in itertools.pairwise(r["removed"]))
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(k, t) for k, t, _ in ODD] + [(9, long), (7, "a b " + long + " c"), (8, long), (None, long), (7, long)]
-    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(1)), bucket_windows=3).collect()
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(1))).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in found) == brute_repeats(rows)
     assert substrings.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_repeats_hot_passage_and_key(spark):
+    rnd = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(600):
+        own = [f"x{rnd.randint(0, 10**9)}" for _ in range(rnd.randint(0, 40))]
+        own.insert(rnd.randrange(len(own) + 1), passage)
+        rows.append((i if i % 3 else 7, " ".join(own)))  # a third of the rows have one key
+    rows += [(7, rows[0][1])] * 200  # and many are wholly equal
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), group_bytes=2000).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_repeats(rows)
+
+
 # ---- 8
 
 
@@ -387,6 +528,29 @@ def test_shards(spark, texts):
         assert slots == list(range(len(slots)))
 
 
+def brute_shard(key, weights):
+    seed = xxhash.xxh64_intdigest(("\0null" if key is None else str(key)).encode(), 42)
+    waits = []
+    for shard, weight in enumerate(weights):
+        if weight > 0:
+            h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), seed)
+            waits.append((-math.log(((h >> 12) + 0.5) / 2**52) / weight, shard))
+    return min(waits)[1]
+
+
+def test_shards_equal_brute_force(spark, odd):
+    for r in queries.op8_sharding(spark, SF).collect():
+        assert r["shard"] == brute_shard(r["doc_id"], [1.0] * 16) and r["grown_shard"] == brute_shard(r["doc_id"], [1.0] * 17)
+    for r in sharding.assign(odd, "doc_id", [1.0, 0.0, 2.5, 4.0]).collect():
+        assert r["shard"] == brute_shard(r["doc_id"], [1.0, 0.0, 2.5, 4.0])
+
+
+def test_slots_of_equal_keys_are_stable(spark):
+    df = spark.createDataFrame([(1, 5, f"t{i}") for i in range(300)], "shard int, doc_id long, text string")
+    runs = [sorted((r["text"], r["slot"]) for r in sharding.slots(df.repartition(n), "shard", "doc_id", slot_rows=1).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1] and sorted(x for _, x in runs[0]) == list(range(300))
+
+
 def test_shards_weights_and_odd_rows(spark, odd):
     df = spark.range(20000).withColumnRenamed("id", "doc_id")
     got = {r["shard"]: r["count"] for r in sharding.assign(df, "doc_id", [1.0, 3.0, 0.0]).groupBy("shard").count().collect()}
@@ -402,7 +566,7 @@ def test_shards_weights_and_odd_rows(spark, odd):
 def test_contamination(spark, odd):
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(14, 40)))) for i in range(30)] + [(99, "too short"), (None, "no id " * 9), (98, None)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(14, 40)))) for i in range(30)] + [(99, "..."), (None, "no id " * 9), (98, None)]
     rows, want = [], {}
     for n in range(200):
         filler = [rnd.choice(words) for _ in range(60)]
@@ -422,11 +586,64 @@ def test_contamination(spark, odd):
         assert decontaminate.with_matches(odd, bench.limit(0), broadcast_words=limit).count() == len(ODD)
 
 
+def brute_matches(text, items, window=13, similarity=0.8):
+    t = re.findall("[0-9a-z]+", (text or "").lower())
+    out = set()
+    for name, item in items:
+        w = item.split()
+        size = min(window, len(w))
+        for shift in range(-len(w), len(t) + 1):
+            same = [0 <= i + shift < len(t) and t[i + shift] == x for i, x in enumerate(w)]
+            if any(sum(same[a : a + size]) >= math.ceil(similarity * size - 1e-9) for a in range(len(w) - size + 1)):
+                out.add(name)
+                break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_contamination_equals_brute_force(spark, limit):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    items = [(n * 10 + j, " ".join(f"i{n}x{j}x{m}" for m in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 17, 25) for j in range(2)]
+    rows = []
+    for name, item in items:
+        for edits in range(4):
+            for _ in range(3):
+                copy = item.split()
+                for at in rnd.sample(range(len(copy)), min(edits, len(copy))):
+                    copy[at] = "changed"
+                filler = [rnd.choice(words) for _ in range(rnd.randint(0, 12))]
+                filler[len(filler) // 2 : len(filler) // 2] = copy
+                rows.append((len(rows), " ".join(filler)))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string").withColumn("matches", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in decontaminate.with_matches(df, bench, broadcast_words=limit).collect()}
+    want = {n: brute_matches(t, items) for n, t in rows}
+    # seven to thirteen words and every shorter item: all that brute force finds; longer windows as well on these rows
+    assert got == want and sum(map(len, want.values())) > 150
+
+
 def test_contaminated_documents(spark, texts):
     norm = lambda t: f" {' '.join(re.findall('[0-9a-z\x80-\U0010ffff]+', re.sub('[A-Z]', lambda m: m[0].lower(), t or '')))} "
     bench = [norm(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     whole = {k for k, t in texts.items() if any(b in norm(t) for b in bench)}
-    assert whole <= {r["doc_id"] for r in queries.op9_decontamination(spark, SF).collect() if r["contaminated"]}
+    got = {r["doc_id"]: list(r["item_ids"]) for r in queries.op9_decontamination(spark, SF).collect()}
+    assert whole <= {k for k, found in got.items() if found}
+    # brute force over every diagonal that shares a word, of every document and item
+    items = [(r["item_id"], norm(r["text"]).split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for k, t in texts.items():
+        w = norm(t).split()
+        at = {}
+        for i, x in enumerate(w):
+            at.setdefault(x, []).append(i)
+        want = []
+        for name, item in items:
+            size, diagonals = min(13, len(item)), {}
+            for i, x in enumerate(item):
+                for j in at.get(x, ()):
+                    diagonals.setdefault(j - i, [0] * len(item))[i] = 1
+            if any(sum(same) >= math.ceil(0.8 * size) and max(sum(same[a : a + size]) for a in range(len(item) - size + 1)) >= math.ceil(0.8 * size) for same in diagonals.values()):
+                want.append(name)
+        assert got[k] == sorted(want)
 
 
 # ---- 10
@@ -434,17 +651,25 @@ def test_contaminated_documents(spark, texts):
 
 def test_media(spark, docs, texts, odd):
     manifest = media.pack(docs)
-    for r in media.read_back(manifest).collect():
+    filled = media.headers(manifest)
+    for r in media.read_back(filled).collect():
         payload = media.padded((texts[r["key"]] or "").encode())
         assert len(payload) % 64 == 0 and r["payload_bytes"] == len(payload) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
         assert media.from_png(media.to_png(payload)) == payload and r["media_sha256"] == r["digest"]
-    row = media.headers(manifest).first()
+    row = filled.first()
     assert (row["width"], row["depth"]) == (64, 8) and row["height"] * 64 == row["payload_bytes"]
     with tarfile.open(row["shard"].removeprefix("file://")) as shard:
         assert all(hashlib.sha256(shard.extractfile(m).read()).hexdigest() in m.name for m in shard)
-    got = media.read_back(media.pack(odd)).collect()
+    # a shard that no attempt owns up to goes, the others stay
+    root = row["shard"].rsplit("/", 1)[0].removeprefix("file://")
+    pathlib.Path(f"{root}/lost.tar").write_bytes(b"cut off")
+    assert media._sweep(manifest, f"file://{root}") == 1 and media.read_back(filled).count() == len(texts)
+    clash = odd.selectExpr("*", "1 AS digest", "2 AS shard", "3 AS offset", "4 AS length", "5 AS n_bytes")
+    got = media.read_back(media.headers(media.pack(clash))).collect()
     assert len(got) == len(ODD) and {r["payload_bytes"] for r in got if r["n_bytes"] == 0} == {64}
-    assert media.read_back(media.pack(odd.limit(0))).count() == 0
+    assert media.read_back(media.headers(media.pack(odd.limit(0)))).count() == 0
+    long = spark.createDataFrame([(1, "long text é " * 200_000)], "doc_id long, text string")
+    assert media.read_back(media.headers(media.pack(long))).first()["n_bytes"] == 200_000 * 13
 
 
 # ---- pipeline
@@ -464,3 +689,14 @@ def test_pipeline_stages(spark, docs):
     assert {r["doc_id"] for r in done.collect()} == set(kept)
     assert not any(k in ("email", "ip", "phone") for t in kept.values() for k, _, _ in brute_spans(t))
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.run(spark, SF).count() == len(kept)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (rows, rows.limit(0)):
+            got = stage(spark, df, SF)
+            assert got.count() <= df.count()
+            assert name == "sentencepiece" or got.columns == df.columns
