@@ -13,8 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from noticelake.functions.text import ENGLISH, bigrams, tokens
-from noticelake.operators.vectors import cosine, dot, normalized
+from noticelake.functions.gazetteer import extract_entities, label_category
+from noticelake.functions.once import once
+from noticelake.functions.parsing import strip_html
+from noticelake.functions.severity import severity_label, severity_score
+from noticelake.functions.text import ENGLISH, bigrams, compose_text, tokens
+from noticelake.operators.aggregates import unique_slugs
+from noticelake.operators.vectors import cosine, dot, embed, knn, normalized, novelty, with_surrogates
+from noticelake.schema import COUNTRIES
+from noticelake.storage import cut
+
+#: The classes that a model of classes is trained on.
+TRAINED = ("Class I", "Class II", "Class III")
 
 
 def tfidf(df: DataFrame, key: str, text: str, min_df: int = 2, max_df: float | None = None, max_features: int = 20_000, stop: frozenset[str] = ENGLISH) -> DataFrame:
@@ -134,3 +144,100 @@ def theme_labels(weights: DataFrame, assigned: DataFrame, key: str, n: int = 8,
     clash = lambda kept, t: F.exists(kept, lambda o: parted(o).contains(parted(t)) | parted(t).contains(parted(o)))
     chosen = F.aggregate("terms", F.array().cast("array<string>"), lambda kept, t: F.when((F.size(kept) >= n) | clash(kept, t), kept).otherwise(F.concat(kept, F.array(t))))
     return lists.withColumn("top_terms", chosen).select("theme", "size", "top_terms", F.array_join(F.slice("top_terms", 1, 3), ", ").alias("label"))
+
+
+# ---- passes over stored rows
+
+
+def decode_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Texts with markup or references decoded in place; texts without stay as they are."""
+    return df.withColumns({c: F.when(F.col(c).rlike("[<&]"), strip_html(F.col(c))).otherwise(F.col(c)) for c in columns})
+
+
+def rederive(df: DataFrame) -> DataFrame:
+    """Entities, category and severity of stored rows, derived again from their source fields."""
+    rows = once(df.drop("entities", "category", "severity_score", "severity_label"), reason_text=F.col("reason_text"))
+    rows = once(rows, entities=extract_entities(F.col("reason_text")))
+    rows = once(rows, category=label_category(F.col("reason_text"), F.col("entities")))
+    score = severity_score(F.col("classification"), F.col("category"), F.col("entities"), F.col("states"), F.col("distribution_pattern"), F.col("reason_text"))
+    return once(rows, severity_score=score).withColumn("severity_label", severity_label(F.col("severity_score")))
+
+
+# ---- saved models, predictions, the whole rebuild
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(spark, kind, path: str):
+    """The model stored at ``path``; None where there is none, so that callers fall back."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return kind.load(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def class_counts(df: DataFrame, countries: tuple[str, ...] = ("us", "ca"), classes: tuple[str, ...] = TRAINED) -> DataFrame:
+    """How many notices of every class a country has to train on."""
+    return df.where(F.col("country").isin(*countries) & F.col("classification").isin(*classes)).groupBy("country", "classification").agg(F.count("*").alias("count"))
+
+
+def with_class_index(df: DataFrame, classes: tuple[str, ...] = TRAINED) -> DataFrame:
+    at = F.array_position(F.array(*map(F.lit, classes)), F.col("classification"))
+    return df.where(F.col("classification").isin(*classes)).withColumn("y", (at - 1).cast("double"))
+
+
+def eval_cross(df: DataFrame, vector: str, train: str, test: str) -> DataFrame:
+    """Trained on one country, evaluated on a held-out fifth of it and on another: accuracies and the majority's share."""
+    known = holdout(with_class_index(df), "id", "y")
+    model = train_vectors(known.where((F.col("country") == train) & ~F.col("held")), vector, "y")
+    parts = {"in_domain": (F.col("country") == train) & F.col("held"), "cross": F.col("country") == test}
+    out = None
+    for name, part in parts.items():
+        row = evaluate(apply_vectors(known.where(part), vector, model), "y", "prediction").select(F.lit(name).alias("split"), "accuracy", "balanced", "majority").distinct()
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def predict_class(df: DataFrame, vector: str, model, countries: tuple[str, ...] = ("uk", "za", "eu"), classes: tuple[str, ...] = TRAINED) -> DataFrame:
+    """Predicted class and confidence of countries without classes, and severity scored again with them.
+
+    Notices without a vector, and all without a model, have no prediction and the plain score.
+    """
+    rows = df.where(F.col("country").isin(*countries))
+    if model is None:
+        done = rows.withColumn("predicted_class", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
+    else:
+        usable = apply_vectors(rows.where(F.col(vector).isNotNull()), vector, model).withColumn("predicted_class", F.get(F.array(*map(F.lit, classes)), F.col("prediction").cast("int"))).drop("prediction")
+        done = usable.unionByName(rows.where(F.col(vector).isNull()), allowMissingColumns=True)
+    score = severity_score(F.col("classification"), F.col("category"), F.col("entities"), F.col("states"), F.col("distribution_pattern"), F.col("reason_text"), F.col("predicted_class"), F.coalesce("confidence", F.lit(0.0)))
+    return done.withColumn("severity_score", score).withColumn("severity_label", severity_label(F.col("severity_score")))
+
+
+def rebuild(df: DataFrame, vectors: DataFrame, k: int = 6, n_themes: int = 16, floor: int = 200, least: float = 0.55) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All derived tables of notices with ``id``: neighbours, novelty, and themes with their members.
+
+    Every notice is embedded twice: with its product for neighbours, by its reason for themes. Both
+    stay within a country. Themes are numbered over all countries, their slugs are unique in each.
+    """
+    texts = df.select("id", "country", compose_text(F.col("reason_text"), F.col("product_description"), F.col("company_name"), 2, 1).alias("near"), compose_text(F.col("reason_text"), F.col("product_description"), F.col("company_name"), 4, 1).alias("cause"))
+    held = cut(texts.where("length(near) > 0"), "texts")
+    near = cut(held.select("id", "country").join(embed(held, "id", "near", vectors), "id"), "vectors")
+    neighbors = cut(knn(near, "id", "vector", "country", k), "neighbors")
+    novel = novelty(near, neighbors, "id", "country")
+    cause = cut(held.select("id", "country", "cause").join(embed(held, "id", "cause", vectors), "id"), "vectors")
+    members, named = None, None
+    for country in [r["country"] for r in held.select("country").distinct().orderBy("country").limit(len(COUNTRIES)).collect()]:
+        part = cause.where(F.col("country") == country)
+        placed = themes(part, "id", "vector", n_themes, floor, least)
+        if placed is None:
+            continue
+        placed = cut(placed, "themes")
+        weights = tfidf(part, "id", "cause", min_df=2, max_df=0.5)
+        labels = theme_labels(weights, placed, "id").select(F.lit(country).alias("country"), "theme", "size", "top_terms", "label")
+        members = placed.withColumn("country", F.lit(country)) if members is None else members.unionByName(placed.withColumn("country", F.lit(country)))
+        named = labels if named is None else named.unionByName(labels)
+    if named is None:
+        return neighbors, novel, None
+    base = F.trim(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "-"), F.lit("-"))
+    numbered = with_surrogates(named.withColumnRenamed("theme", "cluster")).withColumn("base", F.when(base == "", F.concat(F.lit("theme-"), F.col("id").cast("string"))).otherwise(base))
+    return neighbors, novel, unique_slugs(numbered, "base", "country", "cluster").drop("base").withColumnRenamed("cluster", "theme")

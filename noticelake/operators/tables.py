@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from noticelake.schema import KEY
+from noticelake.schema import CATEGORIES, COUNTRIES, KEY, SEVERITIES
 
 
 def first_by(df: DataFrame, keys: list[str | Column], *order: Column) -> DataFrame:
@@ -163,6 +163,70 @@ def split_valid(df: DataFrame, **checks: Column) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*failed)))
 
 
+_LENGTH = lambda c, most: F.coalesce(F.length(c) <= most, F.lit(True))
+
+# The bounds of what may be submitted.
+SCORE_BOUNDS = {"score": 100_000_000, "kills": 10_000_000, "wave": 1_000_000, "level": 1_000_000, "duration_ms": 86_400_000, "currency": 1_000_000_000, "space_metal": 10_000_000, "upgrades_purchased": 100_000, "ultimates_owned": 1_000}
+SHIP_KINDS = ("fighter", "interceptor", "dreadnought")
+MOST_CRITERIA, ENTITY_LENGTH, COMPANY_LENGTH = 50, 100, 200
+
+
+def quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The valid rows, without ``violations``, and the others with them."""
+    return checked.where(F.size("violations") == 0).drop("violations"), checked.where(F.size("violations") > 0)
+
+
+def validate_scores(df: DataFrame, name_length: int = 40) -> DataFrame:
+    """Submissions with ``violations``; a blank name becomes Anonymous, others are trimmed."""
+    named = df.withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit("Anonymous")))
+    ranges = {c: F.col(c).between(0, most) for c, most in SCORE_BOUNDS.items() if c in df.columns}
+    return split_valid(named, name=F.length("name") <= name_length, ship_kind=F.col("ship_kind").isin(*SHIP_KINDS), version=F.length("version").between(1, 20), **ranges)
+
+
+def validate_criteria(df: DataFrame) -> DataFrame:
+    """Subscriptions with ``violations``: known countries, one at least; known bands, categories; bounded lists."""
+    some = lambda c, kind="array<string>": F.coalesce(F.col(c), F.array().cast(kind))
+    short = lambda c, most: (F.size(some(c)) <= MOST_CRITERIA) & F.forall(some(c), lambda x: F.length(x) <= most)
+    return split_valid(
+        df, countries=(F.size(some("countries")) > 0) & F.forall(some("countries"), lambda x: x.isin(*COUNTRIES)), min_severity=F.col("min_severity").isNull() | F.col("min_severity").isin(*SEVERITIES),
+        categories=F.forall(some("categories"), lambda x: x.isin(*CATEGORIES)), affected_countries=(F.size(some("affected_countries")) <= MOST_CRITERIA) & F.forall(some("affected_countries"), lambda x: x.rlike("^[A-Za-z]{2}$")),
+        entities=short("entities", ENTITY_LENGTH), companies=short("companies", COMPANY_LENGTH),
+    )
+
+
+def validate_messages(df: DataFrame, longest: int = 5000, field: int = 200) -> DataFrame:
+    """Messages, trimmed, with ``violations``: not blank, bounded fields, an address with a dotted domain."""
+    trimmed = df.withColumn("message", F.trim("message"))
+    mail = F.coalesce(F.length("email"), F.lit(0)) == 0
+    return split_valid(trimmed, message=(F.length("message") > 0) & _LENGTH(F.col("message"), longest), email=(mail | (F.col("email").contains("@") & F.substring_index("email", "@", -1).contains("."))) & _LENGTH(F.col("email"), field), name=_LENGTH(F.col("name"), field), elapsed_ms=F.col("elapsed_ms").isNull() | (F.col("elapsed_ms") >= 0))
+
+
+# ---- migrations
+
+
+def to_array(column: str) -> Column:
+    """A scalar as an array of one; null and blank become null."""
+    return F.when(F.length(F.trim(column)) > 0, F.array(column))
+
+
+def known_only(column: str, codes: tuple[str, ...]) -> Column:
+    return F.when(F.col(column).isin(*codes), F.col(column))
+
+
+def renamed(column: str, old: str, new: str) -> Column:
+    return F.when(F.col(column) == old, new).otherwise(F.col(column))
+
+
+def first_of(column: str) -> Column:
+    return F.get(column, F.lit(0))
+
+
+def never_built(events: DataFrame, df: DataFrame) -> DataFrame:
+    """One row: how many notices and events there are, and whether events were never built for them."""
+    both = df.agg(F.count("*").alias("notices")).crossJoin(events.agg(F.count("*").alias("events")))
+    return both.withColumn("never_built", (F.col("notices") > 0) & (F.col("events") == 0))
+
+
 # ---- probes
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import gazetteer as G
 from noticelake.functions import severity as S
-from noticelake.functions.once import once
+from noticelake.operators.models import rederive
 
 #: Reasons of notices, one for every remainder of the order key.
 REASONS = (
@@ -69,11 +69,7 @@ def _base(dialect: str) -> str:
 
 def derive(df: DataFrame) -> DataFrame:
     """Adds entities, category, severity and the search text to rows with the source fields."""
-    out = once(once(df, reason_text=F.col("reason_text")), entities=G.extract_entities(F.col("reason_text")))
-    out = once(out, category=G.label_category(F.col("reason_text"), F.col("entities")))
-    out = once(out, severity_score=S.severity_score(F.col("classification"), F.col("category"), F.col("entities"), F.col("states"), F.col("distribution_pattern"), F.col("reason_text")))
-    out = out.withColumn("severity_label", S.severity_label(F.col("severity_score")))
-    return out.withColumn("search_text", F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("product_description", "reason_text", "company_name")])))
+    return rederive(df).withColumn("search_text", F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("product_description", "reason_text", "company_name")])))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from noticelake.operators.filters import facets
-from noticelake.plans import q_aggregates, q_filters, q_tables
+from noticelake.plans import q_aggregates, q_feeds, q_filters, q_models, q_tables
 from noticelake.plans.notices import view
 
-_PARTS = (q_filters, q_aggregates, q_tables)
+_PARTS = (q_filters, q_aggregates, q_tables, q_feeds, q_models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

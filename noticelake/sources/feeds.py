@@ -11,6 +11,7 @@ from noticelake.functions import gazetteer as G
 from noticelake.functions import parsing as P
 from noticelake.functions import severity as S
 from noticelake.functions.once import once
+from noticelake.operators.tables import first_by
 from noticelake.schema import NOTICE
 
 ENFORCEMENT = "results array<struct<recall_number:string,event_id:string,status:string,classification:string,product_description:string,reason_for_recall:string,recalling_firm:string,state:string,distribution_pattern:string,recall_initiation_date:string,report_date:string>>"
@@ -26,53 +27,54 @@ NEWS = "Id int, Title string, Created string"
 MEDIA = "Name string, ServerRelativeUrl string, ListItemAllFields struct<Id:int,Title:string,ReleaseDate:string>"
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """A landed feed: one document per file or, with ``lines``, one per line, which splits large files."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
-def read_enforcement(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, ENFORCEMENT).select(F.explode("results").alias("r")).select("r.*")
+def read_enforcement(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, ENFORCEMENT, lines).select(F.explode("results").alias("r")).select("r.*")
 
 
-def read_fsis(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, FSIS).where("langcode = 'English'")
+def read_fsis(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, FSIS, lines).where("langcode = 'English'")
 
 
-def read_fsa(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, FSA).select(F.explode("items").alias("r")).select("r.*")
+def read_fsa(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, FSA, lines).select(F.explode("items").alias("r")).select("r.*")
 
 
-def read_cfia(spark: SparkSession, path: str) -> DataFrame:
-    rows = _json(spark, path, CFIA).withColumnsRenamed({"Recall class": "recall_class", "Last updated": "last_updated"})
+def read_cfia(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    rows = _json(spark, path, CFIA, lines).withColumnsRenamed({"Recall class": "recall_class", "Last updated": "last_updated"})
     return rows.where("Organization = 'CFIA' and length(trim(NID)) > 0")
 
 
-def read_ncc(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, NCC)
+def read_ncc(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, NCC, lines)
 
 
-def read_rasff(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
-    rows = _json(spark, path, RASFF).select(F.explode("value").alias("r")).select("r.*")
+def read_rasff(spark: SparkSession, path: str, since: Column | None = None, lines: bool = False) -> DataFrame:
+    rows = _json(spark, path, RASFF, lines).select(F.explode("value").alias("r")).select("r.*")
     kept = rows.where((F.col("NETWORK_DESC") == "RASFF") & P.is_eu_recall(F.col("NOTIFICATION_CLASSIFICAT_DESC")) & (F.length(F.trim("NOTIFICATION_REFERENCE")) > 0))
     return kept if since is None else kept.where(P.parse_iso_date(F.col("NOTIF_DATE")) >= since)
 
 
-def read_measures(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, MEASURES)
+def read_measures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, MEASURES, lines)
 
 
-def read_seed(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, SEED)
+def read_seed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, SEED, lines)
 
 
-def read_watch(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_watch(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
     """Items of a watched list: source, key, title, date, address. Items without a key are dropped."""
     if kind == "news":
-        rows = _json(spark, path, NEWS).select(F.lit("news").alias("source"), F.col("Id").cast("string").alias("item_key"), F.trim("Title").alias("title"), P.parse_iso_date(F.col("Created")).alias("release_date"), F.lit(None).cast("string").alias("url"))
+        rows = _json(spark, path, NEWS, lines).select(F.lit("news").alias("source"), F.col("Id").cast("string").alias("item_key"), F.trim("Title").alias("title"), P.parse_iso_date(F.col("Created")).alias("release_date"), F.lit(None).cast("string").alias("url"))
     else:
         item = F.col("ListItemAllFields")
         title = F.coalesce(F.nullif(F.trim(item["Title"]), F.lit("")), F.col("Name"))
-        rows = _json(spark, path, MEDIA).select(F.lit("media").alias("source"), item["Id"].cast("string").alias("item_key"), title.alias("title"), P.parse_iso_date(item["ReleaseDate"]).alias("release_date"), F.col("ServerRelativeUrl").alias("url"))
+        rows = _json(spark, path, MEDIA, lines).select(F.lit("media").alias("source"), item["Id"].cast("string").alias("item_key"), title.alias("title"), P.parse_iso_date(item["ReleaseDate"]).alias("release_date"), F.col("ServerRelativeUrl").alias("url"))
     return rows.where("item_key is not null")
 
 
@@ -136,6 +138,11 @@ def normalize_cfia(df: DataFrame) -> DataFrame:
     )
 
 
+def canonical_dedupe(posts: DataFrame, slug: str = "slug", ordinal: str = "id") -> DataFrame:
+    """One post per recall: of those with one canonical slug a dedicated post before others, then the first."""
+    return first_by(posts, [P.canonical_slug(F.col(slug))], (~P.is_dedicated_post(F.col(slug))).cast("int"), F.col(ordinal))
+
+
 def normalize_ncc(df: DataFrame) -> DataFrame:
     title, body = P.strip_html(F.col("title.rendered")), F.col("content.rendered")
     product = P.product_from_title(title)
