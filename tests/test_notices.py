@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticelake.functions import gazetteer as G
+from noticelake.functions import parsing as P
 from noticelake.functions import severity as S
 from noticelake.functions import text as X
 from noticelake.operators import alerts as L
 from noticelake.operators import filters as Q
+from noticelake.operators import models as M
 from noticelake.operators import tables as T
 from noticelake.operators import vectors as V
 from noticelake.operators.components import components
@@ -26,12 +28,12 @@ def land(tmp_path, payload):
 
 def test_enforcement(spark, tmp_path):
     rows = [
-        {"recall_number": "F-1", "classification": "Class II", "reason_for_recall": "Product contains undeclared milk.", "recalling_firm": "Pharm LLC", "state": "FL", "report_date": "20161102"},
-        {"recall_number": "H-1", "reason_for_recall": "May contain undeclared milk &amp; soy.", "recalling_firm": "Reser&#039;s Fine Foods", "state": "Ontario"},
+        {"recall_number": "F-1", "classification": "Class II", "reason_for_recall": "The spread holds milk that no label names.", "recalling_firm": "Quarrel Foods Ltd", "state": "FL", "report_date": "20161102"},
+        {"recall_number": "H-1", "reason_for_recall": "Milk &amp; soy are not on the label.", "recalling_firm": "Marlow&#039;s Deli", "state": "Ontario"},
     ]
     got = {r["recall_number"]: r for r in feeds.normalize_enforcement(feeds.read_enforcement(spark, land(tmp_path, {"results": rows}))).collect()}
     assert got["F-1"]["states"] == ["FL"] and got["F-1"]["report_date"] == datetime.date(2016, 11, 2) and got["F-1"]["category"] == "allergen"
-    assert got["H-1"]["company_name"] == "Reser's Fine Foods" and got["H-1"]["state"] is None and got["H-1"]["states"] is None
+    assert got["H-1"]["company_name"] == "Marlow's Deli" and got["H-1"]["state"] is None and got["H-1"]["states"] is None
     assert [e["value"] for e in got["H-1"]["entities"]] == ["milk", "soybeans"]
 
 
@@ -42,9 +44,9 @@ def test_fsis_fsa_cfia(spark, tmp_path):
     fsa = {"items": [{"notation": "FSA-1", "title": "t", "created": "2018-01-01", "type": ["http://x/Alert", "http://x/PRIN"], "problem": [{"riskStatement": "Salmonella found"}], "productDetails": [{"productName": "A"}, {"productName": "B"}]}]}
     row = feeds.normalize_fsa(feeds.read_fsa(spark, land(tmp_path, fsa))).first()
     assert row["classification"] == "Product Recall" and row["product_description"] == "A / B" and row["entities"][0]["value"] == "Salmonella"
-    cfia = [{"NID": "98765", "Title": "ACME Foods brand Soft Cheese recalled due to Listeria", "Product": "Soft Cheese 200g", "Organization": "CFIA", "Recall class": "Class 1", "Issue": "Listeria"}, {"NID": "1", "Organization": "Consumer"}]
+    cfia = [{"NID": "98765", "Title": "Harbour Lane brand Soft Cheese recalled due to Listeria", "Product": "Soft Cheese 200g", "Organization": "CFIA", "Recall class": "Class 1", "Issue": "Listeria"}, {"NID": "1", "Organization": "Consumer"}]
     row = feeds.normalize_cfia(feeds.read_cfia(spark, land(tmp_path, cfia))).collect()
-    assert len(row) == 1 and row[0]["product_description"] == "ACME Foods Soft Cheese 200g" and row[0]["classification"] == "Class I"
+    assert len(row) == 1 and row[0]["product_description"] == "Harbour Lane Soft Cheese 200g" and row[0]["classification"] == "Class I"
 
 
 def test_rasff_and_measures(spark, tmp_path):
@@ -118,3 +120,107 @@ def test_publish_and_stream_ingest(spark, tmp_path):
 def test_flood_guard_is_strict(spark):
     df = spark.range(101).select(F.when(F.col("id") < 51, "us").otherwise("uk").alias("country"))
     assert {r["country"] for r in L.flood_guard(df).collect()} == {"uk"}
+
+
+def test_harm_is_told_and_not_denied(spark):
+    texts = {
+        "Several people became ill after eating it.": True, "It may cause serious illness in infants.": False, "There are no reports of illness.": False,
+        "An outbreak is under way. No deaths are known.": True, "Two cases of infection were confirmed.": True, "None of the infections was confirmed.": False, None: False,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["h"] for r in df.withColumn("h", S.reported_harm(F.col("t"))).collect()} == texts
+    wide = spark.createDataFrame([("Sold nationwide",), ("National chain",), ("nation-wide",), ("international",), (None,)], "t string")
+    assert [r["n"] for r in wide.withColumn("n", S.nationwide(F.col("t"))).collect()] == [True, True, True, False, None]
+
+
+def test_stems():
+    known = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "electrical": "electr", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "rate": "rate", "controlling": "control", "generalizations": "gener"}
+    assert {w: X.stem(w) for w in known} == known
+
+
+def test_canonical_posts(spark):
+    posts = [(1, "media-statement-recall-of-the-honey-jar"), (2, "product-recall-honey-jar"), (3, "consumers-are-urged-to-return-certain-rusks"), (4, "product-safety-recall-rusks"), (5, "the-jam"), (6, "product-recall-product-recall-the-ncc-urges-consumers-to-return-tea")]
+    got = feeds.canonical_dedupe(spark.createDataFrame(posts, "id int, slug string"))
+    assert sorted(r["id"] for r in got.collect()) == [2, 4, 5, 6]
+    slugs = [r["s"] for r in spark.createDataFrame(posts, "id int, slug string").orderBy("id").select(P.canonical_slug(F.col("slug")).alias("s")).collect()]
+    assert slugs == ["honey-jar", "honey-jar", "rusks", "rusks", "the-jam", "tea"]
+
+
+def test_titles_and_companies(spark):
+    titles = {"Media Statement: Product Safety Recall - Plum Jam": "Plum Jam", "Recall of the Oat Bar": "Oat Bar", "Plum Jam – Product Recall": "Plum Jam", "Product recall procedure": "Product recall procedure", "Product recall:": "Product recall:"}
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert {r["t"]: r["p"] for r in df.withColumn("p", P.product_from_title(F.col("t"))).collect()} == titles
+
+
+def test_tfidf_equals_brute_force(spark):
+    import math
+
+    texts = ["red milk red jar", "milk jar lid", "the red lid", "", "über milk"]
+    got = {(r["id"], r["term"]): r["weight"] for r in M.tfidf(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()}
+    counts = []
+    for t in texts:
+        w = [x for x in t.split() if x.isascii() and x not in X.ENGLISH]
+        bag = {}
+        for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]:
+            bag[x] = bag.get(x, 0) + 1
+        counts.append(bag)
+    df = {x: sum(x in b for b in counts) for b in counts for x in b}
+    want = {}
+    for i, b in enumerate(counts):
+        raw = {x: n * (math.log((1 + len(texts)) / (1 + df[x])) + 1) for x, n in b.items() if df[x] >= 2}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        want |= {(i, x): v / norm for x, v in raw.items()}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_neighbours_in_blocks_and_by_projection(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id AS id", "vec_id % 3 AS part", "embedding")
+    pairs = lambda df: {(r["src"], r["dst"], r["rank"]) for r in df.collect()}
+    exact = pairs(V.knn(rows, "id", "embedding", "part"))
+    assert pairs(V.knn(rows, "id", "embedding", "part", block_rows=40)) == exact
+    near = {(a, b) for a, b, _ in pairs(V.knn_lsh(rows, "id", "embedding", "part"))}
+    assert len({(a, b) for a, b, _ in exact} & near) / len(exact) >= 0.9
+
+
+def test_match_equals_brute_force(spark):
+    notice = lambda i, c, co, ents: ("s", str(i), c, co, "pathogen", "high", [("pathogen", e) for e in ents], None, None)
+    notices = [notice(0, "us", "Acme Foods", ["Listeria"]), notice(1, "us", None, ["milk", "Listeria"]), notice(2, "eu", "Bolt", []), notice(3, "uk", "ACME", ["glass"]), notice(4, "us", "", [])]
+    subs = [(1, ["listeria", "MILK"], None, ["us"]), (2, None, ["acme"], None), (3, None, ["o"], ["us", "us"]), (4, None, None, ["eu"]), (5, None, None, None), (6, [], ["zzz"], ["us"]), (7, ["glass"], ["cme"], ["uk", "us"])]
+    n = spark.createDataFrame(notices, "source string, recall_number string, country string, company_name string, category string, severity_label string, entities array<struct<type:string,value:string>>, notifying_country string, distribution_countries array<string>")
+    s = spark.createDataFrame([(*x, None, None, None) for x in subs], "id int, entities array<string>, companies array<string>, countries array<string>, affected_countries array<string>, categories array<string>, min_severity string")
+    want = []
+    for i, ents, comps, countries in subs:
+        for _, number, c, co, _, _, e, _, _ in notices:
+            ok = (not ents or {x.lower() for x in ents} & {v.lower() for _, v in e}) and (not comps or not co or any(x.lower() in co.lower() for x in comps)) and (not countries or c in countries)
+            want += [(i, number)] if ok else []
+    assert sorted((r["sub_id"], r["recall_number"]) for r in L.match(n, s).collect()) == sorted(want)
+    streamed = streams.match_stream(n, s)
+    assert sorted((r["sub_id"], r["recall_number"]) for r in streamed.collect()) == sorted(want)
+
+
+def test_one_scan_of_the_notices(spark):
+    from noticelake.plans import notices
+    from noticelake.operators import aggregates as A
+    from noticelake.operators import timeseries as TS
+
+    view = notices.view(spark, "/root/testdata/sf0.001")
+    final = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    count = lambda df: final(df).count("orders.parquet")
+    assert count(TS.anomalies(TS.scan_series(view))) == 0  # the stored series stands for the one scan before
+    for df in (Q.facets(view, category="pathogen"), A.stats(view)):
+        df.collect()
+        assert count(df) == 1 or "ReusedExchange" in final(df)
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from noticelake.storage import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
