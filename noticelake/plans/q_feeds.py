@@ -15,7 +15,7 @@ from noticelake.sources import feeds as S
 from noticelake.storage import fresh_path
 
 QUERIES, ORACLE = {}, {}
-_DAY = F.date_format("report_date", "yyyy-MM-dd")
+_day = lambda: F.date_format("report_date", "yyyy-MM-dd")
 
 
 def _land(df: DataFrame, name: str) -> str:
@@ -56,7 +56,7 @@ def _fsis(d: DataFrame) -> DataFrame:
     rows = d.where("source = 'usda'").select(
         F.col("recall_number").alias("field_recall_number"), F.lit("https://x.example/1").alias("field_recall_url"), F.concat(F.lit("<p>"), F.col("product_description"), F.lit("</p>")).alias("field_title"),
         F.col("classification").alias("field_recall_classification"), F.array("reason_text").alias("field_recall_reason"), F.array(F.lit("")).alias("field_product_items"), F.array("company_name").alias("field_establishment"),
-        F.concat(F.transform("states", lambda x: F.element_at(lookup, x)), F.array(F.lit("Ontario"))).alias("field_states"), _DAY.alias("field_recall_date"),
+        F.concat(F.transform("states", lambda x: F.element_at(lookup, x)), F.array(F.lit("Ontario"))).alias("field_states"), _day().alias("field_recall_date"),
         F.when(F.col("id") % 4 < 2, "True").otherwise("False").alias("field_active_notice"), F.when(F.col("id") % 3 > 0, "English").otherwise("Spanish").alias("langcode"),
     )
     return S.normalize_fsis(S.read_fsis(d.sparkSession, _land(rows, "fsis"), lines=True))
@@ -71,7 +71,7 @@ _register(
 def _fsa(d: DataFrame) -> DataFrame:
     kinds = F.element_at(F.array(F.array(F.lit("http://x.example/Alert"), F.lit("http://x.example/AA")), F.array(F.lit("http://x.example/PRIN")), F.array(F.lit("http://x.example/Other"))), (F.col("id") % 3 + 1).cast("int"))
     item = F.struct(
-        F.col("recall_number").alias("notation"), F.col("product_description").alias("title"), _DAY.alias("created"), kinds.alias("type"), F.struct(F.lit("Published").alias("label")).alias("status"),
+        F.col("recall_number").alias("notation"), F.col("product_description").alias("title"), _day().alias("created"), kinds.alias("type"), F.struct(F.lit("Published").alias("label")).alias("status"),
         F.lit("https://x.example/2").alias("alertURL"), F.struct(F.col("company_name").alias("commonName")).alias("reportingBusiness"), F.array(F.struct(F.col("reason_text").alias("riskStatement"))).alias("problem"),
         F.array(F.struct(F.col("product_description").alias("productName")), F.struct(F.lit(" B ").alias("productName"))).alias("productDetails"),
     )
@@ -88,7 +88,7 @@ def _cfia(d: DataFrame) -> DataFrame:
     rows = d.where("source = 'cfia'").select(
         F.when(F.col("id") % 10 > 0, F.col("recall_number")).otherwise(" ").alias("NID"), F.concat(F.lit("Certain ACME brand "), F.col("product_description"), F.lit(" recalled")).alias("Title"), F.lit("https://x.example/3").alias("URL"),
         F.when(F.col("id") % 4 > 0, "CFIA").otherwise("Health Canada").alias("Organization"), F.col("product_description").alias("Product"), F.col("reason_text").alias("Issue"),
-        F.concat(F.lit("Class "), (F.col("id") % 3 + 1).cast("string")).alias("Recall class"), _DAY.alias("Last updated"), (F.col("id") % 2).cast("string").alias("Archived"),
+        F.concat(F.lit("Class "), (F.col("id") % 3 + 1).cast("string")).alias("Recall class"), _day().alias("Last updated"), (F.col("id") % 2).cast("string").alias("Archived"),
     )
     return S.normalize_cfia(S.read_cfia(d.sparkSession, _land(rows, "cfia"), lines=True))
 
@@ -103,7 +103,7 @@ def _posts(d: DataFrame) -> DataFrame:
     """Posts of one feed: every recall of even id has a twin under another kind of post."""
     base = d.where("source = 'ncc'")
     twin = lambda prefix, add: base.where("id % 8 = 0" if add else "true").select(
-        (F.col("id") * 2 + add).cast("int").alias("id"), F.concat(F.lit(prefix), F.lit("notice-"), F.col("recall_number")).alias("slug"), F.lit("https://x.example/4").alias("link"), _DAY.alias("date"), _DAY.alias("modified"),
+        (F.col("id") * 2 + add).cast("int").alias("id"), F.concat(F.lit(prefix), F.lit("notice-"), F.col("recall_number")).alias("slug"), F.lit("https://x.example/4").alias("link"), _day().alias("date"), _day().alias("modified"),
         F.struct(F.concat(F.lit("Product recall – "), F.col("product_description")).alias("rendered")).alias("title"),
         F.struct(F.concat(F.lit("<p>"), F.col("reason_text"), F.lit("</p><p>It was reported by "), F.coalesce("company_name", F.lit("Nobody")), F.lit(".</p>")).alias("rendered")).alias("content"), F.struct(F.lit("").alias("rendered")).alias("excerpt"),
     )
@@ -120,7 +120,7 @@ def _rasff(d: DataFrame, since=None) -> DataFrame:
     names = F.create_map(*[F.lit(x) for pair in (("DE", "Germany"), ("FR", "France"), ("BE", "Belgium"), ("NL", "Netherlands"), ("ES", "Spain")) for x in pair])
     kinds = F.element_at(F.array(*map(F.lit, ("Alert notification", "Information notification for attention", "Border rejection"))), (F.col("id") % 3 + 1).cast("int"))
     item = F.struct(
-        F.col("id").alias("NOTIF_ID"), F.col("recall_number").alias("NOTIFICATION_REFERENCE"), _DAY.alias("NOTIF_DATE"), F.col("product_description").alias("PRODUCT_NAME"), F.col("reason_text").alias("NOTIF_SUBJECT"),
+        F.col("id").alias("NOTIF_ID"), F.col("recall_number").alias("NOTIFICATION_REFERENCE"), _day().alias("NOTIF_DATE"), F.col("product_description").alias("PRODUCT_NAME"), F.col("reason_text").alias("NOTIF_SUBJECT"),
         F.element_at(names, F.col("notifying_country")).alias("NOTIFYNG_COUNTRY_DESC"), kinds.alias("NOTIFICATION_CLASSIFICAT_DESC"), F.lit("other - {x}").alias("HAZARD_CATEGORY_NAME"), F.lit("Atlantis *** Germany").alias("ORIGIN_COUNTRY_DESC"),
         F.array_join(F.transform("distribution_countries", lambda c: F.element_at(names, c)), "***").alias("DISTRIBUTION_COUNTRY_DESC"), F.when(F.col("id") % 7 > 0, "RASFF").otherwise("iRASFF").alias("NETWORK_DESC"),
     )
@@ -150,7 +150,7 @@ _register(
 
 
 def _seed(d: DataFrame) -> DataFrame:
-    rows = d.where("country = 'za' and source <> 'ncc'").select("source", "recall_number", F.lit("https://x.example/5").alias("source_url"), "product_description", "reason_text", "company_name", _DAY.alias("report_date"))
+    rows = d.where("country = 'za' and source <> 'ncc'").select("source", "recall_number", F.lit("https://x.example/5").alias("source_url"), "product_description", "reason_text", "company_name", _day().alias("report_date"))
     return S.normalize_seed(S.read_seed(d.sparkSession, _land(rows, "seed"), lines=True))
 
 

@@ -35,13 +35,13 @@ on(
     "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN p_brand ELSE 'Anonymous' END AS name, list_sort(list_filter([CASE WHEN p_partkey % 4 = 3 THEN 'ship_kind' END, CASE WHEN p_partkey % 5 = 0 THEN 'version' END, CASE WHEN floor(p_retailprice) < 950 THEN 'score' END, CASE WHEN p_size * 2500000 > 86400000 THEN 'duration_ms' END], lambda x: x IS NOT NULL)) AS violations FROM part",
 )
 on("fn_quarantine", "part", lambda p: (lambda ok, bad: ok.select("id", F.lit(True).alias("valid")).unionByName(bad.select("id", F.lit(False).alias("valid"))))(*T.quarantine(T.validate_scores(_scores(p)))), "SELECT p_partkey AS id, NOT (p_partkey % 4 = 3 OR p_partkey % 5 = 0 OR floor(p_retailprice) < 950 OR p_size * 2500000 > 86400000) AS valid FROM part")
-_k = F.col("c_custkey")
-_criteria = lambda c: c.select(_k.alias("id"), F.when(_k % 3 > 0, F.array(F.lit("us"), F.when(_k % 7 == 0, "nz").otherwise("eu"))).alias("countries"), F.when(_k % 4 > 0, F.element_at(F.array(*map(F.lit, ("high", "odd", "low"))), (_k % 3 + 1).cast("int"))).alias("min_severity"), F.when(_k % 5 > 0, F.array(F.lit("pathogen"), F.when(_k % 11 == 0, "x").otherwise("other"))).alias("categories"), F.when(_k % 2 == 0, F.array(F.lit("de"), F.when(_k % 8 == 0, "DEU").otherwise("FR"))).alias("affected_countries"), F.transform(F.sequence(F.lit(1), (_k % 60).cast("int") + 1), lambda i: F.lit("e")).alias("entities"), F.array(F.repeat("c_name", (_k % 20).cast("int"))).alias("companies"))
+_key = lambda: F.col("c_custkey")
+_criteria = lambda c: c.select(_key().alias("id"), F.when(_key() % 3 > 0, F.array(F.lit("us"), F.when(_key() % 7 == 0, "nz").otherwise("eu"))).alias("countries"), F.when(_key() % 4 > 0, F.element_at(F.array(*map(F.lit, ("high", "odd", "low"))), (_key() % 3 + 1).cast("int"))).alias("min_severity"), F.when(_key() % 5 > 0, F.array(F.lit("pathogen"), F.when(_key() % 11 == 0, "x").otherwise("other"))).alias("categories"), F.when(_key() % 2 == 0, F.array(F.lit("de"), F.when(_key() % 8 == 0, "DEU").otherwise("FR"))).alias("affected_countries"), F.transform(F.sequence(F.lit(1), (_key() % 60).cast("int") + 1), lambda i: F.lit("e")).alias("entities"), F.array(F.repeat("c_name", (_key() % 20).cast("int"))).alias("companies"))
 on(
     "fn_validate_criteria", "customer", lambda c: T.validate_criteria(_criteria(c)).select("id", F.array_sort("violations").alias("violations")),
     "SELECT c_custkey AS id, list_sort(list_filter([CASE WHEN c_custkey % 3 = 0 OR c_custkey % 7 = 0 THEN 'countries' END, CASE WHEN c_custkey % 4 > 0 AND c_custkey % 3 = 1 THEN 'min_severity' END, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 11 = 0 THEN 'categories' END, CASE WHEN c_custkey % 8 = 0 THEN 'affected_countries' END, CASE WHEN c_custkey % 60 >= 50 THEN 'entities' END, CASE WHEN length(c_name) * (c_custkey % 20) > 200 THEN 'companies' END], lambda x: x IS NOT NULL)) AS violations FROM customer",
 )
-_messages = lambda c: c.select(_k.alias("id"), F.when(_k % 5 > 0, F.concat(F.lit("  "), F.col("c_name"))).otherwise("  ").alias("message"), F.element_at(F.array(F.lit("a@b.example"), F.lit("a@example"), F.lit(""), F.lit(None).cast("string")), (_k % 4 + 1).cast("int")).alias("email"), F.col("c_name").alias("name"), (_k % 9 - 1).alias("elapsed_ms"))
+_messages = lambda c: c.select(_key().alias("id"), F.when(_key() % 5 > 0, F.concat(F.lit("  "), F.col("c_name"))).otherwise("  ").alias("message"), F.element_at(F.array(F.lit("a@b.example"), F.lit("a@example"), F.lit(""), F.lit(None).cast("string")), (_key() % 4 + 1).cast("int")).alias("email"), F.col("c_name").alias("name"), (_key() % 9 - 1).alias("elapsed_ms"))
 on(
     "fn_validate_messages", "customer", lambda c: T.validate_messages(_messages(c)).select("id", "message", F.array_sort("violations").alias("violations")),
     "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN c_name ELSE '' END AS message, list_sort(list_filter([CASE WHEN c_custkey % 5 = 0 THEN 'message' END, CASE WHEN c_custkey % 4 = 1 THEN 'email' END, CASE WHEN c_custkey % 9 = 0 THEN 'elapsed_ms' END], lambda x: x IS NOT NULL)) AS violations FROM customer",

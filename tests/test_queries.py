@@ -31,3 +31,12 @@ def test_every_sql_has_a_query():
 
 def test_flagship_has_rows(spark):
     assert registry.flagship(spark, SF).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
