@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, html_text, langid, media, pieces, pii, preferences, sharding, simhash, substrings
+from noticelake.functions.once import once
+from noticelake.llm import decontaminate, html_text, langid, media, periodic, pieces, pii, preferences, prefix_trie, sharding, simhash, substrings, token_counts
 
 SHARDS = 16
 
@@ -84,6 +85,42 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_preferences, op3_pii, op4_html_text, op5_simhash_dedup, op6_pieces, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media)}
+def _replayed(docs: DataFrame) -> DataFrame:
+    """Every tenth document's words from word a on become repetitions of p words; the others' texts stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    told = once(docs.withColumn("g", F.floor(h / 10)), words=split).withColumn("n", F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)))
+    least = F.greatest("n", F.lit(1))
+    placed = told.withColumn("a", (F.col("g") % least).cast("int"))
+    placed = once(placed, a=F.col("a"), p=(1 + F.floor((least - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    at = lambda i: F.element_at("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")) + 1)
+    again = F.array_join(F.transform(F.sequence(F.lit(0), least - 1), at), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(_replayed(_documents(spark, sf_dir).select("doc_id", "text")), out="found")
+    runs = F.col("found.runs")
+    # the greatest length over period; the first of equal ones, since runs are ordered
+    best = F.reduce(runs, F.get(runs, F.lit(0)), lambda b, x: F.when(x["length"] * b["period"] > b["length"] * x["period"], x).otherwise(b))
+    line = F.array_join(F.transform(runs, lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n"))), "")
+    told = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("b"), F.sha2(line, 256).alias("runs_sha256"), F.sha2("found.text", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * b.length div b.period")
+    return told.select("doc_id", "n_runs", "b.start", "b.length", "b.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    head = (F.crc32(F.col("c").cast("string").cast("binary")) % 6).cast("int")
+    return prefix_trie.trie(prefix_trie.rebased(found, F.col("c") - F.col("c") % 100, head, most=5))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.with_counts(_documents(spark, sf_dir).select("doc_id", "text"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_preferences, op3_pii, op4_html_text, op5_simhash_dedup, op6_pieces, op7_substring_dedup, op8_sharding, op9_decontamination, op10_media, op11_periodic_runs, op12_prefix_trie, op13_token_counts)}
 
 ORACLE_SQL = {"op2_preferences": preferences.SQL}
