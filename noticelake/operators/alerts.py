@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from noticelake.schema import COUNTRIES, SEVERITIES
+from noticelake.schema import COUNTRIES, KEY, SEVERITIES
 from noticelake.storage import cut
 
 CAP, FLOOD = 89, 50
@@ -54,15 +54,6 @@ def matches(fold_case: bool = False) -> Column:
     return out & (F.col("sub_min_severity").isNull() | ((have > 0) & (want > 0) & (have >= want)))
 
 
-_NAMES = ("entities", "companies", "countries", "affected_countries", "categories", "min_severity")
-
-
-def criteria_of(subs: DataFrame) -> DataFrame:
-    """``sub_id``, the criteria as ``sub_*``, and ``__c``: one row per country; all countries where none is named."""
-    countries = F.when(_some("countries"), F.array_distinct("countries")).otherwise(F.array(*map(F.lit, COUNTRIES)))
-    return subs.select(F.col("id").alias("sub_id"), *[F.col(c).alias(f"sub_{c}") for c in _NAMES], F.explode(countries).alias("__c"))
-
-
 def _gram(c: Column) -> Column:
     """All stretches of three characters of a text, the whole of a shorter one."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
@@ -84,37 +75,92 @@ def companies_named(notices: DataFrame, criteria: DataFrame) -> DataFrame:
     return rare.join(index, "gram").where(F.col("company").contains(F.col("criterion"))).select("criterion", "company")
 
 
+def _sorted(a: Column, case=F.lower) -> Column:
+    """Distinct values in order, null for none: equal criteria look alike."""
+    values = F.array_sort(F.array_distinct(F.filter(F.transform(a, lambda x: case(x) if case else x), lambda x: x.isNotNull())))
+    return F.when(F.size(values) > 0, values)
+
+
+def _signed(notices: DataFrame, fold_case: bool) -> DataFrame:
+    """Keys, company and signature of every notice: all that criteria look at but the company, and ``sig``, its 128-bit name."""
+    none = F.array().cast("array<string>")
+    codes = F.when(F.col("country") == "eu", F.coalesce(_sorted(F.concat(F.coalesce("distribution_countries", none), F.array_compact(F.array("notifying_country"))), F.upper), none))
+    parts = {
+        "country": F.lower("country") if fold_case else F.col("country"), "category": F.lower("category") if fold_case else F.col("category"), "severity_label": F.col("severity_label"),
+        "values": F.coalesce(_sorted(F.transform("entities", lambda e: e["value"])), none), "codes": codes,
+    }
+    rows = notices.select(*KEY, F.lower(F.coalesce("company_name", F.lit(""))).alias("company"), *[c.alias(n) for n, c in parts.items()])
+    return rows.withColumn("sig", F.md5(F.to_json(F.struct(*parts))))
+
+
+def _asked(subs: DataFrame, fold_case: bool) -> DataFrame:
+    """``sub_id``, ``companies`` and criteria ``sub_*`` of subscriptions that can match at all, and ``crit``, the 128-bit name of their criteria."""
+    low = F.lower if fold_case else None
+    criteria = {"entities": _sorted(F.col("entities")), "countries": _sorted(F.col("countries"), low), "affected_countries": _sorted(F.col("affected_countries"), F.upper), "categories": _sorted(F.col("categories"), low), "min_severity": F.col("min_severity")}
+    companies = _sorted(F.col("companies"))
+    # an empty name is part of every name: it asks for nothing
+    companies = F.when(~F.array_contains(companies, ""), companies)
+    possible = F.col("min_severity").isNull() | F.col("min_severity").isin(*SEVERITIES)
+    rows = subs.where(possible).select(F.col("id").alias("sub_id"), companies.alias("companies"), *[c.alias(f"sub_{n}") for n, c in criteria.items()])
+    return rows.withColumn("crit", F.md5(F.to_json(F.struct(*[f"sub_{n}" for n in criteria]))))
+
+
+def _meetings(signatures: DataFrame, criteria: DataFrame, fold_case: bool) -> DataFrame:
+    """``sig`` and ``crit`` that match but for companies. They meet on country and an entity, or on country where none is asked for."""
+    everywhere = F.array(*map(F.lit, COUNTRIES))
+    sides = criteria.withColumn("__c", F.explode(F.coalesce("sub_countries", everywhere))).withColumn("__way", F.explode(F.coalesce("sub_entities", F.array(F.lit("")))))
+    offered = signatures.withColumn("__way", F.explode(F.concat(F.array(F.lit("")), "values"))).withColumn("__n", F.col("country"))
+    met = offered.join(sides, (F.col("__n") == F.col("__c")) & (offered["__way"] == sides["__way"]))
+    shaped = met.withColumns({
+        "entities": F.transform("values", lambda v: F.struct(v.alias("value"))), "distribution_countries": F.col("codes"), "notifying_country": F.lit(None).cast("string"),
+        "company_name": F.lit(None).cast("string"), "sub_companies": F.lit(None).cast("array<string>"),
+    })
+    return shaped.where(matches(fold_case)).select("sig", "crit").distinct()
+
+
+def _sides(notices: DataFrame, subs: DataFrame, fold_case: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signed notices, asked subscriptions, meetings, and the pairs that meet by a company's name.
+
+    Notices and subscriptions are read once and stored. Distinct signatures are held against distinct
+    criteria, which both grow far slower than the rows.
+    """
+    signed, asked = cut(_signed(notices, fold_case), "signed"), cut(_asked(subs, fold_case), "asked")
+    signatures = signed.drop(*KEY, "company").dropDuplicates(["sig"])
+    criteria = asked.drop("sub_id", "companies").dropDuplicates(["crit"])
+    met = cut(_meetings(signatures, criteria, fold_case), "meetings")
+    by_name = asked.where("companies is not null").withColumnRenamed("companies", "sub_companies")
+    named = companies_named(signed.withColumnRenamed("company", "company_name"), by_name)
+    holding = by_name.select("sub_id", "crit", F.explode("sub_companies").alias("criterion")).join(named, "criterion").select("sub_id", "crit", "company").distinct()
+    return signed, asked, met, holding.join(signed, "company").join(met, ["sig", "crit"], "left_semi")
+
+
 def match(notices: DataFrame, subs: DataFrame, fold_case: bool = False) -> DataFrame:
     """``sub_id`` and the key of every matching pair, once per notice.
 
-    Pairs meet in equi joins on country and the most selective criterion a subscription has: its
-    entities; without any its companies, by way of the distinct names that hold them; else the
-    country alone. Those that name no country get all of the closed vocabulary's.
+    A subscription without companies gets the notices of every signature that its criteria meet; one
+    with companies those of them that name no company, and those whose company holds one of its texts.
     """
-    low = lambda a: F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.lower(x)))
-    route = lambda kind, x: F.concat(F.lit(f"{kind}:"), x)
-    sides = criteria_of(subs).withColumn("__c", F.lower("__c") if fold_case else F.col("__c")).dropDuplicates(["sub_id", "__c"])
-    by_entity = sides.where(_some("sub_entities")).withColumn("__r", F.explode(F.transform(low(F.col("sub_entities")), lambda x: route("entity", x))))
-    rest = sides.where(~_some("sub_entities"))
-    by_company = rest.where(_some("sub_companies"))
-    named = companies_named(notices, by_company)
-    holding = by_company.withColumn("criterion", F.explode(F.transform("sub_companies", lambda c: F.lower(c)))).join(named, "criterion").dropDuplicates(["sub_id", "__c", "company"])
-    # a company criterion lets notices without a company pass
-    routes = by_entity.unionByName(holding.withColumn("__r", route("company", F.col("company"))).select(*by_entity.columns))
-    routes = routes.unionByName(by_company.withColumn("__r", F.lit("company:"))).unionByName(rest.where(~_some("sub_companies")).withColumn("__r", F.lit("any")))
-    values = low(F.transform("entities", lambda e: e["value"]))
-    ways = F.concat(F.transform(values, lambda x: route("entity", x)), F.array(route("company", F.lower(F.coalesce("company_name", F.lit("")))), F.lit("any")))
-    offered = notices.withColumn("__n", F.lower("country") if fold_case else F.col("country")).withColumn("__way", F.explode(ways)).withColumn("__first", values)
-    met = offered.join(routes, (F.col("__n") == F.col("__c")) & (F.col("__way") == F.col("__r"))).where(matches(fold_case))
-    # of several entities that both have, the first one counts
-    once = ~F.col("__r").startswith("entity:") | (F.col("__r") == route("entity", F.get(F.array_intersect("__first", low(F.col("sub_entities"))), F.lit(0))))
-    return met.where(once).select("sub_id", "source", "recall_number")
-
-
-def delivery_plan(found: DataFrame, subs: DataFrame, today: str, cap: int = CAP) -> DataFrame:
-    """Active subscribers with matches in order of confirmation: the first ``cap`` are delivered and
-    their skipped dates cleared, the rest note today once."""
-    counts = found.groupBy("sub_id").agg(F.count("*").alias("match_count"))
+    signed, asked, met, by_name = _sides(notices, subs, fold_case)
+    ways = F.when(F.col("company") == "", F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    offered = signed.select(*KEY, "sig", F.explode(ways).alias("named"))
+    wanted = asked.select("sub_id", "crit", F.col("companies").isNull().alias("named")).join(met, "crit")
+    return wanted.join(offered, ["sig", "named"]).select("sub_id", *KEY).unionByName(by_name.select("sub_id", *KEY))
+
+
+def match_counts(notices: DataFrame, subs: DataFrame, fold_case: bool = False) -> DataFrame:
+    """``sub_id`` and ``match_count`` of subscriptions with matches, as from ``match``, without its pairs: signatures are counted."""
+    signed, asked, met, by_name = _sides(notices, subs, fold_case)
+    sizes = signed.groupBy("sig").agg(F.count("*").alias("n"), F.count_if(F.col("company") == "").alias("nameless"))
+    # what one set of criteria meets is counted once for all who have it
+    per = met.join(sizes, "sig").groupBy("crit").agg(F.sum("n").alias("n"), F.sum("nameless").alias("nameless"))
+    counted = asked.join(per, "crit").select("sub_id", F.when(F.col("companies").isNull(), F.col("n")).otherwise(F.col("nameless")).alias("n"))
+    every = counted.unionByName(by_name.groupBy("sub_id").agg(F.count("*").alias("n")))
+    return every.groupBy("sub_id").agg(F.sum("n").alias("match_count")).where("match_count > 0")
+
+
+def delivery_plan(counts: DataFrame, subs: DataFrame, today: str, cap: int = CAP) -> DataFrame:
+    """Active subscribers with matches (``sub_id``, ``match_count``) in order of confirmation: the first ``cap`` are
+    delivered and their skipped dates cleared, the rest note today once."""
     rows = subs.where("status = 'active'").join(counts, F.col("id") == F.col("sub_id")).select("id", "confirmed_at", "skipped_at", "match_count")
     # positions come from a sort by confirmation; only who is past the cap needs to be told apart
     first = rows.orderBy("confirmed_at", "id").limit(cap).select("id", F.lit(True).alias("__in"))
@@ -146,15 +192,14 @@ def digest(found: DataFrame, notices: DataFrame, body: int = 160, most: int = 10
 
 
 def dispatch(notices: DataFrame, subs: DataFrame, cursor: Column, now: Column, today: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Matches, delivery plan and one row of metrics of a run."""
-    fresh = since_cursor(notices, cursor, now)
-    flowing = flood_guard(fresh)
-    found = cut(match(flowing, subs.where("status = 'active'")), "matches")
-    plan = delivery_plan(found, subs, today)
+    """Match counts, delivery plan and one row of metrics of a run; matches are counted, never listed."""
+    fresh = cut(since_cursor(notices, cursor, now), "fresh")
+    counted = cut(match_counts(flood_guard(fresh), subs.where("status = 'active'")), "match-counts")
+    plan = delivery_plan(counted, subs, today)
     counts = fresh.groupBy("country").agg(F.count("*").alias("n"))
     metrics = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("new"), F.coalesce(F.sum(F.when(F.col("n") <= FLOOD, F.col("n"))), F.lit(0)).alias("flowing"))
     metrics = metrics.crossJoin(plan.agg(F.count("*").alias("matched_subscribers"), F.count_if("delivered").alias("will_receive")))
-    return found, plan, metrics
+    return counted, plan, metrics
 
 
 def plan_updates(batch: DataFrame, seen: DataFrame) -> DataFrame:

@@ -168,6 +168,7 @@ _LENGTH = lambda c, most: F.coalesce(F.length(c) <= most, F.lit(True))  # noqa:
 # The bounds of what may be submitted.
 SCORE_BOUNDS = {"score": 100_000_000, "kills": 10_000_000, "wave": 1_000_000, "level": 1_000_000, "duration_ms": 86_400_000, "currency": 1_000_000_000, "space_metal": 10_000_000, "upgrades_purchased": 100_000, "ultimates_owned": 1_000}
 SHIP_KINDS = ("fighter", "interceptor", "dreadnought")
+NAME_LENGTH, VERSION_LENGTH = 30, 20
 MOST_CRITERIA, ENTITY_LENGTH, COMPANY_LENGTH = 50, 100, 200
 
 
@@ -176,11 +177,13 @@ def quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.size("violations") == 0).drop("violations"), checked.where(F.size("violations") > 0)
 
 
-def validate_scores(df: DataFrame, name_length: int = 40) -> DataFrame:
-    """Submissions with ``violations``; a blank name becomes Anonymous, others are trimmed."""
-    named = df.withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit("Anonymous")))
+def validate_scores(df: DataFrame, name_length: int = NAME_LENGTH) -> DataFrame:
+    """Submissions with ``violations``; names and versions are trimmed, a blank name becomes Anonymous. Lengths are those before."""
+    bare = lambda c: F.btrim(F.col(c), F.lit(" \t\n\r\f\x0b"))
     ranges = {c: F.col(c).between(0, most) for c, most in SCORE_BOUNDS.items() if c in df.columns}
-    return split_valid(named, name=F.length("name") <= name_length, ship_kind=F.col("ship_kind").isin(*SHIP_KINDS), version=F.length("version").between(1, 20), **ranges)
+    version = F.length("version").between(1, VERSION_LENGTH) & (bare("version") != "")
+    checked = split_valid(df, name=_LENGTH(F.col("name"), name_length), ship_kind=F.col("ship_kind").isin(*SHIP_KINDS), version=version, **ranges)
+    return checked.withColumns({"name": F.coalesce(F.nullif(bare("name"), F.lit("")), F.lit("Anonymous")), "version": bare("version")})
 
 
 def validate_criteria(df: DataFrame) -> DataFrame:

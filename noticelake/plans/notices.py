@@ -115,12 +115,11 @@ def _names(names: tuple[str, ...]) -> str:
 
 def severity_sql(classification: str = "classification", category: str = "category", states: str = "states", pattern: str = "distribution_pattern", reason: str = "reason_text", lift: str = "0.0") -> str:
     values, allergens = "list_transform(entities, lambda e: e.value)", "list_transform(list_filter(entities, lambda e: e.type = 'allergen'), lambda e: e.value)"
-    words = f"string_split_regex(s, {_sql_text(S.NOT_A_LETTER)})"
-    some = lambda names: f"list_has_any({words}, {_names(names)})"
-    told = f"NOT {some(S.DENIAL)} AND ({some(S.HAPPENED)} OR ({some(S.COMPLAINT)} AND {some(S.TOLD)}))"
-    harm = f"len(list_filter(string_split_regex(lower({reason}), {_sql_text(S.SENTENCES)}), lambda s: {told})) > 0"
-    padded = f"(' ' || regexp_replace(lower({pattern}), {_sql_text(S.NOT_A_LETTER)}, ' ', 'g') || ' ')"
-    nationwide = " OR ".join(f"contains({padded}, {_sql_text(w)})" for w in S.NATIONWIDE)
+    # the rule in full, stated apart from the code's own
+    told = r"(?i)\b(?:deaths?|died|fatality|fatalities|outbreaks?|sickened|hospitali[sz](?:ed|ations?)|(?:became|fallen|fell|made|taken)\s+(?:seriously\s+)?ill|(?:illnesses|reactions|infections|people|consumers)\s+ha(?:ve|s)\s+been\s+reported|(?:several|multiple|received|confirmed|reported|reports?\s+of|cases?\s+of|number\s+of|linked\s+to|associated\s+with)\s+(?:\w+\s+){0,4}(?:illness(?:es)?|sick|reactions?|infections?))\b"
+    denied = r"(?i)\bno\b\s+(?:\w+\s+){0,4}(?:illness|report|reaction|infection|hospitali[sz]|death|adverse|known|confirmed)"
+    harm = f"len(list_filter(string_split_regex({reason}, '[.!?]+\\s+|\\n+'), lambda s: regexp_matches(s, '{told}') AND NOT regexp_matches(s, '{denied}'))) > 0"
+    nationwide = f"regexp_matches({pattern}, '(?i)\\bnation(al|wide|[\\s-]wide)\\b')"
     extra = f"""({_case(category, S.CATEGORY_NUDGE, "0.0")}
       + CASE WHEN list_has_any({values}, {_names(S.LETHAL)}) THEN {S.LETHAL_POINTS} WHEN list_has_any({values}, {_names(S.DEADLY)}) THEN {S.DEADLY_POINTS} ELSE 0 END
       + CASE WHEN list_has_any({allergens}, {_names(S.GRAVE_ALLERGENS)}) THEN {S.GRAVE_POINTS}
@@ -132,7 +131,7 @@ def severity_sql(classification: str = "classification", category: str = "catego
     base = f"coalesce({anchor}, {_case(category, S.CATEGORY_BASE, '25.0')})"
     raw = f"CASE WHEN {extra} >= 0 THEN {base} + (100.0 - {base}) * ({extra} / ({extra} + {S.LIFT})) ELSE {base} + {extra} END"
     floor = f"CASE WHEN {anchor} >= {S.BANDS['severe']} THEN greatest({raw}, {S.BANDS['severe']}) ELSE {raw} END"
-    return f"round(greatest(0.0, least(100.0, {floor}))::DOUBLE, 1)"
+    return f"round_even(greatest(0.0, least(100.0, {floor}))::DOUBLE, 1)"
 
 
 def label_sql(score: str = "severity_score") -> str:

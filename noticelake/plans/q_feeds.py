@@ -100,19 +100,22 @@ _register(
 
 
 def _posts(d: DataFrame) -> DataFrame:
-    """Posts of one feed: every recall of even id has a twin under another kind of post."""
+    """Posts of one feed: some recalls have a twin under another kind of post, some are of other goods, some are closed."""
     base = d.where("source = 'ncc'")
     twin = lambda prefix, add: base.where("id % 8 = 0" if add else "true").select(
         (F.col("id") * 2 + add).cast("int").alias("id"), F.concat(F.lit(prefix), F.lit("notice-"), F.col("recall_number")).alias("slug"), F.lit("https://x.example/4").alias("link"), _day().alias("date"), _day().alias("modified"),
-        F.struct(F.concat(F.lit("Product recall – "), F.col("product_description")).alias("rendered")).alias("title"),
+        F.struct(F.concat(F.when(F.col("id") % 9 == 0, "Product recall – dog food, ").otherwise("Product recall – "), F.col("product_description")).alias("rendered")).alias("title"),
         F.struct(F.concat(F.lit("<p>"), F.col("reason_text"), F.lit("</p><p>It was reported by "), F.coalesce("company_name", F.lit("Nobody")), F.lit(".</p>")).alias("rendered")).alias("content"), F.struct(F.lit("").alias("rendered")).alias("excerpt"),
     )
-    return twin("product-recall-", 1).unionByName(twin("media-statement-recall-of-", 0)).unionByName(base.select((F.col("id") * 2 + 10**6).cast("int").alias("id"), F.lit("recall-closed").alias("slug")).limit(0), allowMissingColumns=True)
+    return twin("product-recall-", 1).unionByName(twin("media-statement-recall-of-", 0)).unionByName(twin("product-recall-closed-", 1))
 
 
+#: The view's words for food, as they stand in its texts.
+_NCC = "source = 'ncc' AND id % 9 <> 0 AND regexp_matches(product_description || ' ' || reason_text, '(?i)\\b(milk|cheese|chocolate|formula|bread|tuna|fish|rice|egg|dried fruit|best before|listeria|salmonella|norovirus|hepatitis|cereulide)\\b')"
+
 _register(
     "src_ncc", lambda d: S.normalize_ncc(S.canonical_dedupe(S.read_ncc(d.sparkSession, _land(_posts(d), "ncc"), lines=True))).select(*_COMMON),
-    "SELECT CASE WHEN id % 8 = 0 THEN 'product-recall-' ELSE 'media-statement-recall-of-' END || 'notice-' || recall_number AS recall_number, source, country, NULL::VARCHAR AS status, NULL::VARCHAR AS classification, product_description, reason_text || ' It was reported by ' || coalesce(company_name, 'Nobody') || '.' AS reason_text, coalesce(company_name, 'Nobody') AS company_name, NULL::VARCHAR AS state, NULL::VARCHAR[] AS states, report_date, category FROM notices WHERE source = 'ncc'",
+    "SELECT CASE WHEN id % 8 = 0 THEN 'product-recall-' ELSE 'media-statement-recall-of-' END || 'notice-' || recall_number AS recall_number, source, country, NULL::VARCHAR AS status, NULL::VARCHAR AS classification, product_description, reason_text || ' It was reported by ' || coalesce(company_name, 'Nobody') || '.' AS reason_text, coalesce(company_name, 'Nobody') AS company_name, NULL::VARCHAR AS state, NULL::VARCHAR[] AS states, report_date, category FROM notices WHERE " + _NCC,
 )
 
 
@@ -156,8 +159,8 @@ def _seed(d: DataFrame) -> DataFrame:
 
 _register("src_seed", lambda d: _seed(d).select("recall_number", "source", "country", "product_description", "reason_text", "company_name", "report_date", "category"), "SELECT recall_number, source, country, product_description, reason_text, company_name, report_date, category FROM notices WHERE country = 'za' AND source <> 'ncc'")
 _register(
-    "nrm_all", lambda d: S.normalize_all(_enforcement(d), _fsis(d), _fsa(d), _cfia(d), _rasff(d), _seed(d)).groupBy("source", "category").agg(F.count("*").alias("count"), F.max("report_date").alias("newest")),
-    'SELECT source, category, count(*) AS "count", max(report_date) AS newest FROM notices WHERE source IN (\'fda\', \'uk\') OR (source = \'usda\' AND id % 3 > 0) OR (source = \'cfia\' AND id % 4 > 0 AND id % 10 > 0) OR (source = \'rasff\' AND id % 3 < 2 AND id % 7 > 0) OR (country = \'za\' AND source <> \'ncc\') GROUP BY 1, 2',
+    "nrm_all", lambda d: S.normalize_all(_enforcement(d), _fsis(d), _fsa(d), _cfia(d), S.normalize_ncc(S.canonical_dedupe(S.read_ncc(d.sparkSession, _land(_posts(d), "ncc"), lines=True))), _rasff(d), _seed(d)).groupBy("source", "category").agg(F.count("*").alias("count"), F.max("report_date").alias("newest")),
+    'SELECT source, category, count(*) AS "count", max(report_date) AS newest FROM notices WHERE source IN (\'fda\', \'uk\') OR (source = \'usda\' AND id % 3 > 0) OR (source = \'cfia\' AND id % 4 > 0 AND id % 10 > 0) OR (source = \'rasff\' AND id % 3 < 2 AND id % 7 > 0) OR (country = \'za\' AND source <> \'ncc\') OR (' + _NCC + ") GROUP BY 1, 2",
 )
 
 

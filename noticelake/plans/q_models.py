@@ -29,12 +29,12 @@ def on(name: str, tables: str, build, sql: str | None = None) -> None:
 
 
 # ---- validity
-_scores = lambda p: p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 > 0, F.concat(F.lit(" "), F.col("p_brand"))).otherwise(" ").alias("name"), (F.floor("p_retailprice") - 950).cast("long").alias("score"), F.element_at(F.array(*map(F.lit, ("fighter", "interceptor", "dreadnought", "tug"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("ship_kind"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).otherwise("").alias("version"), (F.col("p_size") * 2_500_000).alias("duration_ms"))
+_scores = lambda p: p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 > 0, F.rpad(F.concat(F.lit(" "), F.col("p_brand")), (F.col("p_partkey") % 7 + 26).cast("int"), F.lit("x"))).otherwise(" \t").alias("name"), (F.floor("p_retailprice") - 950).cast("long").alias("score"), F.element_at(F.array(*map(F.lit, ("fighter", "interceptor", "dreadnought", "tug"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("ship_kind"), F.when(F.col("p_partkey") % 5 > 1, F.col("p_brand")).when(F.col("p_partkey") % 5 > 0, "  ").otherwise("").alias("version"), (F.col("p_size") * 2_500_000).alias("duration_ms"))
 on(
     "fn_validate_scores", "part", lambda p: T.validate_scores(_scores(p)).select("id", "name", F.array_sort("violations").alias("violations")),
-    "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN p_brand ELSE 'Anonymous' END AS name, list_sort(list_filter([CASE WHEN p_partkey % 4 = 3 THEN 'ship_kind' END, CASE WHEN p_partkey % 5 = 0 THEN 'version' END, CASE WHEN floor(p_retailprice) < 950 THEN 'score' END, CASE WHEN p_size * 2500000 > 86400000 THEN 'duration_ms' END], lambda x: x IS NOT NULL)) AS violations FROM part",
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN rpad(p_brand, (p_partkey % 7 + 25)::INT, 'x') ELSE 'Anonymous' END AS name, list_sort(list_filter([CASE WHEN p_partkey % 4 > 0 AND p_partkey % 7 > 4 THEN 'name' END, CASE WHEN p_partkey % 4 = 3 THEN 'ship_kind' END, CASE WHEN p_partkey % 5 < 2 THEN 'version' END, CASE WHEN floor(p_retailprice) < 950 THEN 'score' END, CASE WHEN p_size * 2500000 > 86400000 THEN 'duration_ms' END], lambda x: x IS NOT NULL)) AS violations FROM part",
 )
-on("fn_quarantine", "part", lambda p: (lambda ok, bad: ok.select("id", F.lit(True).alias("valid")).unionByName(bad.select("id", F.lit(False).alias("valid"))))(*T.quarantine(T.validate_scores(_scores(p)))), "SELECT p_partkey AS id, NOT (p_partkey % 4 = 3 OR p_partkey % 5 = 0 OR floor(p_retailprice) < 950 OR p_size * 2500000 > 86400000) AS valid FROM part")
+on("fn_quarantine", "part", lambda p: (lambda ok, bad: ok.select("id", F.lit(True).alias("valid")).unionByName(bad.select("id", F.lit(False).alias("valid"))))(*T.quarantine(T.validate_scores(_scores(p)))), "SELECT p_partkey AS id, NOT (p_partkey % 4 = 3 OR (p_partkey % 4 > 0 AND p_partkey % 7 > 4) OR p_partkey % 5 < 2 OR floor(p_retailprice) < 950 OR p_size * 2500000 > 86400000) AS valid FROM part")
 _key = lambda: F.col("c_custkey")
 _criteria = lambda c: c.select(_key().alias("id"), F.when(_key() % 3 > 0, F.array(F.lit("us"), F.when(_key() % 7 == 0, "nz").otherwise("eu"))).alias("countries"), F.when(_key() % 4 > 0, F.element_at(F.array(*map(F.lit, ("high", "odd", "low"))), (_key() % 3 + 1).cast("int"))).alias("min_severity"), F.when(_key() % 5 > 0, F.array(F.lit("pathogen"), F.when(_key() % 11 == 0, "x").otherwise("other"))).alias("categories"), F.when(_key() % 2 == 0, F.array(F.lit("de"), F.when(_key() % 8 == 0, "DEU").otherwise("FR"))).alias("affected_countries"), F.transform(F.sequence(F.lit(1), (_key() % 60).cast("int") + 1), lambda i: F.lit("e")).alias("entities"), F.array(F.repeat("c_name", (_key() % 20).cast("int"))).alias("companies"))
 on(

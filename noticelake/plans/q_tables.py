@@ -86,8 +86,24 @@ _SLUGS = [
     ("consumers-are-urged-to-return-recalled-", ""), ("recalls-of-the-", ""), ("recall-", ""), ("the-", "the-"), ("product-safety-recall-recall-of-", ""),
 ]
 register("fn_canonical_slug", lambda d: d.select("recall_number", *[P.canonical_slug(F.concat(F.lit(a), F.lit("x"), F.col("recall_number"))).alias(f"slug_{i}") for i, (a, _) in enumerate(_SLUGS)]), _RN + ", ".join(f"'{b}x' || recall_number AS slug_{i}" for i, (_, b) in enumerate(_SLUGS)) + " FROM notices")
-_CUES = ("notified by", "Informed by the supplier,", "communicated by", "reported by", "the manufacturer,")
-register("fn_companies", lambda d: d.select("recall_number", P.company_from_body(F.concat(F.lit("We were "), F.element_at(F.array(*map(F.lit, _CUES)), (F.col("id") % 5 + 1).cast("int")), F.lit(" "), F.col("company_name"), F.lit(", that it sold it."))).alias("company"), P.is_recall_post(F.concat(F.element_at(F.array(*map(F.lit, ("product-recall-", "media-statement-on-recall-", "news-", "consumers-urged-to-return-", "product-recall-closed-"))), (F.col("id") % 5 + 1).cast("int")), F.col("recall_number"))).alias("is_recall")), f"{_RN} company_name AS company, id % 5 IN (0, 1, 3) AS is_recall FROM notices")
+_kind = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int"))
+_BODIES = (
+    ("We were notified by ", ", that it sold it.", "company_name"), ("Informed  by the supplier, ", "; it sold it.", "company_name"), ("It is reported by ", ". The NCC was notified by Else, who sold it.", "company_name"),
+    ("The manufacturer, Acme Ltd, was communicated by ", ".", "company_name"), ("the Manufacturer ", "", "company_name"), ("Told of by no one, ", ".", "NULL"), ("notified by Mr.X. and reported by ", ",", "company_name"),
+    ("notified by Aa" + 80 * "b", "", "'Aa' || repeat('b', 69)"),
+)
+register(
+    "fn_companies",
+    lambda d: d.select("recall_number", P.company_from_body(F.concat(_kind(*[x[0] for x in _BODIES]), F.col("company_name"), _kind(*[x[1] for x in _BODIES]))).alias("company"), P.is_recall_post(F.concat(_kind("product-recall-", "media-statement-on-recall-", "news-", "consumers-urged-to-return-", "product-recall-closed-"), F.col("recall_number"))).alias("is_recall")),
+    f"{_RN} CASE WHEN company_name IS NOT NULL THEN CASE id % 8 " + " ".join(f"WHEN {i} THEN {x[2]}" for i, x in enumerate(_BODIES)) + " END END AS company, id % 5 IN (0, 1, 3) AS is_recall FROM notices",
+)
+_TITLES = (("Product RECALLed: ", True), ("Withdrawal of ", True), ("Unsafe ", True), ("Decontamination of ", True), ("Listeriosis and ", True), ("Antibotulinum, ", True), ("Food safety of ", True), ("Annual report on food, ", False), ("", False))
+register("flt_recall_hint", lambda d: d.select("recall_number", P.recall_hint(F.concat(_kind(*[x for x, _ in _TITLES]), F.col("product_description"))).alias("hint")), _RN + "[" + ", ".join(str(x).lower() for _, x in _TITLES) + "][id % 9 + 1] AS hint FROM notices")
+_GOODS = (("Deodorant with milk", "", False), ("A rice cooker", "", True), ("A ladder", "It held food.", False), ("Price list", "no fishing", False), ("News", "found in Infant Formula", True), (None, "maize", True), ("Tyres", "eggs and an egg", True), ("Hoop", "egg", False))
+register(
+    "flt_food", lambda d: d.select("recall_number", P.is_food(F.element_at(F.array(*[F.lit(x).cast("string") for x, _, _ in _GOODS]), (F.col("id") % 8 + 1).cast("int")), _kind(*[x for _, x, _ in _GOODS])).alias("food")),
+    _RN + "[" + ", ".join(str(x).lower() for *_, x in _GOODS) + "][id % 8 + 1] AS food FROM notices",
+)
 register("fn_lede", lambda d: d.select("recall_number", P.lede(F.concat(F.lit("<p><b>"), F.col("reason_text"), F.lit("</b></p><p>Second.</p><p>Third.</p>")), F.lit("x")).alias("lede"), P.lede(F.lit("<p>To contact the National Consumer Commission call</p>"), F.col("product_description")).alias("none")), f"{_RN} reason_text || ' Second.' AS lede, product_description AS none FROM notices")
 
 # ---- keyed tables
@@ -242,10 +258,10 @@ m AS MATERIALIZED (SELECT s.id AS sub_id, source, recall_number, status, conf, n
 _with_subs = lambda f: lambda s, d: f(view(s, d), _subs(table(s, d, "customer")))
 QUERIES["str_match"] = _with_subs(lambda n, s: L.match(n, s))
 ORACLE["str_match"] = SQL + _SUBS + " SELECT sub_id, source, recall_number FROM m"
-QUERIES["srt_delivery_plan"] = _with_subs(lambda n, s: L.delivery_plan(cut(L.match(n, s), "matches"), s, "2002-01-01", 20))
-ORACLE["srt_delivery_plan"] = SQL + _SUBS + ", c AS (SELECT sub_id AS id, conf, noted, count(*) AS match_count FROM m WHERE status = 'active' GROUP BY ALL), p AS (SELECT *, row_number() OVER (ORDER BY conf, id) <= 20 AS delivered FROM c) SELECT id, match_count, delivered, CASE WHEN delivered THEN [] WHEN noted THEN ['2001-12-31', '2002-01-01'] ELSE ['2002-01-01'] END AS skipped_at FROM p"
-QUERIES["agg_digest"] = _with_subs(lambda n, s: L.digest(cut(L.match(n, s), "matches"), n, 60, 20).select("sub_id", "match_count", F.size("items").alias("items"), F.get("items", F.lit(0))["recall_number"].alias("newest"), F.get("items", F.lit(0))["body"].alias("body")))
-ORACLE["agg_digest"] = SQL + _SUBS + ", o AS (SELECT sub_id, recall_number, CASE WHEN length(reason_text) > 60 THEN rtrim(left(reason_text, 59)) || '…' ELSE reason_text END AS body, count(*) OVER (PARTITION BY sub_id) AS match_count, row_number() OVER (PARTITION BY sub_id ORDER BY report_date DESC NULLS LAST, source, recall_number) AS n FROM m JOIN notices USING (source, recall_number)) SELECT sub_id, match_count, least(match_count, 20)::INT AS items, recall_number AS newest, body FROM o WHERE n = 1"
+QUERIES["srt_delivery_plan"] = _with_subs(lambda n, s: L.delivery_plan(cut(L.match_counts(n, s), "match-counts"), s, "2002-01-01"))
+ORACLE["srt_delivery_plan"] = SQL + _SUBS + ", c AS (SELECT sub_id AS id, conf, noted, count(*) AS match_count FROM m WHERE status = 'active' GROUP BY ALL), p AS (SELECT *, row_number() OVER (ORDER BY conf, id) <= 89 AS delivered FROM c) SELECT id, match_count, delivered, CASE WHEN delivered THEN [] WHEN noted THEN ['2001-12-31', '2002-01-01'] ELSE ['2002-01-01'] END AS skipped_at FROM p"
+QUERIES["agg_digest"] = _with_subs(lambda n, s: L.digest(cut(L.match(n, s), "matches"), n).select("sub_id", "match_count", F.size("items").alias("items"), F.get("items", F.lit(0))["recall_number"].alias("newest"), F.get("items", F.lit(0))["body"].alias("body")))
+ORACLE["agg_digest"] = SQL + _SUBS + ", o AS (SELECT sub_id, recall_number, CASE WHEN length(reason_text) > 160 THEN rtrim(left(reason_text, 159)) || '…' ELSE reason_text END AS body, count(*) OVER (PARTITION BY sub_id) AS match_count, row_number() OVER (PARTITION BY sub_id ORDER BY report_date DESC NULLS LAST, source, recall_number) AS n FROM m JOIN notices USING (source, recall_number)) SELECT sub_id, match_count, least(match_count, 100)::INT AS items, recall_number AS newest, body FROM o WHERE n = 1"
 QUERIES["str_dispatch"] = _with_subs(lambda n, s: L.dispatch(n, s, F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"), _now(), "2002-01-01")[2])
 ORACLE["str_dispatch"] = SQL + ", fresh AS (SELECT * FROM notices WHERE created_at > TIMESTAMP '1998-06-01'), flow AS (SELECT * FROM fresh QUALIFY count(*) OVER (PARTITION BY country) <= 50)" + _SUBS.replace("AS codes FROM notices)", "AS codes FROM flow)") + " SELECT (SELECT count(*) FROM fresh) AS new, (SELECT count(*) FROM flow) AS flowing, count(DISTINCT sub_id) FILTER (status = 'active') AS matched_subscribers, least(count(DISTINCT sub_id) FILTER (status = 'active'), 89) AS will_receive FROM m"
 on("agg_subscription_health", "customer", lambda c: L.subscription_health(_subs(c), _now()), f"SELECT min(conf) FILTER (k % 5 <> 3) AS oldest_digest, count(*) FILTER (k % 5 = 3 AND conf < TIMESTAMP '{NOW}' - INTERVAL 72 HOUR) AS stuck_pending FROM (SELECT c_custkey AS k, TIMESTAMP '1999-01-01' + to_days((c_custkey * 7 % 400)::INT) AS conf FROM customer)")
@@ -297,22 +313,49 @@ QUERIES["str_stream_sessions"] = lambda s, d: R.run_to_table(R.sessions(_stream(
 ORACLE["str_stream_sessions"] = "WITH g AS (SELECT user_id, ts, coalesce(epoch(ts) - epoch(lag(ts) OVER w) >= 36000, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 36000 SECOND AS \"end\", count(*) AS beats FROM i GROUP BY user_id, n"
 
 
-def _restream(df, name):
-    """Rows of a query as a stream: stored once, then read as files that arrive."""
-    kept = cut(df, name)
-    return df.sparkSession.readStream.schema(kept.schema).parquet(kept._stored_at)
+def _restream(df, name, parts=1, of=None):
+    """Rows of a query as a stream: stored once, then read as files that arrive, in ``parts`` batches told by ``of``."""
+    spark = df.sparkSession
+    if of is None:
+        kept = cut(df, name)
+        return spark.readStream.schema(kept.schema).parquet(kept._stored_at)
+    path = fresh_path(spark, name)
+    for part in range(parts):
+        df.where(of == part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 _CRITERIA = ["source", "recall_number", "country", "company_name", "category", "severity_label", "entities", "notifying_country", "distribution_countries"]
-QUERIES["str_stream_match"] = lambda s, d: R.run_to_table(R.match_stream(_restream(view(s, d).select(*_CRITERIA), "arriving"), _subs(table(s, d, "customer"))), "stream-matches")
+
+
+def _stream_match(spark, sf_dir):
+    path = fresh_path(spark, "stream-matches")
+    notices = cut(view(spark, sf_dir).select("id", *_CRITERIA), "notices")
+    arriving = _restream(notices, "arriving", 2, F.col("id") % 2).select(*_CRITERIA)
+    R.match_into(arriving, _subs(table(spark, sf_dir, "customer")), path, fresh_path(spark, "match-state")).awaitTermination()
+    return R.Batches(spark, path).rows("sub_id long, source string, recall_number string").drop("arrived")
+
+
+QUERIES["str_stream_match"] = _stream_match
 ORACLE["str_stream_match"] = SQL + _SUBS + " SELECT sub_id, source, recall_number FROM m"
 
 
+def _waves(d):
+    """Three batches: all rows, then a third and a fifth of them anew with other scores, the last with keys that repeat within it."""
+    base = d.select("source", "recall_number", "severity_score", F.col("id").alias("ordinal"))
+    again = base.where("ordinal % 3 = 0").withColumn("severity_score", F.col("severity_score") + 1)
+    last = base.where("ordinal % 5 = 0").withColumn("severity_score", F.col("severity_score") + 2)
+    twice = last.unionByName(last.withColumns({"severity_score": F.col("severity_score") + 1, "ordinal": F.col("ordinal") + 10**9}))
+    return base.withColumn("wave", F.lit(0)).unionByName(again.withColumn("wave", F.lit(1))).unionByName(twice.withColumn("wave", F.lit(2)))
+
+
 def _stream_ingest(spark, sf_dir):
-    path = fresh_path(spark, "ingested")
-    R.ingest_into(_restream(_dup(view(spark, sf_dir)), "arriving"), path, "ordinal", fresh_path(spark, "ingest-state")).awaitTermination()
-    return spark.read.parquet(path)
+    path, schema = fresh_path(spark, "ingested"), "source string, recall_number string, severity_score double, ordinal long"
+    rows = cut(_waves(view(spark, sf_dir)), "waves")
+    arriving = _restream(rows, "arriving", 3, F.col("wave")).select("source", "recall_number", "severity_score", F.col("ordinal").cast("long").alias("ordinal"))
+    R.ingest_into(arriving, path, "ordinal", fresh_path(spark, "ingest-state")).awaitTermination()
+    return R.ingested(spark, path, schema)
 
 
 QUERIES["str_stream_ingest"] = _stream_ingest
-ORACLE["str_stream_ingest"] = SQL + _DUP + " SELECT * FROM dup QUALIFY row_number() OVER (PARTITION BY source, recall_number ORDER BY ordinal DESC) = 1"
+ORACLE["str_stream_ingest"] = SQL + " SELECT source, recall_number, severity_score + CASE WHEN id % 5 = 0 THEN 3 WHEN id % 3 = 0 THEN 1 ELSE 0 END AS severity_score, id + CASE WHEN id % 5 = 0 THEN 1000000000 ELSE 0 END AS ordinal FROM notices"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from noticelake.operators import alerts
-from noticelake.operators.tables import keep_last, new_rows
+from noticelake.operators.tables import keep_last
 from noticelake.schema import KEY
 from noticelake.storage import fresh_path
 
@@ -34,30 +34,90 @@ def sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
     return found.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "beats")
 
 
-def match_stream(notices: DataFrame, subs: DataFrame) -> DataFrame:
-    """Stream-static matching: every new notice against the stored subscriptions, country by country."""
-    met = notices.join(alerts.criteria_of(subs), F.col("country") == F.col("__c")).where(alerts.matches())
-    return met.select("sub_id", *KEY)
+class Batches:
+    """A table of what micro-batches wrote, each in a folder of its own.
+
+    Folders have increasing numbers and the names of the query and the batch that wrote them. A batch that runs again
+    writes its own folder anew; folders without Spark's mark of success are not read. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def folders(self) -> list[str]:
+        """Names of the folders that count, in order: from the last complete base on."""
+        fs, at = self._fs()
+        if not fs.exists(at):
+            return []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        names = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory() and fs.exists(path(f.getPath(), "_SUCCESS")))
+        bases = [n for n in names if n.endswith("-base")]
+        return [n for n in names if not bases or n >= bases[-1]]
+
+    def put(self, batch: DataFrame, query: str, number: int) -> None:
+        own = f"-{query}-{number}"
+        folders = self.folders()
+        known = [n for n in folders if n.endswith(own)]
+        following = int(folders[-1].split("-")[0]) + 1 if folders else 0
+        if folders and folders[-1].endswith("-base") and self._folded(query, number):
+            return
+        batch.write.mode("overwrite").parquet(f"{self.path}/{known[0] if known else f'{following:012d}{own}'}")
+
+    def _folded(self, query: str, number: int) -> bool:
+        """Whether a batch went into a base already: its folder stands before it."""
+        fs, at = self._fs()
+        return any(f.getPath().getName().endswith(f"-{query}-{number}") for f in fs.listStatus(at))
+
+    def rows(self, schema) -> DataFrame:
+        """All rows of the folders that count, with ``arrived``, the number of the folder."""
+        folders = self.folders()
+        if not folders:
+            return self.spark.createDataFrame([], schema).withColumn("arrived", F.lit(0).cast("long"))
+        found = self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in folders])
+        return found.withColumn("arrived", F.regexp_extract(F.input_file_name(), r"/(\d{12})-[^/]*/[^/]*$", 1).cast("long"))
+
+
+def batches_into(stream: DataFrame, path: str, checkpoint: str, body=lambda batch: batch) -> StreamingQuery:
+    """Writes ``body`` of every micro-batch into ``Batches(path)``; restarts repeat no row."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        Batches(batch.sparkSession, path).put(body(batch), query, number)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ingest_into(stream: DataFrame, path: str, ordinal: str, checkpoint: str) -> StreamingQuery:
-    """Appends the rows of each micro-batch whose keys the table at ``path`` does not have yet.
+    """Upserts every micro-batch into the keyed table that ``ingested`` reads.
 
-    A batch that runs again finds its keys present and adds nothing, so restarts repeat no row.
+    A batch writes its own last rows only, whatever the table holds; later batches win when it is read.
     """
+    return batches_into(stream, path, checkpoint, lambda batch: keep_last(batch, ordinal))
 
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        last = keep_last(batch, ordinal)
-        try:
-            stored = spark.read.schema(batch.schema).parquet(path)
-            last = new_rows(last, stored)
-        except Exception as error:  # nothing is stored before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        last.write.mode("append").parquet(path)
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingested(spark: SparkSession, path: str, schema, keys: list[str] = KEY) -> DataFrame:
+    """The keyed table: of every key the row that came with the last batch."""
+    rows = Batches(spark, path).rows(schema)
+    whole = F.struct(*[c for c in rows.columns if c != "arrived"])
+    return rows.groupBy(*keys).agg(F.max_by(whole, "arrived").alias("row")).select("row.*")
+
+
+def compact(spark: SparkSession, path: str, schema, keys: list[str] = KEY) -> None:
+    """Folds all batches into a base, from which readers then start; run it while no stream writes. Readers of before are not disturbed."""
+    table = Batches(spark, path)
+    folders = table.folders()
+    if len(folders) > 1:
+        following = int(folders[-1].split("-")[0]) + 1
+        ingested(spark, path, schema, keys).write.parquet(f"{table.path}/{following:012d}-base")
+
+
+def match_into(notices: DataFrame, subs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Matches every micro-batch of notices against the stored subscriptions, by the plan that ``match`` has."""
+    return batches_into(notices, path, checkpoint, lambda batch: alerts.match(batch, subs))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,18 +104,48 @@ def test_event_clusters(spark):
     assert facts[0]["is_outbreak"] and facts[0]["base_slug"] == "listeria-2024-01" and not facts[4]["is_outbreak"]
 
 
-def test_publish_and_stream_ingest(spark, tmp_path):
+def test_publish(spark, tmp_path):
     T.publish(spark.range(3).toDF("x"), str(tmp_path / "t"))
     T.publish(spark.range(5).toDF("x"), str(tmp_path / "t"))
     assert T.published(spark, str(tmp_path / "t")).count() == 5
-    source = tmp_path / "in"
-    rows = spark.createDataFrame([("fda", "1", 1), ("fda", "2", 1), ("fda", "1", 2)], "source string, recall_number string, ordinal int")
-    rows.write.parquet(str(source))
-    for again in (False, True):
-        if again:
-            spark.createDataFrame([("fda", "1", 9), ("fda", "3", 9)], rows.schema).write.mode("append").parquet(str(source))
-        streams.ingest_into(spark.readStream.schema(rows.schema).parquet(str(source)), str(tmp_path / "out"), "ordinal", str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["recall_number"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
+
+
+def test_stream_upserts_and_restarts(spark, tmp_path):
+    """Later batches win, a restart reads nothing twice, and a batch that runs again after it was written adds nothing."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "source string, recall_number string, v int, ordinal int"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        streams.ingest_into(spark.readStream.schema(schema).parquet(source), out, "ordinal", state).awaitTermination()
+        return sorted((r["recall_number"], r["v"]) for r in streams.ingested(spark, out, schema).collect())
+
+    assert streams.ingested(spark, out, schema).count() == 0
+    assert run([("fda", "1", 1, 1), ("fda", "2", 2, 1), ("fda", "1", 3, 2)]) == [("1", 3), ("2", 2)]
+    assert run([("fda", "1", 99, 1), ("fda", "3", 9, 1)]) == [("1", 99), ("2", 2), ("3", 9)]
+    (tmp_path / "state" / "commits" / "1").unlink()  # lost after its rows were written: batch 1 runs again
+    for crc in (tmp_path / "state" / "commits").glob(".1.crc"):
+        crc.unlink()
+    assert run([("fda", "2", 7, 1)]) == [("1", 99), ("2", 7), ("3", 9)]
+    assert len(streams.Batches(spark, out).folders()) == 3
+    streams.compact(spark, out, schema)
+    assert len(streams.Batches(spark, out).folders()) == 1
+    assert run([("fda", "3", 5, 1)]) == [("1", 99), ("2", 7), ("3", 5)]
+    (tmp_path / "out" / streams.Batches(spark, out).folders()[-1] / "_SUCCESS").unlink()  # a folder left half written does not count
+    assert [x for x in streams.ingested(spark, out, schema).collect() if x["recall_number"] == "3"][0]["v"] == 9
+
+
+def test_stream_matches_like_the_batch(spark, tmp_path):
+    schema = "source string, recall_number string, country string, company_name string, category string, severity_label string, entities array<struct<type:string,value:string>>, notifying_country string, distribution_countries array<string>"
+    n = spark.createDataFrame([("s", str(i), "us" if i % 2 else "eu", f"Company {i % 3}", "pathogen", "high", [("pathogen", "Listeria")] if i % 5 else [], None, ["DE"]) for i in range(40)], schema)
+    s = spark.createDataFrame([(1, ["listeria"], None, ["us"], None, None, None), (2, None, ["y 1"], None, ["de"], None, None), (3, None, [""], ["eu"], None, ["pathogen"], "severe"), (4, None, [""], ["eu"], None, None, "low"), (5, None, None, None, None, None, "unknown")], "id int, entities array<string>, companies array<string>, countries array<string>, affected_countries array<string>, categories array<string>, min_severity string")
+    for part in (0, 1):
+        n.where(f"cast(recall_number as int) % 2 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.match_into(arriving, s, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = streams.Batches(spark, str(tmp_path / "out")).rows("sub_id int, source string, recall_number string")
+    rows = lambda df: sorted((r["sub_id"], r["recall_number"]) for r in df.collect())
+    assert rows(got) == rows(L.match(n, s)) and {x for x, _ in rows(got)} == {1, 2, 4}
 
 
 def test_flood_guard_is_strict(spark):
@@ -125,12 +156,54 @@ def test_flood_guard_is_strict(spark):
 def test_harm_is_told_and_not_denied(spark):
     texts = {
         "Several people became ill after eating it.": True, "It may cause serious illness in infants.": False, "There are no reports of illness.": False,
+        "Several illnesses have been reported and two people were hospitalized.": True, "Listeria can cause serious illness; symptoms include fever.": False, "No illnesses have been reported to date.": False,
+        "An outbreak has sickened many people. No deaths have been reported.": True, "No outbreak of illness has been reported.": False, "It was linked to two or three infections": True,
+        "linked to one two three four five infections": False, "People have been reported": True, "nobody reported illness": True, "no.illness reported": False, "He was made seriously ill": True, "No, it killed nobody; hospitalised": True,
+        "Dead\nNo known death": False, "Reports  of\treactions": True, "DEATHS": True, "deathsome": False, "Case of sickness": False,
         "An outbreak is under way. No deaths are known.": True, "Two cases of infection were confirmed.": True, "None of the infections was confirmed.": False, None: False,
     }
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r["t"]: r["h"] for r in df.withColumn("h", S.reported_harm(F.col("t"))).collect()} == texts
-    wide = spark.createDataFrame([("Sold nationwide",), ("National chain",), ("nation-wide",), ("international",), (None,)], "t string")
-    assert [r["n"] for r in wide.withColumn("n", S.nationwide(F.col("t"))).collect()] == [True, True, True, False, None]
+    wide = spark.createDataFrame([("Sold nationwide",), ("National chain",), ("nation-wide",), ("nation wide",), ("nation  wide",), ("international",), (None,)], "t string")
+    assert [r["n"] for r in wide.withColumn("n", S.nationwide(F.col("t"))).collect()] == [True, True, True, True, False, False, False]
+
+
+def test_ties_of_severity_go_to_the_even_digit(spark):
+    entities = "array<struct<type:string,value:string>>"
+    df = spark.createDataFrame([("pathogen", [], "Product Recall"), ("allergen", [("allergen", "sesame")], None), ("allergen", [("allergen", "sulphites")], None)], f"c string, e {entities}, k string")
+    scores = [r["s"] for r in df.withColumn("s", S.severity_score(F.col("k"), F.col("c"), F.col("e"))).collect()]
+    assert scores == [round(45 + 55 * (10 / 35), 1), round(46 + 54 * (20 / 45), 1), 40.0]
+    df = spark.createDataFrame([("other", [], "Deaths."), ("mislabeling", [], "1")], "c string, e array<struct<type:string,value:string>>, r string")
+    assert round(62 + 38 * (15 / 40), 1) == 76.2 and spark.range(1).select(F.bround(F.lit(76.25), 1)).first()[0] == 76.2
+
+
+def test_company_is_the_first_that_a_text_names(spark):
+    texts = {
+        "The manufacturer, Acme Ltd, was notified by Bolt Inc, then.": "Bolt Inc", "Reported by Else Co. It was notified by Bolt.": "Else Co", "informed  by the  supplier, Fresh Farms; and": "Fresh Farms",
+        "communicated by X.Y and manufacturer Zed and Sons": "Zed and Sons", "nothing here": None, "notified by " + "N" * 90: "N" * 71, None: None, "a manufacturer of food": "of food",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["c"] for r in df.withColumn("c", P.company_from_body(F.col("t"))).collect()} == texts
+
+
+def test_hints_are_beginnings_of_words_anywhere(spark):
+    titles = {"Listeriosis outbreak": True, "SALMONELLOSIS": True, "Withdrawn tins": True, "unsafely": True, "Food safety week": True, "botulism": True, "aflatoxins": True, "decontaminated": True, "Annual report": False, "food  safety": False, None: False}
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert {r["t"]: r["h"] for r in df.withColumn("h", P.recall_hint(F.col("t"))).collect()} == titles
+
+
+def test_names_of_scores_are_bounded(spark):
+    names = [("x" * 30, []), ("x" * 31, ["name"]), (" " + "x" * 30, ["name"]), ("   ", []), (None, [])]
+    df = spark.createDataFrame([(n, "fighter", " 1 ") for n, _ in names] + [("a", "tug", "  "), ("b", None, "v" * 21)], "name string, ship_kind string, version string")
+    got = [(r["name"], r["version"], r["violations"]) for r in T.validate_scores(df).collect()]
+    assert [x[2] for x in got] == [v for _, v in names] + [["ship_kind", "version"]] * 2
+    assert [x[0] for x in got[:5]] == ["x" * 30, "x" * 31, "x" * 30, "Anonymous", "Anonymous"] and got[0][1] == "1"
+
+
+def test_food_posts(spark):
+    rows = [("Dog food recall", "beef", False), ("Polony", "", True), ("Kettles", "for rice", True), ("A kettle", "for rice", False), ("Eggs", "", False), (None, "Use by", True), (None, None, False)]
+    df = spark.createDataFrame(rows, "t string, b string, want boolean")
+    assert [r["f"] for r in df.withColumn("f", P.is_food(F.col("t"), F.col("b"))).collect()] == [x[2] for x in rows]
 
 
 def test_stems():
@@ -194,8 +267,10 @@ def test_match_equals_brute_force(spark):
             ok = (not ents or {x.lower() for x in ents} & {v.lower() for _, v in e}) and (not comps or not co or any(x.lower() in co.lower() for x in comps)) and (not countries or c in countries)
             want += [(i, number)] if ok else []
     assert sorted((r["sub_id"], r["recall_number"]) for r in L.match(n, s).collect()) == sorted(want)
-    streamed = streams.match_stream(n, s)
-    assert sorted((r["sub_id"], r["recall_number"]) for r in streamed.collect()) == sorted(want)
+    counts = {r["sub_id"]: r["match_count"] for r in L.match_counts(n, s).collect()}
+    assert counts == dict(Counter(i for i, _ in want))
+    folded = s.withColumn("countries", F.transform("countries", F.upper))
+    assert sorted((r["sub_id"], r["recall_number"]) for r in L.match(n, folded, fold_case=True).collect()) == sorted(want)
 
 
 def test_one_scan_of_the_notices(spark):
