@@ -1,14 +1,14 @@
 """The main text of web pages from parser events, text-to-tag ratios and their smoothing.
 
 The standard library's parser streams a page's events. Block-level tags part its text into lines;
-each has a ratio of characters to tags. Lines in elements that are no article text by their tag, role
-or mark are vetoed. The ratios of the rest are smoothed with a Gaussian, and lines at or over the
-smoothed ratios' standard deviation form the content cluster.
+each has a ratio of characters outside of links to tags, so that lists of links have next to none. Lines in
+elements that are no article text by their tag, role or mark are vetoed. The ratios of the rest are smoothed with a
+Gaussian, and lines at or over the smoothed ratios' standard deviation form the content cluster.
 
-The cluster chooses the text. From the page's root the way goes down into the container that holds
-most clustered characters, as long as it holds nearly all of them: its end is the region. Of its own
-containers those with less clustered than other characters go. What is left is kept whole, short
-lines too, if a third of its characters or more are clustered; if not, only the clustered lines are.
+The cluster decides the regions. From the first clustered line to the last everything is text, and so is what
+stands in an article or main part, or in a container of its own, with a clustered line, and a heading
+before the first one. Of all that only lists of links fall: lines outside of the cluster, one after
+the other, most of whose words are links, three or more together. Tables, short sections and notes of the article stay.
 
 All of it is linear in the page: every element carries its veto and its sums, none looks up its
 ancestors.
@@ -32,8 +32,10 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that part a page into regions; the others hold text.
-_CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
+#: Elements that part a page into regions; the others, tables too, hold text. Parts of an article are one region with the rest of it.
+_CONTAINERS = frozenset("html body main article section div center".split())
+_ARTICLE = frozenset("article main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Never article text, wherever they stand.
 _VETOED = frozenset(
     "head title script style noscript template nav footer aside form button select option textarea input label fieldset iframe object embed "
@@ -41,34 +43,45 @@ _VETOED = frozenset(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id names by which a page says of an element that it is something else.
-_MARKS = frozenset("ad ads advert advertisement cookie notice sidebar menu comment comments newsletter".split())
+_MARKS = frozenset("ad ads advert advertisement advertisements advertising sponsored promo cookie cookies consent notice banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead newsletter share sharing".split())
+#: Those by which it says that readers wrote it; they may write more than the article has.
+_READERS = frozenset("comment comments discussion discussions disqus reply replies respond responses".split())
+#: Links in a row that make a list of links.
+_LINKS = 3
 #: A start tag of these ends an open paragraph.
 _ENDS_P = _BLOCK - {"body", "html", "caption", "dd", "dt", "legend", "li", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _P_HOLDERS = frozenset("article main section div td th li button blockquote body".split())
-_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+_SAME = {"a": ("a",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_HOLDS = {"a": _CONTAINERS, "li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Open elements looked at for one that a start tag ends by itself.
 _REACH = 64
 
 
+def _words(parts: list[str]) -> int:
+    """How many hold a letter or digit."""
+    return sum(any(map(str.isalnum, p)) for p in parts)
+
+
 class _Events(HTMLParser):
-    """Collects elements (parent, tag, veto) and lines (element, text, tags)."""
+    """Collects elements (parent, tag, vetoes, whether a reader's) and lines (element, text, tags, links, words in links, characters in links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.hard, self.soft = [-1], [""], [False], [False]
+        self.parent, self.tag, self.hard, self.soft, self.reader = [-1], [""], [False], [False], [False]
         self.open = [0]
         self.count: dict[str, int] = {}
         self.cut = 0  # open elements whose text is cut out of its line
-        self.lines: list[tuple[int, str, int]] = []
+        self.lines: list[tuple[int, str, int, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.linked: list[str] = []
+        self.tags = self.links = 0
 
     def _line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((self.open[-1], text, max(1, self.tags)))
-        self.parts, self.tags = [], 0
+            words = "".join(self.linked).split()
+            self.lines.append((self.open[-1], text, max(1, self.tags), self.links, _words(words), sum(map(len, words)) + max(0, len(words) - 1)))
+        self.parts, self.linked, self.tags, self.links = [], [], 0, 0
 
     def _leave(self, at: int) -> None:
         """Ends all open elements from the place ``at`` on."""
@@ -111,6 +124,8 @@ class _Events(HTMLParser):
         self.tag.append(tag)
         self.hard.append(bool(tag in _VETOED or hidden))
         self.soft.append(bool(masthead or values.get("role", "").lower() in _ROLES or names & _MARKS))
+        self.reader.append(bool(names & _READERS))
+        self.links += tag == "a"
         self.open.append(len(self.tag) - 1)
         self.count[tag] = self.count.get(tag, 0) + 1
         self.cut += self._cuts(len(self.tag) - 1)
@@ -122,6 +137,8 @@ class _Events(HTMLParser):
         if tag in _BLOCK:
             self._line()
         self.tags += 1
+        if tag == "a" and self.linked:
+            self.linked.append(" ")  # links that touch are two words
         if self.count.get(tag):
             at = len(self.open) - 1
             while self.tag[self.open[at]] != tag:
@@ -131,6 +148,8 @@ class _Events(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.cut:
             self.parts.append(data)
+            if self.count.get("a"):
+                self.linked.append(data)
 
     def unknown_decl(self, data: str) -> None:
         pass
@@ -161,17 +180,41 @@ def smoothed(ratios: list[float], sigma: float = 0.6, radius: int = 2) -> list[f
 
 
 def _vetoes(e: _Events) -> list[bool]:
-    """By element, whether it stands in a vetoed one. A mark does not count on what holds the page's article."""
-    holds = [t in ("body", "main", "article", "h1") for t in e.tag]
-    for at in range(len(e.tag) - 1, 0, -1):
+    """By element, whether it stands in a vetoed one.
+
+    A mark does not count on what holds the page's main part, its first heading, or without both its first article. On a
+    page without any of them a mark that is not of readers does not count on what holds most of the text.
+    """
+    n = len(e.tag)
+    named = {"main", "h1"} & set(e.tag)
+    first = e.tag.index("article") if not named and "article" in e.tag else -1
+    told = bool(named) or first > 0
+    holds = [t in ("body", "main", "h1") or at == first for at, t in enumerate(e.tag)]
+    prose, hard = [0] * n, [False] * n
+    for at in range(1, n):
+        hard[at] = hard[e.parent[at]] or e.hard[at]
+    for element, text, *_, linked in e.lines:
+        prose[element] += 0 if hard[element] else len(text) - linked
+    for at in range(n - 1, 0, -1):
+        prose[e.parent[at]] += prose[at]
         holds[e.parent[at]] |= holds[at] and not e.hard[at]
-    out = [False] * len(e.tag)
+    out = [False] * n
+    for at in range(1, n):
+        marked = (e.soft[at] and (e.tag[at] == "header" or not holds[at] and (told or 2 * prose[at] <= prose[0]))) or (e.reader[at] and not holds[at])
+        out[at] = out[e.parent[at]] or e.hard[at] or marked
+    return out
+
+
+def _within(e: _Events, tags: frozenset[str], inner: bool) -> list[int]:
+    """By element, its nearest (``inner``) or outermost element of ``tags``, itself included; 0 for none."""
+    out = [0] * len(e.tag)
     for at in range(1, len(e.tag)):
-        out[at] = out[e.parent[at]] or e.hard[at] or (e.soft[at] and (not holds[at] or e.tag[at] == "header"))
+        up = out[e.parent[at]]
+        out[at] = at if e.tag[at] in tags and (inner or not up) else up
     return out
 
 
-def extract(html: str | None, smooth: Callable[[list[float]], list[float]] = smoothed, nearly: float = 0.75, sparse: float = 1 / 3) -> str:
+def extract(html: str | None, smooth: Callable[[list[float]], list[float]] = smoothed) -> str:
     """The page's main text: blocks joined by an empty line; empty if there is none."""
     if not html:
         return ""
@@ -180,40 +223,33 @@ def extract(html: str | None, smooth: Callable[[list[float]], list[float]] = smo
     lines = [x for x in e.lines if not vetoed[x[0]]]
     if not lines:
         return ""
-    ratio = smooth([len(text) / tags for _, text, tags in lines])
+    ratio = smooth([max(0, len(text) - linked) / tags for _, text, tags, _, _, linked in lines])
     mean = sum(ratio) / len(ratio)
     limit = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
     content = [r >= limit for r in ratio]
-    # characters by container, clustered and all; children come after their parents
-    n = len(e.tag)
-    box = list(range(n))
-    for at in range(1, n):
-        box[at] = at if e.tag[at] in _CONTAINERS else box[e.parent[at]]
-    dense, whole, heaviest = [0] * n, [0] * n, [0] * n
-    for (element, text, _), full in zip(lines, content, strict=True):
-        whole[box[element]] += len(text)
-        dense[box[element]] += len(text) * full
-    for at in range(n - 1, 0, -1):
-        if box[at] == at:
-            up = box[e.parent[at]]
-            whole[up] += whole[at]
-            dense[up] += dense[at]
-            if not heaviest[up] or dense[at] >= dense[heaviest[up]]:
-                heaviest[up] = at
-    region = 0
-    while heaviest[region] and dense[region] and dense[heaviest[region]] >= nearly * dense[region]:
-        region = heaviest[region]
-    keep = [False] * n
-    keep[region] = True
-    for at in range(region + 1, n):
-        if box[at] == at:
-            up = box[e.parent[at]]
-            keep[at] = keep[up] and (up != region or 2 * dense[at] >= whole[at])
-        else:
-            keep[at] = keep[box[at]]
-    chosen = [(text, full) for (element, text, _), full in zip(lines, content, strict=True) if keep[box[element]]]
-    clustered, every = sum(len(t) for t, full in chosen if full), sum(len(t) for t, _ in chosen)
-    return "\n\n".join(t for t, full in chosen if full or clustered >= sparse * every)
+    if not any(content):
+        return ""
+    # regions: what lies between clustered lines, and what shares an article or a container with one
+    article, box = _within(e, _ARTICLE, False), _within(e, _CONTAINERS, True)
+    full = {article[x[0]] for x, c in zip(lines, content, strict=True) if c} - {0}
+    boxes = {box[x[0]] for x, c in zip(lines, content, strict=True) if c}
+    start, end = content.index(True), len(content) - content[::-1].index(True)
+    while start and e.tag[lines[start - 1][0]] in _HEADINGS:
+        start -= 1
+    titles = [i for i in range(start) if e.tag[lines[i][0]] == "h1"]
+    start = titles[-1] if titles else start
+    keep = [start <= i < end or article[x[0]] in full or box[x[0]] in boxes for i, x in enumerate(lines)]
+    # lists of links fall
+    at = 0
+    while at < len(lines):
+        stop, links = at, 0
+        while stop < len(lines) and not content[stop] and 2 * lines[stop][4] > _words(lines[stop][1].split()):
+            links += lines[stop][3]
+            stop += 1
+        if links >= _LINKS:
+            keep[at:stop] = [False] * (stop - at)
+        at = max(stop, at + 1)
+    return "\n\n".join(x[1] for x, k in zip(lines, keep, strict=True) if k)
 
 
 def main_text():
