@@ -18,6 +18,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticelake.storage import cut, drop
@@ -33,6 +34,8 @@ PATTERNS = {
 BLANKS, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 #: Terms up to which they are sent to every task: at most some MB, as a term is one word.
 BROADCAST_TERMS = 100_000
+#: Spans, 20 bytes each, up to which they are sent to every task.
+BROADCAST_SPANS = 1_000_000
 #: Documents with disclosing terms up to which their ids, 8 bytes each, are sent to every task.
 BROADCAST_IDS = 1_000_000
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -119,10 +122,11 @@ def _block_sums(steps: Column, block: Column, add) -> Column:
     return F.transform(F.sequence(F.lit(0), F.ceil(F.size(steps) / block).cast("int")), lambda k: add(F.slice(steps, k * block + 1, block)))
 
 
-def _running(steps: Column, block: Column, sums: Column, add) -> Column:
+def _running(steps: Column, block: Column, sums: Column, add, both=lambda a, b: a + b) -> Column:
+    """Of every step what ``add`` makes of it and all before, from what it made of the blocks."""
     def end(_: Column, i: Column) -> Column:
         k = F.floor(i / block).cast("int")
-        return add(F.slice(sums, F.lit(1), k)) + add(F.slice(steps, k * block + 1, i - k * block + 1))
+        return both(add(F.slice(sums, F.lit(1), k)), add(F.slice(steps, k * block + 1, i - k * block + 1)))
 
     return F.transform(steps, end)
 
@@ -172,69 +176,81 @@ def _documents_with(rows: DataFrame, terms: DataFrame, out: str) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(F.split("text", BLANKS))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias(out))
 
 
-def _told(rows: DataFrame, near: DataFrame, reach: int) -> DataFrame:
-    """Once per document, entity of ``near`` and word of the whole text: the contexts of the mention and of the word."""
-    named = near.groupBy("id", "entity").agg(F.min("context").alias("mention"))
-    ids = near.select("id").distinct()
+def _held(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of some documents, once each."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    held = _fixed(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]), words=F.filter(F.split("text", BLANKS), lambda w: w != ""))
+    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def _words_of(held: DataFrame, reach: int) -> DataFrame:
+    """Once per document and word: ``id``, ``term``, and ``own``, one context of the word."""
+    split = _fixed(held, words=F.filter(F.split("text", BLANKS), lambda w: w != ""))
     each = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.slice("words", F.greatest(i - reach + 1, F.lit(1)), F.lit(2 * reach + 1))).alias("own")))
-    found = held.select("id", F.explode(each).alias("w")).groupBy("id", F.col("w.term").alias("term")).agg(F.min("w.own").alias("own"))
-    return found.join(named, "id").select("id", "entity", "term", "mention", "own")
+    return split.select("id", F.explode(each).alias("w")).groupBy("id", F.col("w.term").alias("term")).agg(F.min("w.own").alias("own"))
 
 
-def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: float = 0.8) -> DataFrame:
-    """A stored table of ``entity``, ``term``, ``disclosure`` of the terms over the threshold.
+def _disclosing(rows: DataFrame, reach: int, support: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: ``entity``, ``class``; ``id``, ``class`` of the documents of a class; ``class``, ``term``, ``disclosure``.
 
-    ``rows`` has ``id`` and ``text``. A term and an entity occur together wherever a document holds
-    both. ``support`` counts different contexts, ``reach`` words to either side: of the mentions that
-    have the term near, or one a document of its mentions or of the term, so that copies of a
-    document prove nothing.
+    Entities that the same documents mention are one class: a term discloses all of them alike. So a document
+    with thousands of addresses that stand nowhere else has one class, not thousands times its words.
     """
     mentions = _contexts(rows, reach)
     near = cut(mentions.select("id", "entity", F.xxhash64("words").alias("context"), F.array_distinct("words").alias("words")), "mentions")
     total = rows.count()
+    named = cut(near.groupBy("id", "entity").agg(F.min("context").alias("mention")), "named")
+    name = F.concat_ws("-", F.count("*"), F.hex(F.bit_xor(F.xxhash64("id"))), F.hex(F.bit_xor(F.xxhash64(F.lit(1), "id"))))
+    entities = cut(named.groupBy("entity").agg(name.alias("class"), F.count("*").alias("mentioned"), F.countDistinct("mention").alias("apart")), "entities")
     pairs = near.select("id", "entity", "context", F.explode("words").alias("term"))
-    close = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts")).where(f"contexts >= {support}").select("entity", "term", F.lit(True).alias("close"))
-    entities = cut(near.groupBy("entity").agg(F.countDistinct("id").alias("mentioned")), "entities")
-    # an entity of fewer documents has other contexts only near its mentions
-    many = near.join(entities.where(f"mentioned >= {support}").select("entity"), "entity", "left_semi")
-    few = near.join(close.select("entity").distinct(), "entity", "left_semi")
-    told = cut(_told(rows, many.unionByName(few).select("id", "entity", "context").distinct(), reach), "told")
+    close = cut(pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts")).where(f"contexts >= {support}").join(entities, "entity").select("entity", "class", "term"), "close")
+    near_terms = close.select("class", "term").distinct().withColumn("close", F.lit(True))
+    # a class of fewer documents has other contexts only near its mentions
+    classes = entities.groupBy("class").agg(F.first("mentioned").alias("mentioned"), F.max("apart").alias("apart"))
+    classes = classes.where(f"mentioned >= {support}").unionByName(classes.where(f"mentioned < {support}").join(close.select("class").distinct(), "class", "left_semi"))
+    members = cut(named.join(entities.select("entity", "class"), "entity").select("id", "class").distinct().join(classes, "class"), "members")
+    found = cut(_words_of(_held(rows, members.select("id").distinct()), reach), "words")
+    # Disclosure is at most ln(total / max(mentioned, held)) / ln(total / mentioned), where a term is in ``held`` of these
+    # documents: that spares the common words, exactly, before any pair is made.
+    most = F.pow(F.lit(float(max(total, 1))), F.lit(1 - threshold)) * F.pow("mentioned", F.lit(threshold)) * (1 + 1e-9)
+    held = found.groupBy("term").agg(F.count("*").alias("held")).join(close.select("term").distinct().withColumn("near", F.lit(True)), "term", "left").where((F.col("held") >= support) | F.col("near")).drop("near")
+    rare = cut(found.join(held, "term"), "rare-words")
     # a word stuck to a mention stands in no text by itself
-    both = told.select("id", "entity", "term").unionByName(pairs.join(close.drop("close"), ["entity", "term"], "left_semi").select("id", "entity", "term")).distinct()
-    counted = both.groupBy("entity", "term").agg(F.count("*").alias("together")).join(close, ["entity", "term"], "left").where(F.col("close") | (F.col("together") >= support))
-    paired = cut(counted.join(entities, "entity"), "paired")
+    stuck = pairs.join(close.select("entity", "class", "term"), ["entity", "term"]).select("id", "class", "term").distinct().join(found, ["id", "term"], "left_anti")
+    together = rare.join(members, "id").where(F.col("held") <= most).groupBy("class", "term").agg(F.count("*").alias("n"), F.countDistinct("own").alias("own"))
+    counted = together.unionByName(stuck.groupBy("class", "term").agg(F.count("*").alias("n")).withColumn("own", F.lit(0).cast("long"))).groupBy("class", "term").agg(F.sum("n").alias("together"), F.sum("own").alias("own"))
+    rated = counted.join(near_terms, ["class", "term"], "left").where(F.col("close") | (F.col("together") >= support)).join(classes, "class")
     content = F.log(F.lit(float(total)) / F.col("mentioned"))
 
     def disclosure(count: str) -> Column:
         info = F.log(F.lit(float(total)) * F.col("together") / (F.col("mentioned") * F.greatest(count, "together")))
         return F.when(content > 0, info / content)
 
-    # a term is in no fewer documents than in those that mention anything: that bounds its disclosure
-    # from above and spares the common words, exactly, before the corpus is counted
-    ids = near.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    held = _documents_with(rows.join(ids, "id", "left_semi"), paired.select("term").distinct(), "held")
-    likely = cut(paired.join(held, "term", "left").where(disclosure("held") >= threshold).drop("held"), "likely")
-    spread = told.join(likely.where("close is null").select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term")
-    apart = spread.agg(F.countDistinct("mention").alias("m"), F.countDistinct("own").alias("o")).where(F.greatest("m", "o") >= support).select("entity", "term")
-    known = cut(likely.where("close").unionByName(likely.where("close is null").join(apart, ["entity", "term"], "left_semi")), "disclosing")
+    likely = cut(rated.join(held, "term", "left").where(disclosure("held") >= threshold).drop("held"), "likely")
+    sure = F.col("close") | (F.col("own") >= support) | ((F.col("together") == F.col("mentioned")) & (F.col("apart") >= support))
+    # where a term is in some of a class's documents only, its entities' contexts are counted there one by one
+    open_ = likely.where(~F.coalesce(sure, F.lit(False)) & (F.col("apart") >= support)).select("class", "term")
+    each = open_.join(entities.where(f"apart >= {support}").select("entity", "class"), "class").join(named, "entity").join(rare.select("id", "term"), ["id", "term"])
+    settled = each.groupBy("class", "entity", "term").agg(F.countDistinct("mention").alias("n")).where(f"n >= {support}").select("class", "term").distinct()
+    known = cut(likely.where(sure).unionByName(likely.join(settled, ["class", "term"], "left_semi")), "disclosing")
     anywhere = _documents_with(rows, known.select("term").distinct(), "anywhere")
     # a term stuck to a mention is a word of its own there; it never occurs less often than together
-    rated = known.join(anywhere, "term", "left").withColumn("disclosure", disclosure("anywhere"))
-    out = cut(rated.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"), "disclosures")
-    drop(near, entities, told, paired, likely, known)
-    return out
+    final = known.join(anywhere, "term", "left").withColumn("disclosure", disclosure("anywhere"))
+    out = cut(final.where(F.col("disclosure") >= threshold).select("class", "term", "disclosure"), "disclosures")
+    drop(near, named, close, found, rare, likely, known)
+    return entities.select("entity", "class"), members.select("id", "class"), out
 
 
-def _entities(found: Column) -> Column:
-    def name(x: Column) -> Column:
-        return F.when(x["kind"] == "email", entity("email", x["value"])).when(x["kind"] == "ip", entity("ip", x["value"])).otherwise(F.concat(x["kind"], F.lit(":"), _digits(x["value"])))
+def disclosures(rows: DataFrame, reach: int = 8, support: int = 3, threshold: float = 0.8) -> DataFrame:
+    """A table of ``entity``, ``term``, ``disclosure`` of the terms over the threshold.
 
-    return F.array_distinct(F.transform(found, name))
+    ``rows`` has ``id`` and ``text``. A term and an entity occur together wherever a document holds
+    both. ``support`` counts different contexts, ``reach`` words to either side: of the mentions that
+    have the term near, or one a document of its mentions or of the term, so that copies of a
+    document prove nothing. Entities of the same documents have the terms of each other.
+    """
+    entities, _, told = _disclosing(rows, reach, support, threshold)
+    return entities.join(told, "class").select("entity", "term", "disclosure")
 
 
 def _identity(key: str, text: str) -> Column:
@@ -253,33 +269,48 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int =
     named = docs.select(F.col(f"`{key}`").alias("key"), _identity(key, text).alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     rows = named.select("id", "text")
     based = cut(with_base(named).select("key", "id", "base"), "base-spans")
-    told = disclosures(rows, reach, support, threshold)
+    _, members, told = _disclosing(rows, reach, support, threshold)
     if told.isEmpty():
         return based.withColumn("terms", F.array().cast(_SPANS))
-    holders = based.where(F.size("base") > 0).select("id", F.explode(_entities(F.col("base"))).alias("entity")).join(told, "entity")
     # what tells an entity for certain is removed, the rest generalised
-    wanted = cut(holders.groupBy("id", "term").agg(F.max("disclosure").alias("d")), "told")
-    ids = wanted.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    hits = rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    wanted = cut(members.join(told, "class").groupBy("id", "term").agg(F.max("disclosure").alias("d")), "told")
+    hits = _held(rows, wanted.select("id").distinct())
     placed = _located(hits, "text", {"found": (F.lit(WORD), F.lit(True))}).select("id", F.explode("found").alias("w"))
     met = placed.select("id", "w.start", "w.end", "w.value").join(wanted.withColumnRenamed("term", "value"), ["id", "value"])
     kind = F.when(F.col("d") >= 1 - 1e-9, "removed").otherwise("term")
-    terms = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", kind.alias("kind")))).alias("found"))
+    free = _clear(met.select("id", kind.alias("kind"), "start", "end", "value"), based.where(F.size("base") > 0).dropDuplicates(["id"]).select("id", F.explode("base").alias("b")).select("id", "b.start", "b.end"))
+    terms = free.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", "kind"))).alias("found"))
     terms = terms.select("id", F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).alias("terms"))
-    free = F.filter(F.coalesce("terms", F.array().cast(_SPANS)), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    out = cut(based.join(terms, "id", "left").select("key", "id", "base", free.alias("terms")), "spans")
+    out = cut(based.join(terms, "id", "left").select("key", "id", "base", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms")), "spans")
     drop(based, told, wanted)
     return out
 
 
+def _clear(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """``spans`` that touch none of ``others``, in the order of their starts within each ``id``."""
+    both = spans.join(others.select("id").distinct(), "id", "left_semi").withColumn("own", F.lit(True)).unionByName(others.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    line = W.partitionBy("id").orderBy("start", "own")
+    before = F.max(F.when(~F.col("own"), F.col("end"))).over(line.rowsBetween(W.unboundedPreceding, -1))
+    after = F.first(F.when(~F.col("own"), F.col("start")), ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing))
+    clear = both.withColumn("before", before).withColumn("after", after).where("own and (before is null or before <= start) and (after is null or after >= end)")
+    return clear.select(*spans.columns).unionByName(spans.join(others.select("id").distinct(), "id", "left_anti"))
+
+
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with every span of ``text`` masked; all other columns and all rows stay."""
+    """``docs`` with every span of ``text`` masked; all other columns and all rows stay.
+
+    Only documents with spans are moved to them, unless these are few enough to be sent to every task.
+    """
     found = spans(docs, key, text, **options)
-    some = found.where("size(base) > 0 or size(terms) > 0").dropDuplicates(["id"]).select(F.col("id").alias("__id"), F.concat("base", "terms").alias("__spans"))
-    joined = docs.withColumn("__id", _identity(key, text)).join(some, "__id", "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(redacted(F.col(f"`{text}`"), F.col("__spans")))).select(*docs.columns)
+    some = found.where("size(base) > 0 or size(terms) > 0").dropDuplicates(["id"]).select(F.col("id").alias("__id"), F.transform(F.concat("base", "terms"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("__spans"))
+    some = cut(some, "masks")
+    named = docs.withColumn("__id", _identity(key, text))
+    if (some.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= BROADCAST_SPANS:
+        return masked(named.join(F.broadcast(some), "__id", "left"), text, "__spans").select(*docs.columns)
+    # spans are at base spans or in documents that hold one: the others stay where they are
+    based = with_base(named, text, "__base")
+    with_spans = based.where(F.size("__base") > 0).drop("__base").join(some, "__id", "left")
+    return masked(with_spans, text, "__spans").select(*docs.columns).unionByName(based.where(F.size("__base") == 0).select(*docs.columns))
 
 
 def count_of(found: Column, kind: str) -> Column:
@@ -292,26 +323,33 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, found: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; ``removed`` spans leave nothing.
+def masked(df: DataFrame, text: str, found: str) -> DataFrame:
+    """``df`` with every span of ``found`` in ``text`` replaced by its kind in brackets; ``removed`` spans leave nothing.
 
-    Spans that overlap are one, of the kind that starts first.
+    Spans that touch are one, of the kind that starts first. Ends so far are running maxima in blocks, and
+    the text is cut in blocks before it is cut at spans, both of the square root of their number: places in a
+    text are counted from its start, or from a block's.
     """
-    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-
-    def merge(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        wide = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(last["end"] > x["start"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wide))).otherwise(F.concat(done, F.array(x)))
-
-    merged = F.aggregate(ordered, empty, merge)
-    # every span with the end of the one before it
-    before = F.concat(F.array(F.lit(0)), F.transform(merged, lambda x: x["end"]))
-
-    def piece(x: Column, at: Column) -> Column:
+    span = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("kind"))
+    none = F.slice(F.array(span), 1, 0)
+    top = lambda part: F.coalesce(F.array_max(part), F.lit(0))
+    root = lambda a: F.ceil(F.sqrt(F.greatest(F.size(a), F.lit(1)))).cast("int")
+    held = _fixed(df, __o=F.coalesce(F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))), none))
+    held = _fixed(held, __n=root("__o"), __x=F.transform("__o", lambda x: x["end"]))
+    held = _fixed(held, __h=_block_sums(F.col("__x"), F.col("__n"), top))
+    held = _fixed(held, __e=_running(F.col("__x"), F.col("__n"), F.col("__h"), lambda part: top(part), F.greatest))
+    # spans that start something, with the end of what was before
+    begun = F.zip_with("__o", F.concat(F.array(F.lit(0)), F.slice("__e", F.lit(1), F.greatest(F.size("__e") - 1, F.lit(0)))), lambda x, at: F.struct(at.alias("at"), x["start"].alias("start"), x["kind"].alias("kind")))
+    held = _fixed(held, __g=F.when(F.size("__o") > 0, F.filter(begun, lambda x: x["start"] >= x["at"])).otherwise(F.slice(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit("").alias("kind"))), 1, 0)))
+    held = _fixed(held, __m=root("__g"))
+    first = lambda k: F.get("__g", k * F.col("__m"))["at"]
+    block = lambda k: F.substring(F.col(f"`{text}`"), first(k) + 1, F.coalesce(first(k + 1), F.length(F.col(f"`{text}`"))) - first(k))
+    held = _fixed(held, __b=F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("__g") / F.col("__m")).cast("int") - 1, F.lit(0))), block))
+
+    def piece(x: Column, i: Column) -> Column:
+        k = F.floor(i / F.col("__m")).cast("int")
         mask = F.when(x["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        return F.when(x.isNull(), F.substring(text, at + 1, F.length(text))).otherwise(F.concat(F.substring(text, at + 1, x["start"] - at), mask))
+        return F.concat(F.substring(F.get("__b", k), x["at"] - first(k) + 1, x["start"] - x["at"]), mask)
 
-    built = F.array_join(F.zip_with(merged, before, piece), "")
-    return F.when(F.size(found) > 0, built).otherwise(text)
+    whole = F.concat(F.array_join(F.transform("__g", piece), ""), F.substring(F.col(f"`{text}`"), F.element_at("__e", -1) + 1, F.length(F.col(f"`{text}`"))))
+    return held.withColumn(text, F.when(F.size("__g") > 0, whole).otherwise(F.col(f"`{text}`"))).select(*df.columns)

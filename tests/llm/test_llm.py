@@ -232,6 +232,65 @@ def test_disclosure_counts_equal_brute_force(spark):
     assert want and {k: round(v, 9) for k, v in got.items() if "@" not in k[1]} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_entities_of_the_same_documents_are_one_class(spark):
+    """Copies of a list of addresses and a text of its own: rows grow with the words, not with words times addresses."""
+    listed = lambda n: " ".join(f"word{i} user{i}@mail.org" for i in range(n))
+    rows = [(i, listed(400)) for i in range(4)] + [(10 + i, f"plain text number{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    entities, members, told = pii._disclosing(df, 8, 3, 0.8)
+    assert entities.count() == 400 and entities.select("class").distinct().count() == 1 and members.count() == 4
+    assert told.count() == 0  # their contexts are equal
+    apart = spark.createDataFrame([(i, " ".join(f"{i}x{j} word{j} user{j}@mail.org" for j in range(300))) for i in range(4)] + rows[4:], "id long, text string")
+    _, _, told = pii._disclosing(apart, 8, 3, 0.8)
+    words = {f"word{j}" for j in range(300)} | {f"user{j}@mail.org" for j in range(300)}
+    assert {r["term"] for r in told.collect()} - {"word"} == words  # what is left of a word without its digits is no word of a text
+
+
+def brute_masked(text, spans):
+    out, at, last = [], 0, None
+    for a, b, kind in sorted(spans):
+        if last is not None and a < at:
+            at = max(at, b)
+        else:
+            out += [text[at:a], "" if kind == "removed" else f"[{kind.upper()}]"]
+            at, last = b, kind
+    return "".join(out) + text[at:]
+
+
+def test_masks_equal_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(0, None, [(1, 2, "email")]), (1, "abc", []), (2, "abc", None)]
+    for i in range(3, 200):
+        text = "".join(rnd.choice("abé😀 ") for _ in range(rnd.randint(1, 80)))
+        some = [(a, rnd.randint(a + 1, len(text)), rnd.choice(["email", "term", "removed"])) for a in (rnd.randrange(len(text)) for _ in range(rnd.choice([0, 1, 2, 5, 30])))]
+        rows.append((i, text, some))
+    df = spark.createDataFrame(rows, "id long, text string, found array<struct<start:int,end:int,kind:string>>")
+    got = {r["id"]: r["text"] for r in pii.masked(df, "text", "found").collect()}
+    assert got == {i: brute_masked(t, s) if t is not None and s else t for i, t, s in rows}
+
+
+def test_masks_take_no_square_time(spark):
+    import time
+
+    took = []
+    for n in (4000, 32_000):
+        df = spark.createDataFrame([(1, "user@mail.org some words " * n)], "doc_id long, text string")
+        began = time.time()
+        assert pii.redact(df).first()["text"] == "[EMAIL] some words " * n
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 10
+
+
+def test_terms_at_base_spans_are_left_to_them(spark):
+    rows = [(i, f"q{i} joe@acme.com,Zorblax b{i} Zorblax c{i} Vurmik:joe@acme.com d{i}") for i in range(6)] + [(100 + i, f"the and of about it call other{i}") for i in range(60)]
+    for broadcast in (1_000_000, 0):
+        pii.BROADCAST_SPANS, was = broadcast, pii.BROADCAST_SPANS
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+        pii.BROADCAST_SPANS = was
+        assert clean[0] == "q0 [EMAIL],Zorblax b0  c0 Vurmik:[EMAIL] d0" and clean[100] == rows[6][1] and len(clean) == 66
+
+
 def test_pii_odd_rows(odd):
     assert pii.spans(odd).count() == len(ODD) and pii.spans(odd.limit(0)).count() == 0
     assert sorted(map(str, (r["text"] for r in pii.redact(odd).collect()))) == sorted(str(t) for _, t, _ in ODD)
