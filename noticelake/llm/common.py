@@ -29,10 +29,10 @@ def slices(column: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 512) ->
         at = stop
 
 
-def in_slices(column: pa.Array, body) -> pa.Array:
+def in_slices(column: pa.Array, body, most_bytes: int = 1 << 20) -> pa.Array:
     """``body`` over one stretch after the other, put together again."""
     out = []
-    for a, b in slices(column):
+    for a, b in slices(column, most_bytes):
         out.append(body(column.slice(a, b - a)))
         release()
     return pa.concat_arrays(out) if out else body(column)

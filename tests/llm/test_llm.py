@@ -52,7 +52,7 @@ def test_languages_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows) and not any(r["rejected"] for r in rows)
 
 
-def brute_kneser_ney(counts):
+def brute_kneser_ney(counts, size):
     """Probabilities by the textbook recursion over dictionaries: tuples of symbols to counts."""
     levels = [counts]
     for _ in range(langid.ORDER - 1):
@@ -63,7 +63,7 @@ def brute_kneser_ney(counts):
 
     def p(g):
         if not g:
-            return 1 / langid.SYMBOLS
+            return 1 / size
         level = levels[len(g) - 1]
         once, twice = (sum(c == k for c in level.values()) for k in (1, 2))
         d = once / (once + 2 * twice) if once and twice else 0.5
@@ -80,13 +80,44 @@ def test_language_models_equal_brute_force():
     table = langid.symbol_table(list("abcdefghijklmnopqrstuvwxyz"))
     code, _ = langid.ngrams(*langid.symbols(pa.array(["the cat sat on the mat", "der hund und die katze", "ein haus", "the the hat"]), table)[:2])
     gram, n = np.unique(code, return_counts=True)
-    model = langid.kneser_ney(gram, n)
-    split = lambda g: tuple(int(g) // langid.SYMBOLS**i % langid.SYMBOLS for i in range(langid.ORDER - 1, -1, -1))
-    p = brute_kneser_ney({split(g): int(c) for g, c in zip(gram, n, strict=True)})
-    asked = np.concatenate((gram, np.random.default_rng(0).integers(0, langid.SYMBOLS**langid.ORDER, 200)))
+    size = 28
+    model = langid.kneser_ney(gram, n, size)
+    split = lambda g: tuple(int(g) >> langid.BITS * i & langid.OTHER for i in range(langid.ORDER - 1, -1, -1))
+    join = lambda x: sum(int(v) << langid.BITS * i for i, v in enumerate(reversed(x)))
+    p = brute_kneser_ney({split(g): int(c) for g, c in zip(gram, n, strict=True)}, size)
+    symbols = [*range(27), langid.OTHER]
+    asked = np.concatenate((gram, np.array([join(x) for x in np.random.default_rng(0).choice(symbols, (200, langid.ORDER))], np.uint64)))
     assert np.allclose(np.exp(model.score(asked)), [p(split(g)) for g in asked], atol=1e-6)
-    for context in (int(gram[3] // langid.SYMBOLS), 7777):
-        assert abs(np.exp(model.score(context * langid.SYMBOLS + np.arange(langid.SYMBOLS))).sum() - 1) < 1e-4
+    for context in (split(gram[3])[:-1], (3, 2, 1)):
+        assert abs(np.exp(model.score(np.array([join((*context, x)) for x in symbols], np.uint64))).sum() - 1) < 1e-4
+
+
+def test_languages_of_large_alphabets(spark):
+    """Two scripts of 600 letters each beside English and German: no letter is shared, so no text is taken for another's."""
+    rnd = random.Random(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang in ('en', 'de')").select("doc_id", "text", "lang")
+    scripts = {"xa": [chr(0x4E00 + i) for i in range(600)], "xb": [chr(0x5E00 + i) for i in range(600)]}
+    made = [(100_000 + i, "".join(rnd.choice(scripts[k]) for _ in range(rnd.randint(20, 60))), k) for i, k in enumerate(["xa", "xb"] * 200)]
+    rows = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    got = langid.identify(rows).where("doc_id >= 100000").select("lang", "language.lang").toDF("lang", "found").collect()
+    assert len(got) == 400 and all(r["lang"] == r["found"] for r in got)
+
+
+def test_a_language_that_was_not_taught_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 200")
+    model = langid.train(docs.where("lang <> 'fr'"))
+    found = docs.withColumn("l", langid.predictor(docs, model)(F.col("text"))).groupBy((F.col("lang") == "fr").alias("foreign")).agg(F.avg(F.col("l.rejected").cast("int")).alias("share")).collect()
+    shares = {r["foreign"]: r["share"] for r in found}
+    assert shares[True] > 0.8 and shares[False] < 0.02  # 85 of 100 and none
+
+
+def test_models_keep_their_most_frequent_grams(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_GRAMS", 4000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    assert model.langs and all(len(m.grams[-1]) <= 4000 // len(model.langs) for m in model.models)
+    got = docs.withColumn("l", langid.predictor(docs, model)(F.col("text"))).where("lang is not null and length(text) > 200").collect()
+    assert sum(r["l"]["lang"] == r["lang"] for r in got) > 0.95 * len(got)
 
 
 def test_languages_reject_texts_with_letters(spark):
