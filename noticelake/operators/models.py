@@ -17,7 +17,7 @@ from noticelake.functions.gazetteer import extract_entities, label_category
 from noticelake.functions.once import once
 from noticelake.functions.parsing import strip_html
 from noticelake.functions.severity import severity_label, severity_score
-from noticelake.functions.text import ENGLISH, bigrams, compose_text, tokens
+from noticelake.functions.text import DOMAIN, ENGLISH, bigrams, compose_text, tokens
 from noticelake.operators.aggregates import unique_slugs
 from noticelake.operators.vectors import cosine, dot, embed, knn, normalized, novelty, with_surrogates
 from noticelake.schema import COUNTRIES
@@ -46,6 +46,15 @@ def tfidf(df: DataFrame, key: str, text: str, min_df: int = 2, max_df: float | N
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+# Bounds of a term's documents, and the corpora from which they hold.
+MIN_DF, MIN_DF_LARGE, LARGE_CORPUS, MAX_DF, MAX_DF_FROM = 2, 5, 500, 0.3, 200
+
+
+def corpus_bounds(n: int) -> dict[str, float | None]:
+    """``min_df`` and ``max_df`` for a corpus of ``n`` texts: a real one sheds one-off names and what every text has."""
+    return {"min_df": MIN_DF_LARGE if n >= LARGE_CORPUS else MIN_DF, "max_df": MAX_DF if n >= MAX_DF_FROM else None}
+
+
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Adds weights under which all classes count the same."""
     counts = df.groupBy(label).agg(F.count("*").alias("__c"))
@@ -226,13 +235,16 @@ def rebuild(df: DataFrame, vectors: DataFrame, k: int = 6, n_themes: int = 16, f
     novel = novelty(near, neighbors, "id", "country")
     cause = cut(held.select("id", "country", "cause").join(embed(held, "id", "cause", vectors), "id"), "vectors")
     members, named = None, None
-    for country in [r["country"] for r in held.select("country").distinct().orderBy("country").limit(len(COUNTRIES)).collect()]:
+    countries = [r["country"] for r in held.select("country").distinct().orderBy("country").limit(len(COUNTRIES) + 1).collect()]
+    if len(countries) > len(COUNTRIES):
+        raise ValueError(f"more countries than the vocabulary has: {countries}")
+    for country in countries:
         part = cause.where(F.col("country") == country)
         placed = themes(part, "id", "vector", n_themes, floor, least)
         if placed is None:
             continue
         placed = cut(placed, "themes")
-        weights = tfidf(part, "id", "cause", min_df=2, max_df=0.5)
+        weights = tfidf(part, "id", "cause", stop=ENGLISH | DOMAIN, **corpus_bounds(part.count()))
         labels = theme_labels(weights, placed, "id").select(F.lit(country).alias("country"), "theme", "size", "top_terms", "label")
         members = placed.withColumn("country", F.lit(country)) if members is None else members.unionByName(placed.withColumn("country", F.lit(country)))
         named = labels if named is None else named.unionByName(labels)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -103,6 +104,34 @@ def audit(spark, path: str, source: str, started, counts: dict[str, int] | None
     frame.withColumn("finished_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def audited(batch: DataFrame, source: str, runs: str, ordinal: str, put) -> dict[str, int]:
+    """Writes the last row of every key by ``put`` and appends a row about it to ``runs``, also where it fails; returns the counts.
+
+    What came and what was kept is observed on the way: nothing is read twice.
+    """
+    spark, came, kept = batch.sparkSession, Observation("came"), Observation("kept")
+    began = datetime.datetime.now()
+    last = keep_last(batch.observe(came, F.count(F.lit(1)).alias("n")), ordinal).observe(kept, F.count(F.lit(1)).alias("n"))
+    try:
+        put(last)
+        counts = {"fetched": came.get["n"], "upserted": kept.get["n"]}
+    except Exception as error:
+        audit(spark, runs, source, began, error=str(error))
+        raise
+    audit(spark, runs, source, began, counts)
+    return counts
+
+
+def lookup(df: DataFrame, requests: DataFrame, keys: list[str] = KEY, most: int = 100_000) -> DataFrame:
+    """Every request with the row of its composite key, null where there is none.
+
+    Few requests, as of one page, go to the rows: then the table is neither moved nor sorted.
+    """
+    asked = requests.select(*keys).distinct()
+    hits = df.join(F.broadcast(asked) if asked.limit(most + 1).count() <= most else asked, keys, "left_semi")
+    return requests.join(hits, keys, "left")
+
+
 # ---- retention
 
 

@@ -191,17 +191,17 @@ def _linked(spark, sf_dir):
 
     Edges per notice are bounded, as a neighbour table's are; their scores follow from the two ids.
     """
-    d = view(spark, sf_dir).where("report_date is not null")
+    d = view(spark, sf_dir)
     path = F.transform(F.filter("entities", lambda e: e["type"] == "pathogen"), lambda e: e["value"])
     nodes = cut(d.select("id", "country", "event_id", "report_date", "company_name", "product_description", "states", "severity_score", path.alias("pathogens"), F.transform("entities", lambda e: e["value"]).alias("entities")), "nodes")
-    order = W.partitionBy("country", "product_description").orderBy("report_date", "id")
+    order = W.partitionBy("country", "product_description").orderBy(F.col("report_date").asc_nulls_last(), "id")
     ahead = nodes.select(F.col("id").alias("src"), F.array(*[F.lead("id", i).over(order) for i in range(1, 5)]).alias("ahead"))
     after = ahead.select("src", F.explode(F.array_compact("ahead")).alias("dst"))
     return nodes, after.select("src", "dst", (F.lit(0.8) + F.pmod(F.col("src") + F.col("dst"), F.lit(20)) / 100).alias("score"))
 
 
-_NODES = SQL + """, nodes AS (SELECT id, country, event_id, report_date, company_name, states, severity_score, list_transform(list_filter(entities, lambda e: e.type = 'pathogen'), lambda e: e.value) AS pathogens, list_transform(entities, lambda e: e.value) AS ents FROM notices WHERE report_date IS NOT NULL),
-after AS (SELECT id AS src, unnest([lead(id, 1) OVER o, lead(id, 2) OVER o, lead(id, 3) OVER o, lead(id, 4) OVER o]) AS dst FROM notices WHERE report_date IS NOT NULL WINDOW o AS (PARTITION BY country, product_description ORDER BY report_date, id)),
+_NODES = SQL + """, nodes AS (SELECT id, country, event_id, report_date, company_name, states, severity_score, list_transform(list_filter(entities, lambda e: e.type = 'pathogen'), lambda e: e.value) AS pathogens, list_transform(entities, lambda e: e.value) AS ents FROM notices),
+after AS (SELECT id AS src, unnest([lead(id, 1) OVER o, lead(id, 2) OVER o, lead(id, 3) OVER o, lead(id, 4) OVER o]) AS dst FROM notices WINDOW o AS (PARTITION BY country, product_description ORDER BY report_date NULLS LAST, id)),
 edges AS (SELECT src, dst, 0.8 + ((src + dst) % 20) / 100 AS score FROM after WHERE dst IS NOT NULL),
 link AS (SELECT src, dst FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE score >= 0.85 AND list_has_any(a.pathogens, b.pathogens) AND abs(date_diff('day', a.report_date, b.report_date)) <= 60),
 star AS (SELECT h.src, n.id AS dst FROM nodes n JOIN (SELECT country, event_id, min(id) AS src FROM nodes WHERE event_id IS NOT NULL GROUP BY 1, 2) h USING (country, event_id) WHERE n.id <> h.src),
@@ -220,6 +220,38 @@ def _facts(spark, sf_dir):
 
 QUERIES["ml_cluster_facts"] = _facts
 
+
+
+def _lookup(spark, sf_dir):
+    """Every event asks for one notice by its composite key; most ask in vain."""
+    source = F.element_at(F.array(*map(F.lit, ("fda", "usda", "uk", "cfia", "rasff", "ncc"))), (F.col("event_id") % 6 + 1).cast("int"))
+    asked = table(spark, sf_dir, "events").select("event_id", source.alias("source"), F.col("event_id").cast("string").alias("recall_number"))
+    return T.lookup(view(spark, sf_dir).select("source", "recall_number", "country", "severity_score"), asked).select("event_id", "source", "recall_number", "country", "severity_score")
+
+
+QUERIES["jn_lookup"] = _lookup
+ORACLE["jn_lookup"] = SQL + " SELECT e.event_id, e.source, e.recall_number, country, severity_score FROM (SELECT event_id, ['fda', 'usda', 'uk', 'cfia', 'rasff', 'ncc'][event_id % 6 + 1] AS source, event_id::VARCHAR AS recall_number FROM events) e LEFT JOIN notices n ON n.source = e.source AND n.recall_number = e.recall_number"
+
+
+def _audited(spark, sf_dir):
+    """The runs of four sources, each with rows that come twice; the last one's write fails."""
+    rows, runs = cut(_dup(view(spark, sf_dir)), "batches"), fresh_path(spark, "runs")
+    for source in ("fda", "usda", "uk"):
+        T.audited(rows.where(F.col("source") == source), source, runs, "ordinal", lambda df: df.write.parquet(fresh_path(spark, "ingested")))
+
+    def full(_):
+        raise OSError("no space left")
+
+    try:
+        T.audited(rows.where("source = 'rasff'"), "rasff", runs, "ordinal", full)
+    except OSError:
+        pass  # told by its row
+    return spark.read.parquet(runs).select("source", "status", "fetched_count", "upserted_count", "error")
+
+
+QUERIES["snk_audit"] = _audited
+ORACLE["snk_audit"] = SQL + _DUP + " SELECT source, 'ok' AS status, count(*) AS fetched_count, count(DISTINCT recall_number) AS upserted_count, NULL::VARCHAR AS error FROM dup WHERE source IN ('fda', 'usda', 'uk') GROUP BY 1 UNION ALL SELECT 'rasff', 'error', NULL, NULL, 'no space left'"
+
 # ---- alerts
 
 

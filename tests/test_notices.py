@@ -110,6 +110,32 @@ def test_publish(spark, tmp_path):
     assert T.published(spark, str(tmp_path / "t")).count() == 5
 
 
+def test_lookup_by_composite_key(spark):
+    rows = spark.createDataFrame([("fda", "1", 5), ("uk", "1", 6)], "source string, recall_number string, v int")
+    asked = spark.createDataFrame([(1, "uk", "1"), (2, "uk", "2"), (3, "uk", "1"), (4, None, "1")], "id int, source string, recall_number string")
+    for most in (100, 1):
+        assert sorted((r["id"], r["v"]) for r in T.lookup(rows, asked, most=most).collect()) == [(1, 6), (2, None), (3, 6), (4, None)]
+
+
+def test_audit_tells_of_runs(spark, tmp_path):
+    batch = spark.createDataFrame([("fda", "1", 1), ("fda", "1", 2), ("fda", "2", 1)], "source string, recall_number string, ordinal int")
+    runs, out = str(tmp_path / "runs"), str(tmp_path / "out")
+    assert T.audited(batch, "fda", runs, "ordinal", lambda df: df.write.parquet(out)) == {"fetched": 3, "upserted": 2}
+    assert sorted((r["recall_number"], r["ordinal"]) for r in spark.read.parquet(out).collect()) == [("1", 2), ("2", 1)]
+
+    def fail(_):
+        raise OSError("x" * 3000)
+
+    with pytest.raises(OSError):
+        T.audited(batch, "fda", runs, "ordinal", fail)
+    told = {r["status"]: r for r in spark.read.parquet(runs).collect()}
+    assert told["ok"]["fetched_count"] == 3 and told["error"]["fetched_count"] is None and told["error"]["error"] == "x" * 2000
+
+
+def test_bounds_of_terms_follow_the_corpus():
+    assert M.corpus_bounds(199) == {"min_df": 2, "max_df": None} and M.corpus_bounds(200)["max_df"] == 0.3 and M.corpus_bounds(500)["min_df"] == 5
+
+
 def test_stream_upserts_and_restarts(spark, tmp_path):
     """Later batches win, a restart reads nothing twice, and a batch that runs again after it was written adds nothing."""
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
