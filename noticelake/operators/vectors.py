@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from noticelake.operators.components import components
+from noticelake.storage import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,48 +35,166 @@ def embed(df: DataFrame, key: str, text: str, vectors: DataFrame) -> DataFrame:
     return means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(key, normalized(F.transform("v", lambda p: p["x"])).alias("vector"))
 
 
-def knn(df: DataFrame, key: str, vector: str, part: str, k: int = 6, block_rows: int = 16_384) -> DataFrame:
+#: Schema of what neighbour tasks return.
+_PAIRS = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("score", pa.float64())])
+#: Angles are told to about 1e-8; bounds give way by more.
+_SLACK = 1e-6
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a list column as unit rows; a zero vector stays zero."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    m = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).reshape(len(column), -1)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def _best(ids: np.ndarray, mine: np.ndarray, names: np.ndarray, theirs: np.ndarray, k: int) -> pa.Table:
+    """Of every row its ``k`` best among ``names``, itself left out, by score, then by name."""
+    out = []
+    for at in range(0, len(ids), 256):
+        score = mine[at : at + 256] @ theirs.T
+        score[ids[at : at + 256, None] == names[None, :]] = -1.0
+        shown = score.round(12)
+        take = min(k, len(names))
+        least = -np.partition(-shown, take - 1, axis=1)[:, take - 1]
+        row, col = np.nonzero((shown >= least[:, None]) & (score > 1e-12))
+        # ties are the same in every run
+        order = np.lexsort((names[col], -shown[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < take], col[place < take]
+        out.append(pa.Table.from_arrays([pa.array(ids[at + row]), pa.array(names[col]), pa.array(score[row, col])], schema=_PAIRS))
+    return pa.concat_tables(out) if out else _PAIRS.empty_table()
+
+
+def _pivots(rows: DataFrame, block_rows: int, most: int) -> tuple[list[tuple[object, int]], dict[int, np.ndarray]]:
+    """Parts of more than a block, numbered, and of each its pivots: rows with the smallest hashes.
+
+    At most ``2 * most`` vectors come to the driver: a pivot per block of a part, fewer where that were over ``most`` in
+    all, of at most ``most`` parts, the largest. The sample they are ranked in is about four times as large.
+    """
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
+    large = [(r["part"], r["n"]) for r in sizes.orderBy(F.desc("n"), "part").limit(most).collect()]
+    if not large:
+        return [], {}
+    asked = [-(-n // block_rows) for _, n in large]
+    share = min(1.0, most / sum(asked))
+    spec = [(part, at, max(1, int(a * share)), min(1.0, 4 * max(1, int(a * share)) / n)) for at, ((part, n), a) in enumerate(zip(large, asked, strict=True))]
+    wanted = rows.sparkSession.createDataFrame(spec, f"part {rows.schema['part'].dataType.simpleString()}, pn int, m int, share double")
+    drawn = rows.join(F.broadcast(wanted), "part").withColumn("h", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 31)))
+    ranked = drawn.where(F.col("h") < F.col("share") * (1 << 31)).withColumn("at", F.row_number().over(W.partitionBy("pn").orderBy("h", "id")))
+    found: dict[int, list] = {}
+    for r in ranked.where("at <= m").select("pn", "v").collect():
+        found.setdefault(r["pn"], []).append(r["v"])
+    unit = {pn: np.array(v, float) / np.linalg.norm(np.array(v, float), axis=1, keepdims=True) for pn, v in found.items()}
+    return [(part, at) for at, (part, _) in enumerate(large) if at in unit], unit
+
+
+def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(v @ pivots.T, -1.0, 1.0))
+
+
+def _cells(rows: DataFrame, block_rows: int, most: int) -> tuple[DataFrame, DataFrame, dict[int, np.ndarray]]:
+    """Rows with the ``cell`` of their nearest pivot, block ``b`` inside it and angle; counts of the cells; the pivots."""
+    parts, pivots = _pivots(rows, block_rows, most)
+    if parts:
+        numbers = rows.sparkSession.createDataFrame(parts, f"part {rows.schema['part'].dataType.simpleString()}, pn int")
+        rows = rows.join(F.broadcast(numbers), "part", "left").select("id", "part", "v", F.coalesce("pn", F.lit(-1)).alias("pn"))
+    else:
+        rows = rows.select("id", "part", "v", F.lit(-1).alias("pn"))
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, pn = _matrix(batch["v"]), batch["pn"].to_numpy()
+            cell, angle = np.zeros(len(pn), np.int32), np.zeros(len(pn))
+            for p in np.unique(pn[pn >= 0]):
+                at = np.flatnonzero(pn == p)
+                away = _angles(v[at], pivots[p])
+                cell[at], angle[at] = away.argmin(1), away.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], names=[*batch.schema.names, "cell", "angle"])
+
+    placed = rows.mapInArrow(place, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, cell int, angle double")
+    placed = cut(placed, "cells")
+    cells = placed.groupBy("part", "pn", "cell").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    return placed.join(cells.select("part", "cell", "blocks"), ["part", "cell"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks"))), cells, pivots
+
+
+def _reached(placed: DataFrame, first: DataFrame, cells: DataFrame, pivots: dict[int, np.ndarray], k: int) -> DataFrame:
+    """Rows with every block besides their own that may hold one of their ``k`` best: ``target``, ``tb``."""
+    radii: dict[int, list] = {}
+    for r in cells.where("pn >= 0").collect():  # a row per pivot
+        radii.setdefault(r["pn"], []).append((r["cell"], r["low"], r["high"]))
+    held = {pn: tuple(np.array(c) for c in zip(*found, strict=True)) for pn, found in radii.items()}
+    worst = first.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("s"))
+    limit = F.when(F.col("n") >= k, F.acos(F.least("s", F.lit(1.0)))).otherwise(np.pi / 2)
+    asking = placed.join(worst, "id", "left").select("id", "part", "v", "pn", "cell", "b", limit.alias("limit"))
+
+    def reach(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, pn, most = _matrix(batch["v"]), batch["pn"].to_numpy(), batch["limit"].to_numpy() + _SLACK
+            row, target = [np.flatnonzero(pn < 0)], [np.zeros((pn < 0).sum(), np.int64)]
+            for p in np.unique(pn[pn >= 0]):
+                at, (cell, low, high) = np.flatnonzero(pn == p), held[p]
+                away = _angles(v[at], pivots[p][cell])
+                a, c = np.nonzero(np.maximum(away - high, low - away) <= most[at, None])
+                row.append(at[a])
+                target.append(cell[c])
+            row, target = np.concatenate(row), np.concatenate(target)
+            order = np.argsort(row, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(pn)))))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(target[order], pa.int32()))
+            kept = [c for c in batch.schema.names if c not in ("pn", "limit")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), lists], names=[*kept, "targets"])
+
+    kept = [f for f in asking.schema if f.name not in ("pn", "limit")]
+    found = cut(asking.mapInArrow(reach, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kept)}, targets array<int>"), "reached")
+    blocks = cells.select("part", F.col("cell").alias("target"), "blocks")
+    each = found.withColumn("target", F.explode("targets")).drop("targets").join(blocks, ["part", "target"])
+    each = each.withColumn("tb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    return each.where("target <> cell or tb <> b")
+
+
+def knn(df: DataFrame, key: str, vector: str, part: str, k: int = 6, block_rows: int = 16_384, max_pivots: int = 4096) -> DataFrame:
     """The ``k`` most similar rows of the same part by positive cosine, exactly: ``src``, ``dst``, ``rank``, ``score``.
 
-    The rows of a part fall into hashed blocks of about ``block_rows``, as many as its counted size
-    asks for; every pair of blocks meets in one task as two matrices, which keeps each row's best
-    ``k`` there, and a last ranking merges them. A task holds two blocks whatever the part's size.
+    A metric index over angles. Rows of a part of more than ``block_rows`` go to the cell of their nearest pivot, cells into
+    hashed blocks of about that size. A row's ``k`` best in its own block bound the angle of its answer (a right angle where
+    there are fewer, since only positive cosines count). By the triangle inequality a row at angle a to a pivot whose cell
+    reaches from low to high is at least max(a - high, low - a) from all of that cell; it is sent to the cells only where this
+    is within its bound, and a block is copied only to the blocks that sent it rows. So nothing that is skipped can
+    be among the best, whatever the pivots. A task holds two blocks. Rows without a vector, or with zeros only, have no
+    neighbours. The driver holds ``2 * max_pivots`` vectors at most.
     """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(part).alias("part"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"))
-    dealt = rows.join(sizes, "part").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    left = dealt.select("id", "part", "v", F.col("b").alias("i"), F.explode(every).alias("j"))
-    right = dealt.select(F.col("id").alias("rid"), F.col("part").alias("rpart"), F.col("v").alias("rv"), F.explode(every).alias("ri"), F.col("b").alias("rj"))
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("score", pa.float64())])
-
-    def unit(column: pa.ChunkedArray) -> np.ndarray:
-        m = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy().reshape(len(column), -1)
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+    v = F.transform(vector, lambda x: x.cast("double"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(part).alias("part"), v.alias("v")).where(dot(F.col("v"), F.col("v")) > 0)
+    placed, cells, pivots = _cells(rows, block_rows, max_pivots)
+
+    def alone(a: pa.Table) -> pa.Table:
+        ids, m = a["id"].to_numpy(), _matrix(a["v"])
+        return _best(ids, m, ids, m, k)
+
+    def both(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        out, mine, theirs = [], unit(a["v"]), unit(b["rv"])
-        ids, names = a["id"].to_numpy(), b["rid"].to_numpy()
-        for at in range(0, len(ids), 256):
-            score = mine[at : at + 256] @ theirs.T
-            score[ids[at : at + 256, None] == names[None, :]] = -1.0
-            shown = score.round(12)
-            take = min(k, len(names))
-            least = -np.partition(-shown, take - 1, axis=1)[:, take - 1]
-            row, col = np.nonzero((shown >= least[:, None]) & (score > 1e-12))
-            # by score, then by name, so that ties are the same in every run
-            order = np.lexsort((names[col], -shown[row, col], row))
-            row, col = row[order], col[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < take], col[place < take]
-            out.append(pa.Table.from_arrays([pa.array(ids[at + row]), pa.array(names[col]), pa.array(score[row, col])], schema=schema))
-        return pa.concat_tables(out)
-
-    pairs = left.groupBy("part", "i", "j").cogroup(right.groupBy("rpart", "ri", "rj")).applyInArrow(best, "src long, dst long, score double")
-    return rank_neighbors(pairs, k)
+            return _PAIRS.empty_table()
+        return _best(a["id"].to_numpy(), _matrix(a["v"]), b["rid"].to_numpy(), _matrix(b["rv"]), k)
+
+    kind = "src long, dst long, score double"
+    first = placed.select("id", "v", "part", "cell", "b").groupBy("part", "cell", "b").applyInArrow(alone, kind)
+    if not pivots and not cells.where("blocks > 1").limit(1).count():
+        return rank_neighbors(first, k)
+    first = cut(first, "own-block")
+    asked = _reached(placed, first, cells, pivots, k)
+    keys = ["part", "cell", "b", "target", "tb"]
+    pairs = asked.select(*[F.col(c).alias(f"to_{c}") for c in keys]).distinct()
+    home = (F.col("part") == F.col("to_part")) & (F.col("cell") == F.col("to_target")) & (F.col("b") == F.col("to_tb"))
+    there = placed.join(pairs, home).select(*[f"to_{c}" for c in keys], F.col("id").alias("rid"), F.col("v").alias("rv"))
+    rest = asked.groupBy(*keys).cogroup(there.groupBy(*[f"to_{c}" for c in keys])).applyInArrow(both, kind)
+    return rank_neighbors(first.unionByName(rest), k)
 
 
 def rank_neighbors(pairs: DataFrame, k: int) -> DataFrame:

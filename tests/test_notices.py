@@ -18,7 +18,7 @@ from noticelake.operators import tables as T
 from noticelake.operators import vectors as V
 from noticelake.operators.components import components
 from noticelake.sources import feeds
-from noticelake.streaming import streams
+from noticelake.streaming import streams, timers
 
 
 def land(tmp_path, payload):
@@ -174,6 +174,60 @@ def test_stream_matches_like_the_batch(spark, tmp_path):
     assert rows(got) == rows(L.match(n, s)) and {x for x, _ in rows(got)} == {1, 2, 4}
 
 
+def arrivals(spark, path, waves, schema):
+    """Waves of rows as files, each a micro-batch of its own."""
+    for rows in waves:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def told(spark, stream, name):
+    with timers.timer_store(spark):
+        return streams.run_to_table(stream, name).collect()
+
+
+def test_timers_tell_of_quiet_keys(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    beats = {"a": [0, 10, 300, 305, 900], "b": [5, 5, 50], None: [7, 400]}
+    rows = [(k, at(s)) for k, seconds in beats.items() for s in seconds]
+    # in three waves, later times first: each is late for the wave before, within the delay
+    waves = [rows[2::3], rows[::3], [*rows[1::3], ("c", None)], [("end", at(10_000))]]
+    stream = arrivals(spark, str(tmp_path / "in"), waves, "key string, ts timestamp")
+    batch = L.heartbeat_gaps(spark.createDataFrame(rows, "key string, ts timestamp"), "key", "ts", 100).collect()
+    gaps = told(spark, timers.heartbeat_gaps(stream, "key", "ts", 100, "1000 seconds"), "gaps")
+    key = lambda r: (str(r["key"]), r["quiet_from"], r["quiet_to"])
+    assert sorted(map(key, gaps)) == sorted(map(key, batch)) and len(gaps) == 3
+    idle = told(spark, timers.expirations(stream, "key", "ts", 100, "1000 seconds"), "idle")
+    want = [(k, at(s)) for k, v in beats.items() for s, n in zip(v, [*v[1:], 10**6], strict=True) if n - s > 100]
+    assert sorted((str(r["key"]), r["quiet_from"]) for r in idle) == sorted((str(k), t) for k, t in want)
+
+
+def test_timers_go_on_after_a_restart(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run(wave):
+        stream = timers.expirations(arrivals(spark, source, [wave], "key string, ts timestamp"), "key", "ts", 100, "50 seconds")
+        with timers.timer_store(spark):
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["key"], int((r["quiet_from"] - at(0)).total_seconds())) for r in spark.read.schema(stream.schema).parquet(out).collect())
+
+    assert run([("a", at(0)), ("b", at(80))]) == []
+    assert run([("a", at(60)), ("b", at(120))]) == []  # a's row is late, and counts
+    assert run([("b", at(215))]) == [("a", 60)]
+    assert run([("a", at(230)), ("c", at(1000))]) == [("a", 60), ("a", 230), ("b", 215)]
+
+
+def test_timers_tell_of_missed_deadlines(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    starts = [(1, at(0), 10.0), (2, at(0), 10.0), (3, at(5), 10.0), (4, at(5), 10.0)]
+    ends = [(1, at(10), None), (2, at(11), None), (3, at(6), None), (9, at(3), None)]
+    for n, waves in enumerate(([starts, ends], [ends, starts], [starts[::2], ends, starts[1::2]])):
+        stream = arrivals(spark, str(tmp_path / f"in{n}"), [*waves, [(100, at(5000), None)]], "id long, ts timestamp, limit_s double")
+        got = told(spark, timers.missed_deadlines(stream, "id", "ts", "limit_s", "1000 seconds"), "deadlines")
+        assert sorted((r["id"], r["deadline"]) for r in got) == [(2, at(10)), (4, at(15))]
+
+
 def test_flood_guard_is_strict(spark):
     df = spark.range(101).select(F.when(F.col("id") < 51, "us").otherwise("uk").alias("country"))
     assert {r["country"] for r in L.flood_guard(df).collect()} == {"uk"}
@@ -281,6 +335,34 @@ def test_neighbours_in_blocks_and_by_projection(spark):
     assert len({(a, b) for a, b, _ in exact} & near) / len(exact) >= 0.9
 
 
+def test_pruned_neighbours_are_exact(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(12, 8))
+    points = np.concatenate([c + 0.05 * draw.normal(size=(60, 8)) for c in centres])
+    points[3] = 0.0  # no direction, no neighbour
+    points[700:710] = points[10]  # ties
+    rows = spark.createDataFrame([(i, "one" if i % 9 else "few", [float(x) for x in p]) for i, p in enumerate(points)] + [(10_000, "one", None)], "id long, part string, embedding array<double>")
+    size = np.linalg.norm(points, axis=1, keepdims=True)
+    unit = np.divide(points, size, out=np.zeros_like(points), where=size > 0)
+    cosines = unit @ unit.T
+    want = set()
+    for i in range(len(points)):
+        mates = sorted((-round(cosines[i, j], 12), j) for j in range(len(points)) if j != i and (j % 9 == 0) == (i % 9 == 0) and cosines[i, j] > 1e-12)
+        want |= {(i, j, n) for n, (_, j) in enumerate(mates[:6], 1)}
+    for most in (4096, 3, 1):
+        got = V.knn(rows, "id", "embedding", "part", block_rows=50, max_pivots=most).collect()
+        assert {(r["src"], r["dst"], r["rank"]) for r in got} == want
+    # of the pairs of rows and blocks most are never formed
+    clean = rows.where("id <> 3 and id < 10000").select("id", "part", F.col("embedding").alias("v"))
+    placed, cells, pivots = V._cells(clean, 50, 4096)
+    first = spark.createDataFrame([(i, j, float(cosines[i, j])) for i, j, _ in want], "src long, dst long, score double")
+    asked = V._reached(placed, first, cells, pivots, 6).count()
+    every = clean.groupBy("part").count().join(cells.groupBy("part").agg(F.sum("blocks").alias("b")), "part").agg(F.sum(F.col("count") * (F.col("b") - 1))).first()[0]
+    assert asked < every / 2, (asked, every)
+
+
 def test_match_equals_brute_force(spark):
     notice = lambda i, c, co, ents: ("s", str(i), c, co, "pathogen", "high", [("pathogen", e) for e in ents], None, None)
     notices = [notice(0, "us", "Acme Foods", ["Listeria"]), notice(1, "us", None, ["milk", "Listeria"]), notice(2, "eu", "Bolt", []), notice(3, "uk", "ACME", ["glass"]), notice(4, "us", "", [])]
