@@ -18,6 +18,7 @@ from noticelake.plans import notices as N
 from noticelake.plans.notices import NOW, SQL, source_rows, table, view
 from noticelake.storage import cut, fresh_path
 from noticelake.streaming import streams as R
+from noticelake.streaming import timers as E
 
 QUERIES, ORACLE = {}, {}
 
@@ -391,3 +392,36 @@ def _stream_ingest(spark, sf_dir):
 
 QUERIES["str_stream_ingest"] = _stream_ingest
 ORACLE["str_stream_ingest"] = SQL + " SELECT source, recall_number, severity_score + CASE WHEN id % 5 = 0 THEN 3 WHEN id % 3 = 0 THEN 1 ELSE 0 END AS severity_score, id + CASE WHEN id % 5 = 0 THEN 1000000000 ELSE 0 END AS ordinal FROM notices"
+
+
+def _timed(name, build):
+    """A query of timers over events that arrive in three batches, all but the first late, and a row that moves the watermark past them."""
+
+    def run(spark, sf_dir):
+        events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+        end = events.agg((F.max("ts") + F.expr("interval 200 days")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts", F.lit(3).cast("long").alias("wave"))
+        rows = events.withColumn("wave", F.pmod("event_id", F.lit(3))).unionByName(end, allowMissingColumns=True)
+        with E.timer_store(spark):
+            return R.run_to_table(build(_restream(rows, name, 4, F.col("wave"))), name)
+
+    return run
+
+
+_DELAY = "60 days"
+_quiet = lambda c="quiet_from": F.col(c).cast("timestamp_ntz").alias(c)
+QUERIES["str_stream_gaps"] = _timed("gaps", lambda e: E.heartbeat_gaps(e, "user_id", "ts", 86_400, _DELAY).select("user_id", _quiet(), _quiet("quiet_to")))
+ORACLE["str_stream_gaps"] = "SELECT user_id, ts AS quiet_from, n AS quiet_to FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events) WHERE epoch_us(n) - epoch_us(ts) > 86400000000"
+QUERIES["str_stream_expired"] = _timed("expired", lambda e: E.expirations(e, "user_id", "ts", 43_200, _DELAY).select("user_id", _quiet()))
+ORACLE["str_stream_expired"] = "SELECT user_id, ts AS quiet_from FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events) WHERE n IS NULL OR epoch_us(n) - epoch_us(ts) > 43200000000"
+
+
+def _visits(e):
+    """A user's day starts with a view, which has so many seconds for a purchase."""
+    day = (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("visit")
+    kept = e.where("event_type in ('view', 'purchase') or user_id < 0")
+    return kept.select(day, "ts", F.when(F.col("event_type") == "view", F.col("value") * 1000).alias("limit_s"))
+
+
+QUERIES["str_stream_deadline"] = _timed("deadline", lambda e: E.missed_deadlines(_visits(e), "visit", "ts", "limit_s", _DELAY).select("visit", F.unix_micros("deadline").alias("deadline_us")))
+ORACLE["str_stream_deadline"] = """SELECT visit, deadline_us FROM (SELECT user_id * 100 + day(ts) AS visit, min(epoch_us(ts) + trunc(value * 1000 * 1000000)::BIGINT) FILTER (event_type = 'view') AS deadline_us,
+  min(epoch_us(ts)) FILTER (event_type = 'purchase') AS ended FROM events GROUP BY 1) WHERE deadline_us IS NOT NULL AND (ended IS NULL OR ended > deadline_us)"""

@@ -8,7 +8,7 @@ from tests.compare import connect, rows_of, sql_rows
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "flt_all", "agg_by_severity", "agg_facets", "agg_stats", "win_anomalies", "win_forecast", "snk_upsert", "str_ingest_counts", "ml_knn", "str_match", "agg_digest", "str_dispatch", "fn_titles", "fn_canonical_slug",
-    "fn_states_iso", "fn_validate_criteria", "jn_link_edges", "dq_contract", "src_enforcement", "src_ncc", "src_rasff", "src_measures", "str_stream_trend", "str_stream_sessions", "snk_model",
+    "fn_states_iso", "fn_validate_criteria", "jn_link_edges", "dq_contract", "src_enforcement", "src_ncc", "src_rasff", "src_measures", "str_stream_trend", "str_stream_sessions", "str_stream_gaps", "str_stream_expired", "str_stream_deadline", "snk_model",
 ]
 
 
