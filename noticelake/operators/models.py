@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -18,30 +15,38 @@ from noticelake.functions.once import once
 from noticelake.functions.parsing import strip_html
 from noticelake.functions.severity import severity_label, severity_score
 from noticelake.functions.text import DOMAIN, ENGLISH, bigrams, compose_text, tokens
+from noticelake.operators import clusters
 from noticelake.operators.aggregates import unique_slugs
-from noticelake.operators.vectors import cosine, dot, embed, knn, normalized, novelty, with_surrogates
-from noticelake.schema import COUNTRIES
+from noticelake.operators.vectors import dot, embed, knn, normalized, novelty, with_surrogates
 from noticelake.storage import cut
 
 #: The classes that a model of classes is trained on.
 TRAINED = ("Class I", "Class II", "Class III")
 
 
-def tfidf(df: DataFrame, key: str, text: str, min_df: int = 2, max_df: float | None = None, max_features: int = 20_000, stop: frozenset[str] = ENGLISH) -> DataFrame:
+def tfidf(df: DataFrame, key: str, text: str, min_df: int | Column = 2, max_df: float | Column | None = None, max_features: int = 20_000, stop: frozenset[str] = ENGLISH, part: str | None = None) -> DataFrame:
     """``key``, ``term``, ``weight``: smoothed idf over words and word pairs, rows at unit length.
 
-    The vocabulary is the ``max_features`` terms with most occurrences, ties in order of the term.
+    The vocabulary is the ``max_features`` terms with most occurrences, ties in order of the term. With ``part``
+    every part is a corpus of its own; bounds may then be expressions over ``n``, its number of texts.
     """
+    by = [part] if part else []
     words = F.filter(tokens(F.col(text)), lambda w: ~w.isin(*sorted(stop)) if stop else F.lit(True))
-    held = df.select(key, words.alias("__w"))
-    terms = held.select(key, F.explode(F.concat("__w", bigrams(F.col("__w")))).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    total = df.agg(F.count("*").alias("n"))
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where(F.col("df") >= min_df).crossJoin(F.broadcast(total))
+    held = df.select(key, *by, words.alias("__w"))
+    terms = held.select(key, *by, F.explode(F.concat("__w", bigrams(F.col("__w")))).alias("term"))
+    tf = terms.groupBy(key, *by, "term").agg(F.count("*").alias("tf"))
+    total = df.groupBy(*by).agg(F.count("*").alias("n"))
+    counts = tf.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
+    stats = (counts.join(total, by) if part else counts.crossJoin(F.broadcast(total))).where(F.col("df") >= min_df)
     if max_df is not None:
-        stats = stats.where(F.col("df") <= max_df * F.col("n"))
-    kept = stats.orderBy(F.desc("all"), "term").limit(max_features).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(kept, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        stats = stats.where(F.col("df") <= F.coalesce(max_df if isinstance(max_df, Column) else F.lit(max_df), F.lit(1.0)) * F.col("n"))
+    if part:
+        best = W.partitionBy(*by).orderBy(F.desc("all"), "term")
+        kept = stats.withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= max_features)
+    else:
+        kept = stats.orderBy(F.desc("all"), "term").limit(max_features)
+    kept = kept.select(*by, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(kept, [*by, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -55,6 +60,11 @@ def corpus_bounds(n: int) -> dict[str, float | None]:
     return {"min_df": MIN_DF_LARGE if n >= LARGE_CORPUS else MIN_DF, "max_df": MAX_DF if n >= MAX_DF_FROM else None}
 
 
+def part_bounds() -> dict[str, Column]:
+    """The same for ``tfidf`` by parts, over ``n``."""
+    return {"min_df": F.when(F.col("n") >= LARGE_CORPUS, MIN_DF_LARGE).otherwise(MIN_DF), "max_df": F.when(F.col("n") >= MAX_DF_FROM, MAX_DF)}
+
+
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Adds weights under which all classes count the same."""
     counts = df.groupBy(label).agg(F.count("*").alias("__c"))
@@ -126,33 +136,41 @@ def rescued(df: DataFrame, rule: str, guess: str, confidence: str, least: float
 def themes(df: DataFrame, key: str, vector: str, k: int = 16, floor: int = 200, least: float = 0.55, seeds: tuple[int, ...] = tuple(range(42, 52))) -> DataFrame | None:
     """``key``, ``theme``, ``similarity`` of one part's rows: k-means, the best of several starts.
 
-    Rows less like their centre than ``least`` have no theme. None under ``floor`` rows. The centres,
-    k vectors, are what comes back from the fit.
+    Rows less like their centre than ``least`` have no theme. None under ``floor`` rows.
+    """
+    placed = part_themes(df.withColumn("__part", F.lit("")), key, vector, "__part", k, floor, least, seeds)
+    return None if placed is None else placed.drop("__part")
+
+
+def part_themes(df: DataFrame, key: str, vector: str, part: str, k: int = 16, floor: int = 200, least: float = 0.55, seeds: tuple[int, ...] = tuple(range(42, 52)), max_parts: int = 64) -> DataFrame | None:
+    """``key``, ``part``, ``theme``, ``similarity`` of all parts with at least ``floor`` rows; None where no part has.
+
+    All starts of all parts are fitted together (``clusters.fit``); of each part the start of least inertia counts.
     """
-    unit = df.select(key, normalized(F.col(vector)).alias("v")).where(dot(F.col("v"), F.col("v")) > 0)
-    rows = unit.withColumn("x", array_to_vector("v"))
-    if rows.count() < floor:
+    unit = df.select(key, part, normalized(F.col(vector)).alias("v")).where(dot(F.col("v"), F.col("v")) > 0)
+    rows = cut(unit, "unit-vectors")
+    sizes = {r[part]: r["n"] for r in rows.groupBy(part).agg(F.count("*").alias("n")).where(F.col("n") >= floor).limit(max_parts + 1).collect()}
+    if len(sizes) > max_parts:
+        raise ValueError(f"more than {max_parts} parts")
+    if not sizes:
         return None
-    rows = rows.cache()
-    with ThreadPool(5) as pool:  # the starts are jobs of their own and run side by side
-        models = pool.map(lambda s: KMeans(k=k, seed=s, featuresCol="x", predictionCol="theme", maxIter=20).fit(rows), seeds)
-    model = min(models, key=lambda m: m.summary.trainingCost)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    placed = model.transform(rows).withColumn("similarity", cosine(F.col("v"), F.get(centres, F.col("theme"))))
-    return placed.select(key, F.when(F.col("similarity") >= least, F.col("theme")).alias("theme"), "similarity")
-
-
-def theme_labels(weights: DataFrame, assigned: DataFrame, key: str, n: int = 8, candidates: int = 200) -> DataFrame:
-    """Per theme its top terms, none part of a better one, and a label of the best three."""
-    size = assigned.where("theme is not null").groupBy("theme").agg(F.count("*").alias("size"))
-    mean = weights.join(assigned.where("theme is not null").select(key, "theme"), key).groupBy("theme", "term").agg(F.sum("weight").alias("w")).join(size, "theme").withColumn("w", F.col("w") / F.col("size"))
-    order = W.partitionBy("theme").orderBy(F.desc("w"), "term")
+    fitted = clusters.fit(rows, part, "v", sizes, k, seeds)
+    placed = clusters.assign(rows, key, part, "v", {p: best for p, (best, _) in fitted.items()})
+    return placed.select(key, part, F.when(F.col("similarity") >= least, F.col("theme")).alias("theme"), "similarity")
+
+
+def theme_labels(weights: DataFrame, assigned: DataFrame, key: str, n: int = 8, candidates: int = 200, by: tuple[str, ...] = ("theme",)) -> DataFrame:
+    """Per theme (``by``) its top terms, none part of a better one, and a label of the best three."""
+    themed = assigned.where("theme is not null")
+    size = themed.groupBy(*by).agg(F.count("*").alias("size"))
+    mean = weights.join(themed.select(key, *by), key).groupBy(*by, "term").agg(F.sum("weight").alias("w")).join(size, [*by]).withColumn("w", F.col("w") / F.col("size"))
+    order = W.partitionBy(*by).orderBy(F.desc("w"), "term")
     best = mean.withColumn("n", F.row_number().over(order)).where(F.col("n") <= candidates)
-    lists = best.groupBy("theme", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]).alias("terms"))
+    lists = best.groupBy(*by, "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]).alias("terms"))
     parted = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
     clash = lambda kept, t: F.exists(kept, lambda o: parted(o).contains(parted(t)) | parted(t).contains(parted(o)))
     chosen = F.aggregate("terms", F.array().cast("array<string>"), lambda kept, t: F.when((F.size(kept) >= n) | clash(kept, t), kept).otherwise(F.concat(kept, F.array(t))))
-    return lists.withColumn("top_terms", chosen).select("theme", "size", "top_terms", F.array_join(F.slice("top_terms", 1, 3), ", ").alias("label"))
+    return lists.withColumn("top_terms", chosen).select(*by, "size", "top_terms", F.array_join(F.slice("top_terms", 1, 3), ", ").alias("label"))
 
 
 # ---- passes over stored rows
@@ -234,22 +252,13 @@ def rebuild(df: DataFrame, vectors: DataFrame, k: int = 6, n_themes: int = 16, f
     neighbors = cut(knn(near, "id", "vector", "country", k), "neighbors")
     novel = novelty(near, neighbors, "id", "country")
     cause = cut(held.select("id", "country", "cause").join(embed(held, "id", "cause", vectors), "id"), "vectors")
-    members, named = None, None
-    countries = [r["country"] for r in held.select("country").distinct().orderBy("country").limit(len(COUNTRIES) + 1).collect()]
-    if len(countries) > len(COUNTRIES):
-        raise ValueError(f"more countries than the vocabulary has: {countries}")
-    for country in countries:
-        part = cause.where(F.col("country") == country)
-        placed = themes(part, "id", "vector", n_themes, floor, least)
-        if placed is None:
-            continue
-        placed = cut(placed, "themes")
-        weights = tfidf(part, "id", "cause", stop=ENGLISH | DOMAIN, **corpus_bounds(part.count()))
-        labels = theme_labels(weights, placed, "id").select(F.lit(country).alias("country"), "theme", "size", "top_terms", "label")
-        members = placed.withColumn("country", F.lit(country)) if members is None else members.unionByName(placed.withColumn("country", F.lit(country)))
-        named = labels if named is None else named.unionByName(labels)
-    if named is None:
+    members = part_themes(cause, "id", "vector", "country", n_themes, floor, least)
+    if members is None:
         return neighbors, novel, None
+    placed = cut(members, "themes")
+    fitted = cause.join(F.broadcast(placed.select("country").distinct()), "country", "left_semi")
+    weights = tfidf(fitted, "id", "cause", stop=ENGLISH | DOMAIN, part="country", **part_bounds())
+    named = theme_labels(weights, placed, "id", by=("country", "theme"))
     base = F.trim(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "-"), F.lit("-"))
     numbered = with_surrogates(named.withColumnRenamed("theme", "cluster")).withColumn("base", F.when(base == "", F.concat(F.lit("theme-"), F.col("id").cast("string"))).otherwise(base))
     return neighbors, novel, unique_slugs(numbered, "base", "country", "cluster").drop("base").withColumnRenamed("cluster", "theme")

@@ -12,6 +12,7 @@ from noticelake.functions import parsing as P
 from noticelake.functions import severity as S
 from noticelake.functions import text as X
 from noticelake.operators import alerts as L
+from noticelake.operators import clusters
 from noticelake.operators import filters as Q
 from noticelake.operators import models as M
 from noticelake.operators import tables as T
@@ -363,6 +364,49 @@ def test_pruned_neighbours_are_exact(spark):
     assert asked < every / 2, (asked, every)
 
 
+def test_themes_of_all_parts_at_once(spark):
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    draw = np.random.default_rng(2)
+    parts = {"us": 260, "uk": 220, "za": 30}
+    rows, at = [], 0
+    for p, n in parts.items():
+        c = draw.normal(size=(6, 5))
+        x = c[draw.integers(6, size=n)] + 0.2 * draw.normal(size=(n, 5))
+        rows += [(at + i, p, [float(y) for y in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
+        at += n
+    df = spark.createDataFrame([*rows, (9999, "us", [0.0] * 5)], "id long, part string, v array<double>")
+    sizes = {"us": 260, "uk": 220}
+    unit = df.where("id < 9999").select("id", "part", V.normalized(F.col("v")).alias("v"))
+    fitted = clusters.fit(unit, "part", "v", sizes, 6, (1, 2, 3))
+    for p in sizes:
+        mine = np.array([v for _, q, v in rows if q == p])
+        away = ((mine[:, None] - fitted[p][0][None]) ** 2).sum(2)
+        assert abs(away.min(1).sum() - fitted[p][1]) < 1e-6
+        x = df.where(F.col("part") == p).where("id < 9999").withColumn("x", array_to_vector("v"))
+        assert fitted[p][1] <= 1.02 * min(KMeans(k=6, seed=s, featuresCol="x").fit(x).summary.trainingCost for s in (1, 2, 3))
+    placed = {r["id"]: r for r in M.part_themes(df, "id", "v", "part", 6, 200, -1.0, (1, 2, 3)).collect()}
+    assert set(placed) == {i for i, p, _ in rows if p != "za"}
+    for i, p, v in rows:
+        if p != "za":
+            c = fitted[p][0]
+            near = int(((c - np.array(v)) ** 2).sum(1).argmin())
+            assert placed[i]["theme"] == near and abs(placed[i]["similarity"] - np.dot(c[near], v) / np.linalg.norm(c[near])) < 1e-9
+    assert M.themes(df.where("part = 'za'"), "id", "v") is None
+
+
+def test_weights_by_part_are_those_of_each_alone(spark):
+    texts = [(i, "ab"[i % 2], f"red {'milk' if i % 3 else 'jar'} lid{i % 5}") for i in range(40)]
+    df = spark.createDataFrame(texts, "id long, part string, text string")
+    weights = lambda f, **k: {(r["id"], r["term"]): round(r["weight"], 9) for r in M.tfidf(f, "id", "text", max_features=7, **k).collect()}
+    alone = {}
+    for p in "ab":
+        alone |= weights(df.where(F.col("part") == p))
+    assert weights(df, part="part", **M.part_bounds()) == alone
+
+
 def test_match_equals_brute_force(spark):
     notice = lambda i, c, co, ents: ("s", str(i), c, co, "pathogen", "high", [("pathogen", e) for e in ents], None, None)
     notices = [notice(0, "us", "Acme Foods", ["Listeria"]), notice(1, "us", None, ["milk", "Listeria"]), notice(2, "eu", "Bolt", []), notice(3, "uk", "ACME", ["glass"]), notice(4, "us", "", [])]
