@@ -19,11 +19,11 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers import this package, and keeps Arrow batches of long texts small, unless the session says how many rows they have.
 
-    A batch stands in the JVM and in the worker at once, for every core; 10,000 rows, as by default, are 30 MB of documents.
+    A batch stands in the JVM and in the worker at once, for every core; 10,000 rows, as by default, are 30 MB of documents. Operators work in slices of at most 512 rows anyhow.
     """
     ship(spark)
     if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "2000")
+        spark.conf.set(_BATCH, "256")
 
 
 def slices(column: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 512) -> Iterator[tuple[int, int]]:
