@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -77,6 +79,22 @@ def test_severity_orderings(spark):
     assert score(spark, "Class I", "Listeria; two people died", None, "Nationwide") >= 89
 
 
+def test_entities_of_words_that_overlap(spark):
+    literal = {
+        "sudan i and SUDAN II": ["illegal dye"], "paralytic shellfish": ["crustaceans", "marine biotoxin"], "chlorpyrifos-methyl": ["pesticide"], "milks": [], "_milk": [], "milk-egg": ["milk", "egg"],
+        "undeclared veterinary drug": ["undeclared drug"], "undeclared drug residue": ["undeclared drug"], "contains lead contamination": ["lead"], "e.coli, e. coli": ["E. coli"], "benzo(a)pyrene": ["process contaminant"],
+        "glass, then milk": ["milk", "glass"], "": [],
+    }
+    words = [w for _, _, of in G.VOCABULARY for w in of]
+    pick = random.Random(3)
+    made = ["".join(w[: pick.choice([len(w), len(w), len(w) - 1])] + pick.choice([" ", "-", ", ", "", "s "]) for w in pick.choices(words, k=4)) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in [None, *literal, *made]], "t string")
+    got = {r["t"]: [e["value"] for e in r["e"]] for r in df.select("t", G.extract_entities(F.col("t")).alias("e")).collect()}
+    assert got.pop(None) == [] and {t: got[t] for t in literal} == literal
+    # all patterns, one after the other
+    assert got == {t: [v for _, v, p in G.GAZETTEER if re.search(p, t.lower(), re.ASCII)] for t in got}
+
+
 def test_search(spark):
     df = X.with_terms(spark.createDataFrame([("a", "listeria listeria cheese"), ("b", "undeclared soy"), ("c", "listeria in milk chocolate boxes here")], "id string, search_text string"))
     pick = lambda q: {r["id"] for r in df.where(X.parse_query(q, F.col("terms"))[0]).collect()}
