@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticelake.llm.columns import aside
 from noticelake.llm.common import in_slices, mix, prepare, rolling, slices, utf8, word_hashes, words
 
 #: Positions that a mask reads. All read five words; all but the first skip some.
@@ -184,7 +185,8 @@ def _lengths(batches):
 def _joined(docs: DataFrame, items: DataFrame, text: str, key: str, out: str, window: int, similarity: float) -> DataFrame:
     named = lambda *columns: F.unhex(F.md5(F.concat_ws("\1", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in columns])))
     kept = [c for c in docs.columns if c != out]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], named(key, text).alias("__id"))
+    inner = aside(docs.select(*[F.col(f"`{c}`") for c in kept]), key, text)
+    rows = inner.withColumn("__id", named(key, text))
     texts = rows.select(F.col("__id").alias("id"), F.col(f"`{text}`").cast("string").alias("words"))
     of_items = items.select(named("item", "words").alias("id"), "item", "words").dropDuplicates(["id"])
     short = tuple(sorted(r["n"] for r in items.select("words").mapInArrow(_lengths, "n long").distinct().collect()))
@@ -205,6 +207,6 @@ def _joined(docs: DataFrame, items: DataFrame, text: str, key: str, out: str, wi
 
     scored = near.select("id", "item", score("item_words", "words", "shift").alias("overlap")).where("overlap is not null")
     best = scored.groupBy("id", "item").agg(F.max("overlap").alias("overlap"))
-    lists = best.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct(F.col("item").alias("item_id"), "overlap"))).alias(out))
+    lists = best.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct(F.col("item").alias("item_id"), "overlap"))).alias("__matches"))
     joined = rows.join(lists, "__id", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{out}`"), F.array().cast(_MATCHES)).alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in inner.columns], F.coalesce("__matches", F.array().cast(_MATCHES))).toDF(*kept, out)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from noticelake.llm.columns import aside
 from noticelake.storage import cut, drop
 
 KINDS = ("email", "ip", "card", "phone")
@@ -304,13 +305,15 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     found = spans(docs, key, text, **options)
     some = found.where("size(base) > 0 or size(terms) > 0").dropDuplicates(["id"]).select(F.col("id").alias("__id"), F.transform(F.concat("base", "terms"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("__spans"))
     some = cut(some, "masks")
-    named = docs.withColumn("__id", _identity(key, text))
+    inner = aside(docs, key, text)
+    named = inner.withColumn("__id", _identity(key, text))
     if (some.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= BROADCAST_SPANS:
-        return masked(named.join(F.broadcast(some), "__id", "left"), text, "__spans").select(*docs.columns)
+        return masked(named.join(F.broadcast(some), "__id", "left"), text, "__spans").select(*inner.columns).toDF(*docs.columns)
     # spans are at base spans or in documents that hold one: the others stay where they are
     based = with_base(named, text, "__base")
     with_spans = based.where(F.size("__base") > 0).drop("__base").join(some, "__id", "left")
-    return masked(with_spans, text, "__spans").select(*docs.columns).unionByName(based.where(F.size("__base") == 0).select(*docs.columns))
+    done = masked(with_spans, text, "__spans").select(*inner.columns).unionByName(based.where(F.size("__base") == 0).select(*inner.columns))
+    return done.toDF(*docs.columns)
 
 
 def count_of(found: Column, kind: str) -> Column:

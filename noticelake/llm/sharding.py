@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from noticelake.llm.columns import aside
+
 #: Rows of a shard that are numbered together, in one sort that may spill.
 SLOT_ROWS = 1_000_000
 
@@ -42,18 +44,19 @@ def slots(df: DataFrame, shard: str, key: str, out: str = "slot", slot_rows: int
     """
     part, within, base = "__part", "__within", "__base"
     held = [c for c in df.columns if c != out]
-    whole = [F.col(f"`{c}`") for c in held]
+    df = aside(df.select(*[F.col(f"`{c}`") for c in held]), shard, key)
+    whole = [F.col(f"`{c}`") for c in df.columns]
     most = df.groupBy(shard).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     parts = max(256, -(-most // slot_rows))
     # the second hash spreads rows that repeat one key; it is of the whole row
-    rows = df.select(*held, F.pmod(F.xxhash64(F.lit(17), *whole), F.lit(parts)).cast("int").alias(part))
+    rows = df.select(*whole, F.pmod(F.xxhash64(F.lit(17), *whole), F.lit(parts)).cast("int").alias(part))
     counts = rows.groupBy(shard, part).count()
     before = W.partitionBy(shard).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select(shard, part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
     order = W.partitionBy(shard, part).orderBy(F.col(f"`{key}`").asc_nulls_last(), F.xxhash64(F.lit(29), *whole))
     numbered = rows.withColumn(within, F.row_number().over(order) - 1)
     joined = numbered.join(bases, [shard, part])
-    return joined.select(*whole, (F.col(base) + F.col(within)).cast("long").alias(out))
+    return joined.select(*whole, (F.col(base) + F.col(within)).cast("long")).toDF(*held, out)
 
 
 def assign(df: DataFrame, key: str, weights: Sequence[float], shard: str = "shard") -> DataFrame:

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticelake.llm.columns import aside
 from noticelake.llm.common import in_slices, prepare, release, utf8
 from noticelake.operators.components import components
 from noticelake.storage import cut
@@ -194,4 +195,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     found = near_duplicates(docs, key, text)
     stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(stay, F.col(f"`{key}`").eqNullSafe(F.col("__kept")), "left_semi")
+    return aside(docs, key).join(stay, F.col(f"`{key}`").eqNullSafe(F.col("__kept")), "left_semi").toDF(*docs.columns)

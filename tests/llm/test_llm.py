@@ -701,6 +701,29 @@ def test_contamination(spark, odd):
         assert decontaminate.with_matches(odd, bench.limit(0), broadcast_words=limit).count() == len(ODD)
 
 
+def test_inner_names_in_the_input(spark):
+    """Columns named as the operators name their own come back untouched and change nothing."""
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{body} mail a@b.org"), (2, f"{body} mail a@b.org x"), (3, "nothing here"), (4, None), (5, f"c@d.net {body[:20]}")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["__id", "__ID2", "__matches", "__spans", "__base", "__kept", "__part", "__within", "__text", "__held", "__m", "other_0", "id", "item"]
+    clash = plain.select("doc_id", *[F.lit(n).alias(n) for n in names], "text", F.lit(7).alias("fp"))
+    bench = spark.createDataFrame([(9, body)], "item_id long, text string")
+    split = lambda d: sharding.slots(sharding.assign(d, "doc_id", [1.0] * 3), "shard", "doc_id", slot_rows=1)
+    runs = [
+        lambda d: decontaminate.with_matches(d, bench, broadcast_words=0), lambda d: decontaminate.with_matches(d, bench), pii.redact,
+        simhash.keep_one, near_copies.keep_one, split,
+    ]
+    for run in runs:
+        want, got = run(plain), run(clash)
+        assert got.columns[: len(clash.columns)] == clash.columns and got.columns[len(clash.columns) :] == want.columns[2:]
+        table = got.collect()
+        assert all(r[n] == n for r in table for n in names) and all(r["fp"] == 7 for r in table)
+        told = [c for c in want.columns if c != "slot"]  # rows of one shard are numbered by a hash of the whole row
+        assert sorted(map(repr, got.select(*told).collect())) == sorted(map(repr, want.select(*told).collect()))
+    assert {(r["doc_id"], len(r["matches"])) for r in runs[0](clash).collect()} == {(1, 1), (2, 1), (3, 0), (4, 0), (5, 0)}
+
+
 def brute_matches(text, items, window=13, similarity=0.8):
     t = re.findall("[0-9a-z]+", (text or "").lower())
     out = set()
