@@ -85,8 +85,7 @@ def _vectors(spark, sf_dir):
 
 
 def _embedded(spark, sf_dir):
-    d = view(spark, sf_dir)
-    return cut(d.join(V.embed(d.select("id", "reason_text"), "id", "reason_text", _vectors(spark, sf_dir)), "id", "left"), "embedded")
+    return cut(V.with_embedding(view(spark, sf_dir), "reason_text", _vectors(spark, sf_dir)), "embedded")
 
 
 QUERIES["ml_embed"] = lambda s, d: V.embed(source_rows(s, d).select("id", "reason_text"), "id", "reason_text", _vectors(s, d)).select("id", F.round(V.dot(F.col("vector"), F.col("vector")), 6).alias("size"))
