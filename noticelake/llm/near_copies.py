@@ -1,15 +1,15 @@
-"""Near copies by five-word Jaccard: MinHash bands propose pairs, the whole texts decide.
-
-A text is the set of its hashed five-word shingles; a shorter one is a single shingle. At a Jaccard
-similarity of 0.8 a 64-bit SimHash differs in 9.7 bits on average, beyond what fuzzy keys reach, so
-candidates come from 20 bands of 5 MinHashes: two sets at 0.8 share one with probability 0.9996.
-Every proposed pair is verified on the whole texts. Only what connects is of interest: first every
-set is compared with one other, the least it shares a band with, which is linear; then the sets of a
-band value that are still apart are compared in pairs. Where more than ``full`` sets have the value,
-each is compared with two of them that are drawn anew for every value; those that are apart even then
-are keyed again by more and wider bands, which tell unlike sets better, and so on. After the widest
-bands, or as soon as so few sets are apart that it costs little, every pair is compared, so no set is
-left out.
+"""Near copies by five-word Jaccard: SimHash fingerprints and MinHash bands propose pairs, the whole texts decide.
+
+A text is the set of its hashed five-word shingles; a shorter one is a single shingle. Sets whose SimHash
+fingerprints differ in two bits at most come first, by the Golay keys of ``simhash``. At a Jaccard similarity of
+0.8 fingerprints differ in 9.7 bits on average, beyond what fuzzy keys reach, so sets that are apart then go on to
+20 bands of 5 MinHashes: two sets at 0.8 share one with probability 0.9996. Every proposed pair is verified on the whole
+texts. Only what connects is of interest: a set is compared with one other, the least it shares a band with, which is
+linear; then the sets of a band value that are still apart are compared in pairs. Where more than ``full`` sets have
+the value, each is compared with two of them that are drawn anew for every value, and those that are apart even
+then are proposed by their rarest shingles: sets at 0.8 must share one among their first ninth and fifth, in one
+order of all shingles, and must have room for as many more as they need after it. That is exact, so no set is left out, and sets
+that share their common text only are never paired, however many they are.
 """
 
 from __future__ import annotations
@@ -19,23 +19,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from noticelake.llm.columns import aside
 from noticelake.llm.common import in_slices, mix, prepare, release, rolling, slices, utf8, word_hashes, words
+from noticelake.llm.simhash import links as fingerprint_links
+from noticelake.llm.simhash import majority
 from noticelake.operators.components import components
 from noticelake.storage import cut, drop
 
 SIZE = 5
-#: Number and width of the bands; each finds a pair at 0.8 with probability 0.999 or more.
-BANDS = ((20, 5), (64, 10), (208, 15))
+#: Number and width of the bands: they find a pair at 0.8 with probability 0.9996.
+BANDS, WIDTH = 20, 5
 #: Seats in comparisons, some 40 bytes each, up to which they are sent to every task to fetch their texts.
 BROADCAST_SEATS = 500_000
 #: Seats that a task is given, and the most tasks that they are dealt to.
 SEATS, MOST_TASKS = 2_000, 20_000
 #: Comparisons with one set that are made in a row; further ones are made elsewhere.
 ROW = 512
-_SEEDS = [mix(np.arange(1, n * width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level)) for level, (n, width) in enumerate(BANDS)]
-_POWERS = [mix(np.arange(1001, 1001 + width, dtype=np.uint64)) | np.uint64(1) for _, width in BANDS]
+_SEEDS = mix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_POWERS = mix(np.arange(1001, 1001 + WIDTH, dtype=np.uint64)) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -55,28 +58,29 @@ def shingle_sets(column: pa.Array, size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
-def band_keys(shingles: np.ndarray, level: int = 0) -> np.ndarray:
+def band_keys(shingles: np.ndarray) -> np.ndarray:
     """One key per band, of 32-bit MinHashes; a piece of the set at a time, so that long texts need no more memory."""
-    (n, width), seeds = BANDS[level], _SEEDS[level]
-    turn, factor = (seeds >> np.uint64(32)).astype(np.uint32), seeds.astype(np.uint32) | np.uint32(1)
-    x, step = (shingles >> np.uint64(32)).astype(np.uint32), 204_800 // (n * width)
-    least = np.full(n * width, np.iinfo(np.uint32).max, np.uint32)
+    turn, factor = (_SEEDS >> np.uint64(32)).astype(np.uint32), _SEEDS.astype(np.uint32) | np.uint32(1)
+    x, step = (shingles >> np.uint64(32)).astype(np.uint32), 204_800 // (BANDS * WIDTH)
+    least = np.full(BANDS * WIDTH, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(x), step):
         y = x[at : at + step, None] ^ turn
         y *= factor
         np.minimum(least, y.min(0), out=least)
-    return mix((least.astype(np.uint64).reshape(n, width) * _POWERS[level]).sum(1, dtype=np.uint64) + np.arange(n, dtype=np.uint64))
+    return mix((least.astype(np.uint64).reshape(BANDS, WIDTH) * _POWERS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def _sketches(level: int = 0):
+def _of_sets(of):
+    """A function from texts to lists: what ``of`` makes of every text's set, after its name; a zero where the set is empty."""
+
     @F.arrow_udf("array<long>")
-    def sketch(texts: pa.Array) -> pa.Array:
-        def of(part: pa.Array) -> pa.Array:
-            return _lists([np.concatenate(([_name(s)], band_keys(s, level))).view(np.int64) if len(s) else np.zeros(1, np.int64) for s in shingle_sets(part)])
+    def told(texts: pa.Array) -> pa.Array:
+        def lists(part: pa.Array) -> pa.Array:
+            return _lists([np.concatenate(([_name(s)], of(s))).view(np.int64) if len(s) else np.zeros(1, np.int64) for s in shingle_sets(part)])
 
-        return in_slices(texts, of, 1 << 19)
+        return in_slices(texts, lists, 1 << 19)
 
-    return sketch
+    return told
 
 
 def _name(shingles: np.ndarray) -> np.uint64:
@@ -113,10 +117,14 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
-def _first(keys: DataFrame) -> DataFrame:
-    """Every set with the least one that it shares a key with: one pair a set at most."""
-    hubs = keys.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return keys.join(hubs, "key").where("fp <> hub").groupBy(F.col("fp").alias("dst")).agg(F.min("hub").alias("src")).select("src", "dst")
+def _near_marks(distinct: DataFrame) -> DataFrame:
+    """Pairs that connect all sets whose fingerprints differ in two bits at most, as ``simhash`` links these: a set with the least of its fingerprint, and those."""
+    heads = cut(distinct.where("mark is not null").groupBy("mark").agg(F.min("fp").alias("head")), "marks")
+    near = fingerprint_links(heads.select(F.col("mark").alias("fp")))
+    side = lambda n: heads.select(F.col("mark").alias(n), F.col("head").alias(f"{n}_head"))
+    apart = near.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_head").alias("src"), F.col("dst_head").alias("dst"))
+    same = distinct.join(heads, "mark").where("fp <> head").select(F.col("head").alias("src"), F.col("fp").alias("dst"))
+    return apart.unionByName(same)
 
 
 def _apart(keys: DataFrame, linked: DataFrame) -> DataFrame:
@@ -126,6 +134,12 @@ def _apart(keys: DataFrame, linked: DataFrame) -> DataFrame:
     return placed.join(sizes, "key")
 
 
+def _first(apart: DataFrame) -> DataFrame:
+    """Every set with the least of another component that leads one of its keys: one pair a set at most."""
+    hubs = apart.groupBy("key").agg(F.min(F.struct("fp", "c")).alias("hub"))
+    return apart.join(hubs, "key").where("c <> hub.c").groupBy(F.col("fp").alias("dst")).agg(F.min("hub.fp").alias("src")).select("src", "dst")
+
+
 def _paired(some: DataFrame) -> DataFrame:
     """All pairs of a key that are not connected."""
     return some.alias("x").join(some.alias("y"), "key").where("x.fp < y.fp and x.c <> y.c").select(F.col("x.fp").alias("src"), F.col("y.fp").alias("dst"))
@@ -139,6 +153,31 @@ def _hung(crowded: DataFrame) -> DataFrame:
     return hung.select(F.col("hub.fp").alias("src"), F.col("fp").alias("dst"))
 
 
+def _by_rarest(sets: DataFrame, named: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Pairs of ``sets`` (``fp``, ``c``), not connected, that have to be compared: all that may be alike are among them.
+
+    Shingles are ordered by the number of sets that have them. Sets of m and n alike have o in common, 9 o >= 4 (m + n). The
+    first one in common is at some place i of one set and j of the other, and all others come after: so 9 (m - i + 1) and
+    9 (n - j + 1) are no less than 4 (m + n), which leaves the first ninth of the smaller set and the first fifth of the larger.
+    Of a shingle's sets those of the component that has most of them are not held against each other.
+    """
+    held = _with_texts(sets.select("fp").distinct(), named, distinct).select("fp", _of_sets(lambda s: s)(F.col("text")).alias("s")).where("fp = get(s, 0)")
+    each = cut(held.select("fp", (F.size("s") - 1).alias("n"), F.explode(F.slice("s", F.lit(2), F.size("s") - 1)).alias("shingle")), "shingles")
+    rarity = each.groupBy("shingle").agg(F.count("*").alias("among"))
+    order = W.partitionBy("fp").orderBy("among", "shingle")
+    first = each.join(rarity, "shingle").withColumn("at", F.row_number().over(order)).where("among > 1 and 5 * (at - 1) <= n")
+    first = cut(first.select("shingle", "fp", "n", "at").join(sets, "fp"), "rarest")
+    mains = first.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("kinds"))
+    told = first.join(mains.where("kinds > 1").select("shingle", F.col("m.c").alias("main")), "shingle").withColumn("main", F.col("c") == F.col("main"))
+    x, y = told.where("9 * (at - 1) <= n").alias("x"), told.alias("y")
+    room = "4 * (x.n + y.n)"
+    met = F.expr(f"x.shingle = y.shingle and x.c <> y.c and struct(x.n, x.fp) < struct(y.n, y.fp) and 4 * y.n <= 5 * x.n and 9 * (x.n - x.at + 1) >= {room} and 9 * (y.n - y.at + 1) >= {room}")
+    found = [a.join(b, met).select(F.col("x.fp").alias("src"), F.col("y.fp").alias("dst")) for a, b in ((x.where("not x.main"), y), (x.where("x.main"), y.where("not y.main")))]
+    out = cut(found[0].unionByName(found[1]).distinct(), "rare-pairs")
+    drop(each, first)
+    return out
+
+
 def _with_texts(seats: DataFrame, named: DataFrame, distinct: DataFrame) -> DataFrame:
     """``seats`` with ``text``, found by the key and hash of a row that has the set ``fp``.
 
@@ -166,30 +205,28 @@ def _verified(pairs: DataFrame, named: DataFrame, distinct: DataFrame) -> DataFr
 
 
 def _links(keys: DataFrame, named: DataFrame, distinct: DataFrame, full: int) -> DataFrame:
-    """Verified pairs that connect the sets as all alike pairs with a common key do.
+    """Verified pairs that connect the sets as all alike pairs with a common key or a near fingerprint do."""
 
-    Crowded values are paired at once, too, where that is no more than ``full / 16`` pairs per set of the table.
-    """
-    affordable = distinct.count() * full // 16
-    first = cut(_first(keys), "first-pairs")
-    links = _verified(first, named, distinct)
-    drop(first)
-    for level in range(len(BANDS)):
-        apart = cut(_apart(keys, components(links)), "apart")
-        crowded = apart.where(f"n > {full}").select("key", "fp", "c", "n")
-        work = crowded.agg(F.sum(F.expr("(n - 1) / 2"))).first()[0] or 0
-        last = level + 1 == len(BANDS) or work <= affordable
-        pairs = _paired(apart) if last else _paired(apart.where(f"n <= {full}")).unionByName(_hung(crowded))
-        rest = cut(pairs.distinct(), "rest-pairs")
+    def more(links: DataFrame, pairs: DataFrame) -> DataFrame:
+        rest = cut(pairs, "pairs")
         alike = _verified(rest, named, distinct)
-        more = cut(links.unionByName(alike), "links")
-        again = None if last else cut(_apart(crowded.select("key", "fp"), components(more)).select("fp").distinct(), "crowded-sets")
-        drop(links, rest, apart, alike)
-        links = more
-        if last or again.isEmpty():
-            break
-        wider = _with_texts(again, named, distinct).select("fp", _sketches(level + 1)(F.col("text")).alias("sketch")).where("fp = get(sketch, 0)")
-        keys = cut(wider.select(F.explode(F.slice("sketch", 2, BANDS[level + 1][0])).alias("key"), "fp"), "wider-keys")
+        out = cut(links.unionByName(alike), "links")
+        drop(links, rest, alike)
+        return out
+
+    marked = cut(_near_marks(distinct).distinct(), "pairs")
+    links = _verified(marked, named, distinct)
+    drop(marked)
+    apart = cut(_apart(keys, components(links)), "apart")
+    links = more(links, _first(apart))
+    drop(apart)
+    apart = cut(_apart(keys, components(links)), "apart")
+    crowded = apart.where(f"n > {full}").select("key", "fp", "c")
+    links = more(links, _paired(apart.where(f"n <= {full}")).unionByName(_hung(crowded)).distinct())
+    again = cut(_apart(crowded.select("key", "fp"), components(links)).select("fp", "c").distinct(), "crowded-sets")
+    if not again.isEmpty():
+        links = more(links, _by_rarest(again, named, distinct))
+    drop(apart, again)
     return links
 
 
@@ -201,8 +238,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", full: int =
     """
     prepare(docs.sparkSession)
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = cut(named.withColumn("sketch", _sketches()(F.col("text"))).select("key", "h", F.get("sketch", F.lit(0)).alias("fp"), F.slice("sketch", 2, BANDS[0][0]).alias("bands")), "sketches")
-    distinct = cut(rows.groupBy("fp").agg(F.min("key").alias("least"), F.min(F.struct(F.isnull("key").alias("without"), "key", "h")).alias("place"), F.any_value("bands").alias("bands")), "distinct-sets")
+    sketch = _of_sets(lambda s: np.concatenate((majority(s)[None], band_keys(s))))(F.col("text"))
+    sketched = named.withColumn("sketch", sketch).select("key", "h", F.get("sketch", F.lit(0)).alias("fp"), F.get("sketch", F.lit(1)).alias("mark"), F.slice("sketch", 3, BANDS).alias("bands"))
+    rows = cut(sketched, "sketches")
+    distinct = cut(rows.groupBy("fp").agg(F.min("key").alias("least"), F.min(F.struct(F.isnull("key").alias("without"), "key", "h")).alias("place"), F.any_value("mark").alias("mark"), F.any_value("bands").alias("bands")), "distinct-sets")
     keys = distinct.select(F.explode("bands").alias("key"), "fp")
     linked = components(_links(keys, named, distinct, full))
     member = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))

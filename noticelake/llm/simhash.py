@@ -33,6 +33,18 @@ from noticelake.storage import cut
 _LANES = np.uint64(0x0101010101010101)
 
 
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that more than half of some hashes have set."""
+    out = np.uint64(0)
+    # bit counts in byte lanes, 255 hashes at a time so that no lane runs over
+    block = np.arange(0, len(h), 255)
+    for bit in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(bit)) & _LANES, block).view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
+        for byte in np.flatnonzero(2 * lanes > len(h)):
+            out |= np.uint64(1) << np.uint64(8 * int(byte) + bit)
+    return out
+
+
 def fingerprints_of(column: pa.Array, size: int) -> np.ndarray:
     """The fingerprint of every text of an Arrow array as unsigned 64-bit integers."""
     data, offsets = utf8(column)
@@ -51,12 +63,7 @@ def fingerprints_of(column: pa.Array, size: int) -> np.ndarray:
         stop = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20), len(line))
         begins = [0, *(stop[: n - size] + 1).tolist()]
         h = np.array([digest(line[a:b], 42) for a, b in zip(begins, stop[size - 1 :].tolist(), strict=True)], np.uint64)
-        # bit counts in byte lanes, 255 hashes at a time so that no lane runs over
-        block = np.arange(0, len(h), 255)
-        for bit in range(8):
-            lanes = np.add.reduceat((h >> np.uint64(bit)) & _LANES, block).view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-            for byte in np.flatnonzero(2 * lanes > len(h)):
-                out[i] |= np.uint64(1) << np.uint64(8 * int(byte) + bit)
+        out[i] = majority(h)
     return out
 
 
