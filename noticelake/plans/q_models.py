@@ -78,23 +78,25 @@ register("ml_class_counts", M.class_counts, "SELECT country, classification, cou
 
 def _vectors(spark, sf_dir):
     """Token vectors of the notices' words: every word borrows one of the stored embeddings by its hash."""
-    words = source_rows(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "reason_text", "product_description")), F.lit("[a-z]{2,}"), F.lit(0)))).alias("token")).distinct()
+    texts = source_rows(spark, sf_dir).select(F.concat_ws(" ", "reason_text", "product_description").alias("text")).distinct()
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("token")).distinct()
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = e.agg(F.max("vec_id").alias("n"))
     return cut(words.crossJoin(n).select("token", F.pmod(F.xxhash64("token"), F.col("n") + 1).alias("vec_id")).join(e, "vec_id").select("token", "vector"), "token-vectors")
 
 
-def _embedded(spark, sf_dir):
-    return cut(V.with_embedding(view(spark, sf_dir), "reason_text", _vectors(spark, sf_dir)), "embedded")
+def _embedded(spark, sf_dir, rows):
+    """Stored rows with the vectors of their reasons, which join them when they are read: a vector is many times a row."""
+    return V.with_embedding(cut(rows, "unembedded"), "reason_text", _vectors(spark, sf_dir))
 
 
 QUERIES["ml_embed"] = lambda s, d: V.embed(source_rows(s, d).select("id", "reason_text"), "id", "reason_text", _vectors(s, d)).select("id", F.round(V.dot(F.col("vector"), F.col("vector")), 6).alias("size"))
 ORACLE["ml_embed"] = SQL + "SELECT id, 1.0::DOUBLE AS size FROM notices"
-QUERIES["ml_cross_country"] = lambda s, d: M.eval_cross(_embedded(s, d), "vector", "us", "ca")
+QUERIES["ml_cross_country"] = lambda s, d: M.eval_cross(_embedded(s, d, source_rows(s, d).select("id", "country", "classification", "reason_text")), "vector", "us", "ca")
 
 
 def _predicted(spark, sf_dir):
-    rows = _embedded(spark, sf_dir)
+    rows = _embedded(spark, sf_dir, view(spark, sf_dir).select("recall_number", "country", "classification", "category", "entities", "states", "distribution_pattern", "reason_text"))
     known = M.with_class_index(rows.where("country in ('us', 'ca') and vector is not null"))
     return M.predict_class(rows, "vector", M.train_vectors(known, "vector", "y")).select("recall_number", "country", "predicted_class", "confidence", "severity_score", "severity_label")
 
