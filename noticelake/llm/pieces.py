@@ -17,10 +17,13 @@ All random numbers are hashes of the row key, the sample, the word's place and t
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
+import itertools
 import math
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = 0x2581
 _CLASSES = 160
 #: Characters of texts taken together: bounds the lattice of a batch, but for one longer text.
-GROUP = 1 << 19
-_BLOCK = 512
+GROUP = 3 << 17
+#: Decisions of a path looked at in the first block, which is mostly enough, and in those after it.
+_FIRST, _BLOCK = 128, 512
+_WORD = 2**64 - 1
+_STRIDES = np.arange(_BLOCK, dtype=np.uint64) * np.uint64(0x10001)
 #: Characters from which a unit is cut where no piece runs across, and from which it is swept alone.
 LONG, ALONE = 64, 2048
 
@@ -228,8 +234,8 @@ class _Lattice:
     def draw_on(self, first: int, at: int, seed: int) -> tuple[list[int], list[float]]:
         """Pieces and log-probabilities of one unit from the node ``at`` on."""
         piece, chance = [], []
-        for u in _uniform(np.uint64(seed) + np.arange(at - first, dtype=np.uint64)).tolist():
-            back = int(np.searchsorted(self.cdf[at], u)) + 1
+        for step in range(at - first):
+            back = int(np.searchsorted(self.cdf[at], _one_uniform((seed + step) & _WORD))) + 1
             piece.append(int(self.ids[at, back - 1]))
             chance.append(float(self.logp[piece[-1]] + self.alpha[at - back] - self.alpha[at]))
             at -= back
@@ -266,7 +272,24 @@ class _Lattice:
 
 def _uniform(seed: np.ndarray) -> np.ndarray:
     """Uniform numbers strictly between 0 and 1 from hashed seeds."""
-    return ((mix(seed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    h = mix(seed * np.uint64(0x9E3779B97F4A7C15))
+    h >>= np.uint64(11)
+    u = h.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
+
+
+def _one_uniform(seed: int) -> float:
+    """The same of a single seed."""
+    h = (seed * 0x9E3779B97F4A7C15) & _WORD
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & _WORD
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & _WORD
+    return (((h ^ (h >> 31)) >> 11) + 0.5) * 2.0**-53
+
+
+def _one_gumbel(place: float, u: float) -> float:
+    return place - math.log(-math.log(u))
 
 
 def _rest(chance: np.ndarray) -> np.ndarray:
@@ -281,7 +304,7 @@ def _gumbel(place: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 def _below(value: float, limit: float) -> float:
     """A Gumbel variable made one that does not exceed ``limit``. Keeps order."""
-    return float(-np.logaddexp(-value, -limit))
+    return min(value, limit) - math.log1p(math.exp(-abs(value - limit)))
 
 
 class _Path:
@@ -296,14 +319,21 @@ class _Path:
     def ids(self) -> np.ndarray:
         """The pieces from left to right."""
         turn = np.repeat(2 * self.end - self.counts - 1, self.counts)
-        return self.piece[turn - np.arange(len(turn))]
+        turn -= np.arange(len(turn))
+        return self.piece[turn]
+
+
+def _blocks(lo: int, end: int) -> Iterator[tuple[int, int]]:
+    size = _FIRST
+    while lo < end:
+        yield lo, min(end, lo + size)
+        lo, size = lo + size, _BLOCK
 
 
 def _search(k: int, seed: int, lattice: _Lattice, units: np.ndarray, fresh: list[_Path]) -> tuple[list[_Path], float]:
     """The k best paths and the threshold. ``fresh`` has an unconditional draw per sample."""
     chosen = [fresh[0]]
-    base = np.uint64(seed)
-    root = float(_gumbel(0.0, _uniform(np.array([base ^ np.uint64(0xA5A5)])))[0])
+    root = _one_gumbel(0.0, _one_uniform(seed ^ 0xA5A5))
     agenda: list[tuple] = []
 
     def leave(path: _Path, number: int, since: int, gumbel: float) -> None:
@@ -313,17 +343,16 @@ def _search(k: int, seed: int, lattice: _Lattice, units: np.ndarray, fresh: list
         place, and places only fall: once that is under the k + 1 best, nothing further can matter.
         """
         best: list[tuple[float, int]] = []
-        stream = base + np.uint64(0x1000003 * (number + 1))
-        for lo in range(since, len(path.chance), _BLOCK):
+        stream = seed + 0x1000003 * (number + 1)
+        for lo, hi in _blocks(since, len(path.chance)):
             if len(best) > k and path.before[lo] + 38 < best[k][0]:
                 break
-            part = path.chance[lo : lo + _BLOCK]
-            draw = _uniform(stream + np.arange(lo, lo + len(part), dtype=np.uint64) * np.uint64(0x10001))
-            free = _gumbel(path.before[lo : lo + len(part)] + _rest(part), draw)
-            top = np.argpartition(-free, k)[: k + 1] if len(free) > k + 1 else range(len(free))
-            best = sorted([*best, *((float(free[t]), lo + int(t)) for t in top)], reverse=True)[: k + 1]
+            part = path.chance[lo:hi]
+            free = _gumbel(path.before[lo : lo + len(part)] + _rest(part), _uniform(np.uint64((stream + lo * 0x10001) & _WORD) + _STRIDES[: len(part)]))
+            top = np.argpartition(-free, k)[: k + 1] if len(free) > k + 1 else np.arange(len(free))
+            best = sorted([*best, *zip(free[top].tolist(), (top + lo).tolist(), strict=True)], reverse=True)[: k + 1]
         for value, at in best:
-            if np.isfinite(value):
+            if value > -math.inf:
                 heapq.heappush(agenda, (-_below(value, gumbel), number, at, frozenset((int(path.piece[at]),))))
 
     leave(chosen[0], 0, 0, root)
@@ -331,32 +360,35 @@ def _search(k: int, seed: int, lattice: _Lattice, units: np.ndarray, fresh: list
         negative, parent, at, barred = heapq.heappop(agenda)
         path, number = chosen[parent], len(chosen)
         unit = int(np.searchsorted(path.end, at, "right"))
-        begin = int(path.end[unit] - path.counts[unit])
+        begin, which = int(path.end[unit] - path.counts[unit]), units[unit]
         # the node: the unit's end less the characters of the pieces taken before
-        node = int(lattice.base[units[unit]] + lattice.length[units[unit]] - lattice.size_of[path.piece[begin:at]].sum())
+        node = int(lattice.base[which] + lattice.length[which] - lattice.size_of[path.piece[begin:at]].sum())
         # a sibling of the barred pieces, by its mass
-        open_ = [j for j in range(lattice.ids.shape[1]) if lattice.ids[node, j] >= 0 and int(lattice.ids[node, j]) not in barred]
-        chance = np.array([float(lattice.logp[lattice.ids[node, j]]) + lattice.alpha[node - j - 1] - lattice.alpha[node] for j in open_])
-        mass = np.cumsum(np.exp(chance - chance.max()))
-        draw = _uniform(np.array([base + np.uint64(0x51ED2701 * (number + 1))]))[0] * mass[-1]
-        pick = min(int(np.searchsorted(mass, draw)), len(open_) - 1)
+        ids, total = lattice.ids[node].tolist(), float(lattice.alpha[node])
+        open_ = [j for j, piece in enumerate(ids) if piece >= 0 and piece not in barred]
+        chance = [float(lattice.logp[ids[j]]) + float(lattice.alpha[node - j - 1]) - total for j in open_]
+        most = max(chance)
+        mass = list(itertools.accumulate(math.exp(c - most) for c in chance))
+        draw = _one_uniform((seed + 0x51ED2701 * (number + 1)) & _WORD) * mass[-1]
+        pick = min(bisect.bisect_left(mass, draw), len(open_) - 1)
         j = open_[pick]
-        taken = int(lattice.ids[node, j])
-        piece, more = lattice.draw_on(int(lattice.base[units[unit]]), node - j - 1, int(base + np.uint64(0x2545F491 * (number + 1))))
+        taken = ids[j]
+        piece, more = lattice.draw_on(int(lattice.base[which]), node - j - 1, (seed + 0x2545F491 * (number + 1)) & _WORD)
         tail = fresh[number]
         rest = int(tail.end[unit])
         counts = np.concatenate((path.counts[:unit], [at - begin + 1 + len(piece)], tail.counts[unit + 1 :]))
         new = _Path(
             counts,
-            np.concatenate((path.piece[:at], [taken], piece, tail.piece[rest:])).astype(np.int32),
-            np.concatenate((path.chance[:at], [chance[pick]], more, tail.chance[rest:])),
+            np.concatenate((path.piece[:at], np.array([taken, *piece], np.int32), tail.piece[rest:])),
+            np.concatenate((path.chance[:at], [chance[pick], *more], tail.chance[rest:])),
         )
         chosen.append(new)
         # what is still left at this decision, and everything after it on the new path
-        left = np.delete(chance, pick)
-        if len(left):
-            place = float(path.before[at]) + float(np.logaddexp.reduce(left))
-            g = _below(_gumbel(place, _uniform(np.array([base + np.uint64(0x3C6EF372 * (number + 1))])))[0], -negative)
+        left = chance[:pick] + chance[pick + 1 :]
+        if left:
+            most = max(left)
+            place = float(path.before[at]) + most + math.log(sum(math.exp(c - most) for c in left))
+            g = _below(_one_gumbel(place, _one_uniform((seed + 0x3C6EF372 * (number + 1)) & _WORD)), -negative)
             heapq.heappush(agenda, (-g, parent, at, barred | {taken}))
         leave(new, number, at + 1, -negative)
     return chosen, -agenda[0][0] if agenda else -math.inf
