@@ -4,10 +4,10 @@ A text is the set of its hashed five-word shingles; a shorter one is a single sh
 fingerprints differ in two bits at most come first, by the Golay keys of ``simhash``. At a Jaccard similarity of
 0.8 fingerprints differ in 9.7 bits on average, beyond what fuzzy keys reach, so sets that are apart then go on to
 20 bands of 5 MinHashes: two sets at 0.8 share one with probability 0.9996. Every proposed pair is verified on the whole
-texts. Only what connects is of interest: a set is compared with one other, the least it shares a band with, which is
-linear; then the sets of a band value that are still apart are compared in pairs. Where more than ``full`` sets have
-the value, each is compared with two of them that are drawn anew for every value, and those that are apart even
-then are proposed by their rarest shingles: sets at 0.8 must share one among their first ninth and fifth, in one
+texts. Only what connects is of interest, and closest copies connect first: sets with three bands in a row in common,
+then with two, are compared with two drawn ones of those that have them, which is linear, so that a large group of near
+copies is mostly one before anything is paired. Then the sets of a band value that are still apart are compared in pairs. Where more than
+``full`` sets have the value, they are proposed by their rarest shingles: sets at 0.8 must share one among their first ninth and fifth, in one
 order of all shingles, and must have room for as many more as they need after it. That is exact, so no set is left out, and sets
 that share their common text only are never paired, however many they are.
 """
@@ -134,10 +134,19 @@ def _apart(keys: DataFrame, linked: DataFrame) -> DataFrame:
     return placed.join(sizes, "key")
 
 
+def _in_common(distinct: DataFrame, width: int) -> DataFrame:
+    """``key``, ``fp``: a key for every ``width`` bands in a row, the first after the last. Sets without words have no bands."""
+    row = lambda i: F.xxhash64(*[F.get("bands", F.lit((i + j) % BANDS)) for j in range(width)])
+    keys = F.array(*map(row, range(BANDS))) if width > 1 else F.col("bands")
+    return distinct.where("size(bands) > 0").select(F.explode(keys).alias("key"), "fp")
+
+
 def _first(apart: DataFrame) -> DataFrame:
-    """Every set with the least of another component that leads one of its keys: one pair a set at most."""
-    hubs = apart.groupBy("key").agg(F.min(F.struct("fp", "c")).alias("hub"))
-    return apart.join(hubs, "key").where("c <> hub.c").groupBy(F.col("fp").alias("dst")).agg(F.min("hub.fp").alias("src")).select("src", "dst")
+    """Every set with two drawn ones of every key it has, where these are of another component."""
+    drawn = [F.min(F.struct(F.xxhash64("key", "fp", F.lit(salt)).alias("h"), "fp", "c")) for salt in (1, 2)]
+    hubs = apart.groupBy("key").agg(F.array(*drawn).alias("hubs"))
+    hung = apart.join(hubs, "key").select("fp", "c", F.explode("hubs").alias("hub")).where("c <> hub.c")
+    return hung.select(F.least("fp", "hub.fp").alias("src"), F.greatest("fp", "hub.fp").alias("dst")).distinct()
 
 
 def _paired(some: DataFrame) -> DataFrame:
@@ -145,14 +154,6 @@ def _paired(some: DataFrame) -> DataFrame:
     return some.alias("x").join(some.alias("y"), "key").where("x.fp < y.fp and x.c <> y.c").select(F.col("x.fp").alias("src"), F.col("y.fp").alias("dst"))
 
 
-def _hung(crowded: DataFrame) -> DataFrame:
-    """Every set of a key with two drawn ones that it is not connected with."""
-    drawn = [F.min(F.struct(F.xxhash64("key", "fp", F.lit(salt)).alias("h"), "fp", "c")) for salt in (1, 2)]
-    hubs = crowded.groupBy("key").agg(F.array(*drawn).alias("hubs"))
-    hung = crowded.join(hubs, "key").select("fp", "c", F.explode("hubs").alias("hub")).where("fp <> hub.fp and c <> hub.c")
-    return hung.select(F.col("hub.fp").alias("src"), F.col("fp").alias("dst"))
-
-
 def _by_rarest(sets: DataFrame, named: DataFrame, distinct: DataFrame) -> DataFrame:
     """Pairs of ``sets`` (``fp``, ``c``), not connected, that have to be compared: all that may be alike are among them.
 
@@ -193,7 +194,7 @@ def _verified(pairs: DataFrame, named: DataFrame, distinct: DataFrame) -> DataFr
     """The pairs whose texts are alike. Texts move once, to the rows of comparisons they have a seat in."""
     rows = pairs.groupBy("src").agg(F.ceil(F.count("*") / ROW).alias("rows"))
     placed = pairs.join(rows, "src").select("src", F.expr("pmod(xxhash64(dst), rows)").alias("part"), "dst")
-    leaders = placed.select("src", "part", F.lit(None).cast("long").alias("dst")).distinct()
+    leaders = rows.select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("part"), F.lit(None).cast("long").alias("dst"))
     seats = cut(placed.unionByName(leaders).withColumn("fp", F.coalesce("dst", "src")), "seats")
     held = _with_texts(seats, named, distinct).select("src", "part", "dst", "text")
     # comparisons are costly for their bytes: left to adaptive execution, one task would do them all
@@ -204,8 +205,8 @@ def _verified(pairs: DataFrame, named: DataFrame, distinct: DataFrame) -> DataFr
     return found
 
 
-def _links(keys: DataFrame, named: DataFrame, distinct: DataFrame, full: int) -> DataFrame:
-    """Verified pairs that connect the sets as all alike pairs with a common key or a near fingerprint do."""
+def _links(distinct: DataFrame, named: DataFrame, full: int) -> DataFrame:
+    """Verified pairs that connect the sets as all alike pairs with a common band or a near fingerprint do."""
 
     def more(links: DataFrame, pairs: DataFrame) -> DataFrame:
         rest = cut(pairs, "pairs")
@@ -217,20 +218,21 @@ def _links(keys: DataFrame, named: DataFrame, distinct: DataFrame, full: int) ->
     marked = cut(_near_marks(distinct).distinct(), "pairs")
     links = _verified(marked, named, distinct)
     drop(marked)
-    apart = cut(_apart(keys, components(links)), "apart")
-    links = more(links, _first(apart))
-    drop(apart)
-    apart = cut(_apart(keys, components(links)), "apart")
-    crowded = apart.where(f"n > {full}").select("key", "fp", "c")
-    links = more(links, _paired(apart.where(f"n <= {full}")).unionByName(_hung(crowded)).distinct())
-    again = cut(_apart(crowded.select("key", "fp"), components(links)).select("fp", "c").distinct(), "crowded-sets")
-    if not again.isEmpty():
-        links = more(links, _by_rarest(again, named, distinct))
-    drop(apart, again)
+    for width in (3, 2):
+        apart = cut(_apart(_in_common(distinct, width), components(links)), "apart")
+        links = more(links, _first(apart))
+        drop(apart)
+    apart = cut(_apart(_in_common(distinct, 1), components(links)), "apart")
+    pairs = _paired(apart.where(f"n <= {full}"))
+    crowded = cut(apart.where(f"n > {full}").select("fp", "c").distinct(), "crowded-sets")
+    if not crowded.isEmpty():
+        pairs = pairs.unionByName(_by_rarest(crowded, named, distinct))
+    links = more(links, pairs.distinct())
+    drop(apart, crowded)
     return links
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", full: int = 64) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", full: int = 16) -> DataFrame:
     """Per row: ``key`` and ``component_id``, the smallest key that links of 0.8 or more reach.
 
     Texts without words link with each other only. Rows with a null key take part and have their
@@ -242,15 +244,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", full: int =
     sketched = named.withColumn("sketch", sketch).select("key", "h", F.get("sketch", F.lit(0)).alias("fp"), F.get("sketch", F.lit(1)).alias("mark"), F.slice("sketch", 3, BANDS).alias("bands"))
     rows = cut(sketched, "sketches")
     distinct = cut(rows.groupBy("fp").agg(F.min("key").alias("least"), F.min(F.struct(F.isnull("key").alias("without"), "key", "h")).alias("place"), F.any_value("mark").alias("mark"), F.any_value("bands").alias("bands")), "distinct-sets")
-    keys = distinct.select(F.explode("bands").alias("key"), "fp")
-    linked = components(_links(keys, named, distinct, full))
+    linked = components(_links(distinct, named, full))
     member = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = member.join(least, "root").select("fp", "component_id")
     return rows.select("key", "fp").join(ids, "fp").select(F.col("key").alias(key), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", full: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", full: int = 16) -> DataFrame:
     """The rows of ``docs``, all columns, less those whose group has a smaller key.
 
     Rows with a null key stay only if nothing in their group has a key.
