@@ -148,66 +148,79 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class _Lattice:
-    """Forward sums of all distinct units; a unit is a word with the spaces before it, or a line end."""
+    """Forward sums of all distinct units; a unit is a word with the spaces before it, or a line end.
+
+    Units are ordered from the longest on and nodes by their place in the unit, so that all nodes of a place are one slice:
+    that of unit ``u`` after ``p`` characters is ``at[p] + u``.
+    """
 
     def __init__(self, v: Vocabulary, points: np.ndarray, start: np.ndarray, length: np.ndarray):
         order = np.argsort(-length, kind="stable")
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
         start, length = start[order], length[order]
-        n, width = int(length.sum()), 16
-        begin = np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64)
-        cps = points[np.arange(n) - np.repeat(begin, length) + np.repeat(start, length)].astype(np.int64)
-        self.base = begin + np.arange(len(length))  # a unit has one node more than characters
+        n, units, width = int(length.sum()), len(length), 16
+        # a unit has one node more than characters
+        many = np.searchsorted(-length, -np.arange(int(length[0]) + 1), "right")
+        self.at = np.cumsum(many) - many
         self.length = length
-        left = np.repeat(length, length) - (np.arange(n) - np.repeat(begin, length))  # characters to the unit's end
-        node = np.arange(n) + np.repeat(np.arange(len(length)), length)  # the node before every character
+        place = np.repeat(np.arange(len(many) - 1), many[1:])  # of every character in its unit
+        unit = np.arange(units, units + n) - self.at[place + 1]
+        cps = points[start[unit] + place].astype(np.int64)
         # bisection reads 16 sums a node; the longest piece of the vocabulary bounds them
-        self.ids = np.full((n + len(length), width), -1, np.int32)
-        at, state = np.arange(n), v.root[cps]
+        self.ids = np.full((width, n + units), -1, np.int32)
+        state = v.root[cps]
         bare = state == 0
         bare |= v.piece[state] < 0
         # one byte piece for ASCII, else a stand-in that is spelt in the end
-        self.ids[node[bare] + 1, 0] = np.where(cps[bare] < 0x80, v.first_byte, v.size) + cps[bare]
+        self.ids[0, units:][bare] = np.where(cps[bare] < 0x80, v.first_byte, v.size) + cps[bare]
         for size in range(1, width + 1):
             if size > 1:
-                go = left[at] >= size
-                at, state = at[go], state[go]
-                state = v.step(state, cps[at + size - 1])
+                go = length[unit] - place >= size
+                place, unit, state = place[go], unit[go], state[go]
+                node = self.at[place + size] + unit
+                state = v.step(state, cps[node - units])
+            else:
+                node = np.arange(units, units + n)
             some = state > 0
-            at, state = at[some], state[some]
-            if not len(at):
+            place, unit, state, node = place[some], unit[some], state[some], node[some]
+            if not len(node):
                 break
             piece = v.piece[state]
             full = piece >= 0
-            self.ids[node[at[full]] + size, size - 1] = piece[full]
+            self.ids[size - 1, node[full]] = piece[full]
+        del place, unit, state, node, cps
         self.logp, self.size_of = v.logp, v.size_of
-        self.alpha = np.zeros(n + len(length))
-        self.cdf = np.zeros((n + len(length), width), np.float32)
-        back = np.arange(1, width + 1)
+        self.alpha = np.zeros(n + units)
+        self.cdf = np.zeros((n + units, width), np.float32)
         # a unit that is far longer than others would keep a vector of one busy: it is swept by itself
         alone = int(np.searchsorted(-length, -ALONE, "right"))
-        for unit in range(alone):
-            self._sweep(int(self.base[unit]), int(length[unit]))
-        more = len(length)
-        for p in range(1, int(length[alone]) + 1 if more > alone else 1):
-            more = alone + int(np.searchsorted(-length[alone:more], -p, "right"))
-            here = self.base[alone:more] + p
-            w = min(p, width)
-            term = self.logp[self.ids[here, :w]] + self.alpha[here[:, None] - back[:w]]
-            top = term.max(1)
-            mass = np.exp((term - top[:, None]).astype(np.float32)).cumsum(axis=1)
-            self.alpha[here] = top + np.log(mass[:, -1])
-            self.cdf[here, :w] = mass / mass[:, -1:]
+        for one in range(alone):
+            self._sweep(one, int(length[one]))
+        for p in range(1, int(length[alone]) + 1 if units > alone else 1):
+            more, w = int(many[p]), min(p, width)
+            here = slice(self.at[p] + alone, self.at[p] + more)
+            term = self.logp[self.ids[:w, here]].astype(np.float64)
+            for j in range(w):
+                before = self.at[p - 1 - j]
+                term[j] += self.alpha[before + alone : before + more]
+            top = term.max(0)
+            term -= top
+            mass = np.exp(term.astype(np.float32))
+            for j in range(1, w):
+                mass[j] += mass[j - 1]
+            self.alpha[here] = top + np.log(mass[-1])
+            mass /= mass[-1].copy()
+            self.cdf[here, :w] = mass.T
             self.cdf[here, w:] = 1
 
-    def _sweep(self, base: int, length: int) -> None:
+    def _sweep(self, unit: int, length: int) -> None:
         """Forward sums of one unit, in blocks of plain numbers."""
-        width, exp = self.ids.shape[1], math.exp
+        width, exp = len(self.ids), math.exp
         alpha = [-math.inf] * (width - 1) + [0.0]  # of the last nodes
         for lo in range(1, length + 1, 1 << 14):
-            hi = min(length + 1, lo + (1 << 14))
-            ids = self.ids[base + lo : base + hi]
+            here = self.at[lo : min(length + 1, lo + (1 << 14))] + unit
+            ids = self.ids[:, here].T
             logs = np.where(ids >= 0, self.logp[ids], -np.inf).tolist()
             rows, sums = [], []
             for row in logs:
@@ -220,8 +233,8 @@ class _Lattice:
                 rows.append([x / total for x in cdf])
                 sums.append(top + math.log(total))
                 alpha = [*alpha[1:], sums[-1]]
-            self.alpha[base + lo : base + hi] = sums
-            self.cdf[base + lo : base + hi] = rows
+            self.alpha[here] = sums
+            self.cdf[here] = rows
 
     def _back(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The length of the piece that ``u`` picks at every node, by bisection of the node's sums."""
@@ -231,36 +244,38 @@ class _Lattice:
             back += half * (flat[row + back + (half - 1)] < u)
         return back + 1
 
-    def draw_on(self, first: int, at: int, seed: int) -> tuple[list[int], list[float]]:
-        """Pieces and log-probabilities of one unit from the node ``at`` on."""
+    def draw_on(self, unit: int, place: int, seed: int) -> tuple[list[int], list[float]]:
+        """Pieces and log-probabilities of one unit from the node after ``place`` characters on."""
         piece, chance = [], []
-        for step in range(at - first):
+        for step in range(place):
+            at = self.at[place] + unit
             back = int(np.searchsorted(self.cdf[at], _one_uniform((seed + step) & _WORD))) + 1
-            piece.append(int(self.ids[at, back - 1]))
-            chance.append(float(self.logp[piece[-1]] + self.alpha[at - back] - self.alpha[at]))
-            at -= back
-            if at == first:
+            place -= back
+            piece.append(int(self.ids[back - 1, at]))
+            chance.append(float(self.logp[piece[-1]] + self.alpha[self.at[place] + unit] - self.alpha[at]))
+            if not place:
                 break
         return piece, chance
 
     def draw(self, unit: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Draws a segmentation of every unit from its end: the units' numbers of decisions, then piece
         and log-probability of every decision."""
-        first, end = self.base[unit], self.base[unit] + self.length[unit]
-        live = np.flatnonzero(end > first)
-        at = end[live]
+        place = self.length[unit]
+        live = np.flatnonzero(place)
+        which, place, own = unit[live], place[live], seed[live]
+        at = self.at[place] + which
         steps = []
         count = np.zeros(len(unit), np.int64)
         step = 0
         while len(live):
-            u = _uniform(seed[live] + np.uint64(step))
-            back = self._back(at, u)
-            to = at - back
-            piece = self.ids[at, back - 1]
+            back = self._back(at, _uniform(own + np.uint64(step)))
+            place = place - back
+            to = self.at[place] + which
+            piece = self.ids[back - 1, at]
             steps.append((live, piece, self.logp[piece] + self.alpha[to] - self.alpha[at]))
             count[live] += 1
-            go = to > first[live]
-            live, at = live[go], to[go]
+            go = np.flatnonzero(place)
+            live, at, which, place, own = live[go], to[go], which[go], place[go], own[go]
             step += 1
         offset = np.concatenate(([0], np.cumsum(count)))
         piece, chance = np.empty(offset[-1], np.int32), np.empty(offset[-1])
@@ -362,18 +377,19 @@ def _search(k: int, seed: int, lattice: _Lattice, units: np.ndarray, fresh: list
         unit = int(np.searchsorted(path.end, at, "right"))
         begin, which = int(path.end[unit] - path.counts[unit]), units[unit]
         # the node: the unit's end less the characters of the pieces taken before
-        node = int(lattice.base[which] + lattice.length[which] - lattice.size_of[path.piece[begin:at]].sum())
+        place = int(lattice.length[which] - lattice.size_of[path.piece[begin:at]].sum())
+        node = int(lattice.at[place] + which)
         # a sibling of the barred pieces, by its mass
-        ids, total = lattice.ids[node].tolist(), float(lattice.alpha[node])
+        ids, total = lattice.ids[:, node].tolist(), float(lattice.alpha[node])
         open_ = [j for j, piece in enumerate(ids) if piece >= 0 and piece not in barred]
-        chance = [float(lattice.logp[ids[j]]) + float(lattice.alpha[node - j - 1]) - total for j in open_]
+        chance = [float(lattice.logp[ids[j]]) + float(lattice.alpha[lattice.at[place - j - 1] + which]) - total for j in open_]
         most = max(chance)
         mass = list(itertools.accumulate(math.exp(c - most) for c in chance))
         draw = _one_uniform((seed + 0x51ED2701 * (number + 1)) & _WORD) * mass[-1]
         pick = min(bisect.bisect_left(mass, draw), len(open_) - 1)
         j = open_[pick]
         taken = ids[j]
-        piece, more = lattice.draw_on(int(lattice.base[which]), node - j - 1, (seed + 0x2545F491 * (number + 1)) & _WORD)
+        piece, more = lattice.draw_on(int(which), place - j - 1, (seed + 0x2545F491 * (number + 1)) & _WORD)
         tail = fresh[number]
         rest = int(tail.end[unit])
         counts = np.concatenate((path.counts[:unit], [at - begin + 1 + len(piece)], tail.counts[unit + 1 :]))
@@ -533,7 +549,7 @@ def with_samples(docs: DataFrame, out: str = "samples", k: int = 2, key: str = "
 
     @F.arrow_udf(_SAMPLES)
     def samples(texts: pa.Array, seeds: pa.Array) -> pa.Array:
-        out = [of(texts.slice(a, b - a), seeds.slice(a, b - a)) for a, b in slices(texts, 1 << 19, 256)]
+        out = [of(texts.slice(a, b - a), seeds.slice(a, b - a)) for a, b in slices(texts, GROUP, 256)]
         return pa.concat_arrays(out) if out else of(texts, seeds)
 
     return docs.withColumn(out, samples(F.col(f"`{text}`").cast("string"), F.xxhash64(F.col(f"`{key}`"), F.lit(seed))))
