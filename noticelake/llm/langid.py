@@ -14,8 +14,9 @@ what texts of the other languages cost it. A text goes if it has no letter, or i
 the mean, ``z`` deviations of a mean over as many symbols, and ``share`` of the way to what the other
 languages cost. At the default a text that is half in another learned language stays.
 
-Bounds: a model keeps its most frequent n-grams, ``MOST_GRAMS`` at most over all languages together, since models are
-sent to every task; alphabets of a few hundred letters stay far below. ``max_langs`` languages are accepted.
+Models keep every n-gram of their language. They are sent to every task and grow with the different n-grams of a
+language, which alphabets of a few hundred letters bound, not with its texts. ``MOST_GRAMS``, unset, cuts them to the most
+frequent over all languages together. ``max_langs`` languages are accepted.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ ORDER = 4
 #: Bits of a symbol. Symbol 0 is the break between words, the last any letter that training has not seen.
 BITS = 16
 OTHER = (1 << BITS) - 1
-#: N-grams of all models together, some 20 bytes each with those of lower orders.
-MOST_GRAMS = 8_000_000
+#: N-grams of all models together, some 20 bytes each with those of lower orders, if they are to be cut; None keeps all.
+MOST_GRAMS: int | None = None
 UNKNOWN = "und"
 #: Letters scored, and counts held, at a time: bounds the arrays of a batch however long a text is.
 PIECE = 1 << 18
@@ -244,7 +245,9 @@ def _alphabet(rows: DataFrame) -> list[str]:
 
 
 def _frequent(counts: DataFrame, langs: list[str]) -> dict[str, int]:
-    """By language, the least count with which an n-gram is kept: 1 unless there are more than its share of ``MOST_GRAMS``."""
+    """By language, the least count with which an n-gram is kept: 1 unless ``MOST_GRAMS`` is set and there are more than its share."""
+    if MOST_GRAMS is None:
+        return dict.fromkeys(langs, 1)
     most = MOST_GRAMS // len(langs)
     rows = counts.groupBy("lang", F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("grams")).orderBy("lang", F.desc("n")).collect()
     least, held = dict.fromkeys(langs, 1 << 17), dict.fromkeys(langs, 0)
@@ -258,7 +261,7 @@ def _frequent(counts: DataFrame, langs: list[str]) -> dict[str, int]:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", z: float = 8.0, share: float = 0.5, max_langs: int = 64) -> Model | None:
     """The models of all languages of ``docs``; rows with null text or language teach nothing.
 
-    What comes to the driver is the letters, and one language's counts at a time, ``MOST_GRAMS`` at most. None if
+    What comes to the driver is the letters, and one language's counts of different n-grams at a time. None if
     no row teaches anything. A language without text to calibrate on rejects nothing but texts
     without a letter. More than ``max_langs`` languages are an error: models are sent to every task.
     """
