@@ -145,12 +145,14 @@ def canonical_dedupe(posts: DataFrame, slug: str = "slug", ordinal: str = "id")
 
 def normalize_ncc(df: DataFrame) -> DataFrame:
     """Posts about one recall of food; other goods, closures and digests are left out."""
-    title, body = P.strip_html(F.col("title.rendered")), F.col("content.rendered")
+    # both texts are decoded at once and held: every place where they were decoded again had Python workers of its own
+    rows = once(df.where(P.is_recall_post(F.col("slug"))), __title=P.strip_html(F.col("title.rendered")), __plain=P.strip_html(F.col("content.rendered")))
+    title, plain, body = F.col("__title"), F.col("__plain"), F.col("content.rendered")
     product = P.product_from_title(title)
     date = P.parse_iso_date(F.col("date"))
     return _normalized(
-        df.where(P.is_recall_post(F.col("slug")) & P.is_food(title, P.strip_html(body))), source=F.lit("ncc"), country=F.lit("za"), recall_number=F.col("slug"), source_url=F.col("link"), product_description=product,
-        reason_text=P.strip_html(P.lede(body, product)), company_name=P.company_from_body(P.strip_html(body)), recall_initiation_date=date, report_date=date, raw=F.to_json(F.struct("*")),
+        rows.where(P.is_food(title, plain)), source=F.lit("ncc"), country=F.lit("za"), recall_number=F.col("slug"), source_url=F.col("link"), product_description=product,
+        reason_text=P.strip_html(P.lede(body, product)), company_name=P.company_from_body(plain), recall_initiation_date=date, report_date=date, raw=F.to_json(F.struct(*df.columns)),
     )
 
 
